@@ -1,0 +1,22 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Return ``broadcast(df)`` only after checking that ``df`` has at most
+    ``max_rows`` rows; otherwise return ``df`` unchanged, and the join
+    falls back to a shuffle join chosen by Catalyst / AQE.
+
+    The check is one small job (``limit(max_rows + 1).count()``) that stops
+    reading as soon as the bound is exceeded. Use it only for sides that
+    are small by contract (dimensions, key-bounded lookups) — the check is
+    what makes that contract safe to rely on.
+    """
+    if max_rows < 0:
+        raise ValueError("max_rows must be >= 0")
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
