@@ -58,15 +58,16 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
     total read as 0); the scale is not clamped, so 0 can fall below the
     minimum. When min = max the position is 0.5. Rounded to 6 places.
 
-    Plan: min and max are one scalar subquery over the per-location
-    aggregate (one row per location); the dimension is left-joined to the
-    aggregate on the state name. Neither side is broadcast by hand: both
-    are aggregates/dimensions whose real size Spark sees, and AQE turns
-    the join into a broadcast join only when that measured size is small.
+    Plan: min and max are **one** scalar subquery (a struct of both) over
+    the per-location aggregate (one row per location), evaluated once and
+    reused; the dimension is left-joined to the aggregate on the state
+    name. Neither side is broadcast by hand: both are aggregates or
+    dimensions whose real size Spark sees, and AQE turns the join into a
+    broadcast join only when that measured size is small.
     """
     value = F.coalesce(F.col("total_sales"), F.lit(0).cast("decimal(19,0)"))
-    lo = sales.select(F.min(value)).scalar()
-    hi = sales.select(F.max(value)).scalar()
+    bounds = sales.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     s = sales.select(F.col("state").alias("_state"), value.alias("_v"))
     joined = states.select("state").join(s, F.col("state") == F.col("_state"), "left")
     v = F.coalesce(F.col("_v"), F.lit(0).cast("decimal(19,0)"))
