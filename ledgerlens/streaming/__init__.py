@@ -1,0 +1,5 @@
+"""Incremental (Structured Streaming) versions of the dashboard aggregates."""
+
+from ledgerlens.streaming.incremental import STREAMABLE, start_dashboard_stream, transaction_stream
+
+__all__ = ["STREAMABLE", "start_dashboard_stream", "transaction_stream"]
