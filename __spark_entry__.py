@@ -15,7 +15,6 @@ rounded to cents and heatmap positions to 6 places on both sides.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,7 @@ from ledgerlens.operators.geo import (
     state_heatmap,
 )
 from ledgerlens.operators.quality import key_violations
-from ledgerlens.plans.dashboard import customer_table, discount_breakdowns
+from ledgerlens.plans.dashboard import customer_table, discount_breakdowns, loyalty_chart
 from ledgerlens.sources.fixture import FIXTURE_SQL, read_table, states_from_tpch, transactions_from_tpch
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -104,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "heatmap_legend": q(lambda ct: heatmap_legend(sales_by_state(ct))),
         "chart_series": q(lambda ct: chart_series(discounts_by_gender(ct), "gender", "total_revenue")),
+        "loyalty_chart": q(lambda ct: loyalty_chart(ct, TOP_K, "total_spent")),
         "key_violations": lambda spark, sf_dir: key_violations(
             read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
         ),
@@ -116,7 +116,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --------------------------------------------------------------------------
 
 _MONEY = "DECIMAL(20,2)"
-_DELAY_US = "date_diff('microsecond', purchase_date, pay_date)"
 
 
 def _with(*ctes: str, body: str) -> str:
@@ -286,6 +285,13 @@ FROM (SELECT COALESCE(total_sales, 0) AS v FROM sales)""",
         "chart_series": _with(
             body="SELECT CAST(gender AS VARCHAR) AS label, CAST(SUM(net_amount) AS DOUBLE) AS value FROM ct GROUP BY gender"
         ),
+        "loyalty_chart": _with(
+            body=f"""
+SELECT client_name AS label, CAST(SUM(net_amount) AS DOUBLE) AS value
+FROM ct GROUP BY client_name
+ORDER BY SUM(net_amount) DESC NULLS FIRST, client_name ASC NULLS LAST
+LIMIT {TOP_K}"""
+        ),
         "key_violations": """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows,
        CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 'null_key' ELSE 'duplicate_key' END AS violation

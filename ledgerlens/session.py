@@ -36,6 +36,49 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, checkpo
     return spark
 
 
+def recommended_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Session settings for a scan of ``input_bytes`` on ``total_cores``.
+
+    * Scan splits of 256 MiB: a 100 TB table becomes ~400k tasks, each
+      far below executor memory.
+    * Shuffle partitions: enough for ~256 MiB each if the whole input were
+      shuffled (an upper bound — every aggregate here combines map-side
+      first), at least 2 waves of the cluster; AQE then coalesces the
+      small ones, so the setting is a ceiling, not a cost.
+    * AQE skew-join splitting: a key holding a third of the rows (a hot
+      customer in the ``orders`` x ``customer`` join) is split into
+      advisory-size pieces instead of landing in one task.
+    """
+    split = 256 * 1024 * 1024
+    partitions = max(2 * total_cores, -(-input_bytes // split))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    }
+
+
+def apply_recommended_conf(spark: SparkSession, input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Set :func:`recommended_conf` on the session, keeping any value given
+    when the application was launched. Returns what was applied."""
+    applied = {}
+    launched = _explicit_keys(spark)
+    for k, v in recommended_conf(input_bytes, total_cores).items():
+        if k not in launched:
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
+
+
+def _explicit_keys(spark: SparkSession) -> set[str]:
+    return {k for k, _ in spark.sparkContext.getConf().getAll()}
+
+
 def shared_dir_or_none(spark: SparkSession) -> str | None:
     d = spark.conf.get(CHECKPOINT_CONF, None)
     if d:

@@ -36,6 +36,15 @@ def test_matches_oracle(spark, duck, name, sf_dir):
     assert _rows(df.columns, srows) == _rows(dcols, drows)
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_result_types_match_oracle(spark, duck, name):
+    """Same Arrow type per column: decimal precision/scale, int width,
+    timestamp unit, so no value differs in representation either."""
+    s = QUERIES[name](spark, SF001).toArrow().schema
+    d = duck[SF001].sql(SQL[name]).to_arrow_table().schema
+    assert {f.name: str(f.type) for f in s} == {f.name: str(f.type) for f in d}
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     first = df.schema
