@@ -77,8 +77,9 @@ def main() -> None:
     )
     table = os.path.join(scratch, "customer_transactions")
 
+    files = int(os.environ.get("BENCH_FILES", str(2 * cpus)))
     t0 = time.perf_counter()
-    write_transactions(transactions_from_tpch(spark, sf_dir), table)
+    write_transactions(transactions_from_tpch(spark, sf_dir), table, num_files=files)
     build_sec = time.perf_counter() - t0
 
     ct = read_transactions_parquet(spark, table)
@@ -124,6 +125,7 @@ def main() -> None:
         "spark": spark.version,
         "python": sys.version.split()[0],
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "table_files": files,
     }
     spark.stop()
     print(json.dumps(out))

@@ -79,14 +79,25 @@ def read_transactions_jdbc(spark: SparkSession, **options) -> DataFrame:
     return conform(reader.load())
 
 
-def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the table as Parquet, clustered inside each file by location
-    and purchase date so that the Parquet min/max statistics let the
-    per-state queries skip row groups. No global sort, no extra shuffle:
-    the sort is per task."""
+def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", num_files: int | None = None) -> None:
+    """Write the table as Parquet, clustered by location and purchase date
+    so that Parquet min/max statistics let the per-state queries skip data.
+
+    * ``num_files=None``: keep the input's partitioning (no shuffle); each
+      task sorts its own rows, so row groups are clustered within a file.
+    * ``num_files=n``: range-partition on (location, purchase date) into
+      ``n`` files first — one sampling job and one shuffle, paid once when
+      the table is written — so whole files hold disjoint location ranges
+      and a per-state query prunes files, not only row groups. A location
+      holding a third of the rows is still split, on the date.
+    """
+    out = conform(df)
+    if num_files is not None:
+        if num_files < 1:
+            raise ValueError("num_files must be >= 1")
+        out = out.repartitionByRange(num_files, F.col("purchaselocation").asc_nulls_last(), F.col("purchase_date").asc_nulls_last())
     (
-        conform(df)
-        .sortWithinPartitions("purchaselocation", "purchase_date")
+        out.sortWithinPartitions(F.col("purchaselocation").asc_nulls_last(), F.col("purchase_date").asc_nulls_last())
         .write.mode(mode)
         .parquet(path)
     )

@@ -90,3 +90,31 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", lower_bound=5, upper_bound=1, num_partitions=2)
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", lower_bound=1, upper_bound=5, num_partitions=0)
+
+
+def test_range_layout_gives_disjoint_location_ranges(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    ct = transactions_from_tpch(spark, SF001)
+    path = str(tmp_path / "ct_ranged")
+    write_transactions(ct, path, num_files=4)
+    files = sorted(glob.glob(os.path.join(path, "*.parquet")))
+    assert 1 < len(files) <= 4
+    ranges = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        col = meta.schema.names.index("purchaselocation")
+        stats = [meta.row_group(i).column(col).statistics for i in range(meta.num_row_groups)]
+        vals = [(s.min, s.max) for s in stats if s is not None and s.has_min_max]
+        if vals:
+            ranges.append((min(v[0] for v in vals), max(v[1] for v in vals)))
+    ranges.sort()
+    # files hold ordered location ranges: consecutive files may share only
+    # a boundary value (a location split on the date), never interleave
+    for (lo1, hi1), (lo2, hi2) in zip(ranges, ranges[1:]):
+        assert hi1 <= lo2
+    assert _sorted_rows(read_transactions_parquet(spark, path)) == _sorted_rows(ct)
+    with pytest.raises(ValueError):
+        write_transactions(ct, str(tmp_path / "x"), num_files=0)
