@@ -49,9 +49,9 @@ def test_summary_covers_every_customer(ct):
 
 def test_results_do_not_depend_on_session_zone(spark, ct):
     def snapshot():
-        a = sorted(tuple(r) for r in customer_summary(ct).collect())
+        a = sorted((tuple(r) for r in customer_summary(ct).collect()), key=repr)
         b = [tuple(r) for r in historical_cash_flow(ct).collect()]
-        c = sorted(tuple(r) for r in sales_by_state(ct).collect())
+        c = sorted((tuple(r) for r in sales_by_state(ct).collect()), key=repr)
         return a, b, c
 
     old = spark.conf.get("spark.sql.session.timeZone")
