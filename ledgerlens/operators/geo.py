@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import asc_sql, money_sum
@@ -58,25 +58,30 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
     total read as 0); the scale is not clamped, so 0 can fall below the
     minimum. When min = max the position is 0.5. Rounded to 6 places.
 
-    Plan: min and max are **one** scalar subquery (a struct of both) over
-    the per-location aggregate (one row per location), evaluated once and
-    reused; the dimension is left-joined to the aggregate on the state
-    name. Neither side is broadcast by hand: both are aggregates or
-    dimensions whose real size Spark sees, and AQE turns the join into a
-    broadcast join only when that measured size is small.
+    Plan: the table is scanned **once**. The per-location aggregate is
+    full-outer-joined to the dimension, so every sales group (matched,
+    unmatched or NULL) and every state appears; min and max are a window
+    over that joined result, whose size is bounded by the two dimensions
+    (locations + states), never by the transactions. Rows that are not
+    dimension states are dropped after the window. A scalar subquery for
+    the bounds would scan the table a second time: Catalyst infers
+    ``state IS NOT NULL`` for the join side, so the two aggregates differ
+    and their exchanges cannot be reused.
     """
-    value = F.coalesce(F.col("total_sales"), F.lit(0).cast("decimal(19,0)"))
-    bounds = sales.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    s = sales.select(F.col("state").alias("_state"), value.alias("_v"))
-    joined = states.select("state").join(s, F.col("state") == F.col("_state"), "left")
-    v = F.coalesce(F.col("_v"), F.lit(0).cast("decimal(19,0)"))
+    zero = F.lit(0).cast("decimal(19,0)")
+    dim = states.select("state", F.lit(True).alias("_in_dim"))
+    s = sales.select(F.col("state").alias("_state"), F.coalesce(F.col("total_sales"), zero).alias("_v"))
+    joined = dim.join(s, F.col("state") == F.col("_state"), "full_outer")
+    everything = Window.partitionBy()
+    lo = F.min("_v").over(everything)
+    hi = F.max("_v").over(everything)
+    v = F.coalesce(F.col("_v"), zero)
     span = (hi - lo).cast("double")
     intensity = F.when(span == 0, F.lit(0.5)).otherwise((v - lo).cast("double") / span)
-    return joined.select(
-        "state",
-        v.alias("total_sales"),
-        F.round(intensity, 6).alias("intensity"),
+    return (
+        joined.select("state", "_in_dim", v.alias("total_sales"), F.round(intensity, 6).alias("intensity"))
+        .filter(F.col("_in_dim"))
+        .drop("_in_dim")
     )
 
 
