@@ -130,11 +130,16 @@ def parse_threshold(value) -> float:
 
 def classify_payers(summary: DataFrame, threshold_days=15) -> DataFrame:
     """Add ``payer_class``: ``late`` when the mean delay is strictly above
-    the threshold, else ``prompt`` (a NULL delay is ``prompt``)."""
+    the threshold, else ``prompt``.
+
+    A NULL delay compares as 0, as the page's comparison coerced it: it is
+    ``prompt`` for any threshold >= 0 and ``late`` for a negative one.
+    """
     t = parse_threshold(threshold_days)
+    delay = F.coalesce(F.col("avg_payment_delay"), F.lit(0.0))
     return summary.withColumn(
         "payer_class",
-        F.when(F.col("avg_payment_delay") > F.lit(t), F.lit("late")).otherwise(F.lit("prompt")),
+        F.when(delay > F.lit(t), F.lit("late")).otherwise(F.lit("prompt")),
     )
 
 

@@ -100,6 +100,9 @@ def test_negative_delay_and_all_null_pay_dates(make_ct):
     assert rows["unpaid"].avg_payment_delay is None
     assert rows["unpaid"].payer_class == "prompt"
     assert rows["unpaid"].purchase_frequency == 2
+    # a NULL delay compares as 0: late only for a negative threshold
+    neg = {r.client_name: r.payer_class for r in classify_payers(customer_summary(ct), "-1").collect()}
+    assert neg["unpaid"] == "late" and neg["early"] == "late"  # -0.5 > -1
 
 
 def test_delay_exactly_at_threshold_is_prompt(make_ct):
