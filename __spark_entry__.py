@@ -15,10 +15,18 @@ rounded to cents and heatmap positions to 6 places on both sides.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+# The package lives next to this file; make it importable however this
+# module is loaded (by path, or from another working directory).
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from ledgerlens.operators.cashflow import cash_flow_trend, estimate_cash_flow, historical_cash_flow
 from ledgerlens.operators.charts import chart_series
