@@ -8,6 +8,7 @@ import os
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def local_session(master: str = "local[8]", shuffle_partitions: int = 8, checkpoint_dir: str | None = None, **conf) -> SparkSession:
@@ -60,6 +61,9 @@ def recommended_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
+        # streaming state (one row per group; per customer name for the
+        # loyalty ranking) kept off-heap and checkpointed incrementally
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE_STORE,
     }
 
 

@@ -9,12 +9,14 @@ rewritten after each batch. The operators are the batch ones, unchanged —
 a grouped aggregate over a stream is still a partial/final hash
 aggregate, now with state between batches.
 
-Only the grouped-aggregate queries are streamable: their state is one
-row per group (gender, age group, discount type, month, location), so it
-stays small however many transactions arrive. The customer summary and
-the forecast are not: the first needs a per-customer window and the
-second a row index over months, which Structured Streaming does not
-support on a stream; compute those in batch over the stored table.
+Only the grouped-aggregate queries are streamable. Their state is one
+row per group: gender, age group, discount type, month or location, and
+for the loyalty ranking one row per customer name, which belongs in the
+RocksDB state store (``recommended_conf`` selects it). The customer
+summary and the forecast are not streamable. The first needs a
+per-customer window and the second a row index over months, which
+Structured Streaming does not support on a stream; compute those in batch
+over the stored table.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators.cashflow import historical_cash_flow
+from ledgerlens.operators.customers import top_loyal_customers
 from ledgerlens.operators.discounts import discounts_by_age_group, discounts_by_gender, sales_by_discount
 from ledgerlens.operators.geo import age_group_sales_by_state, product_counts_by_state, sales_by_state
 from ledgerlens.schema import CT_SCHEMA
 from ledgerlens.session import shared_dir
 
-STREAMABLE: dict[str, Callable[[DataFrame], DataFrame]] = {
+STREAMABLE: dict[str, Callable[..., DataFrame]] = {
+    "top_loyal_customers": top_loyal_customers,
     "discounts_by_gender": discounts_by_gender,
     "discounts_by_age_group": discounts_by_age_group,
     "sales_by_discount": sales_by_discount,
@@ -68,6 +72,7 @@ def start_dashboard_stream(
     available_now: bool = False,
     processing_time: str = "1 minute",
     max_files_per_trigger: int | None = None,
+    **params,
 ) -> StreamingQuery:
     """Start one streamable dashboard query over ``source_path``.
 
@@ -76,11 +81,12 @@ def start_dashboard_stream(
     given, for tests and notebooks). State and progress are checkpointed
     under ``spark.checkpoint.dir`` unless ``checkpoint_location`` is
     given, so a restarted job resumes where it stopped.
-    ``available_now=True`` processes what is there and stops.
+    ``available_now=True`` processes what is there and stops. ``params``
+    go to the operator (e.g. ``k`` and ``criteria`` for the ranking).
     """
     if query not in STREAMABLE:
         raise ValueError(f"{query!r} is not streamable; choose one of {sorted(STREAMABLE)}")
-    result = STREAMABLE[query](transaction_stream(spark, source_path, max_files_per_trigger))
+    result = STREAMABLE[query](transaction_stream(spark, source_path, max_files_per_trigger), **params)
     checkpoint = checkpoint_location or shared_dir(spark, "streams", query)
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
