@@ -129,6 +129,18 @@ def test_profile_fan_out_carries_customer_totals(make_ct):
     assert {r.total_spent for r in rows} == {D("7.00")}
 
 
+def test_null_cid_rows_yield_no_summary_row(spark):
+    from ledgerlens.schema import CT_SCHEMA, CT_COLUMNS
+
+    nullable = CT_SCHEMA.fromJson(CT_SCHEMA.jsonValue())
+    for f in nullable.fields:
+        f.nullable = True
+    row = {c: None for c in CT_COLUMNS}
+    rows = [dict(row, cid=None, tid=1, client_name="ghost"), dict(row, cid=5, tid=2, client_name="real")]
+    ct = spark.createDataFrame([tuple(r[c] for c in CT_COLUMNS) for r in rows], nullable)
+    assert [r.client_name for r in customer_summary(ct).collect()] == ["real"]
+
+
 def test_delay_is_exact_across_dst_change(spark, make_ct):
     # Brazil moved clocks forward at 2017-10-15 00:00 local time.
     ct = make_ct(
