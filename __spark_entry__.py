@@ -46,7 +46,15 @@ from ledgerlens.operators.geo import (
     state_heatmap,
 )
 from ledgerlens.operators.quality import key_violations
-from ledgerlens.plans.dashboard import customer_table, discount_breakdowns, loyalty_chart
+from ledgerlens.plans.dashboard import (  # noqa: E402
+    age_group_revenue_chart,
+    customer_table,
+    discount_breakdowns,
+    discount_type_chart,
+    loyalty_chart,
+    state_age_chart,
+    state_product_chart,
+)
 from ledgerlens.sources.fixture import FIXTURE_SQL, read_table, states_from_tpch, transactions_from_tpch
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -112,6 +120,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heatmap_legend": q(lambda ct: heatmap_legend(sales_by_state(ct))),
         "chart_series": q(lambda ct: chart_series(discounts_by_gender(ct), "gender", "total_revenue")),
         "loyalty_chart": q(lambda ct: loyalty_chart(ct, TOP_K, "total_spent")),
+        "age_group_revenue_chart": q(age_group_revenue_chart),
+        "discount_type_chart": q(discount_type_chart),
+        "state_age_chart": q(lambda ct: state_age_chart(ct, ONE_STATE)),
+        "state_product_chart": q(lambda ct: state_product_chart(ct, ONE_STATE)),
         "key_violations": lambda spark, sf_dir: key_violations(
             read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
         ),
@@ -299,6 +311,24 @@ SELECT client_name AS label, CAST(SUM(net_amount) AS DOUBLE) AS value
 FROM ct GROUP BY client_name
 ORDER BY SUM(net_amount) DESC NULLS FIRST, client_name ASC NULLS LAST
 LIMIT {TOP_K}"""
+        ),
+        "age_group_revenue_chart": _with(
+            body="SELECT CAST(age_group AS VARCHAR) AS label, CAST(SUM(net_amount) AS DOUBLE) AS value FROM ct GROUP BY age_group"
+        ),
+        "discount_type_chart": _with(
+            body="""
+SELECT CAST(discount_name AS VARCHAR) AS label, CAST(SUM(net_amount) AS DOUBLE) AS value
+FROM ct WHERE discount_availed = true GROUP BY discount_name"""
+        ),
+        "state_age_chart": _with(
+            body=f"""
+SELECT CAST(age_group AS VARCHAR) AS label, CAST(SUM(net_amount) AS DOUBLE) AS value
+FROM ct WHERE purchaselocation = '{ONE_STATE}' GROUP BY age_group"""
+        ),
+        "state_product_chart": _with(
+            body=f"""
+SELECT CAST(product_category AS VARCHAR) AS label, CAST(COUNT(product_category) AS DOUBLE) AS value
+FROM ct WHERE purchaselocation = '{ONE_STATE}' GROUP BY product_category"""
         ),
         "key_violations": """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows,

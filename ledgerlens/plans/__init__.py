@@ -1,10 +1,25 @@
 """Composed plans: the reference's page flows as single DataFrame chains."""
 
 from ledgerlens.plans.dashboard import (
+    age_group_revenue_chart,
     customer_table,
     discount_breakdowns,
+    discount_type_chart,
+    gender_revenue_chart,
     loyalty_chart,
     sales_heatmap,
+    state_age_chart,
+    state_product_chart,
 )
 
-__all__ = ["customer_table", "discount_breakdowns", "loyalty_chart", "sales_heatmap"]
+__all__ = [
+    "age_group_revenue_chart",
+    "customer_table",
+    "discount_breakdowns",
+    "discount_type_chart",
+    "gender_revenue_chart",
+    "loyalty_chart",
+    "sales_heatmap",
+    "state_age_chart",
+    "state_product_chart",
+]

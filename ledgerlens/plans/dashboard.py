@@ -19,8 +19,18 @@ from ledgerlens.operators.customers import (
     sort_customers,
     top_loyal_customers,
 )
-from ledgerlens.operators.discounts import discount_metrics
-from ledgerlens.operators.geo import sales_by_state, state_heatmap
+from ledgerlens.operators.discounts import (
+    discount_metrics,
+    discounts_by_age_group,
+    discounts_by_gender,
+    sales_by_discount,
+)
+from ledgerlens.operators.geo import (
+    age_group_sales_by_state,
+    product_counts_by_state,
+    sales_by_state,
+    state_heatmap,
+)
 
 
 def customer_table(
@@ -45,6 +55,31 @@ def loyalty_chart(ct: DataFrame, k: int = 10, criteria: str = "total_spent") ->
     return chart_series(top_loyal_customers(ct, k, criteria), "client_name", "loyalty_score")
 
 
+def gender_revenue_chart(ct: DataFrame) -> DataFrame:
+    """Polar chart of revenue per gender (the page plots ``total_revenue``)."""
+    return chart_series(discounts_by_gender(ct), "gender", "total_revenue")
+
+
+def age_group_revenue_chart(ct: DataFrame) -> DataFrame:
+    """Polar chart of revenue per age group."""
+    return chart_series(discounts_by_age_group(ct), "age_group", "total_revenue")
+
+
+def discount_type_chart(ct: DataFrame) -> DataFrame:
+    """Polar chart of revenue per discount type (discounted rows only)."""
+    return chart_series(sales_by_discount(ct), "discount_name", "total_revenue")
+
+
+def state_age_chart(ct: DataFrame, state: str) -> DataFrame:
+    """Bar chart shown when hovering a state: sales per age group there."""
+    return chart_series(age_group_sales_by_state(ct, state), "age_group", "total_sales")
+
+
+def state_product_chart(ct: DataFrame, state: str) -> DataFrame:
+    """Pie chart shown when hovering a state: product counts there."""
+    return chart_series(product_counts_by_state(ct, state), "produs", "produstotal")
+
+
 def discount_breakdowns(ct: DataFrame) -> DataFrame:
     """Gender and age-group breakdowns in **one** scan and one shuffle.
 
