@@ -30,9 +30,6 @@ PART_MODULUS = 200
 DISCOUNT_RATE = Decimal("0.10")
 AGE_SHIFT_FROM = "1998-01-01 00:00:00"
 
-# Upper bound on the nation dimension for a broadcast (TPC-H has 25).
-NATION_MAX_ROWS = 10_000
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -43,20 +40,22 @@ def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``customer``, ``nation`` and ``part`` under ``sf_dir``.
 
     Plan at scale: ``orders`` is the fact side and is never broadcast.
-    ``customer`` grows with the data, so its join is left to Catalyst/AQE
-    (broadcast only when its measured size is under the threshold,
-    otherwise a sort-merge join on ``custkey``). ``nation`` and the part
-    lookup are broadcast after a row-count check: the part join key is
-    ``o_orderkey % 200``, so only part keys in -199..199 can ever match,
-    and that pre-filter (pushed into the scan) bounds the side by the key.
+    ``customer`` grows with the data and ``nation`` is a fixed dimension;
+    both joins are left to Spark's size rule (broadcast only when the
+    side's size from file statistics, or at run time AQE's measured size,
+    is under the threshold; otherwise a sort-merge join, where AQE splits
+    a hot customer). The part lookup is the one explicit broadcast, after
+    a row-count check: its join key is ``o_orderkey % 200``, so only part
+    keys in -199..199 can ever match. That pre-filter is pushed into the
+    scan and bounds the side by its key. Spark's file-size estimate cannot
+    see that bound, so without the hint a large ``part`` table would turn
+    the join into a 100 TB shuffle onto at most 200 distinct keys.
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nation = broadcast_if_small(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), NATION_MAX_ROWS
-    )
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     bound = PART_MODULUS - 1
     part = broadcast_if_small(
         read_table(spark, sf_dir, "part")
