@@ -81,7 +81,73 @@ def _round_col(df: DataFrame, name: str, digits: int) -> DataFrame:
     return df.withColumn(name, F.round(F.col(name), digits))
 
 
+# --------------------------------------------------------------------------
+# Comparable result types
+# --------------------------------------------------------------------------
+# The library returns money as exact decimals and months as timestamp_ntz.
+# Engines convert those differently when results leave them (DuckDB turns
+# DECIMAL into float64 and uses microsecond timestamps in pandas; Spark
+# gives Decimal objects and nanoseconds), so for the side-by-side check
+# both sides expose them the same way: money as DOUBLE (the exact sum
+# converted once, bit-identical in both engines) and months as text.
+_AS_DOUBLE = {
+    "top_loyal_total_spent": ["total_spent", "loyalty_score"],
+    "top_loyal_purchase_frequency": ["total_spent"],
+    "top_loyal_combined": ["total_spent", "loyalty_score"],
+    "customer_summary": ["total_spent"],
+    "classify_payers": ["total_spent"],
+    "filter_customers": ["total_spent"],
+    "sort_customers": ["total_spent"],
+    "customer_table": ["total_spent"],
+    "discounts_by_gender": ["total_revenue", "revenue_with_discount"],
+    "discounts_by_age_group": ["total_revenue", "revenue_with_discount"],
+    "discount_breakdowns": ["total_revenue", "revenue_with_discount"],
+    "sales_by_discount": ["total_revenue"],
+    "historical_cash_flow": ["total_cash_flow"],
+    "age_group_sales_by_state": ["total_sales"],
+    "age_group_sales_one_state": ["total_sales"],
+    "sales_by_state": ["total_sales"],
+    "state_heatmap": ["total_sales"],
+}
+_AS_TEXT = {"historical_cash_flow": ["month"]}
+
+
+def _comparable_df(name: str, df: DataFrame) -> DataFrame:
+    dbl, txt = set(_AS_DOUBLE.get(name, ())), set(_AS_TEXT.get(name, ()))
+    if not dbl and not txt:
+        return df
+    cols = [
+        F.col(c).cast("double").alias(c) if c in dbl else F.col(c).cast("string").alias(c) if c in txt else F.col(c)
+        for c in df.columns
+    ]
+    return df.select(cols)
+
+
+def _comparable_sql(name: str, sql: str) -> str:
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in _AS_DOUBLE.get(name, ())]
+    casts += [f"CAST({c} AS VARCHAR) AS {c}" for c in _AS_TEXT.get(name, ())]
+    if not casts:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql}\n) AS q"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered queries as the driver compares them (see above)."""
+
+    def comparable(name, fn):
+        return lambda spark, sf_dir: _comparable_df(name, fn(spark, sf_dir))
+
+    return {name: comparable(name, fn) for name, fn in library_queries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _comparable_sql(name, sql) for name, sql in library_oracle_sql().items()}
+
+
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The same queries with the library's own result types (exact
+    decimals, timestamp_ntz months)."""
+
     def q(fn):
         return lambda spark, sf_dir: fn(_ct(spark, sf_dir))
 
@@ -202,7 +268,8 @@ _SALES_BY_STATE_CTE = (
 )
 
 
-def oracle_sql() -> dict[str, str]:
+def library_oracle_sql() -> dict[str, str]:
+    """DuckDB SQL with the library's result types."""
     return {
         "top_loyal_total_spent": _top_loyal_sql("total_spent"),
         "top_loyal_purchase_frequency": _top_loyal_sql("purchase_frequency"),
