@@ -144,59 +144,62 @@ def oracle_sql() -> dict[str, str]:
     return {name: _comparable_sql(name, sql) for name, sql in library_oracle_sql().items()}
 
 
-def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The same queries with the library's own result types (exact
-    decimals, timestamp_ntz months)."""
-
-    def q(fn):
-        return lambda spark, sf_dir: fn(_ct(spark, sf_dir))
-
+def ct_queries() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Every registered query that reads only ``customer_transactions``,
+    as a function of that table (library result types)."""
     return {
-        "top_loyal_total_spent": q(lambda ct: top_loyal_customers(ct, TOP_K, "total_spent")),
-        "top_loyal_purchase_frequency": q(lambda ct: top_loyal_customers(ct, TOP_K, "purchase_frequency")),
-        "top_loyal_combined": q(lambda ct: top_loyal_customers(ct, TOP_K, "combined")),
-        "customer_summary": q(customer_summary),
-        "classify_payers": q(lambda ct: classify_payers(customer_summary(ct), DELAY_THRESHOLD_DAYS)),
-        "filter_customers": q(
-            lambda ct: filter_customers(customer_summary(ct), FILTER_AGE_GROUP, FILTER_GENDER)
-        ),
-        "sort_customers": q(lambda ct: sort_customers(customer_summary(ct), "total_spent", False)),
-        "customer_table": q(
-            lambda ct: customer_table(
-                ct, DELAY_THRESHOLD_DAYS, FILTER_AGE_GROUP, "", "avg_payment_delay", False
-            )
+        "top_loyal_total_spent": lambda ct: top_loyal_customers(ct, TOP_K, "total_spent"),
+        "top_loyal_purchase_frequency": lambda ct: top_loyal_customers(ct, TOP_K, "purchase_frequency"),
+        "top_loyal_combined": lambda ct: top_loyal_customers(ct, TOP_K, "combined"),
+        "customer_summary": customer_summary,
+        "classify_payers": lambda ct: classify_payers(customer_summary(ct), DELAY_THRESHOLD_DAYS),
+        "filter_customers": lambda ct: filter_customers(customer_summary(ct), FILTER_AGE_GROUP, FILTER_GENDER),
+        "sort_customers": lambda ct: sort_customers(customer_summary(ct), "total_spent", False),
+        "customer_table": lambda ct: customer_table(
+            ct, DELAY_THRESHOLD_DAYS, FILTER_AGE_GROUP, "", "avg_payment_delay", False
         ),
-        "discounts_by_gender": q(discounts_by_gender),
-        "discounts_by_age_group": q(discounts_by_age_group),
-        "discount_breakdowns": q(discount_breakdowns),
-        "sales_by_discount": q(sales_by_discount),
-        "historical_cash_flow": q(historical_cash_flow),
-        "estimate_cash_flow": q(
-            lambda ct: _round_col(estimate_cash_flow(ct, MONTHS_AHEAD), "predicted_cash_flow", 2)
+        "discounts_by_gender": discounts_by_gender,
+        "discounts_by_age_group": discounts_by_age_group,
+        "discount_breakdowns": discount_breakdowns,
+        "sales_by_discount": sales_by_discount,
+        "historical_cash_flow": historical_cash_flow,
+        "estimate_cash_flow": lambda ct: _round_col(
+            estimate_cash_flow(ct, MONTHS_AHEAD), "predicted_cash_flow", 2
         ),
-        "cash_flow_trend": q(lambda ct: _round_col(cash_flow_trend(ct, MONTHS_AHEAD), "cash_flow", 2)),
-        "age_group_sales_by_state": q(age_group_sales_by_state),
-        "age_group_sales_one_state": q(lambda ct: age_group_sales_by_state(ct, ONE_STATE)),
-        "product_counts_by_state": q(product_counts_by_state),
-        "product_counts_one_state": q(lambda ct: product_counts_by_state(ct, ONE_STATE)),
-        "sales_by_state": q(sales_by_state),
-        "state_heatmap": lambda spark, sf_dir: state_heatmap(
-            sales_by_state(_ct(spark, sf_dir)), states_from_tpch(spark, sf_dir)
-        ),
-        "heatmap_legend": q(lambda ct: heatmap_legend(sales_by_state(ct))),
-        "chart_series": q(lambda ct: chart_series(discounts_by_gender(ct), "gender", "total_revenue")),
-        "loyalty_chart": q(lambda ct: loyalty_chart(ct, TOP_K, "total_spent")),
-        "age_group_revenue_chart": q(age_group_revenue_chart),
-        "discount_type_chart": q(discount_type_chart),
-        "state_age_chart": q(lambda ct: state_age_chart(ct, ONE_STATE)),
-        "state_product_chart": q(lambda ct: state_product_chart(ct, ONE_STATE)),
-        "key_violations": lambda spark, sf_dir: key_violations(
-            read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
-        ),
-        "transaction_key_violations": q(key_violations),
+        "cash_flow_trend": lambda ct: _round_col(cash_flow_trend(ct, MONTHS_AHEAD), "cash_flow", 2),
+        "age_group_sales_by_state": age_group_sales_by_state,
+        "age_group_sales_one_state": lambda ct: age_group_sales_by_state(ct, ONE_STATE),
+        "product_counts_by_state": product_counts_by_state,
+        "product_counts_one_state": lambda ct: product_counts_by_state(ct, ONE_STATE),
+        "sales_by_state": sales_by_state,
+        "heatmap_legend": lambda ct: heatmap_legend(sales_by_state(ct)),
+        "chart_series": lambda ct: chart_series(discounts_by_gender(ct), "gender", "total_revenue"),
+        "loyalty_chart": lambda ct: loyalty_chart(ct, TOP_K, "total_spent"),
+        "age_group_revenue_chart": age_group_revenue_chart,
+        "discount_type_chart": discount_type_chart,
+        "state_age_chart": lambda ct: state_age_chart(ct, ONE_STATE),
+        "state_product_chart": lambda ct: state_product_chart(ct, ONE_STATE),
+        "transaction_key_violations": key_violations,
     }
 
 
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All registered queries with the library's own result types (exact
+    decimals, timestamp_ntz months), over the driver tables."""
+
+    def on_fixture(fn):
+        return lambda spark, sf_dir: fn(_ct(spark, sf_dir))
+
+    out = {name: on_fixture(fn) for name, fn in ct_queries().items()}
+    out["state_heatmap"] = lambda spark, sf_dir: state_heatmap(
+        sales_by_state(_ct(spark, sf_dir)), states_from_tpch(spark, sf_dir)
+    )
+    out["key_violations"] = lambda spark, sf_dir: key_violations(
+        read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    )
+    return out
+
+
 # --------------------------------------------------------------------------
 # DuckDB oracle
 # --------------------------------------------------------------------------
@@ -268,8 +271,18 @@ _SALES_BY_STATE_CTE = (
 )
 
 
-def library_oracle_sql() -> dict[str, str]:
-    """DuckDB SQL with the library's result types."""
+def library_oracle_sql(source_sql: str | None = None) -> dict[str, str]:
+    """DuckDB SQL with the library's result types. With ``source_sql``,
+    only the queries over ``customer_transactions`` are returned, reading
+    that SQL instead of the fixture view (used by the property tests)."""
+    sqls = _library_oracle_sql()
+    if source_sql is None:
+        return sqls
+    fixture = f"ct AS ({FIXTURE_SQL})"
+    return {n: q.replace(fixture, f"ct AS ({source_sql})") for n, q in sqls.items() if n in ct_queries()}
+
+
+def _library_oracle_sql() -> dict[str, str]:
     return {
         "top_loyal_total_spent": _top_loyal_sql("total_spent"),
         "top_loyal_purchase_frequency": _top_loyal_sql("purchase_frequency"),
