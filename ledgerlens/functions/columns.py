@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 MICROS_PER_DAY = 86_400_000_000
 
+# Fixed value: the prefix of the trend chart's month labels.
+MONTH_LABEL_PREFIX = "Month "
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -76,4 +79,4 @@ def month_start(ts) -> Column:
 
 def month_label(month_no) -> Column:
     """Chart label ``Month <n>``."""
-    return F.concat(F.lit("Month "), _col(month_no).cast("string"))
+    return F.concat(F.lit(MONTH_LABEL_PREFIX), _col(month_no).cast("string"))

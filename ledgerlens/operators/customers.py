@@ -17,7 +17,10 @@ from ledgerlens.functions.columns import (
     money_sum,
 )
 
+# The loyalty criteria the reference accepts (anything else
+# means "combined") and its payer-class labels.
 LOYALTY_CRITERIA = ("total_spent", "purchase_frequency", "combined")
+LATE, PROMPT = "late", "prompt"
 
 
 def _check_k(k) -> int:
@@ -142,7 +145,7 @@ def classify_payers(summary: DataFrame, threshold_days=15) -> DataFrame:
     delay = F.coalesce(F.col("avg_payment_delay"), F.lit(0.0))
     return summary.withColumn(
         "payer_class",
-        F.when(delay > F.lit(t), F.lit("late")).otherwise(F.lit("prompt")),
+        F.when(delay > F.lit(t), F.lit(LATE)).otherwise(F.lit(PROMPT)),
     )
 
 

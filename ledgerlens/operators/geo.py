@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import asc_sql, money_sum
 
+# Output names of the per-state product view, as the
+# reference's pages read them.
+PRODUCT_COLUMN = "produs"
+PRODUCT_COUNT_COLUMN = "produstotal"
+
 
 def _at_state(df: DataFrame, state: str | None) -> DataFrame:
     """Exact, case-sensitive location filter (pushed to the scan); ``None``
@@ -32,8 +37,8 @@ def product_counts_by_state(df: DataFrame, state: str | None = None) -> DataFram
     produs, produstotal``. The NULL category is a group with count 0."""
     return (
         _at_state(df, state)
-        .groupBy(F.col("purchaselocation").alias("state"), F.col("product_category").alias("produs"))
-        .agg(F.count("product_category").alias("produstotal"))
+        .groupBy(F.col("purchaselocation").alias("state"), F.col("product_category").alias(PRODUCT_COLUMN))
+        .agg(F.count("product_category").alias(PRODUCT_COUNT_COLUMN))
         .orderBy(asc_sql("state"))
     )
 
