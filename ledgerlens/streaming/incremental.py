@@ -32,6 +32,7 @@ from ledgerlens.operators.discounts import discounts_by_age_group, discounts_by_
 from ledgerlens.operators.geo import age_group_sales_by_state, product_counts_by_state, sales_by_state
 from ledgerlens.schema import CT_SCHEMA
 from ledgerlens.session import shared_dir
+from ledgerlens.sources.tables import CSV_TIMESTAMP_FORMAT
 
 STREAMABLE: dict[str, Callable[..., DataFrame]] = {
     "top_loyal_customers": top_loyal_customers,
@@ -45,10 +46,23 @@ STREAMABLE: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def transaction_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame over Parquet files of ``customer_transactions``
-    arriving in ``path`` (fixed schema; a file is read once)."""
-    reader = spark.readStream.schema(CT_SCHEMA).format("parquet")
+def transaction_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, file_format: str = "parquet"
+) -> DataFrame:
+    """Streaming DataFrame over files of ``customer_transactions`` arriving
+    in ``path`` — Parquet, or CSV in the batch reader's layout (header row,
+    ISO timestamps, empty field = NULL, FAILFAST). Fixed schema; each file
+    is read once. ``max_files_per_trigger`` bounds a micro-batch."""
+    reader = spark.readStream.schema(CT_SCHEMA).format(file_format)
+    if file_format == "csv":
+        reader = (
+            reader.option("header", True)
+            .option("mode", "FAILFAST")
+            .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
+            .option("nullValue", "")
+        )
+    elif file_format != "parquet":
+        raise ValueError("file_format must be 'parquet' or 'csv'")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(path)
@@ -72,6 +86,7 @@ def start_dashboard_stream(
     available_now: bool = False,
     processing_time: str = "1 minute",
     max_files_per_trigger: int | None = None,
+    file_format: str = "parquet",
     **params,
 ) -> StreamingQuery:
     """Start one streamable dashboard query over ``source_path``.
@@ -86,7 +101,8 @@ def start_dashboard_stream(
     """
     if query not in STREAMABLE:
         raise ValueError(f"{query!r} is not streamable; choose one of {sorted(STREAMABLE)}")
-    result = STREAMABLE[query](transaction_stream(spark, source_path, max_files_per_trigger), **params)
+    stream = transaction_stream(spark, source_path, max_files_per_trigger, file_format)
+    result = STREAMABLE[query](stream, **params)
     checkpoint = checkpoint_location or shared_dir(spark, "streams", query)
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)

@@ -75,6 +75,26 @@ def test_snapshot_sink_and_restart(spark, landed, tmp_path):
     assert len(first) == read_transactions_parquet(spark, landed).select("purchaselocation").distinct().count()
 
 
+def test_csv_landing_folder(spark, landed, tmp_path):
+    csv_dir = str(tmp_path / "csv")
+    (
+        read_transactions_parquet(spark, landed)
+        .repartition(3)
+        .write.option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("nullValue", "")
+        .csv(csv_dir)
+    )
+    q = start_dashboard_stream(
+        spark, csv_dir, "discounts_by_gender", checkpoint_location=str(tmp_path / "cp"),
+        available_now=True, file_format="csv",
+    )
+    q.awaitTermination(300)
+    assert q.exception() is None
+    want = STREAMABLE["discounts_by_gender"](read_transactions_parquet(spark, landed))
+    assert _rows(spark.sql("SELECT * FROM discounts_by_gender")) == _rows(want)
+
+
 def test_not_streamable(spark, landed):
     with pytest.raises(ValueError):
         start_dashboard_stream(spark, landed, "customer_summary")
