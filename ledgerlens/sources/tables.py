@@ -88,19 +88,21 @@ def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", nu
     * ``num_files=n``: range-partition on (location, purchase date) into
       ``n`` files first — one sampling job and one shuffle, paid once when
       the table is written — so whole files hold disjoint location ranges
-      and a per-state query prunes files, not only row groups. A location
-      holding a third of the rows is still split, on the date.
+      and a per-state query prunes files, not only row groups. The unique
+      ``tid`` is the last range key, so even a (location, date) pair that
+      holds a third of the rows (say both NULL) is split across files.
     """
     out = conform(df)
+    keys = [
+        F.col("purchaselocation").asc_nulls_last(),
+        F.col("purchase_date").asc_nulls_last(),
+        F.col("tid").asc_nulls_last(),
+    ]
     if num_files is not None:
         if num_files < 1:
             raise ValueError("num_files must be >= 1")
-        out = out.repartitionByRange(num_files, F.col("purchaselocation").asc_nulls_last(), F.col("purchase_date").asc_nulls_last())
-    (
-        out.sortWithinPartitions(F.col("purchaselocation").asc_nulls_last(), F.col("purchase_date").asc_nulls_last())
-        .write.mode(mode)
-        .parquet(path)
-    )
+        out = out.repartitionByRange(num_files, *keys)
+    out.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -118,3 +118,14 @@ def test_range_layout_gives_disjoint_location_ranges(spark, tmp_path):
     assert _sorted_rows(read_transactions_parquet(spark, path)) == _sorted_rows(ct)
     with pytest.raises(ValueError):
         write_transactions(ct, str(tmp_path / "x"), num_files=0)
+
+
+def test_range_layout_splits_a_hot_location_and_date(spark, tmp_path):
+    import glob
+
+    ct = transactions_from_tpch(spark, SF001).withColumn("purchaselocation", F.lit(None).cast("string"))
+    ct = ct.withColumn("purchase_date", F.lit(None).cast("timestamp_ntz"))  # every row one (NULL, NULL) key
+    path = str(tmp_path / "ct_hot")
+    write_transactions(ct, path, num_files=4)
+    sizes = [spark.read.parquet(f).count() for f in sorted(glob.glob(os.path.join(path, "*.parquet")))]
+    assert len(sizes) == 4 and max(sizes) < ct.count()
