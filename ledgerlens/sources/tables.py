@@ -72,11 +72,52 @@ def jdbc_options(
     return opts
 
 
-def read_transactions_jdbc(spark: SparkSession, **options) -> DataFrame:
-    """Read the table over JDBC with :func:`jdbc_options`; filters and the
-    column list of later operators are pushed into the remote query."""
-    reader = spark.read.format("jdbc").options(**jdbc_options(**options))
-    return conform(reader.load())
+def key_bounds_query(table: str, column: str) -> str:
+    """The one-row query that gives a JDBC read its slice bounds."""
+    return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+
+
+def jdbc_key_bounds(spark: SparkSession, url: str, table: str = "customer_transactions", column: str = "tid", **extra) -> tuple[int, int]:
+    """``(min, max)`` of the slicing column, computed by the database (one
+    row comes back, however large the table)."""
+    row = (
+        spark.read.format("jdbc")
+        .options(url=url, query=key_bounds_query(table, column), **{k: str(v) for k, v in extra.items()})
+        .load()
+        .first()
+    )
+    if row is None or row["lo"] is None:
+        return 0, 0
+    return int(row["lo"]), int(row["hi"])
+
+
+def read_transactions_jdbc(
+    spark: SparkSession,
+    url: str,
+    table: str = "customer_transactions",
+    *,
+    num_partitions: int,
+    lower_bound: int | None = None,
+    upper_bound: int | None = None,
+    partition_column: str = "tid",
+    **extra,
+) -> DataFrame:
+    """Read the table over JDBC in ``num_partitions`` parallel slices of
+    ``partition_column``; bounds are asked from the database when not
+    given. Filters and the column list of later operators are pushed into
+    the remote query."""
+    if lower_bound is None or upper_bound is None:
+        lower_bound, upper_bound = jdbc_key_bounds(spark, url, table, partition_column, **extra)
+    opts = jdbc_options(
+        url,
+        table,
+        lower_bound=lower_bound,
+        upper_bound=upper_bound,
+        num_partitions=num_partitions,
+        partition_column=partition_column,
+        **extra,
+    )
+    return conform(spark.read.format("jdbc").options(**opts).load())
 
 
 def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", num_files: int | None = None) -> None:

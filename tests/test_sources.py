@@ -78,6 +78,14 @@ def test_json_sink(spark, tmp_path):
     assert isinstance(first["total_sales"], (int, float))
 
 
+def test_jdbc_bounds_query():
+    from ledgerlens.sources.tables import key_bounds_query
+
+    assert key_bounds_query("customer_transactions", "tid") == (
+        "SELECT MIN(tid) AS lo, MAX(tid) AS hi FROM customer_transactions"
+    )
+
+
 def test_jdbc_options():
     o = jdbc_options(
         "jdbc:postgresql://db:5432/bi", lower_bound=1, upper_bound=1000, num_partitions=16, user="u", password="p"
