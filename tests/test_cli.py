@@ -67,3 +67,20 @@ def test_heatmap_needs_states(spark, table, tmp_path):
     assert spark.read.schema(res.schema).json(out).count() == 25
     with pytest.raises(ValueError):
         run(spark, ["heatmap", "--table", table, "--out", str(tmp_path / "x")])
+
+
+def test_csv_table_input(spark, table, tmp_path):
+    csv_dir = str(tmp_path / "ct_csv")
+    (
+        read_transactions_parquet(spark, table)
+        .write.option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("nullValue", "")
+        .csv(csv_dir)
+    )
+    out = str(tmp_path / "sales")
+    res = run(spark, ["state-sales", "--table", csv_dir, "--format", "csv", "--out", out, "--out-format", "parquet"])
+    from ledgerlens import sales_by_state
+
+    assert _rows(spark.read.parquet(out)) == _rows(sales_by_state(read_transactions_parquet(spark, table)))
+    assert res.count() > 0

@@ -68,3 +68,20 @@ def test_exact_mean_and_delay(spark):
     assert row.m == float(Decimal("0.30")) / 2
     assert row.d == 1
     assert (row.m1, row.m2) == (datetime(2020, 1, 1), datetime(2020, 3, 1))
+
+
+def test_apply_recommended_conf_keeps_launch_values(spark):
+    from ledgerlens.session import apply_recommended_conf
+
+    old = {k: spark.conf.get(k, None) for k in recommended_conf(10**9, 8)}
+    try:
+        applied = apply_recommended_conf(spark, 10**9, 8)
+        # the test session set shuffle partitions at launch: kept
+        assert "spark.sql.shuffle.partitions" not in applied
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 * 1024 * 1024)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
