@@ -1,7 +1,6 @@
 """Every registered query equals its DuckDB oracle on the driver tables:
 same column names, same rows (order-insensitive, exact values)."""
 
-import os
 
 import pytest
 

@@ -1,6 +1,5 @@
 """Physical-plan checks: the plans we want at scale, not just the rows."""
 
-import os
 
 import pytest
 

@@ -10,7 +10,6 @@ from decimal import Decimal
 
 import duckdb
 import pyarrow as pa
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

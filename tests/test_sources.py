@@ -4,7 +4,6 @@ checked)."""
 
 import json
 import os
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F

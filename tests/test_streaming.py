@@ -2,7 +2,6 @@
 when the files arrive over several micro-batches."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from ledgerlens.sources import read_transactions_parquet, transactions_from_tpch
