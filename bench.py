@@ -55,11 +55,20 @@ def _run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def _timed_all(queries: dict, runs: int) -> dict[str, float]:
-    for fn in queries.values():  # warm-up pass over everything
-        _run(fn())
-    out = {}
+def _timed_all(queries: dict, runs: int) -> tuple[dict[str, float | None], dict[str, str]]:
+    """Median seconds per query; a query that fails is reported as None
+    with its error, and the others still run."""
+    errors: dict[str, str] = {}
+    for name, fn in queries.items():  # warm-up pass over everything
+        try:
+            _run(fn())
+        except Exception as e:  # noqa: BLE001 - reported, not hidden
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+    out: dict[str, float | None] = {}
     for name, fn in queries.items():
+        if name in errors:
+            out[name] = None
+            continue
         _run(fn())
         times = []
         for _ in range(runs):
@@ -67,7 +76,7 @@ def _timed_all(queries: dict, runs: int) -> dict[str, float]:
             _run(fn())
             times.append(time.perf_counter() - t0)
         out[name] = round(statistics.median(times), 4)
-    return out
+    return out, errors
 
 
 def main() -> None:
@@ -119,10 +128,10 @@ def main() -> None:
         "customer_summary_from_tpch": lambda: customer_summary(transactions_from_tpch(spark, sf_dir)),
     }
 
-    results = _timed_all(headline, runs)
+    results, errors = _timed_all(headline, runs)
     out = {
         "metric": "sum_of_median_query_sec",
-        "value": round(sum(results.values()), 4),
+        "value": round(sum(v for v in results.values() if v is not None), 4),
         "unit": "sec",
         "queries": results,
         "sf": sf,
@@ -135,6 +144,8 @@ def main() -> None:
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "table_files": files,
     }
+    if errors:
+        out["errors"] = errors
     spark.stop()
     print(json.dumps(out))
 
