@@ -121,29 +121,42 @@ def read_transactions_jdbc(
 
 
 def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", num_files: int | None = None) -> None:
-    """Write the table as Parquet, clustered by location and purchase date
-    so that Parquet min/max statistics let the per-state queries skip data.
-
-    * ``num_files=None``: keep the input's partitioning (no shuffle); each
-      task sorts its own rows, so row groups are clustered within a file.
-    * ``num_files=n``: range-partition on (location, purchase date) into
-      ``n`` files first — one sampling job and one shuffle, paid once when
-      the table is written — so whole files hold disjoint location ranges
-      and a per-state query prunes files, not only row groups. The unique
-      ``tid`` is the last range key, so even a (location, date) pair that
-      holds a third of the rows (say both NULL) is split across files.
+    """Write the table as Parquet in the layout the queries want.
+
+    * ``num_files=n`` (the layout for a stored table): one directory per
+      location (``partitionBy("purchaselocation")``), so a per-state query
+      reads only its directory (an exact partition filter). Inside, rows
+      are range-partitioned into ``n`` tasks on (location, ``cid``, ``tid``)
+      and sorted the same way, so each file covers a narrow range of
+      customers: the customer-keyed queries (loyalty, customer summary) then
+      collapse a customer's rows in the partial aggregate before the
+      shuffle, which carries about one row per customer and file instead
+      of one per transaction. A location or a customer holding a third of
+      the rows is still split, on ``cid`` and on the unique ``tid``. One
+      sampling job and one shuffle, paid once when the table is written.
+    * ``num_files=None``: keep the input's partitioning (no shuffle, no
+      directories — unclustered input would scatter small files over every
+      location); each task sorts its own rows the same way, so row groups
+      are still clustered by location within a file.
     """
     out = conform(df)
     keys = [
         F.col("purchaselocation").asc_nulls_last(),
-        F.col("purchase_date").asc_nulls_last(),
+        F.col("cid").asc_nulls_last(),
         F.col("tid").asc_nulls_last(),
     ]
-    if num_files is not None:
-        if num_files < 1:
-            raise ValueError("num_files must be >= 1")
-        out = out.repartitionByRange(num_files, *keys)
-    out.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    if num_files is None:
+        out.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+        return
+    if num_files < 1:
+        raise ValueError("num_files must be >= 1")
+    (
+        out.repartitionByRange(num_files, *keys)
+        .sortWithinPartitions(*keys)
+        .write.mode(mode)
+        .partitionBy("purchaselocation")
+        .parquet(path)
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

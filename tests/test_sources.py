@@ -99,40 +99,50 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", lower_bound=1, upper_bound=5, num_partitions=0)
 
 
-def test_range_layout_gives_disjoint_location_ranges(spark, tmp_path):
-    import glob
-
+def _file_ranges(files, column):
     import pyarrow.parquet as pq
 
-    ct = transactions_from_tpch(spark, SF001)
-    path = str(tmp_path / "ct_ranged")
-    write_transactions(ct, path, num_files=4)
-    files = sorted(glob.glob(os.path.join(path, "*.parquet")))
-    assert 1 < len(files) <= 4
-    ranges = []
+    out = []
     for f in files:
         meta = pq.ParquetFile(f).metadata
-        col = meta.schema.names.index("purchaselocation")
+        col = meta.schema.names.index(column)
         stats = [meta.row_group(i).column(col).statistics for i in range(meta.num_row_groups)]
-        vals = [(s.min, s.max) for s in stats if s is not None and s.has_min_max]
+        vals = [(st.min, st.max) for st in stats if st is not None and st.has_min_max]
         if vals:
-            ranges.append((min(v[0] for v in vals), max(v[1] for v in vals)))
-    ranges.sort()
-    # files hold ordered location ranges: consecutive files may share only
-    # a boundary value (a location split on the date), never interleave
-    for (lo1, hi1), (lo2, hi2) in zip(ranges, ranges[1:]):
-        assert hi1 <= lo2
-    assert _sorted_rows(read_transactions_parquet(spark, path)) == _sorted_rows(ct)
+            out.append((min(v[0] for v in vals), max(v[1] for v in vals)))
+    return sorted(out)
+
+
+def test_stored_layout_location_directories_and_customer_ranges(spark, tmp_path):
+    import glob
+
+    ct = transactions_from_tpch(spark, SF001)
+    path = str(tmp_path / "ct_layout")
+    write_transactions(ct, path, num_files=4)
+    dirs = sorted(d for d in os.listdir(path) if d.startswith("purchaselocation="))
+    assert len(dirs) == ct.select("purchaselocation").distinct().count()  # NULL gets its own directory
+    for d in dirs:
+        # within a location, files hold ordered cid ranges: neighbours may
+        # share only a boundary customer (split on tid), never interleave
+        ranges = _file_ranges(sorted(glob.glob(os.path.join(path, d, "*.parquet"))), "cid")
+        for (lo1, hi1), (lo2, hi2) in zip(ranges, ranges[1:]):
+            assert hi1 <= lo2
+    back = read_transactions_parquet(spark, path)
+    assert back.columns == CT_COLUMNS
+    assert _sorted_rows(back) == _sorted_rows(ct)
+    q = back.filter(F.col("purchaselocation") == "NATION_3")
+    plan = q._sc._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(purchaselocation" in plan and "= NATION_3)" in plan
     with pytest.raises(ValueError):
         write_transactions(ct, str(tmp_path / "x"), num_files=0)
 
 
-def test_range_layout_splits_a_hot_location_and_date(spark, tmp_path):
+def test_stored_layout_splits_a_hot_location_and_customer(spark, tmp_path):
     import glob
 
-    ct = transactions_from_tpch(spark, SF001).withColumn("purchaselocation", F.lit(None).cast("string"))
-    ct = ct.withColumn("purchase_date", F.lit(None).cast("timestamp_ntz"))  # every row one (NULL, NULL) key
+    ct = transactions_from_tpch(spark, SF001).withColumn("purchaselocation", F.lit("HOT")).withColumn("cid", F.lit(7).cast("bigint"))
     path = str(tmp_path / "ct_hot")
     write_transactions(ct, path, num_files=4)
-    sizes = [spark.read.parquet(f).count() for f in sorted(glob.glob(os.path.join(path, "*.parquet")))]
+    files = sorted(glob.glob(os.path.join(path, "purchaselocation=HOT", "*.parquet")))
+    sizes = [spark.read.parquet(f).count() for f in files]
     assert len(sizes) == 4 and max(sizes) < ct.count()
