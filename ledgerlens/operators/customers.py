@@ -172,9 +172,16 @@ SORTABLE_COLUMNS = (
 
 def sort_customers(summary: DataFrame, column: str = "client_name", ascending: bool = True) -> DataFrame:
     """Order the summary by one column (numbers numerically), NULLs last on
-    ascending and first on descending; ties by name, age group, gender."""
+    ascending and first on descending; ties by name, age group, gender.
+
+    The last key is a hash of the whole row: deterministic, invisible in
+    the output, and it lets the range partitioner of the global sort split
+    a tie group that holds a large share of the rows (say NULL totals with
+    NULL names) instead of sorting it in one task.
+    """
     if column not in SORTABLE_COLUMNS:
         raise ValueError(f"cannot sort by {column!r}; choose one of {SORTABLE_COLUMNS}")
     first = asc_sql(column) if ascending else desc_sql(column)
     ties = [asc_sql(c) for c in ("client_name", "age_group", "gender") if c != column]
-    return summary.orderBy(first, *ties)
+    row_hash = F.xxhash64(*[F.col(c) for c in summary.columns])
+    return summary.orderBy(first, *ties, row_hash)
