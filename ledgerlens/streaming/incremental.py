@@ -68,15 +68,57 @@ def transaction_stream(
     return reader.load(path)
 
 
-def _snapshot_writer(output_path: str):
+def _epoch_dir(output_path: str, epoch_id: int) -> str:
+    return f"{output_path.rstrip('/')}/epoch={epoch_id:012d}"
+
+
+def _snapshot_writer(output_path: str, keep_last: int):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # The whole current result, so a replayed epoch rewrites the same
-        # snapshot: idempotent under task or driver retries.
-        batch.write.mode("overwrite").parquet(output_path)
+        # Each micro-batch writes the whole current result into its own
+        # folder: a replayed epoch rewrites only that folder (idempotent),
+        # and readers never see a half-written snapshot, because a folder
+        # counts only once its _SUCCESS marker exists.
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(_epoch_dir(output_path, epoch_id))
+        for old in _snapshot_dirs(spark, output_path)[:-keep_last]:
+            _delete(spark, old)
 
     return write
 
 
+def _fs_and_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _snapshot_dirs(spark: SparkSession, output_path: str) -> list[str]:
+    """Complete snapshot folders under ``output_path``, oldest first."""
+    fs, root = _fs_and_path(spark, output_path)
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("epoch="):
+            if fs.exists(st.getPath().suffix("/_SUCCESS")):
+                out.append(st.getPath().toString())
+    return sorted(out)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_and_path(spark, path)
+    fs.delete(p, True)
+
+
+def read_latest_snapshot(spark: SparkSession, output_path: str) -> DataFrame:
+    """The newest complete snapshot written by a dashboard stream."""
+    dirs = _snapshot_dirs(spark, output_path)
+    if not dirs:
+        raise FileNotFoundError(f"no complete snapshot under {output_path}")
+    return spark.read.parquet(dirs[-1])
+
+
 def start_dashboard_stream(
     spark: SparkSession,
     source_path: str,
@@ -87,13 +129,15 @@ def start_dashboard_stream(
     processing_time: str = "1 minute",
     max_files_per_trigger: int | None = None,
     file_format: str = "parquet",
+    keep_last: int = 3,
     **params,
 ) -> StreamingQuery:
     """Start one streamable dashboard query over ``source_path``.
 
-    The result goes to ``output_path`` as a Parquet snapshot after each
-    micro-batch (or to an in-memory table named ``query`` when no path is
-    given, for tests and notebooks). State and progress are checkpointed
+    The result goes under ``output_path`` as one Parquet snapshot folder
+    per micro-batch (read the newest with :func:`read_latest_snapshot`;
+    only the last ``keep_last`` are kept), or to an in-memory table named
+    ``query`` when no path is given, for tests and notebooks. State and progress are checkpointed
     under ``spark.checkpoint.dir`` unless ``checkpoint_location`` is
     given, so a restarted job resumes where it stopped.
     ``available_now=True`` processes what is there and stops. ``params``
@@ -108,4 +152,6 @@ def start_dashboard_stream(
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     if output_path is None:
         return writer.format("memory").queryName(query).start()
-    return writer.foreachBatch(_snapshot_writer(output_path)).start()
+    if keep_last < 1:
+        raise ValueError("keep_last must be >= 1")
+    return writer.foreachBatch(_snapshot_writer(output_path, keep_last)).start()

@@ -5,7 +5,7 @@ import pytest
 
 from conftest import SF001
 from ledgerlens.sources import read_transactions_parquet, transactions_from_tpch
-from ledgerlens.streaming import STREAMABLE, start_dashboard_stream
+from ledgerlens.streaming import STREAMABLE, read_latest_snapshot, start_dashboard_stream
 
 
 @pytest.fixture(scope="module")
@@ -63,15 +63,23 @@ def test_streamed_ranking_with_params_and_rocksdb(spark, landed, tmp_path):
 
 
 def test_snapshot_sink_and_restart(spark, landed, tmp_path):
+    import os
+
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    q = start_dashboard_stream(spark, landed, "sales_by_state", out, cp, available_now=True)
+    q = start_dashboard_stream(
+        spark, landed, "sales_by_state", out, cp, available_now=True, max_files_per_trigger=1, keep_last=2
+    )
     q.awaitTermination(300)
-    first = _rows(spark.read.parquet(out))
+    assert q.exception() is None
+    first = _rows(read_latest_snapshot(spark, out))
+    want = STREAMABLE["sales_by_state"](read_transactions_parquet(spark, landed))
+    assert first == _rows(want)
+    # four files, one per micro-batch: only the last two snapshots are kept
+    assert len([d for d in os.listdir(out) if d.startswith("epoch=")]) == 2
     # restart from the checkpoint: nothing new, result unchanged
     q = start_dashboard_stream(spark, landed, "sales_by_state", out, cp, available_now=True)
     q.awaitTermination(300)
-    assert _rows(spark.read.parquet(out)) == first
-    assert len(first) == read_transactions_parquet(spark, landed).select("purchaselocation").distinct().count()
+    assert _rows(read_latest_snapshot(spark, out)) == first
 
 
 def test_csv_landing_folder(spark, landed, tmp_path):
