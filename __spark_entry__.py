@@ -59,6 +59,7 @@ from ledgerlens.plans.dashboard import (  # noqa: E402
     discount_breakdowns,
     discount_type_chart,
     loyalty_chart,
+    map_breakdowns,
     state_age_chart,
     state_product_chart,
 )
@@ -115,6 +116,7 @@ _AS_DOUBLE = {
     "age_group_sales_one_state": ["total_sales"],
     "sales_by_state": ["total_sales"],
     "state_heatmap": ["total_sales"],
+    "map_breakdowns": ["total_sales"],
 }
 _AS_TEXT = {"historical_cash_flow": ["month"]}
 
@@ -187,6 +189,7 @@ def ct_queries() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "state_age_chart": lambda ct: state_age_chart(ct, ONE_STATE),
         "state_product_chart": lambda ct: state_product_chart(ct, ONE_STATE),
         "transaction_key_violations": key_violations,
+        "map_breakdowns": map_breakdowns,
     }
 
 
@@ -422,6 +425,18 @@ SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows,
        CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 'null_key' ELSE 'duplicate_key' END AS violation
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 HAVING COUNT(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL""",
+        "map_breakdowns": _with(
+            body=f"""
+SELECT 'age_group' AS view, purchaselocation AS state, age_group AS key,
+       CAST(SUM(net_amount) AS {_MONEY}) AS total_sales, CAST(NULL AS BIGINT) AS produstotal
+FROM ct GROUP BY purchaselocation, age_group
+UNION ALL
+SELECT 'product', purchaselocation, product_category, CAST(NULL AS {_MONEY}), COUNT(product_category)
+FROM ct GROUP BY purchaselocation, product_category
+UNION ALL
+SELECT 'state', purchaselocation, CAST(NULL AS VARCHAR), CAST(SUM(net_amount) AS {_MONEY}), CAST(NULL AS BIGINT)
+FROM ct GROUP BY purchaselocation"""
+        ),
         "transaction_key_violations": _with(
             body="""
 SELECT cid, tid, COUNT(*) AS n_rows,

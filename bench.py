@@ -45,7 +45,7 @@ from ledgerlens.operators.geo import (  # noqa: E402
     state_heatmap,
 )
 from ledgerlens.operators.quality import key_violations  # noqa: E402
-from ledgerlens.plans.dashboard import customer_table, discount_breakdowns  # noqa: E402
+from ledgerlens.plans.dashboard import customer_table, discount_breakdowns, map_breakdowns  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
 from ledgerlens.sources.fixture import states_from_tpch, transactions_from_tpch  # noqa: E402
 from ledgerlens.sources.tables import read_transactions_parquet, write_transactions  # noqa: E402
@@ -123,6 +123,7 @@ def main() -> None:
         "sales_by_state": lambda: sales_by_state(ct),
         "state_heatmap": lambda: state_heatmap(sales_by_state(ct), states),
         "heatmap_legend": lambda: heatmap_legend(sales_by_state(ct)),
+        "map_breakdowns": lambda: map_breakdowns(ct),
         "key_violations": lambda: key_violations(lineitem, ["l_orderkey", "l_linenumber"]),
         # end to end from the driver tables (fixture joins included)
         "customer_summary_from_tpch": lambda: customer_summary(transactions_from_tpch(spark, sf_dir)),

@@ -7,6 +7,7 @@ from ledgerlens.plans.dashboard import (
     discount_type_chart,
     gender_revenue_chart,
     loyalty_chart,
+    map_breakdowns,
     sales_heatmap,
     state_age_chart,
     state_product_chart,
@@ -19,6 +20,7 @@ __all__ = [
     "discount_type_chart",
     "gender_revenue_chart",
     "loyalty_chart",
+    "map_breakdowns",
     "sales_heatmap",
     "state_age_chart",
     "state_product_chart",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.charts import chart_series
+from ledgerlens.functions.columns import money_sum
 from ledgerlens.operators.customers import (
     classify_payers,
     customer_summary,
@@ -103,6 +104,47 @@ def discount_breakdowns(ct: DataFrame) -> DataFrame:
     )
 
 
+def map_breakdowns(ct: DataFrame) -> DataFrame:
+    """Every map view in **one** scan and one shuffle.
+
+    ``GROUPING SETS ((location, age_group), (location, category),
+    (location))``: the hover bar chart of each state (sales per age group),
+    its pie chart (product counts) and the per-state totals of the heatmap,
+    for all states at once, instead of two filtered queries per hovered
+    state plus one for the heatmap. Columns: ``view`` (``age_group``,
+    ``product`` or ``state``), ``state``, ``key`` (the age group or the
+    category; NULL on ``state`` rows), ``total_sales`` (exact sum; NULL on
+    ``product`` rows; the heatmap shows it rounded) and ``produstotal``
+    (count of the category; NULL on the other views).
+    """
+    grouped = ct.groupingSets(
+        [["purchaselocation", "age_group"], ["purchaselocation", "product_category"], ["purchaselocation"]],
+        "purchaselocation",
+        "age_group",
+        "product_category",
+    ).agg(
+        money_sum("net_amount").alias("_sum"),
+        F.count("product_category").alias("_count"),
+        F.grouping_id("purchaselocation", "age_group", "product_category").alias("_gid"),
+    )
+    # grouping_id bits over (location, age_group, product_category); the
+    # location is never rolled up, so: 1 = age view,
+    # 2 = product view, 3 = per-state totals
+    view = (
+        F.when(F.col("_gid") == 1, F.lit("age_group"))
+        .when(F.col("_gid") == 2, F.lit("product"))
+        .otherwise(F.lit("state"))
+    )
+    key = F.when(F.col("_gid") == 1, F.col("age_group")).when(F.col("_gid") == 2, F.col("product_category"))
+    return grouped.select(
+        view.alias("view"),
+        F.col("purchaselocation").alias("state"),
+        key.alias("key"),
+        F.when(F.col("_gid") != 2, F.col("_sum")).alias("total_sales"),
+        F.when(F.col("_gid") == 2, F.col("_count")).alias("produstotal"),
+    )
+
+
 def sales_heatmap(ct: DataFrame, states: DataFrame) -> DataFrame:
     """Heatmap page: per-location sales placed on the states dimension."""
     return state_heatmap(sales_by_state(ct), states)

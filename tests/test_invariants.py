@@ -13,7 +13,7 @@ from ledgerlens import (
     historical_cash_flow,
     sales_by_state,
 )
-from ledgerlens.plans import discount_breakdowns
+from ledgerlens.plans import discount_breakdowns, map_breakdowns
 from ledgerlens.sources import transactions_from_tpch
 
 
@@ -62,3 +62,21 @@ def test_results_do_not_depend_on_session_zone(spark, ct):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert utc == dst
+
+
+def test_map_breakdowns_equal_the_separate_views(ct):
+    from ledgerlens import product_counts_by_state
+
+    mb = map_breakdowns(ct)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    age = mb.filter("view = 'age_group'").selectExpr("state", "key AS age_group", "total_sales")
+    assert rows(age) == rows(age_group_sales_by_state(ct))
+    prod = mb.filter("view = 'product'").selectExpr("state", "key AS produs", "produstotal")
+    assert rows(prod) == rows(product_counts_by_state(ct))
+    tot = mb.filter("view = 'state'").select(
+        "state", F.round("total_sales", 0).cast("decimal(19,0)").alias("total_sales")
+    )
+    assert rows(tot) == rows(sales_by_state(ct))

@@ -12,7 +12,7 @@ from ledgerlens import (
     sales_by_discount,
     top_loyal_customers,
 )
-from ledgerlens.plans import discount_breakdowns
+from ledgerlens.plans import discount_breakdowns, map_breakdowns
 from ledgerlens.sources import read_transactions_parquet, transactions_from_tpch, write_transactions
 
 
@@ -75,6 +75,12 @@ def test_breakdowns_share_one_scan(table):
     assert "Expand" in p
 
 
+def test_map_breakdowns_share_one_scan(table):
+    p = tree(map_breakdowns(table))
+    assert p.count("Scan parquet") == 1
+    assert "Expand" in p
+
+
 def test_part_lookup_is_bounded_and_pushed(spark):
     p = formatted(transactions_from_tpch(spark, SF01))
     assert "GreaterThanOrEqual(p_partkey,-199)" in p and "LessThanOrEqual(p_partkey,199)" in p
