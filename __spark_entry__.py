@@ -116,7 +116,7 @@ _AS_DOUBLE = {
     "age_group_sales_one_state": ["total_sales"],
     "sales_by_state": ["total_sales"],
     "state_heatmap": ["total_sales"],
-    "map_breakdowns": ["total_sales"],
+    "map_breakdowns": ["total_sales", "produstotal"],  # NULL-able count: double on both sides
 }
 _AS_TEXT = {"historical_cash_flow": ["month"]}
 
