@@ -95,9 +95,11 @@ def _round_col(df: DataFrame, name: str, digits: int) -> DataFrame:
 # The library returns money as exact decimals and months as timestamp_ntz.
 # Engines convert those differently when results leave them (DuckDB turns
 # DECIMAL into float64 and uses microsecond timestamps in pandas; Spark
-# gives Decimal objects and nanoseconds), so for the side-by-side check
-# both sides expose them the same way: money as DOUBLE (the exact sum
-# converted once, bit-identical in both engines) and months as text.
+# gives Decimal objects and nanoseconds; an integer column with NULLs
+# becomes float64 in one and Int64 in the other), so for the side-by-side
+# check both sides expose them the same way: money (and a count that can
+# be NULL) as DOUBLE — the exact value converted once, bit-identical in
+# both engines — and months as text.
 _AS_DOUBLE = {
     "top_loyal_total_spent": ["total_spent", "loyalty_score"],
     "top_loyal_purchase_frequency": ["total_spent"],
