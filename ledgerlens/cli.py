@@ -30,7 +30,7 @@ from ledgerlens.operators.geo import (
     state_heatmap,
 )
 from ledgerlens.operators.quality import key_violations
-from ledgerlens.plans.dashboard import customer_table
+from ledgerlens.plans.dashboard import customer_table, discount_breakdowns, map_breakdowns
 from ledgerlens.sources.tables import read_transactions_csv, read_transactions_parquet, write_json
 
 
@@ -43,6 +43,7 @@ def _commands() -> dict[str, tuple[str, Callable[[SparkSession, DataFrame, argpa
         "discounts-gender": ("discounts by gender", lambda s, ct, a: discounts_by_gender(ct)),
         "discounts-age": ("discounts by age group", lambda s, ct, a: discounts_by_age_group(ct)),
         "discounts-type": ("sales by discount type", lambda s, ct, a: sales_by_discount(ct)),
+        "discounts-all": ("gender and age-group breakdowns in one pass", lambda s, ct, a: discount_breakdowns(ct)),
         "cash-flow": ("monthly cash flow", lambda s, ct, a: historical_cash_flow(ct)),
         "forecast": ("linear-trend forecast", lambda s, ct, a: estimate_cash_flow(ct, a.months_ahead)),
         "trend": ("history + forecast series", lambda s, ct, a: cash_flow_trend(ct, a.months_ahead)),
@@ -52,6 +53,7 @@ def _commands() -> dict[str, tuple[str, Callable[[SparkSession, DataFrame, argpa
         "heatmap": ("heatmap position per state of --states",
                     lambda s, ct, a: state_heatmap(sales_by_state(ct), _states(s, a))),
         "legend": ("heatmap legend", lambda s, ct, a: heatmap_legend(sales_by_state(ct))),
+        "maps": ("every map view for all states in one pass", lambda s, ct, a: map_breakdowns(ct)),
         "key-check": ("NULL or duplicate (cid, tid)", lambda s, ct, a: key_violations(ct)),
     }
 

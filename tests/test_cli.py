@@ -50,6 +50,8 @@ def test_forecast_parquet_and_bounds(spark, table, tmp_path):
         ["state-products"],
         ["state-sales"],
         ["legend"],
+        ["maps"],
+        ["discounts-all"],
         ["key-check"],
     ],
 )
