@@ -30,6 +30,7 @@ from ledgerlens.operators.cashflow import historical_cash_flow
 from ledgerlens.operators.customers import top_loyal_customers
 from ledgerlens.operators.discounts import discounts_by_age_group, discounts_by_gender, sales_by_discount
 from ledgerlens.operators.geo import age_group_sales_by_state, product_counts_by_state, sales_by_state
+from ledgerlens.plans.dashboard import discount_breakdowns, map_breakdowns
 from ledgerlens.schema import CT_SCHEMA
 from ledgerlens.session import shared_dir
 from ledgerlens.sources.tables import CSV_TIMESTAMP_FORMAT
@@ -43,6 +44,9 @@ STREAMABLE: dict[str, Callable[..., DataFrame]] = {
     "age_group_sales_by_state": age_group_sales_by_state,
     "product_counts_by_state": product_counts_by_state,
     "sales_by_state": sales_by_state,
+    # one stateful query keeps every map view / both discount views current
+    "map_breakdowns": map_breakdowns,
+    "discount_breakdowns": discount_breakdowns,
 }
 
 
