@@ -32,6 +32,9 @@ CHECKED = [
     "sales_by_state",
     "heatmap_legend",
     "transaction_key_violations",
+    "customer_table",
+    "discount_breakdowns",
+    "map_breakdowns",
 ]
 
 ARROW_SCHEMA = pa.schema(
