@@ -109,8 +109,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     import sys
 
+    argv = sys.argv[1:] if argv is None else argv
+    build_parser().parse_args(argv)  # --help and bad arguments exit before a JVM starts
     spark = SparkSession.builder.appName("ledgerlens").getOrCreate()
-    run(spark, sys.argv[1:] if argv is None else argv)
+    run(spark, argv)
 
 
 if __name__ == "__main__":
