@@ -268,11 +268,20 @@ FROM ct GROUP BY {key}"""
 
 
 _MONTHLY_CTES = (
-    f"mon AS (SELECT CAST(date_trunc('month', purchase_date) AS TIMESTAMP) AS month, SUM(net_amount) AS total FROM ct GROUP BY 1)",
+    f"mon AS (SELECT CAST(date_trunc('month', purchase_date) AS TIMESTAMP) AS month, CAST(SUM(net_amount) AS {_MONEY}) AS total FROM ct GROUP BY 1)",
     "idx AS (SELECT month, total, row_number() OVER (ORDER BY month ASC NULLS LAST) - 1 AS x FROM mon)",
-    """model AS (SELECT regr_slope(CAST(total AS DOUBLE), CAST(x AS DOUBLE)) AS slope,
-                     regr_intercept(CAST(total AS DOUBLE), CAST(x AS DOUBLE)) AS intercept,
-                     COUNT(*) AS n FROM idx)""",
+    # closed-form least squares from exact sums, the same operations in the
+    # same order as the library, so both engines produce the same doubles
+    """sums AS (SELECT COUNT(total) AS m, SUM(CASE WHEN total IS NOT NULL THEN x END) AS sx,
+                    SUM(CASE WHEN total IS NOT NULL THEN x * x END) AS sxx, SUM(total) AS sy,
+                    SUM(CAST(x AS DECIMAL(18,0)) * total) AS sxy, COUNT(*) AS n FROM idx)""",
+    """fit AS (SELECT *, CASE WHEN m >= 2
+                       AND CAST(m AS DOUBLE) * CAST(sxx AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sx AS DOUBLE) <> 0
+                     THEN (CAST(m AS DOUBLE) * CAST(sxy AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sy AS DOUBLE))
+                          / (CAST(m AS DOUBLE) * CAST(sxx AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sx AS DOUBLE)) END AS slope
+               FROM sums)""",
+    """model AS (SELECT slope, (CAST(sy AS DOUBLE) - slope * CAST(sx AS DOUBLE)) / CAST(m AS DOUBLE) AS intercept, n
+                FROM fit)""",
     f"fut AS (SELECT unnest(range(1, {MONTHS_AHEAD} + 1)) AS m, slope, intercept, n FROM model)",
 )
 _PREDICTION = "COALESCE(intercept + slope * CAST(n + m AS DOUBLE), CAST('NaN' AS DOUBLE))"
