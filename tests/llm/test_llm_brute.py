@@ -1,0 +1,359 @@
+"""Every operator against its straightforward version, on a fixture of edge
+cases and on a small driver table."""
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import brute
+import duckdb
+import numpy as np
+import pytest
+
+from ledgerlens.llm import queries as q
+from ledgerlens.llm._shared import Scratch
+from ledgerlens.llm.best_fit_packing import best_fit, pack
+from ledgerlens.llm.lm_scoring import stupid_backoff
+from ledgerlens.llm.pii_bootstrap import find_spans, learn_patterns, mask
+from ledgerlens.llm.pstable_dedup import near_vectors
+from ledgerlens.llm.quality_divergence import quality
+from ledgerlens.llm.shingle_join import jaccard_components
+from ledgerlens.llm.source_mixing import mix_sources, plan_mix
+from ledgerlens.llm.suffix_dedup import repeated_passages, suffix_order
+from ledgerlens.llm.toxicity_segments import ToxicModel, fit, maximal_segments, toxic_passages, toxicity
+from ledgerlens.llm.url_filters import url_verdicts
+
+SF = "/root/testdata/sf0.001"
+# clashing names of the operators' own columns, besides those of documents
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept string, n_words string, cls int, v int, key string, id int, word string"
+
+
+def _docs(spark, rows, extra=("x", "y", "z", 1, 2, "k", 3, "w")):
+    """(doc_id, text, lang, source) rows with clashing extra columns."""
+    full = [(d, t, lang, s, len(t or ""), *extra) for d, t, lang, s in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+def edge_rows():
+    rng = random.Random(5)
+    vocab = ["alpha", "beta", "gamma", "delta", "éta", "the", "of", "THE", "Of", "x", "longerword"]
+    text = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", "  ", "\n", "\t", " "]) for _ in range(n))
+    long = text(4000)
+    base = text(120)
+    words = base.split()
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n\x0b\x0c\r", None, None), (4, "one", "en", "b"), (5, "one two three", "en", "b")]
+    rows += [(6, long, "en", "a"), (7, long, "de", "a"), (8, "a" * 5000, "en", "a"), (9, "é" * 3000, "fr", "c")]
+    rows += [(10 + k, " ".join(words[: 40 + k] + [f"new{k}"] + words[41 + k :]), "en", "a") for k in range(12)]
+    rows += [(30 + k, text(60), "en", "a") for k in range(10)]
+    rows += [(50, base, "en", "b"), (50, base, "en", "b"), (None, base, "en", "b"), (51, base.upper(), "en", "b")]
+    rows += [(60, "x\ufeff y\u00a0z \u2003 \U0001f600 \0 w", "en", "b"), (61, "one TWO three", "en", "b")]
+    rows += [(70 + k, f"pre{k} " + " ".join(words[20:60]) + f" post{k}", "en", "d") for k in range(6)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return _docs(spark, edge_rows()).persist()
+
+
+@pytest.fixture(scope="module")
+def driver_rows(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def _rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def test_quality_base_columns(spark, edges, driver_rows):
+    want = sorted(((d, *brute.base_quality(t)) for d, t, *_ in edge_rows()), key=repr)
+    assert _rows(quality(edges), "doc_id", *BASE) == want
+    want = sorted(((d, *brute.base_quality(t)) for d, t in driver_rows), key=repr)
+    assert _rows(q.op1_quality_rules(spark, SF), "doc_id", *BASE) == want
+
+
+def test_quality_distances_match_a_plain_computation(spark):
+    from ledgerlens.llm.quality_divergence import CLASSES, learn_references
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs = learn_references(docs)
+    got = {r.doc_id: r for r in quality(docs, refs).collect()}
+
+    def js(p, r):
+        m = [(a + b) / 2 for a, b in zip(p, r, strict=True)]
+        part = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
+        return math.sqrt(max(0.0, (part(p) + part(r)) / 2))
+
+    for r in docs.limit(150).collect():
+        w = Counter(x.lower() for x in brute.WORD.findall(r.text))
+        n = sum(w.values())
+        if n:
+            p = [w[c] / n for c in refs.common]
+            assert got[r.doc_id].word_distance == pytest.approx(min(js([*p, 1 - sum(p)], x) for x in refs.words.values()), abs=1e-6)
+    assert set(refs.classes) == {"en", "de", "fr", "es"} and all(len(x) == len(CLASSES) for x in refs.classes.values())
+
+
+def test_quality_rejects_junk_and_keeps_labelled_good_text(spark):
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in q.op1_quality_rules(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    good = [kept[x.doc_id] for x in labels if x.quality == 1]
+    bad = [kept[x.doc_id] for x in labels if x.quality == 0]
+    assert all(k or f for k, f in good)
+    assert sum(not k for k, _ in bad) >= 0.9 * len(bad)
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((6, 16))
+    rows = [(i, [float(x) for x in centre[i % 6] + rng.standard_normal(16) * 0.03 * (1 + i % 7)]) for i in range(90)]
+    rows += [(100 + i, list(rows[3][1])) for i in range(4)] + [(100, list(rows[3][1]))]
+    rows += [(200, None), (201, []), (202, [0.0] * 16), (203, [None] + [1.0] * 15), (204, [float("nan")] * 16), (205, [float("inf")] * 16), (206, [1.0, 2.0])]
+    rows += [(300, [x * 7 for x in rows[5][1]])]
+    df = spark.createDataFrame([(i, v, "c", 1) for i, v in rows], "vec_id long, embedding array<double>, cls string, e int")
+    got = near_vectors(df, Scratch(spark, "t"), tables=200, bits=2, block=16)
+    assert _rows(got, "vec_id", "n_links", "component_id") == sorted(brute.vectors(rows, 0.9), key=repr)
+    assert near_vectors(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_vector_recall_on_driver_table(spark):
+    got = {r.vec_id: r.n_links for r in q.op2_embedding_near_dedup(spark, "/root/testdata/sf0.1").collect()}
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in e], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    true = near.sum(axis=1) - 1
+    found = np.array([got[r.vec_id] for r in e])
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+
+
+def test_mixing_meets_limit_and_keeps_everything(spark, edges):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "t")
+    plan, mix = plan_mix(docs, scratch, max_repeats=1.4)
+    passes = {r.source: r.passes for r in plan.collect()}
+    assert max(passes.values()) == pytest.approx(1.4, abs=1e-6) and min(passes.values()) == pytest.approx(1.0, abs=1e-6)
+    tokens = {r.doc_id: len(brute.WORD.findall(r.text)) for r in docs.collect()}
+    sizes, sent, copies = Counter(), Counter(), Counter()
+    for r in docs.collect():
+        sizes[r.source] += tokens[r.doc_id]
+    for r in mix_sources(docs, scratch, max_repeats=1.4).collect():
+        sent[r.source] += tokens[r.doc_id]
+        copies[r.doc_id] += 1
+    assert set(copies) == set(tokens) and max(copies.values()) <= 2
+    longest = max(tokens.values())
+    assert all(abs(sent[s] - passes[s] * sizes[s]) <= longest + 1 for s in sizes)
+    # edge cases: every row comes back, NULL source and texts without tokens too
+    got = Counter(r.doc_id for r in mix_sources(edges, scratch, max_repeats=1.5).collect())
+    assert all(got[d] >= n for d, n in Counter(d for d, *_ in edge_rows()).items())
+    assert mix_sources(edges.limit(0), scratch, max_repeats=2.0).count() == 0
+
+
+def test_mixing_entropy_and_budget(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan, mix = plan_mix(docs, Scratch(spark, "t"), target_entropy=2.95, budget_tokens=100_000)
+    w = [r.weight for r in plan.collect()]
+    assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(2.95, abs=1e-6)
+    tokens = {r.doc_id: len(brute.WORD.findall(r.text)) for r in docs.collect()}
+    n = sum(tokens[r.doc_id] for r in mix_sources(docs, Scratch(spark, "t"), target_entropy=2.95, budget_tokens=100_000).collect())
+    assert abs(n - 100_000) <= 20 * max(tokens.values())
+
+
+def test_maximal_segments_against_definition():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 14)
+        at = sorted(rng.sample(range(n), rng.randint(1, n)))
+        w = [rng.randint(1, 6) for _ in at]
+        score = [-1.5] * n
+        for i, x in zip(at, w, strict=True):
+            score[i] = x
+        want = []
+
+        def split(lo, hi):
+            best = max(((sum(score[a:b]), -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0, 0))
+            if best[0] > 0:
+                split(lo, best[2])
+                want.append((best[2], best[3], best[0]))
+                split(best[3], hi)
+
+        split(0, n)
+        got = maximal_segments(at, w, -1.5)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
+        assert [round(s, 6) for *_, s in got] == [round(s, 6) for *_, s in want]
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in q.op4_toxicity(spark, d).collect()}
+    seen = Counter()
+    for x in spark.read.parquet(f"{d}/labels.parquet").collect():
+        r = got[x.doc_id]
+        if r.held_out:
+            seen[x.toxic, r.predicted] += 1
+    assert seen[1, 1] >= 0.75 * (seen[1, 0] + seen[1, 1]) and seen[0, 1] <= 0.01 * (seen[0, 0] + seen[0, 1])
+
+
+def test_toxicity_edges(spark, edges):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity(edges, fit(edges, labels)).collect()
+    assert len(got) == len(edge_rows()) and all(0 <= r.score <= 1 for r in got)
+    none = toxicity(edges, fit(edges, labels.limit(0))).collect()
+    assert {r.predicted for r in none} == {0}
+    model = ToxicModel({"bad": 6.0, "worse": 6.0}, -0.05, 1.0, 0.1, -3.0, 1.0)
+    one = spark.createDataFrame([(1, "a bad worse day " + "x " * 500 + "bad"), (2, None)], "doc_id long, text string")
+    assert [(r.first_token, r.end_token) for r in toxic_passages(one, model, 100.0).collect()] == [(1, 3), (504, 505)]
+
+
+def test_backoff(spark, edges, driver_rows):
+    for docs, texts in ((edges, [(d, t) for d, t, *_ in edge_rows()]), (spark.read.parquet(f"{SF}/documents.parquet"), driver_rows)):
+        got = _rows(stupid_backoff(docs, Scratch(spark, "t"), bytes_per_part=5000, chunk_bytes=4000), "doc_id", "n_tokens", "n_backoff", "log_score")
+        want = sorted(((d, *x) for (d, _), x in zip(texts, brute.backoff_scores([t for _, t in texts], 0.4), strict=True)), key=repr)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+    assert stupid_backoff(edges.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_url_filters_match_sql(spark):
+    con = duckdb.connect()
+    urls = [(1, None), (2, ""), (3, "nourl"), (4, "http://WWW.Example.COM/en/1?x#y"), (4, "http://WWW.Example.COM/en/1?x#y"), (5, "http://example.com"), (6, "http://com/"),
+            (None, "https://a.net/fr/"), (7, "x://y://z.com/"), (8, "http://xexample.com/en/"), (9, "http://net/es/a"), (10, "http://./"), (11, "http://a..net/fr/x" + "y" * 5000)]
+    pages = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in urls], "page_id long, url string, host string, path string, rule string")
+    con.register("pages", pages.toPandas())
+    rules = spark.createDataFrame(q.parse_rules(q.RULES), "host string, path string, verdict string")
+    cols = ("page_id", "host", "path", "rule", "verdict")
+    plain = lambda rows: sorted((tuple(None if x != x else x for x in r) for r in rows), key=repr)
+    want = plain((None if a is None or a != a else int(a), *r) for a, *r in con.execute(q.oracle_sql()["op6_url_filters"]).fetchall())
+    assert _rows(url_verdicts(pages, rules), *cols) == want
+    # two rules in one short prefix bucket, no rules, no pages
+    assert _rows(url_verdicts(pages, rules, prefix_hex=1), *cols) == want
+    assert {r.verdict for r in url_verdicts(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_verdicts(pages.limit(0), rules).count() == 0
+
+
+PII = [
+    "mail a.b+c@x-y.example.com, or d@e.f.g@h.i @ x@y", "10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8 0000.00255.1.2 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111",
+    "+1 (555) 010-2000. +44 20 7946 0958 x +1 2 3", "é@x.com ü +49 30 901820 😀 a@b.co", "+" * 50 + "1" * 3000 + "@", "a" * 3000 + "@", None, "", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6",
+]
+
+
+def _join(spans):
+    return ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_personal_data_base(spark, edges, driver_rows):
+    for texts in (list(enumerate(PII)), driver_rows):
+        docs = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id long, text string, spans string")
+        got = {r.doc_id: r for r in find_spans(docs, {}).collect()}
+        for i, t in texts:
+            want = brute.personal(t)
+            assert got[i].spans == _join(want) and got[i].base_sha256 == hashlib.sha256(_join(want).encode()).hexdigest()
+            assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s[1] == k for s in want) for k in range(4)]
+    assert find_spans(edges, {}).count() == len(edge_rows())
+
+
+def test_bootstrapping_finds_unseen_identifiers(spark):
+    rng = random.Random(2)
+    rows = [(i, f"word{i % 3} please call +1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)} today") for i in range(40)]
+    rows += [(100 + i, f"item number {rng.randint(10**7, 10**8)} sold") for i in range(40)]
+    rows += [(200, "please call 0555-123456 today"), (201, "item number 99887766 sold"), (202, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    patterns = learn_patterns(docs, Scratch(spark, "t"))
+    assert "please call _" in patterns and not any("number" in p for p in patterns)
+    got = {r.doc_id: r.spans for r in find_spans(docs, patterns).collect()}
+    assert got[200] == "phone:12:23" and got[201] == "" and got[202] == ""
+    masked = {r.doc_id: r.text for r in mask(docs, patterns).collect()}
+    assert masked[200] == "please call [phone] today" and masked[202] is None
+    assert learn_patterns(docs.limit(0), Scratch(spark, "t")) == {}
+
+
+def test_packing(spark, edges):
+    for docs, ids in ((edges, Counter({d: n for d, n in Counter(d for d, t, *_ in edge_rows() if brute.WORD.findall(t or "")).items()})),):
+        got = best_fit(docs, lengths=(16, 64, 256), rows_per_task=10).collect()
+        assert set(ids) == {r.doc_id for r in got}
+        tokens = Counter()
+        for r in got:
+            tokens[r.doc_id] += r.length
+        want = Counter()
+        for d, t, *_ in edge_rows():
+            want[d] += len(brute.WORD.findall(t or ""))
+        assert tokens == +want
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.bin].append((r.offset, r.length, r.capacity))
+        for b in bins.values():
+            b.sort()
+            assert all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:], strict=False)) and b[0][0] == 0
+            used = sum(x[1] for x in b)
+            assert b[0][2] == min(c for c in (16, 64, 256) if c >= used)
+    assert best_fit(edges.limit(0)).count() == 0
+
+
+def test_pack_is_best_fit_and_full():
+    rng = random.Random(4)
+    sizes = [int(rng.paretovariate(1) * 50) % 9000 + 1 for _ in range(3000)]
+    placed, capacity = pack(sizes)
+    assert sum(p[2] for p in placed) == sum(sizes)
+    assert sum(sizes) / sum(capacity) > 0.99
+
+
+def test_jaccard(spark, edges, driver_rows):
+    for n, percent in ((4, 85), (5, 80), (2, 60), (1, 50)):
+        got = _rows(jaccard_components(edges, Scratch(spark, "t"), n, percent, bytes_per_part=9000), "doc_id", "n_shingles", "component_id")
+        with_id = [(d, t) for d, t, *_ in edge_rows() if d is not None]
+        want = brute.jaccard(with_id, n, percent)
+        rows = [(d, *want[d]) for d, _ in with_id] + [(None, len(brute.shingles(t, n)), None) for d, t, *_ in edge_rows() if d is None]
+        assert got == sorted(rows, key=repr), (n, percent)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute.jaccard(driver_rows, 4, 85)
+    assert _rows(q.op9_ngram_jaccard_join(spark, SF), "doc_id", "n_shingles", "component_id") == sorted(((d, *x) for d, x in want.items()), key=repr)
+    assert jaccard_components(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_jaccard_short_sets_and_chains(spark):
+    """Sizes where segments hold few elements: random edits of short texts."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{k}" for k in range(rng.randint(1, 40))]
+        for _ in range(6):
+            if rng.random() < 0.8:
+                words = words[:]
+                words[rng.randrange(len(words))] = f"e{rng.random()}"
+            if rng.random() < 0.3:
+                words = words + [f"t{rng.random()}"]
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((1, 80), (2, 85), (4, 70)):
+        want = brute.jaccard(rows, n, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, Scratch(spark, "t"), n, percent).collect()}
+        assert got == want
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(0)
+    for size in (0, 1, 2, 3, 4, 5, 7, 20, 300):
+        for alphabet in (1, 2, 5, 200):
+            s = rng.integers(1, alphabet + 1, size)
+            want = sorted(range(size), key=lambda i: s[i:].tolist())
+            assert suffix_order(s).tolist() == want
+
+
+def test_passages(spark, edges, driver_rows):
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for length, gram in ((50, 20), (24, 9), (11, 8)):
+        got = _rows(repeated_passages(edges, Scratch(spark, "t"), length, gram, bytes_per_part=9000), *cols)
+        assert got == sorted(brute.passages([(d, t) for d, t, *_ in edge_rows()], length), key=repr), length
+    got = _rows(q.op10_suffix_array_dedup(spark, SF), *cols)
+    assert got == sorted(brute.passages(driver_rows, 50), key=repr)
+    assert repeated_passages(edges.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_every_operator_survives_an_empty_corpus(spark, tmp_path):
+    for t in ("documents", "embeddings", "pages", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name, f in q.queries().items():
+        assert f(spark, str(tmp_path)).count() == 0, name
