@@ -65,6 +65,15 @@ from ledgerlens.plans.dashboard import (  # noqa: E402
 )
 from ledgerlens.sources.fixture import FIXTURE_SQL, read_table, states_from_tpch, transactions_from_tpch
 
+# The training-data operators and the pipeline are an optional part.
+try:
+    import corpus_pipeline
+    from ledgerlens.llm import queries as llm_queries
+except ModuleNotFoundError as e:
+    if not f"{e.name}.".startswith(("corpus_pipeline.", "ledgerlens.llm.")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Fixed query parameters (the reference UI's defaults where it has one).
@@ -143,7 +152,26 @@ def _comparable_sql(name: str, sql: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Registered queries as the driver compares them (see above)."""
+    """Registered queries: those of the reference's operators and, where the
+    subpackage is there, the training-data operators and their pipeline."""
+    out = core_queries()
+    if llm_queries:
+        out |= llm_queries.queries()
+        out["pipeline"] = corpus_pipeline.run
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = core_oracle_sql()
+    if llm_queries:
+        out |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The reference's operators as the driver compares them (see above)."""
 
     def comparable(name, fn):
         return lambda spark, sf_dir: _comparable_df(name, fn(spark, sf_dir))
@@ -151,7 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: comparable(name, fn) for name, fn in library_queries().items()}
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     return {name: _comparable_sql(name, sql) for name, sql in library_oracle_sql().items()}
 
 

@@ -9,8 +9,8 @@ from conftest import SF001, SF01
 import __spark_entry__ as E
 from tools.oracle_check import _rows, duck_connect
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = E.core_queries()
+SQL = E.core_oracle_sql()
 LIB_QUERIES = E.library_queries()
 LIB_SQL = E.library_oracle_sql()
 

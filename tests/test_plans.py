@@ -36,9 +36,9 @@ def table(spark, tmp_path_factory):
     return read_transactions_parquet(spark, path)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.core_queries()))
 def test_no_python_udf_no_cartesian(spark, name):
-    p = formatted(E.queries()[name](spark, SF01))
+    p = formatted(E.core_queries()[name](spark, SF01))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in p, f"{name}: {bad}"
 
