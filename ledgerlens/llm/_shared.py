@@ -35,10 +35,17 @@ class Scratch:
         self.path = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows`` bounds the Arrow batches of wide rows while this table is made."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        try:
+            self.spark.conf.set(name, str(min(int(before), batch_rows) if batch_rows else before))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.parquet(path)
         out._scratch_path = path
         return out

@@ -12,10 +12,11 @@ neighbourhoods instead, which restores the bound (see ``signatures``).
 
 Signatures are dealt out by hash as compact blocks; what two or more different
 sets share becomes rows. Candidates are verified exactly, members of a
-signature first against its least member; pairs that are still in different
-components and share a signature are verified in a second round. Nothing
-enumerates the pairs of a group of copies: equal sets are one class from the
-start, and near copies link through the least member.
+signature first against its least member; where members are still in different
+components, the pairs of a small signature become rows, and the sets of a large
+one meet in pairs of blocks and are compared there. Nothing writes the pairs of
+a group of copies: equal sets are one class from the start, and near copies
+link through the least member or inside a block.
 
 Defined cases: NULL and wordless texts have an empty set and link with
 nothing; fewer words than n form one shingle; NULL ids get no component and
@@ -39,6 +40,7 @@ from ledgerlens.llm._words import mix, ngrams, sequence_hash, text_chunks, words
 
 _U = np.uint64
 _SEG = _U(0xC2B2AE3D27D4EB4F)
+SMALL = 64  # members of a signature up to which its pairs become rows
 
 
 # -- bands and plans -------------------------------------------------------
@@ -281,6 +283,106 @@ def _verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     return p.filter(linked("blob_a", "blob_b")).select("a", "b")
 
 
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left with the right sets. Elements of
+    one set only do not matter; the others are columns of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = df[col] > 1
+    owner, col = owner[use], np.unique(col[use], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    step = max(64, (4 << 20) // max(len(sets), 1))
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        s, e = np.searchsorted(col, [lo, lo + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[s:e], col[s:e] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _compare_units(percent: int):
+    """Links between different components among the members of each unit (a
+    signature, or a pair of blocks of a large one). A pair is compared at the
+    least signature that it shares; edges that close a cycle are left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        unit = np.asarray(t.column("unit"))
+        order = np.argsort(unit, kind="stable")
+        t = t.take(pa.array(order))
+        unit = unit[order]
+        sig, cls, comp, own, lo, hi = (np.asarray(t.column(c)) for c in ("sig", "cls", "c", "own", "lo", "hi"))
+        blob, sigs = t.column("blob").combine_chunks(), t.column("sigs").combine_chunks()
+        cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        found: list[tuple[int, int]] = []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if (comp[s:e] == comp[s]).all():
+                continue
+            one = np.flatnonzero(own[s:e] == lo[s])
+            two = one if lo[s] == hi[s] else np.flatnonzero(own[s:e] == hi[s])
+            sets = [np.frombuffer(blob[i].as_buffer(), np.uint64) for i in range(s, e)]
+            size = np.array([len(x) for x in sets], np.int64)
+            ok = (comp[s:e][one, None] != comp[s:e][None, two]) & (cls[s:e][one, None] != cls[s:e][None, two])
+            ok &= 100 * np.minimum(size[one, None], size[None, two]) >= percent * np.maximum(size[one, None], size[None, two])
+            if not ok.any():
+                continue
+            # signatures before this one that both have: compared there
+            earlier = [np.asarray(sigs[i].values) for i in range(s, e)]
+            earlier = [x[x < sig[s]] for x in earlier]
+            if any(len(x) for x in earlier):
+                ok &= _intersections(earlier, one, two) == 0
+            if not ok.any():
+                continue
+            inter = _intersections(sets, one, two)
+            i, j = np.nonzero(ok & (100 * inter >= percent * (size[one, None] + size[None, two] - inter)))
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for x, y in zip((one[i] + s).tolist(), (two[j] + s).tolist(), strict=True):
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    found.append((int(cls[x]), int(cls[y])))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], schema=_EDGE)
+
+    return run
+
+
+def _pairs(member: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) across components of signatures with at most SMALL
+    members: at most SMALL / 2 rows per member and signature."""
+    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "size", "c")
+    one, two = (m.select("sig", F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    return one.join(two, "sig").filter("a < b AND c_a <> c_b").filter(_sizes_agree(percent)).select("a", "b").distinct()
+
+
+def _across(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """Links (a, b) across components among the members of mixed signatures.
+    No pair becomes a row: a set goes once to every unit it belongs to."""
+    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c", "size", "k")
+    m = scratch.write(m)
+    rows, elements = m.agg(F.count("*"), F.sum("size")).first()
+    lists = m.groupBy(F.col("cls").alias("l_cls")).agg(F.collect_list("sig").alias("sigs"))
+    blocks = F.ceil(F.col("k") / F.lit(block)).cast("int")
+    u = m.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    u = u.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    u = u.withColumn("lo", F.least("own", "mate")).withColumn("hi", F.greatest("own", "mate"))
+    u = u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", "sig", "cls", "c", "own", "lo", "hi")
+    u = u.join(lists, F.col("cls") == F.col("l_cls")).drop("l_cls").join(blobs.withColumnRenamed("cls", "b_cls"), F.col("cls") == F.col("b_cls")).drop("b_cls")
+    tasks = partitions_for(8 * (elements or 0), 16 << 20)
+    edges = u.repartition(tasks, "unit").mapInArrow(whole_partition(_compare_units(percent), _EDGE), "a long, b long")
+    return scratch.write(edges, batch_rows=2000)
+
+
 def _sizes_agree(percent: int):
     return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
@@ -290,12 +392,12 @@ def jaccard_components(
     bytes_per_part: int = 20 << 20,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
-    sets = scratch.write(document_sets(docs, n, doc_id, text))
+    sets = scratch.write(document_sets(docs, n, doc_id, text), batch_rows=2000)
     largest = sets.agg(F.max("size")).first()[0] or 0
     bands = Bands(percent, largest)
     parts = partitions_for(text_bytes(docs, text), bytes_per_part)
     blocks = _signature_blocks(docs.filter(F.col(doc_id).isNotNull()), n, text, bands, parts)
-    shared = scratch.write(blocks.repartition(parts, "part").mapInArrow(whole_partition(_shared_signatures, _SHARED), "sig long, cls long, size long"))
+    shared = scratch.write(blocks.repartition(parts, "part").mapInArrow(whole_partition(_shared_signatures, _SHARED), "sig long, cls long, size long"), batch_rows=2000)
 
     # round 1: every member of a signature against its least member
     hub = shared.groupBy("sig").agg(F.min(F.struct("cls", "size")).alias("h"))
@@ -306,20 +408,19 @@ def jaccard_components(
     classes = sets.filter("size > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     wanted = shared.select("cls").distinct()
     reps = scratch.write(classes.join(wanted, "cls", "left_semi").select("rep"))
-    blobs = scratch.write(_blobs(docs, reps, n, doc_id, text))
-    links = scratch.write(_verified(star, blobs, percent))
+    blobs = scratch.write(_blobs(docs, reps, n, doc_id, text), batch_rows=2000)
+    links = scratch.write(_verified(star, blobs, percent), batch_rows=500)
     comp = scratch.write(connected_components(links, scratch))
 
-    # round 2: members of one signature that are in different components
+    # round 2: signatures whose members are in different components still
     member = shared.join(comp, F.col("cls") == F.col("v"), "left").select("sig", "cls", "size", F.coalesce("component", "cls").alias("c"))
     member = scratch.write(member)
-    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    member = scratch.write(member.join(mixed, "sig", "left_semi"))
-    one, two = (member.select("sig", F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    rest = one.join(two, "sig").filter("a < b AND c_a <> c_b").filter(_sizes_agree(percent)).select("a", "b").distinct()
+    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
+    mixed = scratch.write(mixed.select(F.col("sig").alias("m_sig"), "k"))
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.write(_verified(rest.join(done, ["a", "b"], "left_anti"), blobs, percent))
-    links = links.union(more)
+    few = _pairs(member, mixed.filter(F.col("k") <= SMALL), percent).join(done, ["a", "b"], "left_anti")
+    links = links.union(scratch.write(_verified(few, blobs, percent), batch_rows=500))
+    links = links.union(_across(member, mixed.filter(F.col("k") > SMALL), blobs, percent, scratch))
 
     # classes -> least document: rows that repeat an id tie their classes together
     rep = scratch.write(classes)
