@@ -104,77 +104,109 @@ def _explode(parts: int, chunk_bytes: int):
                         s = slice(cut[p], cut[p + 1])
                         start = np.flatnonzero(np.r_[True, a[s][1:] != a[s][:-1]])
                         runs = np.diff(np.r_[start, cut[p + 1] - cut[p]])
-                        rows.append((int(p), ENTRIES, chunk, _pack(a[s][start]) + b"", _pack32(runs), _pack(w[s]), _pack32(d[s]) + _pack32(c[s])))
+                        rows.append((int(p), ENTRIES, chunk, _pack(a[s][start]), _pack32(runs), _pack(w[s]), _pack32(d[s]) + _pack32(c[s])))
                 yield from _table(rows).to_batches()
 
     return run
 
 
-def _by_chunk(chunk_of: np.ndarray, doc: np.ndarray, total: np.ndarray, uni: np.ndarray, back: np.ndarray, chunks: np.ndarray, parts: int) -> list[tuple]:
-    """SUMS rows: (documents, log sums, unigram-scored, backed-off) per chunk."""
-    key = (chunk_of << 32) | doc
-    docs, inv = np.unique(key, return_inverse=True)
-    s, u, k = (np.bincount(inv, x, len(docs)) for x in (total, uni, back))
-    cut = np.searchsorted(docs >> 32, np.arange(len(chunks) + 1))
-    out = []
-    for i in np.flatnonzero(cut[1:] > cut[:-1]):
-        z = slice(cut[i], cut[i + 1])
-        out.append((int(chunks[i] % parts), SUMS, int(chunks[i]), _pack32(docs[z] & 0xFFFFFFFF), s[z].astype(np.float64).tobytes(), _pack32(u[z]), _pack32(k[z])))
-    return out
+class _Sums:
+    """Sums per (chunk, document), added up slice by slice."""
+
+    def __init__(self):
+        self.parts = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, chunk: np.ndarray, doc: np.ndarray, total: np.ndarray, uni: np.ndarray, back: np.ndarray) -> None:
+        docs, inv = np.unique((chunk.astype(np.int64) << 32) | doc, return_inverse=True)
+        values = [np.bincount(inv, x, len(docs)) for x in (total, uni, back)]
+        docs, inv = np.unique(np.concatenate([self.parts[0], docs]), return_inverse=True)
+        self.parts = (docs, *(np.bincount(inv, np.concatenate([o, x]), len(docs)) for o, x in zip(self.parts[1:], values, strict=True)))
+
+    def rows(self, chunks: np.ndarray, parts: int) -> list[tuple]:
+        """SUMS rows: documents, log sums, unigram-scored, backed-off per chunk."""
+        docs, s, u, k = self.parts
+        cut = np.searchsorted(docs >> 32, np.arange(len(chunks) + 1))
+        out = []
+        for i in np.flatnonzero(cut[1:] > cut[:-1]):
+            z = slice(cut[i], cut[i + 1])
+            out.append((int(chunks[i] % parts), SUMS, int(chunks[i]), _pack32(docs[z] & 0xFFFFFFFF), s[z].astype(np.float64).tobytes(), _pack32(u[z]), _pack32(k[z])))
+        return out
+
+
+def _row(t: pa.Table, i: int) -> tuple:
+    return tuple(t.column(c)[int(i)].as_py() for c in _ROW.names)
+
+
+class _Entries:
+    """One chunk's entries of a part, decoded a range of words at a time."""
 
+    def __init__(self, words_: bytes, runs: bytes, follow: bytes, rest: bytes):
+        self.words, self.runs = _unpack(words_), _unpack32(runs)
+        self.at = np.concatenate([[0], np.cumsum(self.runs)])
+        self.follow, self.rest, self.n = follow, rest, len(follow) // 6
 
-def _rows(t: pa.Table) -> list[tuple]:
-    return list(zip(*[t.column(c).to_pylist() for c in _ROW.names], strict=True))
+    def between(self, lo: int, hi: int):
+        p, q = np.searchsorted(self.words, np.array([lo, hi], np.uint64))
+        s, e, n = self.at[p], self.at[q], self.n
+        low = np.frombuffer(self.follow, np.uint32, n)[s:e].astype(np.uint64)
+        high = np.frombuffer(self.follow, np.uint16, n, 4 * n)[s:e].astype(np.uint64)
+        x = np.frombuffer(self.rest, np.uint16).reshape(4, n)[:, s:e].astype(np.int32)
+        return np.repeat(self.words[p:q], self.runs[p:q]), low | (high << _U(32)), x[0] | (x[1] << 16), x[2] | (x[3] << 16)
 
 
-def _score_bigrams(parts: int, backoff: float):
+def _score_bigrams(parts: int, backoff: float, slice_entries: int = 500_000):
     """Per part of contexts: scores what another document has seen, scores
-    first words, forwards the rest, and passes on the unigram counts."""
+    first words, forwards the rest, and passes on the unigram counts. A part
+    is worked through in ranges of words, so memory follows the range."""
 
     def run(t: pa.Table) -> pa.Table:
-        kind = np.asarray(t.column("kind"))
-        out = _rows(t.filter(pa.array(kind == META)))
-        t = t.filter(pa.array(kind == ENTRIES))
-        for part in np.unique(np.asarray(t.column("key"))):
-            p = t.filter(pa.array(np.asarray(t.column("key")) == part))
-            chunks, where = np.unique(np.asarray(p.column("chunk")), return_inverse=True)
-            a, w, d, c, k = [], [], [], [], []
-            for i in range(p.num_rows):
-                words_, runs = _unpack(p.column("b1")[i].as_py()), _unpack32(p.column("b2")[i].as_py())
-                a.append(np.repeat(words_, runs))
-                w.append(_unpack(p.column("b3")[i].as_py()))
-                b4 = p.column("b4")[i].as_py()
-                d.append(_unpack32(b4[: len(b4) // 2]).astype(np.int32))
-                c.append(_unpack32(b4[len(b4) // 2 :]).astype(np.int32))
-                k.append(np.full(len(w[-1]), where[i], np.int32))
-            a, w, d, c, k = (np.concatenate(x) for x in (a, w, d, c, k))
-            vocab, va = np.unique(a, return_inverse=True)
-            c1 = np.bincount(va, c, len(vocab)).astype(np.int64)
-            out.append((int(part), COUNTS, -1, _pack(vocab), c1.tobytes(), b"", b""))
-            first, scored = c == 0, w != 0
-            _, g = np.unique(mix(a * _K + w), return_inverse=True)
-            c2 = np.bincount(g, c)[g] - c
-            # the document's own occurrences of the context
-            _, g = np.unique(mix(a * _K + (k.astype(np.uint64) << _U(32)) + d.astype(np.uint64)), return_inverse=True)
-            ctx = c1[va] - np.bincount(g, c)[g]
-            del g
-            seen = scored & ~first & (c2 > 0)
-            back = scored & ~first & ~seen
-            total = np.zeros(len(a))
-            total[seen] = c[seen] * np.log(c2[seen] / ctx[seen])
-            total[back] = c[back] * math.log(backoff)
-            total[first] = np.log(np.maximum(c1[va[first]], 1))
-            uni = first.astype(np.int64) + np.where(back, c, 0)
-            some = scored | first
-            out += _by_chunk(k[some].astype(np.int64), d[some].astype(np.int64), total[some], uni[some], np.where(back, c, 0)[some], chunks, parts)
-            fw, fd, fc, fk = w[back], d[back], c[back], k[back]
-            order = np.argsort(fw, kind="stable")
-            fw, fd, fc, fk = fw[order], fd[order], fc[order], fk[order]
-            cut = np.searchsorted(_part(fw, parts), np.arange(parts + 1))
+        kind, key, chunk = (np.asarray(t.column(c)) for c in ("kind", "key", "chunk"))
+        out = [_row(t, i) for i in np.flatnonzero(kind == META)]
+        for part in np.unique(key[kind == ENTRIES]):
+            rows = np.flatnonzero((kind == ENTRIES) & (key == part))
+            chunks, where = np.unique(chunk[rows], return_inverse=True)
+            entries = [_Entries(*(t.column(f"b{k}")[int(i)].as_buffer() for k in range(1, 5))) for i in rows]
+            slices = max(1, -(-sum(e.n for e in entries) // slice_entries))
+            lo, hi = -(-(int(part) << 32) // parts) << 16, -(-((int(part) + 1) << 32) // parts) << 16
+            edges = [lo + (hi - lo) * i // slices for i in range(slices + 1)]
+            sums, vocab, counts, ahead = _Sums(), [], [], []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                got = [e.between(x, y) for e in entries]
+                a, w, d, c = (np.concatenate([g[i] for g in got]) for i in range(4))
+                k = np.repeat(where, [len(g[0]) for g in got])
+                del got
+                if not len(a):
+                    continue
+                names, va = np.unique(a, return_inverse=True)
+                c1 = np.bincount(va, c, len(names)).astype(np.int64)
+                vocab.append(names)
+                counts.append(c1)
+                first, scored = c == 0, w != 0
+                _, g = np.unique(mix(a * _K + w), return_inverse=True)
+                c2 = np.bincount(g, c)[g] - c
+                # the document's own occurrences of the context
+                _, g = np.unique(mix(a * _K + (k.astype(np.uint64) << _U(32)) + d.astype(np.uint64)), return_inverse=True)
+                ctx = c1[va] - np.bincount(g, c)[g]
+                seen = scored & ~first & (c2 > 0)
+                back = scored & ~first & ~seen
+                total = np.zeros(len(a))
+                total[seen] = c[seen] * np.log(c2[seen] / ctx[seen])
+                total[back] = c[back] * math.log(backoff)
+                total[first] = np.log(np.maximum(c1[va[first]], 1))
+                behind = np.where(back, c, 0)
+                some = scored | first
+                sums.add(k[some], d[some], total[some], (first + behind)[some], behind[some])
+                ahead.append((w[back], k[back].astype(np.int32), d[back], c[back]))
+            out.append((int(part), COUNTS, -1, _pack(np.concatenate(vocab)), np.concatenate(counts).tobytes(), b"", b""))
+            out += sums.rows(chunks, parts)
+            w, k, d, c = (np.concatenate([x[i] for x in ahead]) for i in range(4))
+            order = np.argsort(w, kind="stable")
+            w, k, d, c = w[order], k[order], d[order], c[order]
+            cut = np.searchsorted(_part(w, parts), np.arange(parts + 1))
             names = chunks.astype(np.int64).tobytes()
             for q in np.flatnonzero(cut[1:] > cut[:-1]):
                 s = slice(cut[q], cut[q + 1])
-                out.append((int(q), FORWARD, -1, _pack(fw[s]), names, _pack32(fk[s]), _pack32(fd[s]) + _pack32(fc[s])))
+                out.append((int(q), FORWARD, -1, _pack(w[s]), names, _pack32(k[s]), _pack32(d[s]) + _pack32(c[s])))
         return _table(out)
 
     return run
@@ -183,24 +215,20 @@ def _score_bigrams(parts: int, backoff: float):
 def _score_unigrams(parts: int):
     def run(t: pa.Table) -> pa.Table:
         kind, key = np.asarray(t.column("kind")), np.asarray(t.column("key"))
-        out = _rows(t.filter(pa.array((kind == META) | (kind == SUMS))))
+        out = [_row(t, i) for i in np.flatnonzero((kind == META) | (kind == SUMS))]
         for part in np.unique(key[kind == FORWARD]):
-            counts = t.filter(pa.array((kind == COUNTS) & (key == part)))
-            vocab, c1 = _unpack(counts.column("b1")[0].as_py()), np.frombuffer(counts.column("b2")[0].as_py(), np.int64)
-            f = t.filter(pa.array((kind == FORWARD) & (key == part)))
-            names, w, k, d, c = [], [], [], [], []
-            for i in range(f.num_rows):
-                mine = np.frombuffer(f.column("b2")[i].as_py(), np.int64)
-                w.append(_unpack(f.column("b1")[i].as_py()))
-                k.append(mine[_unpack32(f.column("b3")[i].as_py())])
-                b4 = f.column("b4")[i].as_py()
-                d.append(_unpack32(b4[: len(b4) // 2]))
-                c.append(_unpack32(b4[len(b4) // 2 :]))
-            w, k, d, c = (np.concatenate(x) for x in (w, k, d, c))
-            names, k = np.unique(k, return_inverse=True)
-            total = c * np.log(c1[np.searchsorted(vocab, w)])
-            zero = np.zeros(len(c))
-            out += _by_chunk(k.astype(np.int64), d, total, zero, zero, names, parts)
+            _, _, _, words_, counts, _, _ = _row(t, np.flatnonzero((kind == COUNTS) & (key == part))[0])
+            vocab, c1 = _unpack(words_), np.frombuffer(counts, np.int64)
+            sent = np.flatnonzero((kind == FORWARD) & (key == part))
+            named = [np.frombuffer(t.column("b2")[int(i)].as_buffer(), np.int64) for i in sent]
+            chunks = np.unique(np.concatenate(named))
+            sums = _Sums()
+            for i, mine in zip(sent, named, strict=True):
+                _, _, _, words_, _, k, rest = _row(t, i)
+                d, c = _unpack32(rest[: len(rest) // 2]), _unpack32(rest[len(rest) // 2 :])
+                zero = np.zeros(len(c))
+                sums.add(np.searchsorted(chunks, mine)[_unpack32(k)], d, c * np.log(c1[np.searchsorted(vocab, _unpack(words_))]), zero, zero)
+            out += sums.rows(chunks, parts)
         return _table(out)
 
     return run
