@@ -87,6 +87,15 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.nda
     return h, np.searchsorted(offs, s, "right") - 1
 
 
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of one chunk, by their bytes alone."""
+    up, down = _pow(len(buf) + 1)
+    total = np.empty(len(buf) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every run of ``n`` words of one document."""
     if len(h) < n:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._shared import Scratch, partitions_for, text_bytes, whole_partition
-from ledgerlens.llm._words import mix, text_chunks
+from ledgerlens.llm._words import mix, range_hashes, text_chunks
 
 _U = np.uint64
 
@@ -183,17 +183,30 @@ def _runs_by_doc(col: pa.Array, length: int, gram: int):
         yield lo, hi, buf, offs, doc, first, last, h
 
 
+_M48 = _U((1 << 48) - 1)
+
+
+def _split48(x: np.ndarray) -> bytes:
+    return (x & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((x >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _join48(b) -> np.ndarray:
+    n = len(b) // 6
+    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << _U(32))
+
+
 def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """(part, documents, keys, hashes, places): a chunk's anchors, once per
-    document, with the run's number in its document."""
-    schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("hash", pa.binary()), ("place", pa.binary())])
+    """A chunk's anchors as parallel arrays: 48 bits of the anchor's hash, 48
+    bits of its context's, and the number of the run in its document."""
+    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "keys", "hash", "name", "place")]])
 
     def run(batches):
         for b in batches:
             ids, keys = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo, hi, _, _, doc, _, _, h in _runs_by_doc(b.column(2), length, gram):
+            for lo, hi, buf, _, doc, first, last, h in _runs_by_doc(b.column(2), length, gram):
                 if not len(doc):
                     continue
+                name = range_hashes(buf, first, last + length)
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -205,50 +218,70 @@ def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataF
                     # which document: as counts, since entries are in document order
                     place = np.concatenate([np.bincount(row), number[o]]).astype(np.uint32)
                     split = (place & 0xFFFF).astype(np.uint16).tobytes() + (place >> 16).astype(np.uint16).tobytes()
-                    rows.append((int(p), ids[lo:hi][d].tobytes(), keys[lo:hi][d].tobytes(), h[o].tobytes(), split))
+                    rows.append((int(p), ids[lo:hi][d].tobytes(), keys[lo:hi][d].tobytes(), _split48(h[o]), _split48(name[o]), split))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("id", "key", "t").mapInArrow(run, "part int, ids binary, keys binary, hash binary, place binary")
+    return docs.select("id", "key", "t").mapInArrow(run, "part int, ids binary, keys binary, hash binary, name binary, place binary")
 
 
-_PLACES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("places", pa.binary())])
+_PLACES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("whole", pa.binary()), ("unsure", pa.binary())])
 
 
 def _shared_places(t: pa.Table) -> pa.Table:
-    """Runs whose anchor occurs in documents of two ids or more."""
+    """Of anchors in documents of two ids or more: runs that go as a whole (all
+    contexts are equal and a smaller id has one) and runs to be looked at."""
     part = np.asarray(t.column("part"))
     out = []
     for p in np.unique(part):
-        hs, ids, keys, nums = [], [], [], []
-        for i in np.flatnonzero(part == p):
-            d = np.frombuffer(t.column("ids")[i].as_py(), np.int64)
-            split = t.column("place")[i].as_py()
+        hs, names, ids, keys, nums = [], [], [], [], []
+        for i in map(int, np.flatnonzero(part == p)):
+            d = np.frombuffer(t.column("ids")[i].as_buffer(), np.int64)
+            split = t.column("place")[i].as_buffer()
             n = len(split) // 4
             place = np.frombuffer(split, np.uint16, n).astype(np.uint32) | (np.frombuffer(split, np.uint16, n, 2 * n).astype(np.uint32) << np.uint32(16))
             per = place[: len(d)].astype(np.int64)
-            hs.append(np.frombuffer(t.column("hash")[i].as_py(), np.uint64))
+            hs.append(_join48(t.column("hash")[i].as_buffer()))
+            names.append(_join48(t.column("name")[i].as_buffer()))
             ids.append(np.repeat(d, per))
-            keys.append(np.repeat(np.frombuffer(t.column("keys")[i].as_py(), np.int64), per))
+            keys.append(np.repeat(np.frombuffer(t.column("keys")[i].as_buffer(), np.int64), per))
             nums.append(place[len(d) :])
-        h, d, k, num = (np.concatenate(x) for x in (hs, ids, keys, nums))
+        h = np.concatenate(hs)
         order = np.argsort(h)
-        h, d, k, num = h[order], d[order], k[order], num[order]
+        h = h[order]
         heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[heads, len(h)])
-        both = np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
-        use = np.repeat(both, size)
-        d, k, num = d[use], k[use], num[use]
+        del h, hs
+        # anchors of a single occurrence go first: most of them
+        order = order[np.repeat(size > 1, size)]
+        size = size[size > 1]
+        if not len(size):
+            continue
+        heads = np.concatenate([[0], np.cumsum(size)[:-1]])
+        d, name, k, num = (np.concatenate(x)[order] for x in (ids, names, keys, nums))
+        least = np.minimum.reduceat(d, heads)
+        both = least != np.maximum.reduceat(d, heads)
+        one = np.minimum.reduceat(name, heads) == np.maximum.reduceat(name, heads)
+        whole = np.repeat(both & one, size) & (d > np.repeat(least, size))
+        unsure = np.repeat(both & ~one, size)
+        use = whole | unsure
+        d, k, num, unsure = d[use], k[use], num[use], unsure[use]
+        if not len(d):
+            continue
         order = np.lexsort((num, k, d))
-        d, k, num = d[order], k[order], num[order]
-        heads = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.zeros(0, np.int64)
-        ends = np.r_[heads[1:], len(d)].astype(np.int64)
-        out.append(pa.table([d[heads], k[heads], pa.array([num[a:b].astype(np.uint32).tobytes() for a, b in zip(heads, ends, strict=False)], pa.binary())], schema=_PLACES))
+        d, k, num, unsure = d[order], k[order], num[order].astype(np.uint32), unsure[order]
+        heads = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
+        ends = np.r_[heads[1:], len(d)]
+        lists = [
+            pa.array([num[a:b][pick[a:b]].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())
+            for pick in (~unsure, unsure)
+        ]
+        out.append(pa.table([d[heads], k[heads], *lists], schema=_PLACES))
     return pa.concat_tables(out) if out else _PLACES.empty_table()
 
 
-def _contexts(shared: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
-    """Context of every shared run: with the bytes and the least document of
-    the chunk that has it, or without them every occurrence."""
+def _contexts(unsure: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+    """Context of every run to be looked at: with the bytes and the least
+    document of the chunk that has it, or without them every occurrence."""
     names = ["anchor", "name", "id", "ctx"] if with_text else ["anchor", "name", "id", "key", "at"]
     kinds = {"anchor": pa.int64(), "name": pa.int64(), "id": pa.int64(), "ctx": pa.binary(), "key": pa.int64(), "at": pa.int64()}
     schema = pa.schema([(c, kinds[c]) for c in names])
@@ -257,27 +290,32 @@ def _contexts(shared: DataFrame, length: int, gram: int, with_text: bool) -> Dat
         for b in batches:
             ids, keys, places = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(3)
             for lo, hi, buf, offs, doc, first, last, h in _runs_by_doc(b.column(2), length, gram):
-                want = np.zeros(len(doc), bool)
-                start = np.searchsorted(doc, np.arange(hi - lo))
-                for i in range(hi - lo):
-                    for blob in places[lo + i].as_py():
-                        want[start[i] + np.frombuffer(blob, np.uint32)] = True
+                want = _picked(doc, hi - lo, places[lo:hi])
                 doc, first, last, h = doc[want], first[want], last[want], h[want]
-                raw = buf.tobytes()
-                ctx = [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
-                name = np.frombuffer(b"".join(hashlib.blake2b(c, digest_size=8).digest() for c in ctx), np.int64)
-                anchor, d = h.view(np.int64), ids[lo:hi][doc]
+                name, anchor, d = range_hashes(buf, first, last + length).view(np.int64), h.view(np.int64), ids[lo:hi][doc]
                 if with_text:
                     order = np.lexsort((d, name, anchor))
                     a, m = anchor[order], name[order]
                     keep = order[np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])]] if len(order) else order
-                    cols = [anchor[keep], name[keep], d[keep], pa.array([ctx[i] for i in keep], pa.binary())]
+                    raw = buf.tobytes()
+                    ctx = [raw[x : z + length] for x, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+                    cols = [anchor[keep], name[keep], d[keep], pa.array(ctx, pa.binary())]
                 else:
                     cols = [anchor, name, d, keys[lo:hi][doc], first - offs[doc]]
                 yield from pa.table(cols, schema=schema).to_batches(max_chunksize=20_000)
 
     ddl = {"anchor": "long", "name": "long", "id": "long", "ctx": "binary", "key": "long", "at": "long"}
-    return shared.select("id", "key", "t", "places").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
+    return unsure.select("id", "key", "t", "unsure").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
+
+
+def _picked(doc: np.ndarray, ndocs: int, lists: pa.Array) -> np.ndarray:
+    """Marks the runs whose numbers a document's lists hold."""
+    want = np.zeros(len(doc), bool)
+    start = np.searchsorted(doc, np.arange(ndocs))
+    for i in range(ndocs):
+        for blob in lists[i].as_py() or ():
+            want[start[i] + np.frombuffer(blob, np.uint32)] = True
+    return want
 
 
 _VERDICT = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("runs", pa.binary()), ("least", pa.binary())])
@@ -338,25 +376,31 @@ def _ranges(length: int):
     return run
 
 
-def _strip(batches):
-    """Union of the ranges of each text, and what is left of it."""
+def _strip(length: int, gram: int):
+    """Union of the ranges and whole runs of each text, and what is left of it."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
-    for b in batches:
-        rows = []
-        for d, k, t, r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            raw, spans = (t or "").encode(), []
-            for x in sorted((x["lo"], x["hi"]) for x in r):
-                if spans and x[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], x[1])
-                else:
-                    spans.append(list(x))
-            h, at = hashlib.sha256(), 0
-            for lo, hi in spans:
-                h.update(raw[at:lo])
-                at = hi
-            h.update(raw[at:])
-            rows.append((d, k, sum(hi - lo for lo, hi in spans), len(spans), h.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([],) * 5, schema, strict=True)], schema=schema)
+
+    def run(batches):
+        for b in batches:
+            ids, keys, ranges = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(4)
+            for lo, hi, buf, offs, doc, first, last, _ in _runs_by_doc(b.column(2), length, gram):
+                want = _picked(doc, hi - lo, b.column(3)[lo:hi])
+                step = np.zeros(len(buf) + 1, np.int32)
+                np.add.at(step, first[want], 1)
+                np.add.at(step, last[want] + length, -1)
+                for i in range(hi - lo):
+                    for x in ranges[lo + i].as_py() or ():
+                        step[offs[i] + x["lo"]] += 1
+                        step[offs[i] + x["hi"]] -= 1
+                gone = np.cumsum(step[:-1]) > 0
+                rows = []
+                for i in range(hi - lo):
+                    g, t = gone[offs[i] : offs[i + 1]], buf[offs[i] : offs[i + 1]]
+                    spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
+                    rows.append((ids[lo + i], keys[lo + i], int(g.sum()), spans, hashlib.sha256(t[~g].tobytes()).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def repeated_passages(
@@ -369,22 +413,26 @@ def repeated_passages(
     known = d.filter(F.col("id").isNotNull() & (F.octet_length("t") >= length))
     parts = partitions_for(text_bytes(docs, text), bytes_per_part)
     places = _anchor_blocks(known, length, gram, parts).repartitionById(parts, "part")
-    places = places.mapInArrow(whole_partition(_shared_places, _PLACES), "id long, key long, places binary")
-    places = places.groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    places = places.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), "places")
-    shared = scratch.write(known.join(places, (F.col("id") == F.col("p_id")) & (F.col("key") == F.col("p_key"))).select("id", "key", "t", "places"))
-
-    names = _contexts(shared, length, gram, True).groupBy("anchor", "name", "ctx").agg(F.min("id").alias("id"))
+    places = places.mapInArrow(whole_partition(_shared_places, _PLACES), "id long, key long, whole binary, unsure binary")
+    places = scratch.write(places, batch_rows=2000)
+
+    # texts are shuffled by (id, key) once: both joins read one exchange
+    unsure = places.filter(F.octet_length("unsure") > 0).groupBy("id", "key").agg(F.collect_list("unsure").alias("unsure"))
+    unsure = unsure.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), "unsure")
+    unsure = known.join(unsure, (F.col("id") == F.col("p_id")) & (F.col("key") == F.col("p_key"))).select("id", "key", "t", "unsure")
+    names = _contexts(unsure, length, gram, True).groupBy("anchor", "name", "ctx").agg(F.min("id").alias("id"))
     verdicts = names.repartition(parts, "anchor").mapInArrow(whole_partition(_verdicts(length), _VERDICT), "anchor long, name long, runs binary, least binary")
-    verdicts = scratch.write(verdicts).select(F.col("anchor").alias("v_anchor"), F.col("name").alias("v_name"), "runs", "least")
-    seen = _contexts(shared, length, gram, False)
+    verdicts = verdicts.select(F.col("anchor").alias("v_anchor"), F.col("name").alias("v_name"), "runs", "least")
+    seen = _contexts(unsure, length, gram, False)
     hits = seen.join(verdicts, (F.col("anchor") == F.col("v_anchor")) & (F.col("name") == F.col("v_name")))
     ranges = hits.select("id", "key", "at", "runs", "least").mapInArrow(_ranges(length), "id long, key long, lo long, hi long")
-    ranges = ranges.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    ranges = ranges.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "ranges")
-    cut = shared.select("id", "key", "t").join(ranges, (F.col("id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))).select("id", "key", "t", "ranges")
-    cut = cut.mapInArrow(_strip, "id long, key long, n_removed long, n_spans long, kept string").distinct()
-    cut = scratch.write(cut).select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "n_removed", "n_spans", "kept")
+    ranges = ranges.select("id", "key", F.lit(None).cast("binary").alias("whole"), F.struct("lo", "hi").alias("range"))
+    whole = places.filter(F.octet_length("whole") > 0).select("id", "key", "whole", F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("range"))
+    marks = whole.union(ranges).groupBy("id", "key").agg(F.collect_list("whole").alias("whole"), F.collect_list("range").alias("ranges"))
+    marks = marks.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "whole", "ranges")
+    cut = known.join(marks, (F.col("id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))).select("id", "key", "t", "whole", "ranges")
+    cut = cut.mapInArrow(_strip(length, gram), "id long, key long, n_removed long, n_spans long, kept string").distinct()
+    cut = scratch.write(cut, batch_rows=2000).select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "n_removed", "n_spans", "kept")
     all_ = d.select("id", "key", F.octet_length("t").cast("bigint").alias("n_bytes"), F.sha2(F.col("t").cast("binary"), 256).alias("whole"))
     out = all_.join(cut, (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
     zero = F.lit(0).cast("bigint")
