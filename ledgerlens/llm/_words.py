@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 _KINV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -68,6 +68,11 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> _U(16)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
+def _home(chunk: int, parts: int) -> int:
+    """Where a chunk's rows that only pass through are kept meanwhile."""
+    return (chunk ^ (chunk >> 32)) % parts
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _ROW]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
@@ -86,7 +91,7 @@ def _explode(parts: int, chunk_bytes: int):
                 per = np.bincount(doc, minlength=hi - lo)
                 own = ids[lo:hi]
                 null = np.asarray(own.is_null()).astype(np.uint8)
-                rows = [(chunk % parts, META, chunk, np.asarray(own.fill_null(0)).astype(np.int64).tobytes(), null.tobytes(), per.astype(np.int64).tobytes(), b"")]
+                rows = [(_home(chunk, parts), META, chunk, np.asarray(own.fill_null(0)).astype(np.int64).tobytes(), null.tobytes(), per.astype(np.int64).tobytes(), b"")]
                 if len(h):
                     # every word as a context (0 follows the last one); a first word as an entry without count
                     follows = np.zeros(len(h), np.uint64)
@@ -129,7 +134,7 @@ class _Sums:
         out = []
         for i in np.flatnonzero(cut[1:] > cut[:-1]):
             z = slice(cut[i], cut[i + 1])
-            out.append((int(chunks[i] % parts), SUMS, int(chunks[i]), _pack32(docs[z] & 0xFFFFFFFF), s[z].astype(np.float64).tobytes(), _pack32(u[z]), _pack32(k[z])))
+            out.append((_home(int(chunks[i]), parts), SUMS, int(chunks[i]), _pack32(docs[z] & 0xFFFFFFFF), s[z].astype(np.float64).tobytes(), _pack32(u[z]), _pack32(k[z])))
         return out
 
 
@@ -265,7 +270,7 @@ def stupid_backoff(
     entries = d.mapInArrow(_explode(parts, chunk_bytes), _DDL)
     a = entries.repartitionById(parts, "key").mapInArrow(whole_partition(_score_bigrams(parts, backoff), _ROW), _DDL)
     b = a.repartitionById(parts, "key").mapInArrow(whole_partition(_score_unigrams(parts), _ROW), _DDL)
-    sums = b.withColumn("place", F.pmod("chunk", F.lit(parts)).cast("int")).repartitionById(parts, "place").drop("place")
+    sums = b.withColumn("place", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")).repartitionById(parts, "place").drop("place")
     per_doc = scratch.write(sums.mapInArrow(whole_partition(_add_up, _DOC), "doc_id long, n_tokens long, n_backoff long, n_unigram long, total double"))
     n = per_doc.agg(F.sum("n_tokens")).first()[0] or 0
     log_score = F.col("total") - F.col("n_unigram") * F.lit(math.log(max(n, 1)))

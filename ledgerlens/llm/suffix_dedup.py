@@ -177,10 +177,7 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
     return doc[first], first, ends, h[anchor[first]]
 
 
-def _runs_by_doc(col: pa.Array, length: int, gram: int):
-    for lo, hi, buf, offs in text_chunks(col):
-        doc, first, last, h = anchor_runs(buf, offs, length, gram)
-        yield lo, hi, buf, offs, doc, first, last, h
+CHUNK = 1 << 20  # bytes of text looked at at once
 
 
 _M48 = _U((1 << 48) - 1)
@@ -197,17 +194,19 @@ def _join48(b) -> np.ndarray:
 
 def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """A chunk's anchors as parallel arrays: 48 bits of the anchor's hash, 48
-    bits of its context's, and the number of the run in its document."""
-    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "keys", "hash", "name", "place")]])
+    bits of its context's, start and number of the prefixes of the run."""
+    columns = ("ids", "keys", "hash", "name", "place", "runs")
+    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in columns]])
 
     def run(batches):
         for b in batches:
             ids, keys = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo, hi, buf, _, doc, first, last, h in _runs_by_doc(b.column(2), length, gram):
+            for lo, hi, buf, offs in text_chunks(b.column(2), CHUNK):
+                doc, first, last, h = anchor_runs(buf, offs, length, gram)
                 if not len(doc):
                     continue
                 name = range_hashes(buf, first, last + length)
-                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                start, runs = first - offs[doc], (last - first + 1).astype(np.uint8)
                 part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -216,12 +215,12 @@ def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataF
                     o = order[cut[p] : cut[p + 1]]
                     d, row = np.unique(doc[o], return_inverse=True)
                     # which document: as counts, since entries are in document order
-                    place = np.concatenate([np.bincount(row), number[o]]).astype(np.uint32)
+                    place = np.concatenate([np.bincount(row), start[o]]).astype(np.uint32)
                     split = (place & 0xFFFF).astype(np.uint16).tobytes() + (place >> 16).astype(np.uint16).tobytes()
-                    rows.append((int(p), ids[lo:hi][d].tobytes(), keys[lo:hi][d].tobytes(), _split48(h[o]), _split48(name[o]), split))
+                    rows.append((int(p), ids[lo:hi][d].tobytes(), keys[lo:hi][d].tobytes(), _split48(h[o]), _split48(name[o]), split, runs[o].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("id", "key", "t").mapInArrow(run, "part int, ids binary, keys binary, hash binary, name binary, place binary")
+    return docs.select("id", "key", "t").mapInArrow(run, "part int, ids binary, keys binary, hash binary, name binary, place binary, runs binary")
 
 
 _PLACES = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("whole", pa.binary()), ("unsure", pa.binary())])
@@ -233,7 +232,7 @@ def _shared_places(t: pa.Table) -> pa.Table:
     part = np.asarray(t.column("part"))
     out = []
     for p in np.unique(part):
-        hs, names, ids, keys, nums = [], [], [], [], []
+        hs, names, docs, owners, starts, runs = [], [], [], [], [], []
         for i in map(int, np.flatnonzero(part == p)):
             d = np.frombuffer(t.column("ids")[i].as_buffer(), np.int64)
             split = t.column("place")[i].as_buffer()
@@ -242,44 +241,49 @@ def _shared_places(t: pa.Table) -> pa.Table:
             per = place[: len(d)].astype(np.int64)
             hs.append(_join48(t.column("hash")[i].as_buffer()))
             names.append(_join48(t.column("name")[i].as_buffer()))
-            ids.append(np.repeat(d, per))
-            keys.append(np.repeat(np.frombuffer(t.column("keys")[i].as_buffer(), np.int64), per))
-            nums.append(place[len(d) :])
-        h = np.concatenate(hs)
+            owners.append(np.repeat(np.arange(len(d), dtype=np.int32) + sum(len(x) for x in docs[::2]), per))
+            docs += [d, np.frombuffer(t.column("keys")[i].as_buffer(), np.int64)]
+            starts.append(place[len(d) :])
+            runs.append(np.frombuffer(t.column("runs")[i].as_buffer(), np.uint8))
+        ids, keys = np.concatenate(docs[::2]), np.concatenate(docs[1::2])
+        h, name, owner, start, run = (np.concatenate(x) for x in (hs, names, owners, starts, runs))
+        del hs, names, owners, starts, runs
         order = np.argsort(h)
-        h = h[order]
-        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[heads, len(h)])
-        del h, hs
+        g = h[order]
+        heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        size = np.diff(np.r_[heads, len(g)])
+        del g
         # anchors of a single occurrence go first: most of them
         order = order[np.repeat(size > 1, size)]
         size = size[size > 1]
         if not len(size):
             continue
         heads = np.concatenate([[0], np.cumsum(size)[:-1]])
-        d, name, k, num = (np.concatenate(x)[order] for x in (ids, names, keys, nums))
+        h, name, owner, start, run = (x[order] for x in (h, name, owner, start, run))
+        d = ids[owner]
         least = np.minimum.reduceat(d, heads)
         both = least != np.maximum.reduceat(d, heads)
         one = np.minimum.reduceat(name, heads) == np.maximum.reduceat(name, heads)
         whole = np.repeat(both & one, size) & (d > np.repeat(least, size))
         unsure = np.repeat(both & ~one, size)
-        use = whole | unsure
-        d, k, num, unsure = d[use], k[use], num[use], unsure[use]
-        if not len(d):
+        use = np.flatnonzero(whole | unsure)
+        if not len(use):
             continue
-        order = np.lexsort((num, k, d))
-        d, k, num, unsure = d[order], k[order], num[order].astype(np.uint32), unsure[order]
-        heads = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
-        ends = np.r_[heads[1:], len(d)]
-        lists = [
-            pa.array([num[a:b][pick[a:b]].tobytes() for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())
-            for pick in (~unsure, unsure)
-        ]
-        out.append(pa.table([d[heads], k[heads], *lists], schema=_PLACES))
+        use = use[np.lexsort((start[use], owner[use]))]
+        h, name, owner, start, run, unsure = (x[use] for x in (h, name, owner, start, run, unsure))
+        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        lists = [[], []]
+        for x, y in zip(heads.tolist(), np.r_[heads[1:], len(owner)].tolist(), strict=True):
+            u = unsure[x:y]
+            w = ~u
+            lists[0].append(start[x:y][w].tobytes() + run[x:y][w].tobytes())
+            lists[1].append(start[x:y][u].tobytes() + run[x:y][u].tobytes() + _split48(h[x:y][u]) + _split48(name[x:y][u]))
+        own = owner[heads]
+        out.append(pa.table([ids[own], keys[own], *[pa.array(x, pa.binary()) for x in lists]], schema=_PLACES))
     return pa.concat_tables(out) if out else _PLACES.empty_table()
 
 
-def _contexts(unsure: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+def _contexts(unsure: DataFrame, length: int, with_text: bool) -> DataFrame:
     """Context of every run to be looked at: with the bytes and the least
     document of the chunk that has it, or without them every occurrence."""
     names = ["anchor", "name", "id", "ctx"] if with_text else ["anchor", "name", "id", "key", "at"]
@@ -288,34 +292,34 @@ def _contexts(unsure: DataFrame, length: int, gram: int, with_text: bool) -> Dat
 
     def run(batches):
         for b in batches:
-            ids, keys, places = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(3)
-            for lo, hi, buf, offs, doc, first, last, h in _runs_by_doc(b.column(2), length, gram):
-                want = _picked(doc, hi - lo, places[lo:hi])
-                doc, first, last, h = doc[want], first[want], last[want], h[want]
-                name, anchor, d = range_hashes(buf, first, last + length).view(np.int64), h.view(np.int64), ids[lo:hi][doc]
-                if with_text:
-                    order = np.lexsort((d, name, anchor))
-                    a, m = anchor[order], name[order]
-                    keep = order[np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])]] if len(order) else order
-                    raw = buf.tobytes()
-                    ctx = [raw[x : z + length] for x, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-                    cols = [anchor[keep], name[keep], d[keep], pa.array(ctx, pa.binary())]
-                else:
-                    cols = [anchor, name, d, keys[lo:hi][doc], first - offs[doc]]
-                yield from pa.table(cols, schema=schema).to_batches(max_chunksize=20_000)
+            anchor, name, at, ctx, rows = [], [], [], [], []
+            for i in range(b.num_rows):
+                raw = b.column(2)[i].as_py().encode() if with_text else b""
+                for blob in b.column(3)[i].as_py():
+                    n = len(blob) // 17
+                    start, runs = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint8, n, 4 * n)
+                    anchor.append(_join48(blob[5 * n : 11 * n]))
+                    name.append(_join48(blob[11 * n :]))
+                    at.append(start)
+                    rows.append(np.full(n, i))
+                    if with_text:
+                        ctx += [raw[x : x + z + length - 1] for x, z in zip(start.tolist(), runs.tolist(), strict=True)]
+            if not rows:
+                continue
+            rows = np.concatenate(rows)
+            anchor, name = np.concatenate(anchor).view(np.int64), np.concatenate(name).view(np.int64)
+            d = np.asarray(b.column(0))[rows]
+            if with_text:
+                order = np.lexsort((d, name, anchor))
+                a, m = anchor[order], name[order]
+                keep = order[np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])]]
+                cols = [anchor[keep], name[keep], d[keep], pa.array([ctx[i] for i in keep.tolist()], pa.binary())]
+            else:
+                cols = [anchor, name, d, np.asarray(b.column(1))[rows], np.concatenate(at).astype(np.int64)]
+            yield from pa.table(cols, schema=schema).to_batches(max_chunksize=20_000)
 
     ddl = {"anchor": "long", "name": "long", "id": "long", "ctx": "binary", "key": "long", "at": "long"}
-    return unsure.select("id", "key", "t", "unsure").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
-
-
-def _picked(doc: np.ndarray, ndocs: int, lists: pa.Array) -> np.ndarray:
-    """Marks the runs whose numbers a document's lists hold."""
-    want = np.zeros(len(doc), bool)
-    start = np.searchsorted(doc, np.arange(ndocs))
-    for i in range(ndocs):
-        for blob in lists[i].as_py() or ():
-            want[start[i] + np.frombuffer(blob, np.uint32)] = True
-    return want
+    return unsure.select("id", "key", "t" if with_text else F.lit(None).cast("string"), "unsure").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
 
 
 _VERDICT = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("runs", pa.binary()), ("least", pa.binary())])
@@ -376,38 +380,39 @@ def _ranges(length: int):
     return run
 
 
-def _strip(length: int, gram: int):
+def _strip(length: int):
     """Union of the ranges and whole runs of each text, and what is left of it."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 
     def run(batches):
         for b in batches:
-            ids, keys, ranges = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(4)
-            for lo, hi, buf, offs, doc, first, last, _ in _runs_by_doc(b.column(2), length, gram):
-                want = _picked(doc, hi - lo, b.column(3)[lo:hi])
-                step = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(step, first[want], 1)
-                np.add.at(step, last[want] + length, -1)
-                for i in range(hi - lo):
-                    for x in ranges[lo + i].as_py() or ():
-                        step[offs[i] + x["lo"]] += 1
-                        step[offs[i] + x["hi"]] -= 1
-                gone = np.cumsum(step[:-1]) > 0
-                rows = []
-                for i in range(hi - lo):
-                    g, t = gone[offs[i] : offs[i + 1]], buf[offs[i] : offs[i + 1]]
-                    spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
-                    rows.append((ids[lo + i], keys[lo + i], int(g.sum()), spans, hashlib.sha256(t[~g].tobytes()).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows = []
+            for i in range(b.num_rows):
+                raw = np.frombuffer(b.column(2)[i].as_py().encode(), np.uint8)
+                step = np.zeros(len(raw) + 1, np.int32)
+                for blob in b.column(3)[i].as_py() or ():
+                    n = len(blob) // 5
+                    lo = np.frombuffer(blob, np.uint32, n).astype(np.int64)
+                    np.add.at(step, lo, 1)
+                    np.add.at(step, lo + np.frombuffer(blob, np.uint8, n, 4 * n) + length - 1, -1)
+                for x in b.column(4)[i].as_py() or ():
+                    step[x["lo"]] += 1
+                    step[x["hi"]] -= 1
+                g = np.cumsum(step[:-1]) > 0
+                spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
+                rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), int(g.sum()), spans, hashlib.sha256(raw[~g].tobytes()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([],) * 5, schema, strict=True)], schema=schema)
 
     return run
 
 
 def repeated_passages(
     docs: DataFrame, scratch: Scratch, length: int = 50, gram: int = 20, doc_id: str = "doc_id", text: str = "text",
-    bytes_per_part: int = 20 << 20,
+    bytes_per_part: int = 10 << 20,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``."""
+    if not 8 <= gram <= length < gram + 255:
+        raise ValueError("gram must be at least 8, at most length, and length less than gram + 255")
     # a text is known by its id and a hash, since ids may repeat
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.xxhash64("t"))
     known = d.filter(F.col("id").isNotNull() & (F.octet_length("t") >= length))
@@ -420,10 +425,10 @@ def repeated_passages(
     unsure = places.filter(F.octet_length("unsure") > 0).groupBy("id", "key").agg(F.collect_list("unsure").alias("unsure"))
     unsure = unsure.select(F.col("id").alias("p_id"), F.col("key").alias("p_key"), "unsure")
     unsure = known.join(unsure, (F.col("id") == F.col("p_id")) & (F.col("key") == F.col("p_key"))).select("id", "key", "t", "unsure")
-    names = _contexts(unsure, length, gram, True).groupBy("anchor", "name", "ctx").agg(F.min("id").alias("id"))
+    names = _contexts(unsure, length, True).groupBy("anchor", "name", "ctx").agg(F.min("id").alias("id"))
     verdicts = names.repartition(parts, "anchor").mapInArrow(whole_partition(_verdicts(length), _VERDICT), "anchor long, name long, runs binary, least binary")
     verdicts = verdicts.select(F.col("anchor").alias("v_anchor"), F.col("name").alias("v_name"), "runs", "least")
-    seen = _contexts(unsure, length, gram, False)
+    seen = _contexts(places.filter(F.octet_length("unsure") > 0).select("id", "key", F.array("unsure").alias("unsure")), length, False)
     hits = seen.join(verdicts, (F.col("anchor") == F.col("v_anchor")) & (F.col("name") == F.col("v_name")))
     ranges = hits.select("id", "key", "at", "runs", "least").mapInArrow(_ranges(length), "id long, key long, lo long, hi long")
     ranges = ranges.select("id", "key", F.lit(None).cast("binary").alias("whole"), F.struct("lo", "hi").alias("range"))
@@ -431,7 +436,7 @@ def repeated_passages(
     marks = whole.union(ranges).groupBy("id", "key").agg(F.collect_list("whole").alias("whole"), F.collect_list("range").alias("ranges"))
     marks = marks.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"), "whole", "ranges")
     cut = known.join(marks, (F.col("id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))).select("id", "key", "t", "whole", "ranges")
-    cut = cut.mapInArrow(_strip(length, gram), "id long, key long, n_removed long, n_spans long, kept string").distinct()
+    cut = cut.mapInArrow(_strip(length), "id long, key long, n_removed long, n_spans long, kept string").distinct()
     cut = scratch.write(cut, batch_rows=2000).select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "n_removed", "n_spans", "kept")
     all_ = d.select("id", "key", F.octet_length("t").cast("bigint").alias("n_bytes"), F.sha2(F.col("t").cast("binary"), 256).alias("whole"))
     out = all_.join(cut, (F.col("id") == F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
