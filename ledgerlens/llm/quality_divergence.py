@@ -53,7 +53,7 @@ def _let(value: Column, body) -> Column:
 
 def repeated_window_words(words: Column, width: int = 3) -> Column:
     """Number of words inside ``width``-word windows that occur at least twice
-    in the text. Windows are compared as whole strings (words hold no space)."""
+    in the text. Windows are compared by 64-bit hashes within their text."""
 
     def covered(windows: Column) -> Column:
         marked = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -74,8 +74,7 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
         return F.when(distinct == F.size(windows), F.lit(0).cast("bigint")).otherwise(total)
 
     n = F.size(words)
-    parts = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)])
-    windows = F.transform(F.sequence(F.lit(0), n - width), parts)
+    windows = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     return F.when(n < width, F.lit(0).cast("bigint")).otherwise(_let(windows, covered))
 
 
@@ -107,7 +106,7 @@ def base_failed() -> Column:
 
 
 def learn_references(
-    docs: DataFrame, text: str = "text", lang: str = "lang", min_language_share: float = 0.01, min_word_share: float = 0.005,
+    docs: DataFrame, text: str = "text", lang: str = "lang", min_language_share: float = 0.01, min_word_share: float = 0.01,
 ) -> References:
     """Class counts and word counts per language over all of ``docs``. Word
     counts are summed map-side before the shuffle; only languages and words
@@ -119,11 +118,12 @@ def learn_references(
         chars = chars.withColumn(f"l{k}", F.translate(left, cs, "")).withColumn(name, F.length(left) - F.length(f"l{k}"))
         left = f"l{k}"
     chars = chars.withColumn("other", F.length(left)).withColumn("n", F.size(words_of(F.col("t"))))
-    totals = chars.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).filter("n > 0")
+    totals = chars.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).filter("n > 0").persist()
     everything = totals.agg(F.sum("n")).first()[0] or 0
     if not everything:
         return References((), {}, {})
     langs = {r["lang"]: r for r in totals.filter(F.col("n") >= min_language_share * everything).collect()}
+    totals.unpersist()
     counts = t.select("lang", F.explode(words_of(F.lower("t"))).alias("word")).groupBy("lang", "word").count()
     bar = F.lit(None).cast("double")
     for name, r in langs.items():
