@@ -3,6 +3,7 @@ shared folder, fresh column names, sizing, whole-partition Arrow functions."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,6 +81,7 @@ def whole_partition(fn: Callable[[pa.Table], pa.Table], schema: pa.Schema):
     only behind a repartition by key whose partition number follows the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what the worker's last task left in cycles
         kept = [b for b in batches if b.num_rows]
         if kept:
             table = pa.Table.from_batches(kept)

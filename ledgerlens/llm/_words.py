@@ -33,17 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _K)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 2)
-        for slot, base in enumerate((_K, _KINV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[slot] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse. Not kept between calls: a task's
+    globals are freed late, and these arrays are as long as the chunk."""
+    out = []
+    for base in (_K, _KINV):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, out=p))
+    return out[0], out[1]
 
 
 def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
