@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from numbers import Real
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import (
@@ -81,40 +81,40 @@ def customer_summary(df: DataFrame) -> DataFrame:
     fractional days over rows where both dates are set; it may be negative
     and is NULL when no row has both.
 
-    Plan: one scan, partial aggregate per profile, shuffle on the profile,
-    then a window sum per ``cid`` over the (already tiny) profile rows —
-    instead of the reference's self-join of the table with itself. The
-    final sort is by name and then by ``cid`` (dropped afterwards): the
-    reference leaves ties open, and the second key lets the range
-    partitioner split a name shared by very many customers (or the NULL
+    Plan: totals per ``cid`` joined to the distinct profiles. Both sides carry
+    a second, derived key, so both are shuffled for the join and AQE can split
+    a ``cid`` with very many profiles (a guest or sentinel customer); a window
+    per ``cid``, or a join that reuses the totals' partitioning, would keep it
+    in one task. The final sort is by name and then by ``cid`` (dropped
+    afterwards): the reference leaves ties open, and the second key lets the
+    range partitioner split a name shared by very many customers (or the NULL
     name) across tasks instead of sorting it in one.
     """
     delay = delay_micros("pay_date", "purchase_date")
     # The reference's equi-join on cid never matches a NULL cid, so such
     # rows (a broken key, see key_violations) yield no summary row.
     keyed = df.filter(F.col("cid").isNotNull())
-    profiles = keyed.groupBy("cid", "client_name", "age_group", "gender").agg(
-        F.count("tid").alias("_n"),
-        money_sum("net_amount").alias("_spent"),
+    totals = keyed.groupBy("cid").agg(
+        F.count("tid").alias("purchase_frequency"),
+        money_sum("net_amount").cast("decimal(20,2)").alias("total_spent"),
         F.sum(delay).alias("_delay"),
         F.count(delay).alias("_delay_n"),
     )
-    per_cid = Window.partitionBy("cid")
-    delay_n = F.sum("_delay_n").over(per_cid)
-    mean_delay = F.when(
-        delay_n > 0,
-        F.sum("_delay").over(per_cid).cast("double") / delay_n / F.lit(float(MICROS_PER_DAY)),
+    totals = totals.select(
+        F.col("cid").alias("_cid"),
+        F.xxhash64("cid").alias("_cid_key"),
+        "purchase_frequency",
+        "total_spent",
+        F.when(
+            F.col("_delay_n") > 0,
+            F.col("_delay").cast("double") / F.col("_delay_n") / F.lit(float(MICROS_PER_DAY)),
+        ).alias("avg_payment_delay"),
     )
+    profiles = keyed.select("cid", "client_name", "age_group", "gender").distinct()
     return (
-        profiles.select(
-            "cid",
-            "client_name",
-            "age_group",
-            "gender",
-            F.sum("_n").over(per_cid).alias("purchase_frequency"),
-            F.sum("_spent").over(per_cid).cast("decimal(20,2)").alias("total_spent"),
-            mean_delay.alias("avg_payment_delay"),
-        )
+        profiles.withColumn("_key", F.xxhash64("cid"))
+        .join(totals, (F.col("cid") == F.col("_cid")) & (F.col("_key") == F.col("_cid_key")))
+        .select("cid", "client_name", "age_group", "gender", "purchase_frequency", "total_spent", "avg_payment_delay")
         .orderBy(asc_sql("client_name"), asc_sql("cid"))
         .drop("cid")
     )

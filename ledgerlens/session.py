@@ -37,23 +37,24 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, checkpo
     return spark
 
 
-def recommended_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+def recommended_conf(input_bytes: int, total_cores: int, shuffled_bytes: int = 0) -> dict[str, str]:
     """Session settings for a scan of ``input_bytes`` on ``total_cores``.
 
-    * Scan splits of 256 MiB: a 100 TB table becomes ~400k tasks, each
-      far below executor memory.
-    * Shuffle partitions: enough for ~256 MiB each if the whole input were
-      shuffled (an upper bound — every aggregate here combines map-side
-      first), at least 2 waves of the cluster; AQE then coalesces the
-      small ones, so the setting is a ceiling, not a cost.
+    * Scan splits of 1 GiB: a 100 TB table becomes ~100k map tasks.
+    * Shuffle partitions: 2 waves of the cluster, or more where the bytes that
+      are really shuffled need it (every aggregate here combines map-side
+      first, so that is far less than the input). Every map task keeps a
+      status per shuffle partition, so their product is bounded here rather
+      than left to AQE, which coalesces only after it has been paid for.
     * AQE skew-join splitting: a key holding a third of the rows (a hot
       customer in the ``orders`` x ``customer`` join) is split into
       advisory-size pieces instead of landing in one task.
     """
     split = 256 * 1024 * 1024
-    partitions = max(2 * total_cores, -(-input_bytes // split))
+    scan = min(1 << 30, max(128 << 20, input_bytes // max(1, 4 * total_cores)))
+    partitions = max(2 * total_cores, -(-shuffled_bytes // split))
     return {
-        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.files.maxPartitionBytes": str(scan),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -63,6 +64,8 @@ def recommended_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
+        # a very large k is range-sorted instead of merged in one task
+        "spark.sql.execution.topKSortFallbackThreshold": "100000",
         # streaming state (one row per group; per customer name for the
         # loyalty ranking) kept off-heap and checkpointed incrementally
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE_STORE,

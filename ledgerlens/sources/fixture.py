@@ -22,11 +22,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.joins import broadcast_if_small
 from ledgerlens.schema import conform
 
 # The derived-column rules of the fixture view.
-PART_MODULUS = 200
 DISCOUNT_RATE = Decimal("0.10")
 AGE_SHIFT_FROM = "1998-01-01 00:00:00"
 
@@ -37,37 +35,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the fixture ``customer_transactions`` from ``orders``,
-    ``customer``, ``nation`` and ``part`` under ``sf_dir``.
-
-    Plan at scale: ``orders`` is the fact side and is never broadcast.
-    ``customer`` grows with the data and ``nation`` is a fixed dimension;
-    both joins are left to Spark's size rule (broadcast only when the
-    side's size from file statistics, or at run time AQE's measured size,
-    is under the threshold; otherwise a sort-merge join, where AQE splits
-    a hot customer). The part lookup is the one explicit broadcast, after
-    a row-count check: its join key is ``o_orderkey % 200``, so only part
-    keys in -199..199 can ever match. That pre-filter is pushed into the
-    scan and bounds the side by its key. Spark's file-size estimate cannot
-    see that bound, so without the hint a large ``part`` table would turn
-    the join into a 100 TB shuffle onto at most 200 distinct keys.
+    ``customer``, ``nation``, ``lineitem`` and ``part`` under ``sf_dir``.
+
+    Plan at scale: ``orders`` is the fact side. An order's category is the
+    type of its least part key in ``lineitem`` (one row per order after a
+    map-side combined aggregate); orders without lines have none. All joins
+    are left to Spark's size rule: broadcast only when a side's size is under
+    the threshold, a sort-merge join that AQE can split otherwise. Building
+    the view starts no job.
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    bound = PART_MODULUS - 1
-    part = broadcast_if_small(
-        read_table(spark, sf_dir, "part")
-        .select("p_partkey", "p_type")
-        .filter(F.col("p_partkey").between(-bound, bound)),
-        2 * bound + 1,
+    lines = (
+        read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"))
     )
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
 
     joined = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "inner")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "inner")
-        .join(part, F.col("p_partkey") == F.col("o_orderkey") % PART_MODULUS, "inner")
+        .join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(part, F.col("p_partkey") == F.col("l_partkey"), "left")
     )
     return conform(joined.select(*_derived_columns()))
 
@@ -147,5 +138,6 @@ SELECT o.o_custkey AS cid, o.o_orderkey AS tid,
   CASE WHEN o.o_custkey % 50 = 1 THEN concat('Customer#', lpad(CAST(o.o_custkey - 1 AS VARCHAR(20)), 9, '0')) ELSE c.c_name END AS client_name
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN part p ON p.p_partkey = o.o_orderkey % 200
+LEFT JOIN (SELECT l_orderkey, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+LEFT JOIN part p ON p.p_partkey = l.l_partkey
 """

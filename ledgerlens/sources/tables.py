@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.schema import CT_SCHEMA, conform
 
@@ -23,14 +24,20 @@ def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transactions_csv(spark: SparkSession, path: str, timestamp_format: str = CSV_TIMESTAMP_FORMAT) -> DataFrame:
-    """CSV file(s) with a header row, parsed with ``CT_SCHEMA``.
+    """CSV file(s) with a header row. Columns are found by their header names,
+    in any order, and parsed with the types of ``CT_SCHEMA``; a missing or
+    unknown column, or a file with another header, fails the load.
 
     Files are split by Spark across tasks (plain, uncompressed CSV is
     splittable), so one large file still loads in parallel.
     """
-    return (
-        spark.read.schema(CT_SCHEMA)
+    header = spark.read.option("header", True).csv(path).columns
+    if sorted(header) != sorted(CT_SCHEMA.names):
+        raise ValueError(f"CSV header {header} does not have the columns {CT_SCHEMA.names}")
+    return conform(
+        spark.read.schema(StructType([CT_SCHEMA[c] for c in header]))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .option("timestampNTZFormat", timestamp_format)
         .option("nullValue", "")
@@ -67,6 +74,7 @@ def jdbc_options(
         "upperBound": str(upper_bound),
         "numPartitions": str(num_partitions),
         "fetchsize": str(fetch_size),
+        "preferTimestampNTZ": "true",  # the columns carry no zone
     }
     opts.update({k: str(v) for k, v in extra.items()})
     return opts
@@ -161,11 +169,12 @@ def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", nu
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Result rows as JSON lines, one object per row (the reference's
-    response body shape). Decimals are written as JSON numbers."""
-    df.write.mode(mode).json(path)
+    response body shape). Decimals are written as JSON numbers; a NULL field
+    keeps its key."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as one JSON object string in column ``value``; stays a
     distributed DataFrame (nothing is collected)."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))

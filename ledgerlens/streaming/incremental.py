@@ -64,6 +64,8 @@ def transaction_stream(
             .option("mode", "FAILFAST")
             .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT)
             .option("nullValue", "")
+            .option("emptyValue", "")
+            .option("enforceSchema", False)  # a file with another column order fails
         )
     elif file_format != "parquet":
         raise ValueError("file_format must be 'parquet' or 'csv'")

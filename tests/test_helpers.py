@@ -34,7 +34,11 @@ def test_fallback_still_joins_correctly(spark):
 def test_recommended_conf_scales_with_input():
     tb = 100 * 10**12
     c = recommended_conf(tb, 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == -(-tb // (256 * 1024 * 1024))
+    assert int(c["spark.sql.shuffle.partitions"]) == 16_000
+    # every map task keeps a status per shuffle partition
+    maps = -(-tb // int(c["spark.sql.files.maxPartitionBytes"]))
+    assert maps * int(c["spark.sql.shuffle.partitions"]) <= 2 * 10**9
+    assert int(recommended_conf(tb, 8000, 10**13)["spark.sql.shuffle.partitions"]) == -(-(10**13) // (256 << 20))
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = recommended_conf(10**6, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
@@ -78,7 +82,7 @@ def test_apply_recommended_conf_keeps_launch_values(spark):
         applied = apply_recommended_conf(spark, 10**9, 8)
         # the test session set shuffle partitions at launch: kept
         assert "spark.sql.shuffle.partitions" not in applied
-        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 * 1024 * 1024)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(128 << 20)
     finally:
         for k, v in old.items():
             if v is None:

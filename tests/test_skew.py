@@ -17,7 +17,7 @@ HOT_CID = 1
 @pytest.fixture(scope="module")
 def hot_dir(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("hot_sf")
-    for t in ("customer", "nation", "part"):
+    for t in ("customer", "nation", "part", "lineitem"):
         os.symlink(os.path.join(SF01, f"{t}.parquet"), d / f"{t}.parquet")
     orders = spark.read.parquet(os.path.join(SF01, "orders.parquet"))
     hot = orders.withColumn(
@@ -71,3 +71,33 @@ def test_hot_customer_results_whole(spark, hot_dir):
     assert hot_rows in freqs
     top = top_loyal_customers(ct, 1, "purchase_frequency").first()
     assert top.purchase_frequency >= hot_rows
+
+
+def test_hot_customer_with_many_profiles_is_split(spark, hot_dir):
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    ct = transactions_from_tpch(spark, hot_dir)
+    names = F.when(F.col("cid") == HOT_CID, F.concat(F.lit("guest "), F.col("tid"))).otherwise(F.col("client_name"))
+    ct = ct.withColumn("client_name", names)
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = customer_summary(ct)
+        plan = _final_plan(got)
+        assert "Window" not in plan and "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    hot = ct.filter(F.col("cid") == HOT_CID).count()
+    rows = got.filter(F.col("client_name").startswith("guest ")).collect()
+    assert len(rows) == hot and {r.purchase_frequency for r in rows} == {hot}

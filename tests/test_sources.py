@@ -146,3 +146,26 @@ def test_stored_layout_splits_a_hot_location_and_customer(spark, tmp_path):
     files = sorted(glob.glob(os.path.join(path, "purchaselocation=HOT", "*.parquet")))
     sizes = [spark.read.parquet(f).count() for f in files]
     assert len(sizes) == 4 and max(sizes) < ct.count()
+
+
+def test_json_keeps_null_fields(spark, tmp_path):
+    from ledgerlens.sources.tables import to_json_rows, write_json
+
+    df = spark.createDataFrame([(None, 2), ("X", None)], "state string, total_sales int")
+    want = {'{"state":null,"total_sales":2}', '{"state":"X","total_sales":null}'}
+    assert {r.value for r in to_json_rows(df).collect()} == want
+    write_json(df, str(tmp_path / "out"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == want
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path, make_ct):
+    from ledgerlens.sources.tables import read_transactions_csv
+
+    ct = make_ct([{"gender": "Male", "age_group": "18-25"}])
+    cols = ["age_group", "gender", *[c for c in ct.columns if c not in ("age_group", "gender")]]
+    ct.select(*cols).write.option("header", True).csv(str(tmp_path / "csv"))
+    row = read_transactions_csv(spark, str(tmp_path / "csv")).first()
+    assert (row.gender, row.age_group) == ("Male", "18-25")
+    ct.drop("gender").write.option("header", True).csv(str(tmp_path / "less"))
+    with pytest.raises(ValueError):
+        read_transactions_csv(spark, str(tmp_path / "less"))
