@@ -155,7 +155,7 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
         h *= _U(0xD6E8FEB86659FD93)
         at += 8
     h = mix(h)
-    bits = _U(int(size).bit_length())
+    bits = _U(_PLACE_BITS)  # the same for every piece, so ties end alike
     key = ((h >> bits) << bits) | np.arange(size, dtype=np.uint64)
     span, m = 1, key
     while 2 * span <= w:
@@ -177,7 +177,21 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tu
     return doc[first], first, ends, h[anchor[first]]
 
 
-CHUNK = 1 << 20  # bytes of text looked at at once
+PIECE = 1 << 18  # bytes of text looked at at once: a longer text comes in pieces that overlap
+CHUNK = 2 << 20  # bytes of text whose anchors leave together
+_PLACE_BITS = 20
+
+
+def _pieces(col: pa.Array, length: int):
+    """(first row, first byte of its text, bytes, offsets) of whole short texts
+    or of a piece of a long one; every prefix start is in one piece."""
+    for lo, _, buf, offs in text_chunks(col, PIECE):
+        if len(buf) <= 2 * PIECE:
+            yield lo, 0, buf, offs
+            continue
+        for at in range(0, len(buf) - length + 1, PIECE):
+            part = buf[at : at + PIECE + length - 1]
+            yield lo, at, part, np.array([0, len(part)])
 
 
 _M48 = _U((1 << 48) - 1)
@@ -198,27 +212,36 @@ def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataF
     columns = ("ids", "keys", "hash", "name", "place", "runs")
     schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in columns]])
 
+    def leave(ids, keys, found):
+        doc, start, runs, h, name = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = []
+        for p in np.flatnonzero(cut[1:] > cut[:-1]):
+            o = order[cut[p] : cut[p + 1]]
+            d, row = np.unique(doc[o], return_inverse=True)
+            # which document: as counts, since entries are in document order
+            place = np.concatenate([np.bincount(row), start[o]]).astype(np.uint32)
+            split = (place & 0xFFFF).astype(np.uint16).tobytes() + (place >> 16).astype(np.uint16).tobytes()
+            rows.append((int(p), ids[d].tobytes(), keys[d].tobytes(), _split48(h[o]), _split48(name[o]), split, runs[o].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches):
         for b in batches:
             ids, keys = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo, hi, buf, offs in text_chunks(b.column(2), CHUNK):
+            found, size = [], 0
+            for lo, at, buf, offs in _pieces(b.column(2), length):
                 doc, first, last, h = anchor_runs(buf, offs, length, gram)
-                if not len(doc):
-                    continue
-                name = range_hashes(buf, first, last + length)
-                start, runs = first - offs[doc], (last - first + 1).astype(np.uint8)
-                part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = []
-                for p in np.flatnonzero(cut[1:] > cut[:-1]):
-                    o = order[cut[p] : cut[p + 1]]
-                    d, row = np.unique(doc[o], return_inverse=True)
-                    # which document: as counts, since entries are in document order
-                    place = np.concatenate([np.bincount(row), start[o]]).astype(np.uint32)
-                    split = (place & 0xFFFF).astype(np.uint16).tobytes() + (place >> 16).astype(np.uint16).tobytes()
-                    rows.append((int(p), ids[lo:hi][d].tobytes(), keys[lo:hi][d].tobytes(), _split48(h[o]), _split48(name[o]), split, runs[o].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                size += len(buf)
+                if len(doc):
+                    name = range_hashes(buf, first, last + length)
+                    found.append((doc + lo, first - offs[doc] + at, (last - first + 1).astype(np.uint8), h, name))
+                if found and size >= CHUNK:
+                    yield leave(ids, keys, found)
+                    found, size = [], 0
+            if found:
+                yield leave(ids, keys, found)
 
     return docs.select("id", "key", "t").mapInArrow(run, "part int, ids binary, keys binary, hash binary, name binary, place binary, runs binary")
 
