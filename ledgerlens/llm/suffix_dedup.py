@@ -214,7 +214,8 @@ def _anchor_blocks(docs: DataFrame, length: int, gram: int, parts: int) -> DataF
 
     def leave(ids, keys, found):
         doc, start, runs, h, name = (np.concatenate(x) for x in zip(*found, strict=True))
-        part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        # anchors are the least hashes around, so mostly small: hashed again, they spread over all parts
+        part = ((mix(h) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         rows = []
