@@ -346,6 +346,7 @@ def _contexts(unsure: DataFrame, length: int, with_text: bool) -> DataFrame:
     return unsure.select("id", "key", "t" if with_text else F.lit(None).cast("string"), "unsure").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
 
 
+SORT_BYTES = 1 << 20  # sorting takes some 100 times as many bytes of memory
 _VERDICT = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("runs", pa.binary()), ("least", pa.binary())])
 
 
@@ -363,8 +364,8 @@ def _verdicts(length: int):
         runs = [np.array([n - length + 1], np.uint32).tobytes() for n in size]
         least = [x.tobytes() for x in ids.astype(np.int64)]
         rows = np.flatnonzero(many)
-        # groups of anchors are independent: a few MB of text are sorted at a time
-        cut = np.searchsorted(np.cumsum(size[rows]), np.arange(4 << 20, int(size[rows].sum()) + (4 << 20), 4 << 20))
+        # groups of anchors are independent: about SORT_BYTES of text are sorted at a time
+        cut = np.searchsorted(np.cumsum(size[rows]), np.arange(SORT_BYTES, int(size[rows].sum()) + SORT_BYTES, SORT_BYTES))
         lo = 0
         for hi in np.unique(np.r_[cut, len(rows)]):
             hi = int(hi)
