@@ -31,13 +31,14 @@ def desc_sql(c) -> Column:
 
 
 def money_sum(c) -> Column:
-    """``SUM`` of a ``decimal(10,2)`` column: exact, ``decimal(20,2)``."""
-    return F.sum(_col(c))
+    """``SUM`` of a money column: exact, ``decimal(38,2)``, so that no group
+    of any size comes near the limit."""
+    return F.sum(_col(c).cast("decimal(28,2)"))
 
 
 def sum_if_true(flag, value) -> Column:
     """``SUM(CASE WHEN flag THEN value ELSE 0 END)``; NULL flag counts as false."""
-    return F.sum(F.when(_col(flag), _col(value)).otherwise(F.lit(0)))
+    return money_sum(F.when(_col(flag), _col(value)).otherwise(F.lit(0)))
 
 
 def count_true(flag) -> Column:

@@ -17,7 +17,7 @@ def discount_metrics():
     return [
         F.count("tid").alias("total_sales"),
         money_sum("net_amount").alias("total_revenue"),
-        sum_if_true("discount_availed", "net_amount").cast("decimal(20,2)").alias("revenue_with_discount"),
+        sum_if_true("discount_availed", "net_amount").alias("revenue_with_discount"),
         count_true("discount_availed").alias("discount_count"),
     ]
 

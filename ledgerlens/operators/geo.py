@@ -45,10 +45,10 @@ def product_counts_by_state(df: DataFrame, state: str | None = None) -> DataFram
 
 def sales_by_state(df: DataFrame) -> DataFrame:
     """``ROUND(SUM(net_amount))`` per location (half away from zero) ->
-    ``state, total_sales decimal(19,0)``; the NULL location is a group."""
+    ``state, total_sales decimal(38,0)``; the NULL location is a group."""
     return (
         df.groupBy(F.col("purchaselocation").alias("state"))
-        .agg(F.round(money_sum("net_amount"), 0).cast("decimal(19,0)").alias("total_sales"))
+        .agg(F.round(money_sum("net_amount"), 0).cast("decimal(38,0)").alias("total_sales"))
         .orderBy(asc_sql("state"))
     )
 
@@ -73,7 +73,7 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
     ``state IS NOT NULL`` for the join side, so the two aggregates differ
     and their exchanges cannot be reused.
     """
-    zero = F.lit(0).cast("decimal(19,0)")
+    zero = F.lit(0).cast("decimal(38,0)")
     dim = states.select("state", F.lit(True).alias("_in_dim"))
     s = sales.select(F.col("state").alias("_state"), F.coalesce(F.col("total_sales"), zero).alias("_v"))
     joined = dim.join(s, F.col("state") == F.col("_state"), "full_outer")
@@ -93,7 +93,7 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
 def heatmap_legend(sales: DataFrame) -> DataFrame:
     """Legend of the heatmap: ``min_sales``, ``mid_sales`` (the midpoint),
     ``max_sales`` over all sales groups, NULL totals read as 0."""
-    value = F.coalesce(F.col("total_sales"), F.lit(0).cast("decimal(19,0)"))
+    value = F.coalesce(F.col("total_sales"), F.lit(0).cast("decimal(38,0)"))
     bounds = sales.agg(F.min(value).alias("min_sales"), F.max(value).alias("max_sales"))
     return bounds.select(
         F.col("min_sales").cast("double").alias("min_sales"),

@@ -4,23 +4,35 @@
 * CSV — the reference's load format: header row, ISO timestamps,
   ``true``/``false``, empty field = NULL; always read with the fixed
   schema (never inferred) and FAILFAST, so a bad row fails the load.
-* JDBC — the reference's live table, read in parallel slices of ``tid``.
+* JDBC — the reference's live table, read in parallel slices of its key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ledgerlens.schema import CT_SCHEMA, conform
 
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
+# Directory column of the stored layout: the location behind a prefix, since a
+# directory without text would be read back as NULL.
+LOCATION_DIR = "location_dir"
+_DIR_PREFIX = "_"
+
+
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table with the fixed schema (column order and types)."""
-    return conform(spark.read.schema(CT_SCHEMA).parquet(path))
+    """Parquet table with the fixed schema (column order and types). In the
+    stored layout the location comes from the directory, so a filter on it
+    prunes directories."""
+    if LOCATION_DIR not in spark.read.parquet(path).columns:
+        return conform(spark.read.schema(CT_SCHEMA).parquet(path))
+    stored = StructType([f for f in CT_SCHEMA.fields if f.name != "purchaselocation"]).add(LOCATION_DIR, StringType())
+    df = spark.read.schema(stored).parquet(path)
+    return conform(df.withColumn("purchaselocation", F.substring(LOCATION_DIR, len(_DIR_PREFIX) + 1, 2**31 - 1)))
 
 
 def read_transactions_csv(spark: SparkSession, path: str, timestamp_format: str = CSV_TIMESTAMP_FORMAT) -> DataFrame:
@@ -80,23 +92,27 @@ def jdbc_options(
     return opts
 
 
-def key_bounds_query(table: str, column: str) -> str:
-    """The one-row query that gives a JDBC read its slice bounds."""
-    return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+def key_slices_query(table: str, num_partitions: int) -> str:
+    """First key of each of ``num_partitions`` slices with equally many rows,
+    in key order: ``(cid, tid)`` is the table's only index."""
+    return (
+        "SELECT cid, tid FROM (SELECT cid, tid, slice, ROW_NUMBER() OVER (PARTITION BY slice ORDER BY cid, tid) AS place "
+        f"FROM (SELECT cid, tid, NTILE({num_partitions}) OVER (ORDER BY cid, tid) AS slice FROM {table}) s) t "
+        "WHERE place = 1 AND slice > 1 ORDER BY cid, tid"
+    )
 
 
-def jdbc_key_bounds(spark: SparkSession, url: str, table: str = "customer_transactions", column: str = "tid", **extra) -> tuple[int, int]:
-    """``(min, max)`` of the slicing column, computed by the database (one
-    row comes back, however large the table)."""
-    row = (
-        spark.read.format("jdbc")
-        .options(url=url, query=key_bounds_query(table, column), **{k: str(v) for k, v in extra.items()})
-        .load()
-        .first()
-    )
-    if row is None or row["lo"] is None:
-        return 0, 0
-    return int(row["lo"]), int(row["hi"])
+def slice_predicates(starts: list[tuple[int, int]]) -> list[str]:
+    """One condition per slice; together they hold every row once. A customer
+    with very many rows is split on ``tid``."""
+    if not starts:
+        return ["1 = 1"]
+    # the plain bounds on cid let the database use its index
+    since = [f"cid >= {c} AND (cid > {c} OR tid >= {t})" for c, t in starts]
+    until = [f"cid <= {c} AND (cid < {c} OR tid < {t})" for c, t in starts]
+    whole = "cid IS NOT NULL AND tid IS NOT NULL"  # a NULL key is in the first slice only
+    middle = [f"{lo} AND {hi} AND {whole}" for lo, hi in zip(since, until[1:], strict=False)]
+    return [f"({until[0]}) OR cid IS NULL OR tid IS NULL", *middle, f"{since[-1]} AND {whole}"]
 
 
 def read_transactions_jdbc(
@@ -110,12 +126,18 @@ def read_transactions_jdbc(
     partition_column: str = "tid",
     **extra,
 ) -> DataFrame:
-    """Read the table over JDBC in ``num_partitions`` parallel slices of
-    ``partition_column``; bounds are asked from the database when not
-    given. Filters and the column list of later operators are pushed into
-    the remote query."""
+    """Read the table over JDBC in ``num_partitions`` parallel slices. Without
+    bounds, the database is asked for slices of equally many rows along its
+    ``(cid, tid)`` index (``num_partitions`` - 1 keys come back); with bounds,
+    slices are ranges of ``partition_column``. Filters and the column list of
+    later operators are pushed into the remote query."""
+    if num_partitions < 1:
+        raise ValueError("num_partitions must be >= 1")
     if lower_bound is None or upper_bound is None:
-        lower_bound, upper_bound = jdbc_key_bounds(spark, url, table, partition_column, **extra)
+        options = {"preferTimestampNTZ": "true", **{k: str(v) for k, v in extra.items()}}
+        keys = spark.read.format("jdbc").options(url=url, query=key_slices_query(table, num_partitions), **options).load()
+        starts = [(int(r["cid"]), int(r["tid"])) for r in keys.collect()] if num_partitions > 1 else []
+        return conform(spark.read.jdbc(url, table, predicates=slice_predicates(starts), properties={"fetchsize": "10000", **options}))
     opts = jdbc_options(
         url,
         table,
@@ -132,7 +154,8 @@ def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", nu
     """Write the table as Parquet in the layout the queries want.
 
     * ``num_files=n`` (the layout for a stored table): one directory per
-      location (``partitionBy("purchaselocation")``), so a per-state query
+      location (``partitionBy("location_dir")``, the location behind a
+      prefix; an empty location stays apart from NULL), so a per-state query
       reads only its directory (an exact partition filter). Inside, rows
       are range-partitioned into ``n`` tasks on (location, ``cid``, ``tid``)
       and sorted the same way, so each file covers a narrow range of
@@ -161,8 +184,10 @@ def write_transactions(df: DataFrame, path: str, mode: str = "errorifexists", nu
     (
         out.repartitionByRange(num_files, *keys)
         .sortWithinPartitions(*keys)
+        .withColumn(LOCATION_DIR, F.concat(F.lit(_DIR_PREFIX), "purchaselocation"))
+        .drop("purchaselocation")
         .write.mode(mode)
-        .partitionBy("purchaselocation")
+        .partitionBy(LOCATION_DIR)
         .parquet(path)
     )
 

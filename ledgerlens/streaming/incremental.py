@@ -21,6 +21,8 @@ over the stored table.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +89,8 @@ def _snapshot_writer(output_path: str, keep_last: int):
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_epoch_dir(output_path, epoch_id))
         for old in _snapshot_dirs(spark, output_path)[:-keep_last]:
-            _delete(spark, old)
+            if not old.endswith(f"/epoch={epoch_id:012d}"):
+                _delete(spark, old)
 
     return write
 
@@ -99,7 +102,8 @@ def _fs_and_path(spark: SparkSession, path: str):
 
 
 def _snapshot_dirs(spark: SparkSession, output_path: str) -> list[str]:
-    """Complete snapshot folders under ``output_path``, oldest first."""
+    """Complete snapshot folders under ``output_path``, oldest first by the
+    time they were completed: epoch numbers start again with a new checkpoint."""
     fs, root = _fs_and_path(spark, output_path)
     if not fs.exists(root):
         return []
@@ -107,9 +111,10 @@ def _snapshot_dirs(spark: SparkSession, output_path: str) -> list[str]:
     for st in fs.listStatus(root):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("epoch="):
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(st.getPath().toString())
-    return sorted(out)
+            done = st.getPath().suffix("/_SUCCESS")
+            if fs.exists(done):
+                out.append((fs.getFileStatus(done).getModificationTime(), st.getPath().toString()))
+    return [path for _, path in sorted(out)]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -153,7 +158,10 @@ def start_dashboard_stream(
         raise ValueError(f"{query!r} is not streamable; choose one of {sorted(STREAMABLE)}")
     stream = transaction_stream(spark, source_path, max_files_per_trigger, file_format)
     result = STREAMABLE[query](stream, **params)
-    checkpoint = checkpoint_location or shared_dir(spark, "streams", query)
+    # a stream is its query with its parameters, source and output: another one has state of its own
+    told = json.dumps([source_path, file_format, output_path, params], sort_keys=True, default=str)
+    own = hashlib.sha256(told.encode()).hexdigest()[:16]
+    checkpoint = checkpoint_location or shared_dir(spark, "streams", f"{query}-{own}")
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     if output_path is None:

@@ -77,6 +77,6 @@ def test_map_breakdowns_equal_the_separate_views(ct):
     prod = mb.filter("view = 'product'").selectExpr("state", "key AS produs", "produstotal")
     assert rows(prod) == rows(product_counts_by_state(ct))
     tot = mb.filter("view = 'state'").select(
-        "state", F.round("total_sales", 0).cast("decimal(19,0)").alias("total_sales")
+        "state", F.round("total_sales", 0).cast("decimal(38,0)").alias("total_sales")
     )
     assert rows(tot) == rows(sales_by_state(ct))

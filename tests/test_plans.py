@@ -59,7 +59,7 @@ def test_summary_joins_totals_to_profiles_without_a_window(table):
 def test_state_filter_and_columns_reach_the_scan(table):
     p = formatted(age_group_sales_by_state(table, "NATION_3"))
     # the stored layout has one directory per location: an exact partition filter
-    assert "PartitionFilters: [isnotnull(purchaselocation" in p and "= NATION_3)]" in p
+    assert "PartitionFilters: [isnotnull(location_dir" in p and "= NATION_3)]" in p
     read_schema = [line for line in p.splitlines() if line.startswith("ReadSchema")]
     assert read_schema and all("client_name" not in s and "pay_date" not in s for s in read_schema)
 

@@ -77,12 +77,31 @@ def test_json_sink(spark, tmp_path):
     assert isinstance(first["total_sales"], (int, float))
 
 
-def test_jdbc_bounds_query():
-    from ledgerlens.sources.tables import key_bounds_query
-
-    assert key_bounds_query("customer_transactions", "tid") == (
-        "SELECT MIN(tid) AS lo, MAX(tid) AS hi FROM customer_transactions"
+def test_jdbc_slices_hold_every_row_once():
+    """Both SQL texts run in DuckDB, over a table with a hot customer."""
+    import duckdb
+
+    from ledgerlens.sources.tables import key_slices_query, slice_predicates
+
+    db = duckdb.connect()
+    db.sql("CREATE TABLE ct AS SELECT CASE WHEN i % 3 = 0 THEN 7 ELSE i % 50 END AS cid, i AS tid FROM range(3000) t(i)")
+    starts = db.sql(key_slices_query("ct", 8)).fetchall()
+    counts = [db.sql(f"SELECT COUNT(*) FROM ct WHERE {p}").fetchall()[0][0] for p in slice_predicates(starts)]
+    assert counts == [375] * 8
+    db.sql("INSERT INTO ct VALUES (NULL, 1), (1, NULL), (NULL, NULL), (99, NULL)")
+    counts = [db.sql(f"SELECT COUNT(*) FROM ct WHERE {p}").fetchall()[0][0] for p in slice_predicates(starts)]
+    assert counts == [379] + [375] * 7
+    assert slice_predicates([]) == ["1 = 1"]
+
+
+def test_empty_location_is_not_null_in_the_stored_layout(spark, tmp_path):
+    ct = transactions_from_tpch(spark, SF001).withColumn(
+        "purchaselocation",
+        F.when(F.col("tid") % 4 == 0, F.lit("")).when(F.col("tid") % 4 == 1, F.lit(None)).when(F.col("tid") % 4 == 2, F.lit("007")).otherwise(F.lit("_")),
     )
+    path = str(tmp_path / "layout")
+    write_transactions(ct, path, num_files=3)
+    assert _sorted_rows(read_transactions_parquet(spark, path)) == _sorted_rows(ct)
 
 
 def test_jdbc_options():
@@ -119,7 +138,7 @@ def test_stored_layout_location_directories_and_customer_ranges(spark, tmp_path)
     ct = transactions_from_tpch(spark, SF001)
     path = str(tmp_path / "ct_layout")
     write_transactions(ct, path, num_files=4)
-    dirs = sorted(d for d in os.listdir(path) if d.startswith("purchaselocation="))
+    dirs = sorted(d for d in os.listdir(path) if d.startswith("location_dir="))
     assert len(dirs) == ct.select("purchaselocation").distinct().count()  # NULL gets its own directory
     for d in dirs:
         # within a location, files hold ordered cid ranges: neighbours may
@@ -132,7 +151,7 @@ def test_stored_layout_location_directories_and_customer_ranges(spark, tmp_path)
     assert _sorted_rows(back) == _sorted_rows(ct)
     q = back.filter(F.col("purchaselocation") == "NATION_3")
     plan = q._sc._jvm.PythonSQLUtils.explainString(q._jdf.queryExecution(), "formatted")
-    assert "PartitionFilters: [isnotnull(purchaselocation" in plan and "= NATION_3)" in plan
+    assert "PartitionFilters: [isnotnull(location_dir" in plan and "= NATION_3)" in plan
     with pytest.raises(ValueError):
         write_transactions(ct, str(tmp_path / "x"), num_files=0)
 
@@ -143,7 +162,7 @@ def test_stored_layout_splits_a_hot_location_and_customer(spark, tmp_path):
     ct = transactions_from_tpch(spark, SF001).withColumn("purchaselocation", F.lit("HOT")).withColumn("cid", F.lit(7).cast("bigint"))
     path = str(tmp_path / "ct_hot")
     write_transactions(ct, path, num_files=4)
-    files = sorted(glob.glob(os.path.join(path, "purchaselocation=HOT", "*.parquet")))
+    files = sorted(glob.glob(os.path.join(path, "location_dir=_HOT", "*.parquet")))
     sizes = [spark.read.parquet(f).count() for f in files]
     assert len(sizes) == 4 and max(sizes) < ct.count()
 

@@ -82,6 +82,26 @@ def test_snapshot_sink_and_restart(spark, landed, tmp_path):
     assert _rows(read_latest_snapshot(spark, out)) == first
 
 
+def test_streams_with_other_parameters_have_their_own_state(spark, landed, tmp_path):
+    ct = read_transactions_parquet(spark, landed)
+    states = [r[0] for r in ct.select("purchaselocation").dropna().distinct().orderBy("purchaselocation").limit(2).collect()]
+    for i, state in enumerate(states):
+        out = str(tmp_path / f"out{i}")
+        start_dashboard_stream(spark, landed, "age_group_sales_by_state", out, available_now=True, state=state).awaitTermination(300)
+        assert _rows(read_latest_snapshot(spark, out)) == _rows(STREAMABLE["age_group_sales_by_state"](ct, state=state))
+
+
+def test_new_checkpoint_on_an_old_output_serves_the_new_rows(spark, landed, tmp_path):
+    ct = read_transactions_parquet(spark, landed)
+    more, out = str(tmp_path / "more"), str(tmp_path / "out")
+    ct.repartition(3).write.parquet(more)
+    start_dashboard_stream(spark, more, "sales_by_state", out, str(tmp_path / "a"), available_now=True, max_files_per_trigger=1, keep_last=2).awaitTermination(300)
+    ct.limit(50).write.mode("append").parquet(more)
+    start_dashboard_stream(spark, more, "sales_by_state", out, str(tmp_path / "b"), available_now=True, keep_last=2).awaitTermination(300)
+    want = STREAMABLE["sales_by_state"](read_transactions_parquet(spark, more))
+    assert _rows(read_latest_snapshot(spark, out)) == _rows(want)
+
+
 def test_csv_landing_folder(spark, landed, tmp_path):
     csv_dir = str(tmp_path / "csv")
     (
