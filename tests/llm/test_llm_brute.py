@@ -342,6 +342,22 @@ def test_suffix_order():
             assert suffix_order(s).tolist() == want
 
 
+def test_passages_of_texts_longer_than_a_piece(spark):
+    """Repeats that lie over the border of two pieces, at different places of them."""
+    import random
+
+    from ledgerlens.llm.suffix_dedup import PIECE
+
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choices("abcdefghij klmnop", k=n))
+    shared, a, b = text(900), text(2 * PIECE + 5000), text(2 * PIECE + 5000)
+    rows = [(1, a[: PIECE - 400] + shared + a[PIECE:]), (2, b[: 2 * PIECE - 100] + shared + b[2 * PIECE :]), (3, text(300) + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = _rows(repeated_passages(docs, Scratch(spark, "t")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.passages(rows, 50), key=repr)
+    assert [r[2] >= 900 for r in sorted(got)] == [False, True, True]
+
+
 def test_passages(spark, edges, driver_rows):
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     for length, gram in ((50, 20), (24, 9), (11, 8)):
