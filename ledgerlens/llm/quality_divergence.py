@@ -26,7 +26,8 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ["lower", "upper", "digit", "mark", "symbol", "space", "other"]
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _MARKS = ".,;:!?'\"()-"
-_STEPS = [("space", WS), ("lower", _LOWER), ("upper", _LOWER.upper()), ("digit", "0123456789"), ("mark", _MARKS), ("symbol", SYMBOLS)]
+# the most frequent class first: each step reads only what the ones before it left
+_STEPS = [("lower", _LOWER), ("space", WS), ("upper", _LOWER.upper()), ("digit", "0123456789"), ("mark", _MARKS), ("symbol", SYMBOLS)]
 
 
 @dataclass(frozen=True)
@@ -161,8 +162,9 @@ def divergence(features: DataFrame, refs: References) -> DataFrame:
     f = features.withColumn("class_distance", F.when(F.length("q_text") > 0, _nearest(_shares(counts), refs.classes)))
     if not refs.common:
         return f.withColumn("word_distance", F.lit(None).cast("double"))
-    # every word between two spaces of its own, so that one replace() counts it
-    padded = F.concat(F.lit(" "), F.array_join(F.transform("q_words", lambda w: w), "  "), F.lit(" "))
+    # the common words only, each between two spaces of its own, so that one replace() counts it
+    seen = F.filter("q_words", lambda w: F.lower(w).isin(list(refs.common)))
+    padded = F.concat(F.lit(" "), F.array_join(seen, "  "), F.lit(" "))
     keys = F.array(*[F.lit(f" {w} ") for w in refs.common])
 
     def histogram(s: Column) -> Column:
