@@ -19,8 +19,12 @@ from ledgerlens.llm.source_mixing import mix_sources
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the rules reject go. The row number keeps the optimizer
+    from moving the filter below the features: the verdict would be computed
+    there from the raw text, with every shared expression written out again."""
+    row = fresh(docs, "row_no")
+    judged = quality(docs).withColumn(row, F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
