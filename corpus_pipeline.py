@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm._shared import Scratch, fresh
 from ledgerlens.llm.best_fit_packing import best_fit
-from ledgerlens.llm.pii_bootstrap import learn_patterns, mask
+from ledgerlens.llm.pii_bootstrap import mask, pattern_table
 from ledgerlens.llm.quality_divergence import quality
 from ledgerlens.llm.queries import MAX_REPEATS
 from ledgerlens.llm.shingle_join import jaccard_components
@@ -48,7 +48,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    return mask(docs, learn_patterns(docs, Scratch(spark, "pipeline-pii"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mask(docs, pattern_table(docs, Scratch(spark, "pipeline-pii"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ share of its instances that are believed, an instance's is the noisy-or of its
 patterns), and patterns of high confidence mark identifiers that no fixed
 pattern knows. Base spans always stay.
 
+Accepted patterns are a table of any length. Up to ``BROADCAST_PATTERNS`` of
+them (counted first) travel to the tasks; more are joined to the contexts of
+the candidates, and the hits go back to their texts.
+
 Defined cases: NULL text is empty and has no spans; rows are judged one by one
 (repeated rows, equal or NULL ids); ties between spans go by start, then kind;
 an empty table gives an empty result; other columns are ignored.
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._shared import Scratch
+from ledgerlens.llm._shared import Scratch, fresh
 
 # The kinds in order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,6 +42,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _EDGES = ".,;:!?()[]{}<>\"'|"
 
+# so many patterns are sent to every task (some 200 bytes each); more are joined, with each pattern on SALTS tasks
+BROADCAST_PATTERNS = 10_000
+SALTS = 16
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -135,14 +143,12 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def learn_patterns(
-    docs: DataFrame, scratch: Scratch, text: str = "text", rounds: int = 3, min_confidence: float = 0.8,
-    min_instances: int = 5, max_patterns: int = 10_000,
-) -> dict[str, int]:
-    """Pattern -> kind. Mentions of the whole corpus are counted map-side and
-    summed; scores travel along the edges of the (pattern, instance) graph as
-    joins of aggregates. Only accepted patterns reach the driver, the best
-    ``max_patterns`` at most (the size of the model)."""
+def pattern_table(
+    docs: DataFrame, scratch: Scratch, text: str = "text", rounds: int = 3, min_confidence: float = 0.8, min_instances: int = 5,
+) -> DataFrame:
+    """Every accepted pattern once, with its surest kind. Mentions of the whole
+    corpus are counted map-side and summed; scores travel along the edges of
+    the (pattern, instance) graph as joins of aggregates."""
     edges = docs.select(F.col(text).alias("t")).mapInArrow(_mentions, "pattern string, instance string, kind int, n long")
     edges = edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"))
     # patterns with too few different instances can never be accepted
@@ -162,11 +168,16 @@ def learn_patterns(
         new = unseen.join(accepted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
         seeds = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
         believed = scratch.write(seeds.union(new))
-    rows = accepted.orderBy(F.desc("confidence"), "pattern", "kind").limit(max_patterns).collect()
-    out: dict[str, int] = {}
-    for r in rows:
-        out.setdefault(r["pattern"], r["kind"])
-    return out
+    return scratch.write(accepted.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind"))).alias("kind")))
+
+
+def learn_patterns(docs: DataFrame, scratch: Scratch, text: str = "text", **limits) -> dict[str, int]:
+    """``pattern_table`` as a dictionary on the driver, for small corpora."""
+    return _collected(pattern_table(docs, scratch, text, **limits))
+
+
+def _collected(patterns: DataFrame) -> dict[str, int]:
+    return {r["pattern"]: r["kind"] for r in patterns.collect()}
 
 
 def extra_spans(t: str, spans: list[Span], patterns: dict[str, int]) -> list[Span]:
@@ -183,15 +194,66 @@ def _join(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def find_spans(docs: DataFrame, patterns: dict[str, int], text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans."""
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
+_SPANS = "array<struct<a:bigint,k:int,b:bigint>>"
+
+
+def _hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """h_key (SHA-256 of a text ``t``) and its extra spans, by a join of the
+    contexts of its candidates with the patterns."""
+    schema = pa.schema([("key", pa.string()), ("salt", pa.int32()), ("pattern", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for x in b.column(0):
+                t = x.as_py() or ""
+                if not _ANY.search(t):
+                    continue
+                digest = hashlib.sha256(t.encode())
+                for a, e in _others(t, base_spans(t)):
+                    for p in _context(t, a, e):
+                        for c, v in zip(cols, (digest.hexdigest(), (digest.digest()[0] + a) % SALTS, p, a, e), strict=True):
+                            c.append(v)
+            yield from pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema).to_batches(max_chunksize=20_000)
+
+    found = texts.select("t").mapInArrow(run, "key string, salt int, pattern string, a long, b long")
+    # a hot pattern meets its candidates on SALTS tasks
+    salted = patterns.select(F.col("pattern").alias("p"), F.col("kind").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    found = found.join(salted, (F.col("pattern") == F.col("p")) & (F.col("salt") == F.col("s")))
+    found = found.groupBy("key", "a", "b").agg(F.min("k").alias("k"))
+    return found.groupBy(F.col("key").alias("h_key")).agg(F.collect_list(F.struct("a", "k", "b")).alias("h_spans"))
+
+
+def find_spans(docs: DataFrame, patterns: dict[str, int] | DataFrame, text: str = "text", most: int = BROADCAST_PATTERNS) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans. A
+    table of more than ``most`` patterns is joined instead of sent to the tasks."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("t"))
+    if isinstance(patterns, dict):
+        return _find_here(d, patterns).drop("key")
+    if patterns.count() <= most:
+        return _find_here(d, _collected(patterns)).drop("key")
+    base = _find_here(d, {}, keyed=True)
+    out = base.join(_hits(d, patterns), F.col("key") == F.col("h_key"), "left")
+    one = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.split(x, ":"))
+    kind = lambda x: (F.array_position(F.array(*[F.lit(n) for n in KINDS]), x) - 1).cast("int")
+    spans = F.transform(one, lambda x: F.struct(x[1].cast("bigint").alias("a"), kind(x[0]).alias("k"), x[2].cast("bigint").alias("b")))
+    spans = F.array_sort(F.concat(spans, F.coalesce("h_spans", F.array().cast(_SPANS))))
+    names = F.array(*[F.lit(n) for n in KINDS])
+    joined = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["a"].cast("string"), x["b"].cast("string"))), ",")
+    return out.withColumn("spans", joined).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+
+
+def _find_here(d: DataFrame, patterns: dict[str, int], keyed: bool = False) -> DataFrame:
+    """Spans with patterns that every task holds; ``keyed``: with the text's SHA-256."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("key", pa.string())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
-            digests, joined = [], []
+            digests, joined, keys = [], [], []
             for x in b.column(1):
                 t = x.as_py() or ""
                 base = base_spans(t)
@@ -199,31 +261,56 @@ def find_spans(docs: DataFrame, patterns: dict[str, int], text: str = "text") ->
                     counts[k].append(sum(s[1] == k for s in base) if base else 0)
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest() if base else none)
                 joined.append(_join(base + extra_spans(t, base, patterns)) if base or patterns and _ANY.search(t) else "")
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(joined, pa.string())], schema=schema)
+                keys.append(hashlib.sha256(t.encode()).hexdigest() if keyed else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(keys, pa.string())],
+                schema=schema,
+            )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    )
+    return d.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, key string")
 
 
-def mask(docs: DataFrame, patterns: dict[str, int], text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, patterns: dict[str, int] | DataFrame, text: str = "text", most: int = BROADCAST_PATTERNS) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, ``[email]``;
     of overlapping spans the first is named and the rest of them goes with it."""
+    if not isinstance(patterns, dict) and patterns.count() > most:
+        return _mask_joined(docs, patterns, text)
+    known = patterns if isinstance(patterns, dict) else _collected(patterns)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([_masked(x.as_py(), patterns) for x in b], pa.string())
+            yield pa.array([_masked(x.as_py(), known) for x in b], pa.string())
 
     return docs.withColumn(text, run(F.col(text)))
 
 
+def _mask_joined(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
+    hits = _hits(docs.select(F.col(text).alias("t")), patterns)
+    key, more = fresh(docs, "h_key"), fresh(docs, "h_spans")
+    hits = hits.select(F.col("h_key").alias(key), F.col("h_spans").alias(more))
+    out = docs.join(hits, F.sha2(F.encode(F.col(text), "UTF-8"), 256) == F.col(key), "left")
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, extra in batches:
+            spans = ([(s["a"], s["k"], s["b"]) for s in x.as_py() or ()] for x in extra)
+            yield pa.array([_replaced(t.as_py(), e) for t, e in zip(texts, spans, strict=True)], pa.string())
+
+    return out.withColumn(text, run(F.col(text), F.col(more))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _masked(t: str | None, patterns: dict[str, int]) -> str | None:
     if not t or not _ANY.search(t):
         return t
-    spans = base_spans(t)
+    return _replaced(t, extra_spans(t, base_spans(t), patterns))
+
+
+def _replaced(t: str | None, extra: list[Span]) -> str | None:
+    if not t or not _ANY.search(t):
+        return t
     out, at = [], 0
-    for a, k, b in sorted(spans + extra_spans(t, spans, patterns)):
+    for a, k, b in sorted(base_spans(t) + extra):
         if a >= at:
             out += [t[at:a], f"[{KINDS[k]}]"]
         at = max(at, b)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm.best_fit_packing import best_fit
 from ledgerlens.llm.lm_scoring import stupid_backoff
-from ledgerlens.llm.pii_bootstrap import find_spans, learn_patterns
+from ledgerlens.llm.pii_bootstrap import find_spans, pattern_table
 from ledgerlens.llm.pstable_dedup import near_vectors
 from ledgerlens.llm.quality_divergence import quality
 from ledgerlens.llm.shingle_join import jaccard_components
@@ -67,7 +67,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return find_spans(docs, learn_patterns(docs, Scratch(spark, "op7")))
+    return find_spans(docs, pattern_table(docs, Scratch(spark, "op7")))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
