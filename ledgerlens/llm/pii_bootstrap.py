@@ -41,6 +41,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _EDGES = ".,;:!?()[]{}<>\"'|"
+_GROUP = re.compile(r"\+?[0-9][0-9().+/-]*")
+_BETWEEN = (" ", ") ", " (", ") (")
 
 # so many patterns are sent to every task (some 200 bytes each); more are joined, with each pattern on SALTS tasks
 BROADCAST_PATTERNS = 10_000
@@ -110,7 +112,11 @@ def _norm(w: str) -> str:
 
 
 def _others(t: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens (at least six digits, or ``@``) outside all spans."""
+    """Tokens that hold a digit or ``@``, outside all spans; groups of digits
+    with one space between them (``020 7946 0958``) are one candidate. The
+    patterns decide, not the number of digits."""
+    start, end = -1, -1
+    at, ends = 0, sorted((s, e) for s, _, e in spans)
     for m in _TOKEN.finditer(t):
         if not _ANY.search(m.group()):
             continue
@@ -119,9 +125,33 @@ def _others(t: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
             a += 1
         while b > a and t[b - 1] in _EDGES:
             b -= 1
-        w = t[a:b]
-        if (sum(c.isdigit() for c in w) >= 6 or "@" in w) and not any(s < b and a < e for s, _, e in spans):
+        while at < len(ends) and ends[at][1] <= a:
+            at += 1
+        if a == b or any(s < b and a < e for s, e in _from(ends, at, b)):
+            continue
+        group = _GROUP.fullmatch(t, a, b) is not None
+        if group and start >= 0 and t[end:a] in _BETWEEN:
+            # a bracket that closes after the first group belongs to the number
+            if t[end] == ")" and start and t[start - 1] == "(" and ")" not in t[start:end]:
+                start -= 1
+            end = b
+            continue
+        if start >= 0:
+            yield start, end
+            start = -1
+        if group:
+            start, end = a, b
+        else:
             yield a, b
+    if start >= 0:
+        yield start, end
+
+
+def _from(spans: list[tuple[int, int]], at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans from place ``at`` on that start before ``end``."""
+    while at < len(spans) and spans[at][0] < end:
+        yield spans[at]
+        at += 1
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,3 +31,14 @@ def test_patterns_past_the_ten_thousandth_are_used(spark):
     docs = table.selectExpr("CAST(1 AS bigint) AS doc_id", "replace(pattern, '_', '1234567') AS text")
     got = find_spans(docs, table).collect()
     assert len(got) == pii_bootstrap.BROADCAST_PATTERNS + 1 and all(r.spans.startswith("phone:") for r in got)
+
+
+def test_grouped_numbers_and_short_identifiers_are_candidates(spark):
+    rng = random.Random(3)
+    texts = _calls(rng, 40) + ["please call 020 7946 0958 today", "please call AB12345 today", "please call (020) 7946-0958, 15 times", "sold 12 of 20 7 times"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = pattern_table(docs, Scratch(spark, "t"))
+    got = {r.doc_id: r.spans for r in find_spans(docs, table).collect()}
+    assert [got[40 + k] for k in range(4)] == ["phone:12:25", "phone:12:19", "phone:12:27", ""]
+    assert got == {r.doc_id: r.spans for r in find_spans(docs, table, most=0).collect()}
+    assert {r.doc_id: r.text for r in mask(docs, table).collect()}[40] == "please call [phone] today"
