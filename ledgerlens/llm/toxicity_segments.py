@@ -5,7 +5,10 @@ log-odds of toxic against clean documents under an informative Dirichlet
 prior. A linear-time scan (Ruzzo-Tompa) finds every maximal segment of a
 text's token scores; segments are calibrated as extreme values
 (Karlin-Altschul: E = K n exp(-lambda S)) and a document's evidence is the
-sum of -ln E over its significant segments, mapped to a probability.
+sum of -ln E over its significant segments, mapped to a probability. The scan
+scores every occurrence of a token, so every significant segment is found;
+only the evidence is damped: within a segment a token counts ``REPEATS``
+times, and so do segments of the same tokens within a text.
 
 The model is fitted on at most ``max_labelled`` labelled rows of each class,
 the first in hash order (a bounded sample; the bound is a parameter); scoring
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[^\W\d_]+"
 PREFIXES = (8, 7, 6, 5, 4, 3)
-REPEATS = 2  # occurrences of a token that count
+REPEATS = 2  # occurrences of a token in a segment, and of a set of tokens over segments, that count as evidence
 _TOKEN = re.compile(TOKEN)
 
 
@@ -82,29 +86,45 @@ def token_weight(word: str, weights: dict[str, float]) -> float:
     return w
 
 
-def passages(text: str, model: ToxicModel) -> tuple[list[tuple[int, int, float, float]], int]:
-    """(first token, end, score, E-value) of every maximal segment; number of tokens."""
+def _scan(text: str, model: ToxicModel) -> tuple[list[str], list[int], list[float], list[tuple[int, int, float, float]]]:
+    """Tokens, places and scores of those that count, and every maximal segment
+    (first token, end, score, E-value)."""
     toks = _TOKEN.findall(text.lower())
     cache: dict[str, float] = {}
-    seen: dict[str, int] = {}
     hits, vals = [], []
     for i, t in enumerate(toks):
         w = cache.get(t)
         if w is None:
             w = cache[t] = token_weight(t, model.weights)
         if w > 0:
-            # a text that repeats one word over and over says it only so often
-            seen[t] = seen.get(t, 0) + 1
-            if seen[t] <= REPEATS:
-                hits.append(i)
-                vals.append(w)
+            hits.append(i)
+            vals.append(w)
     n = max(1, len(toks))
-    return [(a, b, s, model.k * n * math.exp(-model.lam * s)) for a, b, s in maximal_segments(hits, vals, model.gap)], len(toks)
+    return toks, hits, vals, [(a, b, s, model.k * n * math.exp(-model.lam * s)) for a, b, s in maximal_segments(hits, vals, model.gap)]
+
+
+def passages(text: str, model: ToxicModel) -> tuple[list[tuple[int, int, float, float]], int]:
+    """(first token, end, score, E-value) of every maximal segment; number of tokens."""
+    toks, _, _, found = _scan(text, model)
+    return found, len(toks)
 
 
 def evidence(text: str | None, model: ToxicModel) -> float:
-    found, _ = passages(text or "", model)
-    return sum(-math.log(max(e, 1e-12)) for *_, e in found if e < 1)
+    """A text that repeats one word or passage over and over says it only so often."""
+    toks, hits, vals, found = _scan(text or "", model)
+    n = max(1, len(toks))
+    values: dict[frozenset[str], list[float]] = {}
+    for a, b, s, e in found:
+        if e >= 1:
+            continue
+        seen: dict[str, int] = {}
+        for k in range(bisect_left(hits, a), bisect_left(hits, b)):
+            t = toks[hits[k]]
+            seen[t] = seen.get(t, 0) + 1
+            if seen[t] > REPEATS:
+                s -= vals[k] - model.gap
+        values.setdefault(frozenset(seen), []).append(-math.log(max(model.k * n * math.exp(-model.lam * s), 1e-12)))
+    return sum(sum(v for v in sorted(x)[-REPEATS:] if v > 0) for x in values.values())
 
 
 def _sample(labels: DataFrame, max_labelled: int) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 from ledgerlens.llm import pii_bootstrap
 from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm.pii_bootstrap import find_spans, mask, pattern_table
+from ledgerlens.llm.quality_divergence import learn_references
+from ledgerlens.llm.toxicity_segments import ToxicModel, toxic_passages, toxicity
 
 
 def _calls(rng, n):
@@ -42,3 +44,23 @@ def test_grouped_numbers_and_short_identifiers_are_candidates(spark):
     assert [got[40 + k] for k in range(4)] == ["phone:12:25", "phone:12:19", "phone:12:27", ""]
     assert got == {r.doc_id: r.spans for r in find_spans(docs, table, most=0).collect()}
     assert {r.doc_id: r.text for r in mask(docs, table).collect()}[40] == "please call [phone] today"
+
+
+def test_words_from_half_a_percent_are_in_the_reference(spark):
+    words = ["often"] * 993 + ["seldom"] * 7
+    docs = spark.createDataFrame([(1, " ".join(words * 3), "en")], "doc_id long, text string, lang string")
+    assert set(learn_references(docs).common) == {"often", "seldom"}
+
+
+def test_toxic_passages_late_in_a_text_and_repeated_ones_are_found(spark):
+    model = ToxicModel({"bad": 6.0, "worse": 6.0, "worst": 6.0}, -0.05, 1.0, 0.1, -3.0, 1.0)
+    alone = "".join(f"{w} " + "x " * 800 for w in ("bad", "worse", "worst") * 2)
+    texts = [alone + "bad worse worst", ("bad worse worst " + "x " * 600) * 5, "bad " * 50, "bad " * 2, alone]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[], [], [], [], []]
+    for r in sorted(toxic_passages(docs, model).collect()):
+        got[r.doc_id].append((r.first_token, r.end_token))
+    assert got[0] == [(4806, 4809)] and got[1] == [(603 * k, 603 * k + 3) for k in range(5)] and got[2] == [(0, 50)]
+    found = {r.doc_id: r.evidence for r in toxicity(docs, model).collect()}
+    # repetition is damped in the evidence alone
+    assert found[0] > 0 and found[4] == 0 and 0 < found[2] <= found[3]
