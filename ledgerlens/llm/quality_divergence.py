@@ -3,8 +3,12 @@
 Each document's character-class histogram and its histogram of common words
 are compared with a reference for every language of the corpus by the
 Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts.
-References are sums over the whole corpus. Two guards keep short texts from
-being judged on too few words or characters.
+References are sums over the whole corpus. Documents of every language are
+compared with that of their own: references of languages with a share of the
+words are literals that all documents see, those of all others are a table
+joined on the language. A language of fewer than ``MIN_REFERENCE_WORDS`` words
+cannot be judged, and its documents are kept by the method. Two guards keep
+short texts from being judged on too few words or characters.
 
 Defined cases: NULL text has no words (and fails the base rules); a text
 without words has empty histograms, distance NULL and is kept by the method
@@ -30,16 +34,21 @@ _MARKS = ".,;:!?'\"()-"
 _STEPS = [("lower", _LOWER), ("space", WS), ("upper", _LOWER.upper()), ("digit", "0123456789"), ("mark", _MARKS), ("symbol", SYMBOLS)]
 
 
+MIN_REFERENCE_WORDS = 2_000
+
+
 @dataclass(frozen=True)
 class References:
-    """What the corpus teaches, bounded by construction: a language needs
-    ``min_language_share`` of all words (at most 1 / share languages) and a
-    common word ``min_word_share`` of its language's words (at most 1 / share
-    words a language)."""
+    """What the corpus teaches. ``words`` and ``classes`` hold the languages of
+    at least ``min_language_share`` of all words (at most 1 / share languages),
+    whose common words have ``min_word_share`` of the language's words (at most
+    1 / share words a language). ``rare`` has the same of every other language
+    of enough words, as a table; None where the corpus has no other language."""
 
     common: tuple[str, ...]
     words: dict[str, tuple[float, ...]]  # language -> shares of the common words, then of all others
     classes: dict[str, tuple[float, ...]]
+    rare: DataFrame | None = None  # r_lang, r_words, r_shares (of the words, then of all others), r_classes
 
 
 def words_of(text: Column) -> Column:
@@ -108,10 +117,12 @@ def base_failed() -> Column:
 
 def learn_references(
     docs: DataFrame, text: str = "text", lang: str = "lang", min_language_share: float = 0.01, min_word_share: float = 0.005,
+    min_reference_words: int = MIN_REFERENCE_WORDS,
 ) -> References:
     """Class counts and word counts per language over all of ``docs``. Word
     counts are summed map-side before the shuffle; only languages and words
-    above the two shares reach the driver (at most 100 and 200 each)."""
+    above the two shares reach the driver (at most 100 and 200 each), the other
+    languages stay a table."""
     t = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     chars = t
     left = "t"
@@ -119,12 +130,15 @@ def learn_references(
         chars = chars.withColumn(f"l{k}", F.translate(left, cs, "")).withColumn(name, F.length(left) - F.length(f"l{k}"))
         left = f"l{k}"
     chars = chars.withColumn("other", F.length(left)).withColumn("n", F.size(words_of(F.col("t"))))
-    totals = chars.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).filter("n > 0").persist()
-    everything = totals.agg(F.sum("n")).first()[0] or 0
+    totals = chars.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).filter("n > 0")
+    cached = totals.persist()
+    everything, n_langs = cached.agg(F.sum("n"), F.count("*")).first()
     if not everything:
+        cached.unpersist()
         return References((), {}, {})
-    langs = {r["lang"]: r for r in totals.filter(F.col("n") >= min_language_share * everything).collect()}
-    totals.unpersist()
+    enough = F.col("n") >= min_reference_words
+    langs = {r["lang"]: r for r in cached.filter(enough & (F.col("n") >= min_language_share * everything)).collect()}
+    cached.unpersist()
     counts = t.select("lang", F.explode(words_of(F.lower("t"))).alias("word")).groupBy("lang", "word").count()
     bar = F.lit(None).cast("double")
     for name, r in langs.items():
@@ -135,16 +149,29 @@ def learn_references(
     common = sorted(set().union(*found.values()))
     words = {name: tuple(q.get(w, 0.0) for w in common) + (max(0.0, 1 - sum(q.values())),) for name, q in found.items()}
     classes = {name: tuple(r[c] / max(1, sum(r[x] for x in CLASSES)) for c in CLASSES) for name, r in langs.items()}
-    return References(tuple(common), words, classes)
+    rare = None
+    if n_langs > len(langs):
+        others = ~F.col("lang").isin(list(langs))
+        size = totals.filter(others & enough)
+        total = sum((F.col(c) for c in CLASSES), F.lit(0))
+        shares = F.array(*[F.col(c) / F.greatest(F.lit(1), total) for c in CLASSES])
+        size = size.select(F.col("lang").alias("r_lang"), F.col("n").alias("r_n"), shares.alias("r_classes"))
+        own = counts.filter(others).join(size.select("r_lang", "r_n"), F.col("lang") == F.col("r_lang")).filter(F.col("count") >= min_word_share * F.col("r_n"))
+        own = own.groupBy(F.col("lang").alias("w_lang")).agg(F.sort_array(F.collect_list(F.struct("word", (F.col("count") / F.col("r_n")).alias("share")))).alias("w"))
+        rare = size.join(own, F.col("r_lang") == F.col("w_lang"), "left")
+        known = F.coalesce(F.col("w.share"), F.array().cast("array<double>"))
+        rest = F.greatest(F.lit(0.0), 1 - F.aggregate(known, F.lit(0.0), lambda a, x: a + x))
+        rare = rare.select("r_lang", F.coalesce("w.word", F.array().cast("array<string>")).alias("r_words"), F.concat(known, F.array(rest)).alias("r_shares"), "r_classes")
+    return References(tuple(common), words, classes, rare)
 
 
 def _shares(counts: Column) -> Column:
     return _let(counts, lambda c: _let(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), lambda n: F.transform(c, lambda x: x / n)))
 
 
-def _js_distance(p: Column, q: tuple[float, ...]) -> Column:
+def _js_distance(p: Column, q: tuple[float, ...] | Column) -> Column:
     """Jensen-Shannon distance of two aligned share arrays; 0 * log 0 is 0."""
-    ref = F.array(*[F.lit(float(x)) for x in q])
+    ref = q if isinstance(q, Column) else F.array(*[F.lit(float(x)) for x in q])
     half = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     terms = F.zip_with(p, ref, lambda a, b: (half(a, (a + b) / 2) + half(b, (a + b) / 2)) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
@@ -156,22 +183,47 @@ def _nearest(p: Column, refs: dict[str, tuple[float, ...]]) -> Column:
     return _let(p, lambda s: F.array_min(F.array(*[_js_distance(s, q) for _, q in sorted(refs.items())])))
 
 
-def divergence(features: DataFrame, refs: References) -> DataFrame:
-    """Adds class_distance and word_distance (NULL where there is nothing to compare)."""
-    counts = F.array(*[F.col(f"q_{c}").cast("double") for c in CLASSES])
-    f = features.withColumn("class_distance", F.when(F.length("q_text") > 0, _nearest(_shares(counts), refs.classes)))
-    if not refs.common:
-        return f.withColumn("word_distance", F.lit(None).cast("double"))
+def _class_counts() -> Column:
+    return F.array(*[F.col(f"q_{c}").cast("double") for c in CLASSES])
+
+
+def _word_shares(seen: Column, keys: Column) -> Column:
+    """Shares of the words in ``keys`` and of all others; ``seen`` are the
+    words of the text that may be among them."""
     # the common words only, each between two spaces of its own, so that one replace() counts it
-    seen = F.filter("q_words", lambda w: F.lower(w).isin(list(refs.common)))
     padded = F.concat(F.lit(" "), F.array_join(seen, "  "), F.lit(" "))
-    keys = F.array(*[F.lit(f" {w} ") for w in refs.common])
 
     def histogram(s: Column) -> Column:
         c = F.transform(keys, lambda w: (F.octet_length(s) - F.octet_length(F.replace(s, w, F.lit("")))) / F.octet_length(w))
         return _let(c, lambda k: F.concat(k, F.array(F.col("n_words") - F.aggregate(k, F.lit(0.0), lambda a, x: a + x))))
 
-    p = _shares(_let(F.lower(padded), histogram))
+    return _shares(_let(F.lower(padded), histogram))
+
+
+def divergence(features: DataFrame, refs: References, lang: str = "lang") -> DataFrame:
+    """Adds class_distance and word_distance (NULL where there is nothing to compare)."""
+    if refs.rare is None:
+        return _compared(features, refs)
+    # only documents of the other languages are joined, so a hot language is not shuffled
+    name = F.coalesce(F.col(lang), F.lit(""))
+    seen = F.lit(False) if not refs.classes else name.isin(list(refs.classes))
+    f = _compared(features.filter(~seen), refs).join(refs.rare, name == F.col("r_lang"), "left")
+    classes = F.when(F.length("q_text") > 0, _js_distance(_shares(_class_counts()), F.col("r_classes")))
+    keys = F.transform("r_words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    found = F.filter("q_words", lambda w: F.array_contains("r_words", F.lower(w)))
+    words = F.when((F.col("n_words") > 0) & (F.size("r_words") > 0), _js_distance(_word_shares(found, keys), F.col("r_shares")))
+    # without a reference of its own a language is not measured by the others'
+    nearest = lambda c, own: F.when(F.col("r_lang").isNotNull(), F.least(F.col(c), own))
+    f = f.withColumn("class_distance", nearest("class_distance", classes)).withColumn("word_distance", nearest("word_distance", words))
+    return _compared(features.filter(seen), refs).unionByName(f.drop("r_lang", "r_words", "r_shares", "r_classes"))
+
+
+def _compared(features: DataFrame, refs: References) -> DataFrame:
+    f = features.withColumn("class_distance", F.when(F.length("q_text") > 0, _nearest(_shares(_class_counts()), refs.classes)))
+    if not refs.common:
+        return f.withColumn("word_distance", F.lit(None).cast("double"))
+    seen = F.filter("q_words", lambda w: F.lower(w).isin(list(refs.common)))
+    p = _word_shares(seen, F.array(*[F.lit(f" {w} ") for w in refs.common]))
     return f.withColumn("word_distance", F.when(F.col("n_words") > 0, _nearest(p, refs.words)))
 
 
@@ -182,7 +234,7 @@ def quality(
     """``docs`` plus the base counts, base_failed, both distances and kept.
     A distance above its limit rejects only texts at least as long as its guard."""
     refs = refs or learn_references(docs, text, lang)
-    f = divergence(base_features(docs, text), refs)
+    f = divergence(base_features(docs, text), refs, lang)
     far_class = (F.length("q_text") >= min_chars) & (F.col("class_distance") > max_class_distance)
     far_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
     f = f.withColumn("base_failed", base_failed())

@@ -5,7 +5,7 @@ import random
 from ledgerlens.llm import pii_bootstrap
 from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm.pii_bootstrap import find_spans, mask, pattern_table
-from ledgerlens.llm.quality_divergence import learn_references
+from ledgerlens.llm.quality_divergence import learn_references, quality
 from ledgerlens.llm.toxicity_segments import ToxicModel, toxic_passages, toxicity
 
 
@@ -64,3 +64,20 @@ def test_toxic_passages_late_in_a_text_and_repeated_ones_are_found(spark):
     found = {r.doc_id: r.evidence for r in toxicity(docs, model).collect()}
     # repetition is damped in the evidence alone
     assert found[0] > 0 and found[4] == 0 and 0 < found[2] <= found[3]
+
+
+def test_rare_languages_are_judged_by_their_own_reference(spark):
+    rng = random.Random(6)
+    english = ["the", "of", "and", "house", "green", "walks", "under", "seven"]
+    russian = ["и", "в", "дом", "зелёный", "идёт", "под", "семь", "не"]
+    text = lambda v, n: " ".join(f"{rng.choice(v)}{rng.choice(v)}" if rng.random() < 0.6 else rng.choice(v) for _ in range(n))
+    rows = [(i, text(english, 2000), "en") for i in range(200)]
+    rows += [(1000 + i, text(russian, 200), "ru") for i in range(15)]  # 3,000 words, less than a hundredth
+    rows += [(2000, text(russian, 200), None), (2001, "#$% 12 " * 100, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").persist()
+    refs = learn_references(docs)
+    assert set(refs.classes) == {"en"} and [r.r_lang for r in refs.rare.collect()] == ["ru"]
+    got = {r.doc_id: r for r in quality(docs, refs).select("doc_id", "base_failed", "kept", "class_distance").collect()}
+    assert len(got) == len(rows) and all(r.kept or r.base_failed for i, r in got.items() if i != 2001)
+    assert sum(got[1000 + i].kept for i in range(15)) >= 14
+    assert got[2000].class_distance is None and not got[2001].kept and got[2001].class_distance > 0.28
