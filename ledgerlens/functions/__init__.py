@@ -12,6 +12,7 @@ from ledgerlens.functions.columns import (
     month_start,
     month_label,
 )
+from ledgerlens.functions.ordinal import number_rows
 
 __all__ = [
     "asc_sql",
@@ -24,4 +25,5 @@ __all__ = [
     "MICROS_PER_DAY",
     "month_start",
     "month_label",
+    "number_rows",
 ]

@@ -4,6 +4,7 @@ folder for anything that must outlive an executor."""
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -106,3 +107,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
             f"{CHECKPOINT_CONF} is not set; set it to a folder every executor can reach"
         )
     return os.path.join(base, *parts) if parts else base
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for tables that cut a lineage. A session on one
+    machine (``local`` masters, as in tests) that names none gets a folder of
+    its own; any other session without one raises, see :func:`shared_dir`."""
+    if not shared_dir_or_none(spark) and spark.sparkContext.master.startswith("local"):
+        own = tempfile.mkdtemp(prefix="ledgerlens-shared-")
+        spark.conf.set(CHECKPOINT_CONF, own)
+        spark.sparkContext.setCheckpointDir(own)
+    return shared_dir(spark)
