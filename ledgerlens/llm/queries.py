@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm.best_fit_packing import best_fit
+from ledgerlens.llm.fill_in_middle import fill_in_middle, restore
 from ledgerlens.llm.lm_scoring import stupid_backoff
 from ledgerlens.llm.pii_bootstrap import find_spans, pattern_table
 from ledgerlens.llm.pstable_dedup import near_vectors
@@ -82,10 +84,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"), Scratch(spark, "op10"), length=50)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transformed texts as digests, and the digests of the texts that are
+    put together from them again."""
+    d = fill_in_middle(_read(spark, sf_dir, "documents"), rate=50, spm_rate=80, seed=42)
+    return d.select(
+        "doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("fim_text"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_lm_scoring,
         op6_url_filters, op7_pii, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup,
+        op11_fill_in_middle,
     ]
     return {f.__name__: f for f in ops}
 
