@@ -16,6 +16,7 @@ from ledgerlens.llm.pii_bootstrap import find_spans, pattern_table
 from ledgerlens.llm.pstable_dedup import near_vectors
 from ledgerlens.llm.quality_divergence import quality
 from ledgerlens.llm.shingle_join import jaccard_components
+from ledgerlens.llm.source_audit import source_audit
 from ledgerlens.llm.source_mixing import mix_sources, token_count
 from ledgerlens.llm.suffix_dedup import repeated_passages
 from ledgerlens.llm.toxicity_segments import fit, toxicity
@@ -96,11 +97,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(_read(spark, sf_dir, "documents"), Scratch(spark, "op13"), min_docs=30, top=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_lm_scoring,
         op6_url_filters, op7_pii, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op13_source_divergence_audit,
     ]
     return {f.__name__: f for f in ops}
 
@@ -120,4 +125,58 @@ hit AS (
     row_number() OVER (PARTITION BY rid ORDER BY length(r_host || r_path) DESC, length(r_host) DESC, r_verdict DESC) AS k
   FROM p LEFT JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, COALESCE(r_verdict, 'allow') AS verdict FROM hit WHERE k = 1""",
+        "op11_fill_in_middle": r"""
+WITH u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)),
+h AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM u),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+         WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+part AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM part""",
+        "op13_source_divergence_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, COALESCE(text, '') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d),
+c AS (
+  SELECT lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term,
+    COUNT(*) AS n, COUNT(DISTINCT rid) AS df
+  FROM w GROUP BY ALL),
+k AS (SELECT lang, term, SUM(n) AS n FROM c GROUP BY lang, term HAVING SUM(df) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT g.lang, COUNT(k.term) AS v, COALESCE(SUM(k.n), 0) AS total FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k ON g.lang = k.lang GROUP BY g.lang),
+x AS (
+  SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, k.n AS lang_n,
+    SUM(COALESCE(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT x.lang, x.source, x.term, x.n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (x.n + 5) // (x.total + 5 * l.v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (x.lang_n + 5) // (l.total + 5 * l.v) AS BIGINT) AS q
+  FROM x JOIN l ON l.lang = x.lang),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(COALESCE(SUM(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+every AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
     }
