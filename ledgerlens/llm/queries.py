@@ -12,6 +12,7 @@ from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm.best_fit_packing import best_fit
 from ledgerlens.llm.fill_in_middle import fill_in_middle, restore
 from ledgerlens.llm.lm_scoring import stupid_backoff
+from ledgerlens.llm.merkle_fingerprints import half_edits, likeness, repeat_rows, to_text
 from ledgerlens.llm.pii_bootstrap import find_spans, pattern_table
 from ledgerlens.llm.pstable_dedup import near_vectors
 from ledgerlens.llm.quality_divergence import quality
@@ -97,6 +98,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = half_edits(_read(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+    digests = d.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        to_text(F.col("tree")).alias("fingerprint"), to_text(F.col("edited_tree")).alias("edited_fingerprint"),
+        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), likeness(F.col("tree"), F.col("next_tree")).alias("near_next"), "many",
+    )
+    return repeat_rows(digests, "many")
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(_read(spark, sf_dir, "documents"), Scratch(spark, "op13"), min_docs=30, top=50)
 
@@ -105,7 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_quality_rules, op2_embedding_near_dedup, op3_source_mixing, op4_toxicity, op5_lm_scoring,
         op6_url_filters, op7_pii, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup,
-        op11_fill_in_middle, op13_source_divergence_audit,
+        op11_fill_in_middle, op12_document_fingerprints, op13_source_divergence_audit,
     ]
     return {f.__name__: f for f in ops}
 
