@@ -129,10 +129,13 @@ def edited_paragraphs(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(found)
 
 
-def half_edits(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", **tree) -> DataFrame:
+def half_edits(
+    docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block_rows: int = 64, **tree
+) -> DataFrame:
     """Every row's text, its edited text and their trees: ``doc_id``, ``n_chars``,
     ``edited`` (the last half of the code points replaced by as many first ones,
-    or all, of the next document), ``tree``, ``edited_tree`` and ``next_tree``.
+    or all, of the next document), ``tree``, ``edited_tree``, ``next_tree`` and
+    ``many`` (how many rows this one stands for).
 
     The next document is the next one by descending id, NULL last; after the
     last comes the first. Rows with one id are ordered by the SHA-256 of their
@@ -141,43 +144,41 @@ def half_edits(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
 
     Numbers of the rows are made from ids and digests (``number_rows``). Texts
     are shuffled twice: equal rows are made one, map-side first, and meet their
-    numbers; then each text sends its first half under its own number and its
-    beginning under the number before it.
+    numbers; then ``block_rows`` neighbours meet in a block, each with only the
+    beginning that it or the row before it needs. The first row of a block also
+    goes to the block before.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("t"))
     base = base.withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.sha2("t", 256)))
     keys = base.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first(F.length("t")).alias("n"), F.count(F.lit(1)).alias("copies"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("key").asc()]
-    rows = scratch.write(number_rows(keys.select("key", "doc_id", "n", "copies"), order))
-    last = rows.count()
-    behind = rows.select((F.col("position") % F.lit(max(last, 1)) + 1).alias("after"), F.floor(F.col("n") / 2).cast("int").alias("wanted"))
+    rows = number_rows(keys.select("key", "doc_id", "n", "copies"), [F.col("doc_id").desc_nulls_last(), F.col("key").asc()])
+    last = F.lit(max(rows.count(), 1)).cast("bigint")
+    behind = rows.select((F.col("position") % last + 1).alias("after"), F.floor(F.col("n") / 2).cast("int").alias("wanted"))
     numbers = scratch.write(
         rows.join(behind, F.col("position") == F.col("after")).select(F.col("key").alias("k"), "position", "n", "copies", "wanted")
     )
     texts = base.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t"))
     d = fingerprints(texts.join(numbers, F.col("key") == F.col("k")), "t", "tree", **tree)
 
-    t, half = F.col("t"), F.floor(F.col("n") / 2).cast("int")
-    head = F.left(t, F.col("n") - half)
-    message = lambda to, kind, body, copies: F.struct(to.alias("to"), F.lit(kind).alias("kind"), body.alias("body"), copies.alias("many"))
-    one = F.lit(1).cast("bigint")
-    before = F.when(F.col("position") == 1, F.lit(last)).otherwise(F.col("position") - 1).cast("bigint")
-    own = message(F.col("position"), 0, head, one)
-    ahead = message(before, 1, F.left(t, F.col("wanted")), one)
-    # a copy that a copy follows needs no other row
-    again = message(F.col("position"), 2, F.concat(head, F.left(t, half)), F.col("copies") - 1)
-    sent = d.select("doc_id", "n", "tree", F.explode(F.when(F.col("copies") > 1, F.array(own, ahead, again)).otherwise(F.array(own, ahead))).alias("m"))
-    sent = sent.select("doc_id", "n", "tree", "m.*")
-    place = Window.partitionBy("to").orderBy(F.desc("kind"))
-    met = sent.select(
-        "doc_id", "n", "tree", "kind", "body", "many", F.lag("body").over(place).alias("tail"), F.lag("tree").over(place).alias("next_tree")
-    ).filter(F.col("kind") != 1)
-    copy = F.col("kind") == 2
-    out = met.select(
-        "doc_id", F.col("n").cast("bigint").alias("n_chars"), F.when(copy, F.col("body")).otherwise(F.concat("body", "tail")).alias("edited"),
-        "tree", F.when(copy, F.col("tree")).otherwise(F.col("next_tree")).alias("next_tree"), "many",
+    n, here = F.col("n"), F.col("position")
+    half = F.floor(n / 2).cast("int")
+    before = F.when(here == 1, last).otherwise(here - 1)
+    own = F.struct(here.alias("at"), F.lit(0).alias("extra"), F.greatest(n - half, F.col("wanted")).alias("size"))
+    ahead = F.struct(before.alias("at"), F.lit(1).alias("extra"), F.col("wanted").alias("size"))
+    d = d.withColumn("m", F.explode(F.when((here - 1) % block_rows == 0, F.array(own, ahead)).otherwise(F.array(own))))
+    sent = d.select(
+        "doc_id", "n", "copies", "tree", "m.at", "m.extra", F.left("t", F.col("m.size")).alias("body"),
+        F.floor((F.col("m.at") - 1) / block_rows).alias("block"),
     )
+    in_block = Window.partitionBy("block").orderBy("at", "extra")
+    met = sent.select("*", F.lead("body").over(in_block).alias("tail"), F.lead("tree").over(in_block).alias("next_tree"))
+    met = met.filter(F.col("extra") == 0)
+    head = F.left("body", n - half)
+    ends = F.struct(F.concat(head, F.left("tail", half)).alias("edited"), F.col("next_tree"), F.lit(1).cast("bigint").alias("many"))
+    again = F.struct(F.concat(head, F.left("body", half)).alias("edited"), F.col("tree").alias("next_tree"), (F.col("copies") - 1).alias("many"))
+    found = met.withColumn("found", F.explode(F.when(F.col("copies") > 1, F.array(ends, again)).otherwise(F.array(ends))))
+    out = found.select("doc_id", n.cast("bigint").alias("n_chars"), "found.edited", "tree", "found.next_tree", "found.many")
     return fingerprints(out, "edited", "edited_tree", **tree)
 
 

@@ -111,13 +111,14 @@ def test_an_edit_is_located(spark):
 
 def test_half_edits(spark):
     rows = edge_rows() + more_rows()
-    got = half_edits(_docs(spark, rows), Scratch(spark, "t"))
-    out = repeat_rows(got, "many", step=2).collect()
     want = []
     for d, t, e, other in plain_edits([r[:2] for r in rows]):
         want.append((d, len(t), e, plain_tree(t)[0], plain_tree(e)[0], plain_tree(other)[0]))
-    have = [(r.doc_id, r.n_chars, r.edited, r.tree.root, r.edited_tree.root, r.next_tree.root) for r in out]
-    assert sorted(have, key=repr) == sorted(want, key=repr)
+    for block in (64, 1, 7):
+        got = half_edits(_docs(spark, rows), Scratch(spark, "t"), block_rows=block)
+        out = repeat_rows(got, "many", step=2).collect()
+        have = [(r.doc_id, r.n_chars, r.edited, r.tree.root, r.edited_tree.root, r.next_tree.root) for r in out]
+        assert sorted(have, key=repr) == sorted(want, key=repr)
 
 
 def test_few_rows(spark):
