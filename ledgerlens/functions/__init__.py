@@ -4,6 +4,7 @@ from ledgerlens.functions.columns import (
     asc_sql,
     desc_sql,
     money_sum,
+    money_total,
     count_true,
     sum_if_true,
     exact_mean,
@@ -18,6 +19,7 @@ __all__ = [
     "asc_sql",
     "desc_sql",
     "money_sum",
+    "money_total",
     "count_true",
     "sum_if_true",
     "exact_mean",

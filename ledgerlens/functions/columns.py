@@ -30,10 +30,28 @@ def desc_sql(c) -> Column:
     return _col(c).desc_nulls_first()
 
 
+# Cents are summed as two whole numbers, of the bits above and below this one.
+_LOW_BITS = 20
+
+
 def money_sum(c) -> Column:
-    """``SUM`` of a money column: exact, ``decimal(38,2)``, so that no group
-    of any size comes near the limit."""
-    return F.sum(_col(c).cast("decimal(28,2)"))
+    """``SUM`` of a money column of up to ``decimal(12,2)``: exact,
+    ``decimal(38,2)``.
+
+    Rows and partial sums are two bigints (the cents' high and low bits), so
+    aggregation stays in long arithmetic, and is widened once per group at the
+    end. Each half has room for 2^43 rows of the greatest amount in a group.
+    """
+    cents = (_col(c).cast("decimal(12,2)") * F.lit(100)).cast("bigint")
+    high = F.sum(F.shiftright(cents, _LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(cents.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
+    total = high * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + low
+    return (total * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(38,2)")
+
+
+def money_total(c) -> Column:
+    """``SUM`` of money sums: partial results of :func:`money_sum`."""
+    return F.sum(_col(c).cast("decimal(38,2)"))
 
 
 def sum_if_true(flag, value) -> Column:

@@ -67,31 +67,18 @@ def _forecast(indexed: DataFrame, months_ahead: int) -> DataFrame:
     never predicts ``x = n``. With fewer than two points (or no spread in
     x) the line is undefined and the prediction is NaN.
 
-    The regression is a handful of exact sums over the monthly rows (the
-    closed form of least squares, so only the last few double operations
-    round); the forecast rows come from exploding a short array on that
-    single row, so there is no join at all.
+    The regression is Spark's own ``regr_slope`` and ``regr_intercept``: they
+    keep means and centred second moments, which are merged between partial
+    aggregates, so no large sums of squares cancel. The forecast rows come from
+    exploding a short array on that single row, so there is no join at all.
     """
-    y = F.col("total_cash_flow")
-    x = F.col("month_index").cast("bigint")
-    point = y.isNotNull()
-    # exact sums over the points: integers for x, decimals for y and x*y
-    sums = indexed.agg(
-        F.count(y).alias("m"),
-        F.sum(F.when(point, x)).alias("sx"),
-        F.sum(F.when(point, x * x)).alias("sxx"),
-        F.sum(y).alias("sy"),
-        F.sum(x.cast("decimal(20,0)") * y).alias("sxy"),
+    y = F.col("total_cash_flow").cast("double")
+    x = F.col("month_index").cast("double")
+    model = indexed.agg(
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
         F.count(F.lit(1)).alias("n"),
     )
-    # closed-form least squares; the only inexact steps are these few
-    # double operations on the exact sums, in a fixed order
-    m, sx, sxx = (F.col(c).cast("double") for c in ("m", "sx", "sxx"))
-    sy, sxy = F.col("sy").cast("double"), F.col("sxy").cast("double")
-    den = m * sxx - sx * sx
-    slope = F.when((F.col("m") >= 2) & (den != 0), (m * sxy - sx * sy) / den)
-    with_slope = sums.select("*", slope.alias("slope"))
-    model = with_slope.select("slope", ((sy - F.col("slope") * sx) / m).alias("intercept"), "n")
     ahead = model.select(
         "slope", "intercept", "n", F.explode(_ahead_rows(months_ahead)).alias("month_ahead")
     )

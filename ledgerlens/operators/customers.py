@@ -15,6 +15,7 @@ from ledgerlens.functions.columns import (
     delay_micros,
     desc_sql,
     money_sum,
+    money_total,
 )
 
 # The loyalty criteria the reference accepts (anything else
@@ -81,42 +82,62 @@ def customer_summary(df: DataFrame) -> DataFrame:
     fractional days over rows where both dates are set; it may be negative
     and is NULL when no row has both.
 
-    Plan: totals per ``cid`` joined to the distinct profiles. Both sides carry
-    a second, derived key, so both are shuffled for the join and AQE can split
-    a ``cid`` with very many profiles (a guest or sentinel customer); a window
+    The final sort is by name and then by ``cid`` (dropped afterwards): the
+    reference leaves ties open, and the second key lets the range partitioner
+    split a name shared by very many customers (or the NULL name) across tasks
+    instead of sorting it in one. See :func:`summary_rows` for the plan.
+    """
+    return summary_rows(df).orderBy(asc_sql("client_name"), asc_sql("cid")).drop("cid")
+
+
+def summary_rows(df: DataFrame) -> DataFrame:
+    """The rows of :func:`customer_summary` with their ``cid``, in no order.
+
+    Plan: the table is scanned and aggregated once, per profile; the totals of
+    a ``cid`` are sums over its profiles, and are joined back to them. Both
+    sides of the join come from one exchange, which is reused. Both carry a
+    second, derived key, so both are shuffled for the join and AQE can split a
+    ``cid`` with very many profiles (a guest or sentinel customer); a window
     per ``cid``, or a join that reuses the totals' partitioning, would keep it
-    in one task. The final sort is by name and then by ``cid`` (dropped
-    afterwards): the reference leaves ties open, and the second key lets the
-    range partitioner split a name shared by very many customers (or the NULL
-    name) across tasks instead of sorting it in one.
+    in one task.
+
+    Two things keep the exchange the same on both sides. The profile columns
+    come out of a generator, so a later filter on them stays above it instead
+    of reaching the scan of one side. And every measure is used on both sides:
+    the profile's own one where there were no total, which does not occur.
     """
     delay = delay_micros("pay_date", "purchase_date")
     # The reference's equi-join on cid never matches a NULL cid, so such
     # rows (a broken key, see key_violations) yield no summary row.
-    keyed = df.filter(F.col("cid").isNotNull())
-    totals = keyed.groupBy("cid").agg(
-        F.count("tid").alias("purchase_frequency"),
-        money_sum("net_amount").alias("total_spent"),
-        F.sum(delay).alias("_delay"),
-        F.count(delay).alias("_delay_n"),
+    profiles = (
+        df.filter(F.col("cid").isNotNull())
+        .groupBy("cid", "client_name", "age_group", "gender")
+        .agg(
+            F.count("tid").alias("n"),
+            money_sum("net_amount").alias("spent"),
+            F.sum(delay).alias("delay"),
+            F.count(delay).alias("delays"),
+        )
     )
-    totals = totals.select(
-        F.col("cid").alias("_cid"),
-        F.xxhash64("cid").alias("_cid_key"),
-        "purchase_frequency",
-        "total_spent",
-        F.when(
-            F.col("_delay_n") > 0,
-            F.col("_delay").cast("double") / F.col("_delay_n") / F.lit(float(MICROS_PER_DAY)),
-        ).alias("avg_payment_delay"),
+    totals = profiles.groupBy(F.col("cid").alias("_cid")).agg(
+        F.sum("n").alias("_n"),
+        money_total("spent").alias("_spent"),
+        F.sum(F.col("delay").cast("decimal(38,0)")).alias("_delay"),
+        F.sum("delays").alias("_delays"),
     )
-    profiles = keyed.select("cid", "client_name", "age_group", "gender").distinct()
-    return (
-        profiles.withColumn("_key", F.xxhash64("cid"))
-        .join(totals, (F.col("cid") == F.col("_cid")) & (F.col("_key") == F.col("_cid_key")))
-        .select("cid", "client_name", "age_group", "gender", "purchase_frequency", "total_spent", "avg_payment_delay")
-        .orderBy(asc_sql("client_name"), asc_sql("cid"))
-        .drop("cid")
+    totals = totals.withColumn("_cid_key", F.xxhash64("_cid"))
+    profile = F.explode(F.array(F.struct("client_name", "age_group", "gender"))).alias("profile")
+    rows = profiles.select("cid", F.xxhash64("cid").alias("_key"), "n", "spent", "delay", "delays", profile)
+    joined = rows.join(totals, (F.col("cid") == F.col("_cid")) & (F.col("_key") == F.col("_cid_key")))
+    n, spent, total_delay, delays = (F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("n", "spent", "delay", "delays"))
+    return joined.select(
+        "cid",
+        "profile.client_name",
+        "profile.age_group",
+        "profile.gender",
+        n.alias("purchase_frequency"),
+        spent.alias("total_spent"),
+        F.when(delays > 0, total_delay.cast("double") / delays / F.lit(float(MICROS_PER_DAY))).alias("avg_payment_delay"),
     )
 
 

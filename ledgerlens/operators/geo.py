@@ -61,7 +61,7 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
     0. ``intensity = (v - min) / (max - min)`` where min and max run over
     **all** sales groups (NULL and unmapped locations included, a NULL
     total read as 0); the scale is not clamped, so 0 can fall below the
-    minimum. When min = max the position is 0.5. Rounded to 6 places.
+    minimum. When min = max the position is 0.5.
 
     Plan: the table is scanned **once**. The per-location aggregate is
     full-outer-joined to the dimension, so every sales group (matched,
@@ -84,7 +84,7 @@ def state_heatmap(sales: DataFrame, states: DataFrame) -> DataFrame:
     span = (hi - lo).cast("double")
     intensity = F.when(span == 0, F.lit(0.5)).otherwise((v - lo).cast("double") / span)
     return (
-        joined.select("state", "_in_dim", v.alias("total_sales"), F.round(intensity, 6).alias("intensity"))
+        joined.select("state", "_in_dim", v.alias("total_sales"), intensity.alias("intensity"))
         .filter(F.col("_in_dim"))
         .drop("_in_dim")
     )

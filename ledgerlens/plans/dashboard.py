@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.charts import chart_series
-from ledgerlens.functions.columns import money_sum
+from ledgerlens.functions.columns import money_sum, money_total
 from ledgerlens.operators.customers import (
     classify_payers,
     customer_summary,
@@ -44,8 +44,8 @@ def customer_table(
 ) -> DataFrame:
     """Customer table page: summary -> payer class -> filters -> sort.
 
-    The demographic filters land above the per-customer window, on the
-    profile columns, so Catalyst applies them before the final sort.
+    The demographic filters land on the profile columns above the one shared
+    aggregate, before the join with the totals and the final sort.
     """
     summary = classify_payers(customer_summary(ct), threshold_days)
     return sort_customers(filter_customers(summary, age_group, gender), sort_by, ascending)
@@ -82,14 +82,27 @@ def state_product_chart(ct: DataFrame, state: str) -> DataFrame:
 
 
 def discount_breakdowns(ct: DataFrame) -> DataFrame:
-    """Gender and age-group breakdowns in **one** scan and one shuffle.
+    """Gender and age-group breakdowns in **one** scan.
 
-    ``GROUPING SETS ((gender), (age_group))`` computes both groupings from
-    the same partial aggregate; ``dimension`` tells the rows apart and
-    ``value`` holds the group's key (NULL keys stay NULL).
+    The table is grouped once, by both columns; ``GROUPING SETS ((gender),
+    (age_group))`` then run over that small result (genders x age groups), so
+    no transaction is doubled. ``dimension`` tells the rows apart and ``value``
+    holds the group's key (NULL keys stay NULL).
+
+    A stream keeps one aggregate only: there the grouping sets run over its
+    rows directly.
     """
-    grouped = ct.groupingSets([["gender"], ["age_group"]], "gender", "age_group").agg(
-        *discount_metrics(), F.grouping_id("gender", "age_group").alias("_gid")
+    finest, measures = ct, discount_metrics()
+    if not ct.isStreaming:
+        finest = ct.groupBy("gender", "age_group").agg(*discount_metrics())
+        measures = [
+            F.sum("total_sales").alias("total_sales"),
+            money_total("total_revenue").alias("total_revenue"),
+            money_total("revenue_with_discount").alias("revenue_with_discount"),
+            F.sum("discount_count").alias("discount_count"),
+        ]
+    grouped = finest.groupingSets([["gender"], ["age_group"]], "gender", "age_group").agg(
+        *measures, F.grouping_id("gender", "age_group").alias("_gid")
     )
     # grouping_id bit is 1 for a column rolled up: gender set -> 1, age set -> 2
     dimension = F.when(F.col("_gid") == 1, F.lit("gender")).otherwise(F.lit("age_group"))
@@ -105,26 +118,30 @@ def discount_breakdowns(ct: DataFrame) -> DataFrame:
 
 
 def map_breakdowns(ct: DataFrame) -> DataFrame:
-    """Every map view in **one** scan and one shuffle.
-
-    ``GROUPING SETS ((location, age_group), (location, category),
-    (location))``: the hover bar chart of each state (sales per age group),
-    its pie chart (product counts) and the per-state totals of the heatmap,
-    for all states at once, instead of two filtered queries per hovered
-    state plus one for the heatmap. Columns: ``view`` (``age_group``,
+    """Every map view in **one** scan.
+
+    The table is grouped once, by location, age group and category. ``GROUPING
+    SETS ((location, age_group), (location, category), (location))`` then run
+    over that small result, so no transaction is tripled: the hover bar chart
+    of each state (sales per age group), its pie chart (product counts) and the
+    per-state totals of the heatmap, for all states at once, instead of two
+    filtered queries per hovered state plus one for the heatmap. A stream keeps
+    one aggregate only: there the grouping sets run over its rows directly. Columns: ``view`` (``age_group``,
     ``product`` or ``state``), ``state``, ``key`` (the age group or the
     category; NULL on ``state`` rows), ``total_sales`` (exact sum; NULL on
     ``product`` rows; the heatmap shows it rounded) and ``produstotal``
     (count of the category; NULL on the other views).
     """
-    grouped = ct.groupingSets(
-        [["purchaselocation", "age_group"], ["purchaselocation", "product_category"], ["purchaselocation"]],
-        "purchaselocation",
-        "age_group",
-        "product_category",
+    keys = ["purchaselocation", "age_group", "product_category"]
+    finest, total, count = ct, money_sum("net_amount"), F.count("product_category")
+    if not ct.isStreaming:
+        finest = ct.groupBy(*keys).agg(total.alias("_part"), count.alias("_parts"))
+        total, count = money_total("_part"), F.sum("_parts")
+    grouped = finest.groupingSets(
+        [["purchaselocation", "age_group"], ["purchaselocation", "product_category"], ["purchaselocation"]], *keys
     ).agg(
-        money_sum("net_amount").alias("_sum"),
-        F.count("product_category").alias("_count"),
+        total.alias("_sum"),
+        count.alias("_count"),
         F.grouping_id("purchaselocation", "age_group", "product_category").alias("_gid"),
     )
     # grouping_id bits over (location, age_group, product_category); the

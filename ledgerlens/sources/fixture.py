@@ -39,10 +39,12 @@ def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Plan at scale: ``orders`` is the fact side. An order's category is the
     type of its least part key in ``lineitem`` (one row per order after a
-    map-side combined aggregate); orders without lines have none. All joins
-    are left to Spark's size rule: broadcast only when a side's size is under
-    the threshold, a sort-merge join that AQE can split otherwise. Building
-    the view starts no job.
+    map-side combined aggregate); orders without lines have none. Both sides
+    are grouped by their key, so Catalyst knows that they add no rows and drops
+    the two left joins, scans included, from every query that does not use the
+    category. All joins are left to Spark's size rule: broadcast only when a
+    side's size is under the threshold, a sort-merge join that AQE can split
+    otherwise. Building the view starts no job.
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
@@ -52,7 +54,7 @@ def transactions_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey"))
     )
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = read_table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.min("p_type").alias("p_type"))
 
     joined = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "inner")
@@ -113,6 +115,19 @@ def _derived_columns():
     ]
 
 
+def broken_keys_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys ``(cid, tid)`` of a load gone wrong: the fixture view's transactions
+    with some keys lost and some rows loaded again. Every 499th transaction has
+    no ``cid`` and every 503rd no ``tid`` (both NULL where both hold), every
+    211th comes twice and every 997th three times more."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("t"))
+    times = (
+        F.lit(1) + F.when(F.col("t") % 211 == 0, 1).otherwise(0) + F.when(F.col("t") % 997 == 0, 3).otherwise(0)
+    )
+    loaded = orders.select("c", "t", F.explode(F.sequence(F.lit(1), times)).alias("load_no"))
+    return loaded.select(F.when(F.col("t") % 499 != 0, F.col("c")).alias("cid"), F.when(F.col("t") % 503 != 0, F.col("t")).alias("tid"))
+
+
 def states_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``states`` dimension of the tests: nation names."""
     return read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("state"))
@@ -139,5 +154,12 @@ SELECT o.o_custkey AS cid, o.o_orderkey AS tid,
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN (SELECT l_orderkey, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
-LEFT JOIN part p ON p.p_partkey = l.l_partkey
+LEFT JOIN (SELECT p_partkey, MIN(p_type) AS p_type FROM part GROUP BY p_partkey) p ON p.p_partkey = l.l_partkey
+"""
+
+# The view of broken keys as SQL.
+BROKEN_KEYS_SQL = """
+SELECT CASE WHEN o_orderkey % 499 <> 0 THEN o_custkey END AS cid, CASE WHEN o_orderkey % 503 <> 0 THEN o_orderkey END AS tid
+FROM orders, range(5) loads(k)
+WHERE k < 1 + CASE WHEN o_orderkey % 211 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 997 = 0 THEN 3 ELSE 0 END
 """

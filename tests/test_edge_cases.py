@@ -6,6 +6,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens import (
     cash_flow_trend,
@@ -300,3 +301,51 @@ def test_key_violations_null_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 1), (3, 3)], "cid bigint, tid bigint")
     rows = key_violations(df).collect()
     assert [(r.cid, r.tid, r.n_rows, r.violation) for r in rows] == [(None, 1, 2, "null_key")]
+
+
+# ---------------------------------------------------------------- money and regression
+
+
+def test_money_sum_is_exact_past_ten_to_the_eighteen(spark):
+    """Signs, cents and NULLs; a sum beyond a bigint of cents; sums of sums."""
+    from ledgerlens.functions import money_sum, money_total
+
+    amounts = [D("0.01"), D("-0.01"), D("99999999.99"), D("-99999999.99"), None, D("-0.07"), D("10485.75"), D("-10485.77")]
+    df = spark.createDataFrame([(i % 2, a) for i, a in enumerate(amounts * 3)], "k int, m decimal(10,2)")
+    got = {r.k: r.s for r in df.groupBy("k").agg(money_sum("m").alias("s")).collect()}
+    assert got == {k: 3 * sum(a for a in amounts[k::2] if a is not None) for k in (0, 1)}
+    assert df.agg(money_sum("m").alias("s")).schema["s"].dataType.simpleString() == "decimal(38,2)"
+    assert spark.range(3).agg(money_sum(F.lit(None).cast("decimal(10,2)")).alias("s")).first().s is None
+    most = F.lit(D("9999999999.99"))
+    n = 120_000_000
+    for sign in (1, -1):
+        row = spark.range(n).agg(money_sum(most * F.lit(sign)).alias("s")).first()
+        assert row.s == sign * n * D("9999999999.99") and abs(row.s) > 10**18
+    great = D("1" + "0" * 33 + ".01")
+    parts = spark.createDataFrame([(D(10) ** 33,), (D("0.01"),), (None,)], "p decimal(38,2)")
+    assert parts.agg(money_total("p").alias("s")).first().s == great
+
+
+def test_regression_keeps_its_digits_for_great_totals(make_ct, spark):
+    """Monthly totals near 1e15 that differ in their last digits: sums of
+    squares of doubles would lose the slope, centred moments keep it."""
+    from fractions import Fraction
+
+    from ledgerlens.operators.cashflow import _forecast
+
+    totals = [D("999999999999000.00") + D(k * k % 7) + D(3 * k) for k in range(120)]
+    months = spark.createDataFrame(list(enumerate(totals)), "month_index int, total_cash_flow decimal(38,2)")
+    got = [r.predicted_cash_flow for r in _forecast(months.repartition(7), 12).orderBy("month_ahead").collect()]
+    y, n = [Fraction(t) for t in totals], len(totals)
+    mx, my = Fraction(n - 1, 2), sum(y) / n
+    slope = sum((x - mx) * (v - my) for x, v in enumerate(y)) / sum((x - mx) ** 2 for x in range(n))
+    want = [float(my + slope * (n + m - mx)) for m in range(1, 13)]
+    assert all(abs(g - w) < 1 for g, w in zip(got, want, strict=True))
+    rise = (got[-1] - got[0]) / 11
+    assert abs(rise - float(slope)) < 0.05
+
+
+def test_heatmap_position_is_not_rounded(spark):
+    sales = spark.createDataFrame([("a", D(0)), ("b", D(1)), ("c", D(3))], "state string, total_sales decimal(38,0)")
+    states = sales.select("state")
+    assert {r.state: r.intensity for r in state_heatmap(sales, states).collect()} == {"a": 0.0, "b": 1 / 3, "c": 1.0}

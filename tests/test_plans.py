@@ -1,6 +1,8 @@
 """Physical-plan checks: the plans we want at scale, not just the rows."""
 
 
+import re
+
 import pytest
 
 from conftest import SF01
@@ -8,11 +10,14 @@ from conftest import SF01
 import __spark_entry__ as E
 from ledgerlens import (
     age_group_sales_by_state,
+    classify_payers,
     customer_summary,
+    filter_customers,
     sales_by_discount,
+    sort_customers,
     top_loyal_customers,
 )
-from ledgerlens.plans import discount_breakdowns, map_breakdowns
+from ledgerlens.plans import customer_table, discount_breakdowns, map_breakdowns
 from ledgerlens.sources import read_transactions_parquet, transactions_from_tpch, write_transactions
 
 
@@ -48,12 +53,29 @@ def test_top_k_is_take_ordered(table):
     assert "TakeOrderedAndProject" in p
 
 
-def test_summary_joins_totals_to_profiles_without_a_window(table):
-    p = tree(customer_summary(table))
+def final(df) -> str:
+    """The plan that ran."""
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        customer_summary,
+        lambda ct: classify_payers(customer_summary(ct), 15),
+        lambda ct: filter_customers(customer_summary(ct), "18-25", "Male"),
+        lambda ct: sort_customers(customer_summary(ct), "total_spent", False),
+        lambda ct: customer_table(ct, 15, "18-25", "", "avg_payment_delay", False),
+    ],
+)
+def test_summary_scans_once_and_joins_without_a_window(table, query):
+    p = final(query(table))
     assert "Window" not in p
-    assert p.count("Scan parquet") == 2 and p.count("Join") == 1
-    # partial aggregate before the shuffle, on both sides
-    assert p.count("HashAggregate") >= 4
+    assert p.count("FileScan") == 1 and p.count("ReusedExchange") == 1
+    assert len(re.findall(r"SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin", p)) == 1
+    # partial aggregate before the shuffle, for profiles and for totals
+    assert p.count("partial_") >= 2
 
 
 def test_state_filter_and_columns_reach_the_scan(table):
@@ -69,16 +91,25 @@ def test_boolean_filter_pushed(table):
     assert "EqualTo(discount_availed,true)" in p
 
 
-def test_breakdowns_share_one_scan(table):
-    p = tree(discount_breakdowns(table))
-    assert p.count("Scan parquet") == 1
-    assert "Expand" in p
+@pytest.mark.parametrize("query", [discount_breakdowns, map_breakdowns])
+def test_breakdowns_share_one_scan_and_expand_only_groups(table, query):
+    p = tree(query(table))
+    assert p.count("Scan parquet") == 1 and p.count("Expand") == 1
+    # below the grouping sets is the finished finest grouping, not the scan
+    below = p.split("Expand", 1)[1]
+    assert below.count("HashAggregate") == 2 and below.count("Exchange") == 1
 
 
-def test_map_breakdowns_share_one_scan(table):
-    p = tree(map_breakdowns(table))
-    assert p.count("Scan parquet") == 1
-    assert "Expand" in p
+@pytest.mark.parametrize("name", sorted(E.core_queries()))
+def test_lineitem_and_part_are_read_for_products_only(spark, name):
+    if name in ("key_violations", "transaction_key_violations"):
+        return
+    if name.endswith("_positions") or "round_trip" in name or name == "json_file_rows":
+        return  # these read a table that they have written
+    p = formatted(E.core_queries()[name](spark, SF01))
+    products = "product" in name or name == "map_breakdowns"
+    assert ("lineitem.parquet" in p) == products, name
+    assert ("part.parquet" in p) == products, name
 
 
 def test_category_comes_from_all_parts(spark):

@@ -4,6 +4,7 @@ customer, negative and NULL delays, amounts ending in .50, month gaps),
 run through the library in Spark and through the oracle SQL — the
 reference's query shapes — in DuckDB over the very same rows."""
 
+import math
 import os
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -35,7 +36,12 @@ CHECKED = [
     "customer_table",
     "discount_breakdowns",
     "map_breakdowns",
+    "json_rows",
+    "json_summary_rows",
 ]
+# Two engines merge the moments of a regression in their own order: rounded to
+# cents, forecasts may lie one cent apart. The other columns are exact.
+TO_A_CENT = {"cash_flow_trend": "cash_flow"}
 
 ARROW_SCHEMA = pa.schema(
     [
@@ -125,4 +131,20 @@ def test_library_equals_reference_sql_on_random_rows(spark, raw):
         cur = con.execute(ORACLE[name])
         dcols = [d[0] for d in cur.description]
         assert sorted(got.columns) == sorted(dcols), name
-        assert _rows(got.columns, srows) == _rows(dcols, cur.fetchall()), name
+        drows = cur.fetchall()
+        if name in TO_A_CENT:
+            srows, drows = _same_to_a_cent(got.columns, srows, dcols, drows, TO_A_CENT[name])
+        assert _rows(got.columns, srows) == _rows(dcols, drows), name
+
+
+def _same_to_a_cent(cols, rows, dcols, drows, money):
+    """Both sides without the money column, which is compared here."""
+    k = lambda r, c: repr([v for v, n in sorted(zip(r, c, strict=True), key=lambda x: x[1]) if n != money])
+    rows, drows = sorted(rows, key=lambda r: k(r, cols)), sorted(drows, key=lambda r: k(r, dcols))
+    at, dat = cols.index(money), dcols.index(money)
+    for r, d in zip(rows, drows, strict=True):
+        a, b = r[at], d[dat]
+        assert (a is None) == (b is None)
+        assert a is None or abs(a - b) < 0.011 or (math.isnan(a) and math.isnan(b)), (r, d)
+    blank = lambda r, i: tuple(None if j == i else v for j, v in enumerate(r))
+    return [blank(r, at) for r in rows], [blank(r, dat) for r in drows]
