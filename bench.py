@@ -8,7 +8,8 @@
    measured in a colder JVM than the last, then per query one more
    warm-up and ``$BENCH_RUNS`` (default 5) timed runs back to back, each
    executed in full into the ``noop`` sink (every row produced, nothing
-   collected). The median per query is reported.
+   collected). The median per query is reported. Results with positions also
+   write their numbered rows, and the round trip its files, in each run.
 
 Prints ONE JSON line: ``{"metric", "value", "unit", "queries", "sf", ...}``
 where ``value`` is the sum of the per-query medians.
@@ -27,9 +28,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerlens.operators.cashflow import cash_flow_trend, estimate_cash_flow, historical_cash_flow  # noqa: E402
+from ledgerlens.operators.charts import chart_series  # noqa: E402
 from ledgerlens.operators.customers import (  # noqa: E402
     classify_payers,
     customer_summary,
+    filter_customers,
+    sort_customers,
     top_loyal_customers,
 )
 from ledgerlens.operators.discounts import (  # noqa: E402
@@ -45,10 +49,20 @@ from ledgerlens.operators.geo import (  # noqa: E402
     state_heatmap,
 )
 from ledgerlens.operators.quality import key_violations  # noqa: E402
-from ledgerlens.plans.dashboard import customer_table, discount_breakdowns, map_breakdowns  # noqa: E402
+from ledgerlens.plans.dashboard import (  # noqa: E402
+    age_group_revenue_chart,
+    customer_table,
+    discount_breakdowns,
+    discount_type_chart,
+    loyalty_chart,
+    map_breakdowns,
+    state_age_chart,
+    state_product_chart,
+)
+from ledgerlens.plans.ordered import customer_summary_positions, sales_by_state_positions  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
-from ledgerlens.sources.fixture import states_from_tpch, transactions_from_tpch  # noqa: E402
-from ledgerlens.sources.tables import read_transactions_parquet, write_transactions  # noqa: E402
+from ledgerlens.sources.fixture import broken_keys_from_tpch, states_from_tpch, transactions_from_tpch  # noqa: E402
+from ledgerlens.sources.tables import read_transactions_parquet, to_json_rows, write_transactions  # noqa: E402
 
 
 def _run(df) -> None:
@@ -86,7 +100,7 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 
-    scratch = tempfile.mkdtemp(prefix="ledgerlens-bench-", dir="/tmp")
+    scratch = tempfile.mkdtemp(prefix="ledgerlens-bench-", dir=os.environ.get("BENCH_SCRATCH"))
     spark = local_session(
         master=f"local[{cpus}]",
         shuffle_partitions=max(cpus, 8),
@@ -125,6 +139,19 @@ def main() -> None:
         "heatmap_legend": lambda: heatmap_legend(sales_by_state(ct)),
         "map_breakdowns": lambda: map_breakdowns(ct),
         "key_violations": lambda: key_violations(lineitem, ["l_orderkey", "l_linenumber"]),
+        "filter_customers": lambda: filter_customers(customer_summary(ct), "18-25", "Male"),
+        "sort_customers": lambda: sort_customers(customer_summary(ct), "total_spent", False),
+        "product_counts_one_state": lambda: product_counts_by_state(ct, "NATION_3"),
+        "chart_series": lambda: chart_series(discounts_by_gender(ct), "gender", "total_revenue"),
+        "loyalty_chart": lambda: loyalty_chart(ct, 10, "total_spent"),
+        "age_group_revenue_chart": lambda: age_group_revenue_chart(ct),
+        "discount_type_chart": lambda: discount_type_chart(ct),
+        "state_age_chart": lambda: state_age_chart(ct, "NATION_3"),
+        "state_product_chart": lambda: state_product_chart(ct, "NATION_3"),
+        "transaction_key_violations": lambda: key_violations(broken_keys_from_tpch(spark, sf_dir)),
+        "json_rows": lambda: to_json_rows(sales_by_state(ct)),
+        "customer_summary_positions": lambda: customer_summary_positions(ct),
+        "sales_by_state_positions": lambda: sales_by_state_positions(ct),
         # end to end from the driver tables (fixture joins included)
         "customer_summary_from_tpch": lambda: customer_summary(transactions_from_tpch(spark, sf_dir)),
     }

@@ -79,6 +79,8 @@ def write_transactions_csv(
         .option("timestampNTZFormat", timestamp_format)
         .option("nullValue", "")
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)  # the writer trims otherwise
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

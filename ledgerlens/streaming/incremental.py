@@ -7,22 +7,30 @@ only the new files into the aggregation state (kept in the state store
 and checkpointed in the shared folder), and the complete result is
 rewritten after each batch. The operators are the batch ones, unchanged —
 a grouped aggregate over a stream is still a partial/final hash
-aggregate, now with state between batches.
+aggregate, now with state between batches. Every trigger therefore reads its
+whole state once: bounded by the groups, but for the loyalty ranking by the
+number of customer names, so give that one a longer trigger.
 
 Only the grouped-aggregate queries are streamable. Their state is one
 row per group: gender, age group, discount type, month or location, and
 for the loyalty ranking one row per customer name, which belongs in the
 RocksDB state store (``recommended_conf`` selects it). The customer
-summary and the forecast are not streamable. The first needs a
-per-customer window and the second a row index over months, which
+summary and the forecast are not streamable. The first joins an aggregate
+to an aggregate and the second needs a row index over months, which
 Structured Streaming does not support on a stream; compute those in batch
 over the stored table.
+
+Snapshots are ordered by (run, epoch), never by time. A run is the life of a
+checkpoint: a stream that goes on from its checkpoint keeps its run number and
+counts epochs on; one with a new checkpoint, whose epochs start again from 0,
+gets the next number.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,20 +84,39 @@ def transaction_stream(
     return reader.load(path)
 
 
-def _epoch_dir(output_path: str, epoch_id: int) -> str:
-    return f"{output_path.rstrip('/')}/epoch={epoch_id:012d}"
+_SNAPSHOT = re.compile(r"run-(\d+)-epoch-(\d+)")
+
+
+def _snapshot_dir(output_path: str, run: int, epoch_id: int) -> str:
+    return f"{output_path.rstrip('/')}/run-{run:06d}-epoch-{epoch_id:012d}"
+
+
+def _run_number(spark: SparkSession, output_path: str, checkpoint: str) -> int:
+    """The number kept with the checkpoint; for a new one, the next after all
+    runs that have written to ``output_path``."""
+    fs, kept = _fs_and_path(spark, f"{checkpoint.rstrip('/')}/snapshot_run")
+    if fs.exists(kept):
+        return int(spark.read.text(kept.toString()).first()[0])
+    out_fs, root = _fs_and_path(spark, output_path)
+    names = [st.getPath().getName() for st in out_fs.listStatus(root)] if out_fs.exists(root) else []
+    run = 1 + max([int(m[1]) for m in map(_SNAPSHOT.fullmatch, names) if m], default=0)
+    stream = fs.create(kept, False)
+    stream.writeBytes(f"{run}\n")
+    stream.close()
+    return run
 
 
-def _snapshot_writer(output_path: str, keep_last: int):
+def _snapshot_writer(output_path: str, run: int, keep_last: int):
     def write(batch: DataFrame, epoch_id: int) -> None:
         # Each micro-batch writes the whole current result into its own
         # folder: a replayed epoch rewrites only that folder (idempotent),
         # and readers never see a half-written snapshot, because a folder
         # counts only once its _SUCCESS marker exists.
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(_epoch_dir(output_path, epoch_id))
+        own = _snapshot_dir(output_path, run, epoch_id)
+        batch.write.mode("overwrite").parquet(own)
         for old in _snapshot_dirs(spark, output_path)[:-keep_last]:
-            if not old.endswith(f"/epoch={epoch_id:012d}"):
+            if old.rsplit("/", 1)[-1] != own.rsplit("/", 1)[-1]:
                 _delete(spark, old)
 
     return write
@@ -102,19 +129,16 @@ def _fs_and_path(spark: SparkSession, path: str):
 
 
 def _snapshot_dirs(spark: SparkSession, output_path: str) -> list[str]:
-    """Complete snapshot folders under ``output_path``, oldest first by the
-    time they were completed: epoch numbers start again with a new checkpoint."""
+    """Complete snapshot folders under ``output_path``, by (run, epoch)."""
     fs, root = _fs_and_path(spark, output_path)
     if not fs.exists(root):
         return []
     out = []
     for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("epoch="):
-            done = st.getPath().suffix("/_SUCCESS")
-            if fs.exists(done):
-                out.append((fs.getFileStatus(done).getModificationTime(), st.getPath().toString()))
-    return [path for _, path in sorted(out)]
+        m = _SNAPSHOT.fullmatch(st.getPath().getName())
+        if st.isDirectory() and m and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            out.append((int(m[1]), int(m[2]), st.getPath().toString()))
+    return [path for _, _, path in sorted(out)]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -168,4 +192,5 @@ def start_dashboard_stream(
         return writer.format("memory").queryName(query).start()
     if keep_last < 1:
         raise ValueError("keep_last must be >= 1")
-    return writer.foreachBatch(_snapshot_writer(output_path, keep_last)).start()
+    run = _run_number(spark, output_path, checkpoint)
+    return writer.foreachBatch(_snapshot_writer(output_path, run, keep_last)).start()

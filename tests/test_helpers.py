@@ -1,4 +1,4 @@
-"""Helpers: checked broadcast, cluster sizing, shared folder, columns."""
+"""Helpers: cluster sizing, shared folder, columns."""
 
 from datetime import datetime
 from decimal import Decimal
@@ -7,28 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import asc_sql, delay_micros, desc_sql, exact_mean, month_start
-from ledgerlens.functions.joins import broadcast_if_small
-from ledgerlens.session import recommended_conf, shared_dir
-
-
-def _has_broadcast_hint(df) -> bool:
-    return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() and "broadcast" in (
-        df._jdf.queryExecution().analyzed().toString().lower()
-    )
-
-
-def test_broadcast_only_within_bound(spark):
-    small = spark.range(10)
-    assert _has_broadcast_hint(broadcast_if_small(small, 10))
-    assert not _has_broadcast_hint(broadcast_if_small(small, 9))
-    with pytest.raises(ValueError):
-        broadcast_if_small(small, -1)
-
-
-def test_fallback_still_joins_correctly(spark):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    side = broadcast_if_small(spark.range(500).withColumnRenamed("id", "k"), 100)  # over the bound
-    assert big.join(side, "k").count() == 500
+from ledgerlens.session import recommended_conf, scratch_dir, shared_dir
 
 
 def test_recommended_conf_scales_with_input():
@@ -47,6 +26,35 @@ def test_recommended_conf_scales_with_input():
 def test_shared_dir_comes_from_session(spark):
     base = shared_dir(spark)
     assert base and shared_dir(spark, "streams", "q").startswith(base)
+    assert scratch_dir(spark) == base
+
+
+def test_only_a_local_session_gets_a_folder_of_its_own(monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.set_to = Context(master), {}
+            self.conf = self
+
+        def get(self, k, default=None):
+            return self.set_to.get(k, default)
+
+        def set(self, k, v):
+            self.set_to[k] = v
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Session("spark://host:7077"))
+    local = Session("local[4]")
+    assert scratch_dir(local) == scratch_dir(local) == local.set_to["spark.checkpoint.dir"]
 
 
 def test_null_ordering_helpers(spark):

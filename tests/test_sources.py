@@ -18,6 +18,7 @@ from ledgerlens.sources import (
     transactions_from_tpch,
     write_json,
     write_transactions,
+    write_transactions_csv,
 )
 from ledgerlens import sales_by_state
 
@@ -35,12 +36,7 @@ def test_fixture_has_table_schema(spark):
 def test_csv_round_trip(spark, tmp_path):
     ct = transactions_from_tpch(spark, SF001)
     path = str(tmp_path / "ct_csv")
-    (
-        ct.write.option("header", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("nullValue", "")
-        .csv(path)
-    )
+    write_transactions_csv(ct, path)
     back = read_transactions_csv(spark, path)
     assert back.schema.simpleString() == CT_SCHEMA.simpleString()
     assert _sorted_rows(back) == _sorted_rows(ct)
@@ -188,3 +184,65 @@ def test_csv_columns_are_found_by_name(spark, tmp_path, make_ct):
     ct.drop("gender").write.option("header", True).csv(str(tmp_path / "less"))
     with pytest.raises(ValueError):
         read_transactions_csv(spark, str(tmp_path / "less"))
+
+
+def test_csv_files_keep_fractions_quotes_and_nulls(spark, tmp_path, make_ct):
+    from datetime import datetime
+    from decimal import Decimal
+
+    ct = make_ct(
+        [
+            {"client_name": 'a "quoted", name', "purchase_date": datetime(2020, 2, 29, 23, 59, 59, 123456), "net_amount": Decimal("-0.01")},
+            {"client_name": "  padded  ", "gender": "None", "discount_availed": False},
+            {"client_name": None, "discount_availed": None},
+        ]
+    )
+    path = str(tmp_path / "csv")
+    write_transactions_csv(ct.withColumn("more", F.lit(1)).repartition(2), path)
+    assert _sorted_rows(read_transactions_csv(spark, path)) == _sorted_rows(ct)
+    empty = str(tmp_path / "empty")
+    write_transactions_csv(ct.limit(0), empty)
+    assert read_transactions_csv(spark, empty).count() == 0
+
+
+def _rows_read(df) -> int:
+    """Rows that the scan handed on, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, found = [plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    assert len(found) == 1
+    return found[0]
+
+
+def test_a_customer_lookup_skips_row_groups(spark, tmp_path):
+    """Even cids only: an odd one lies between the least and greatest cid of its
+    row group, so only the Bloom filter can tell that it is not there."""
+    from ledgerlens.sources.tables import write_transactions as write
+
+    ct = transactions_from_tpch(spark, SF001).withColumn("cid", F.col("cid") * 2).withColumn("purchaselocation", F.lit("X"))
+    path = str(tmp_path / "bloom")
+    # so few customers would be dictionary encoded, and need no filter
+    plain = "parquet.enable.dictionary#cid"
+    spark.conf.set(plain, "false")
+    try:
+        write(ct, path, num_files=2)
+    finally:
+        spark.conf.unset(plain)
+    back = read_transactions_parquet(spark, path)
+    some = back.agg(F.min(F.when(F.col("cid") > 50, F.col("cid"))).alias("c")).first().c
+    odd, there = (back.filter(F.col("cid") == c).select("tid") for c in (some + 1, some))
+    assert _rows_read(odd) == 0 and odd.count() == 0
+    assert _rows_read(there) > 0 and there.count() == ct.filter(F.col("cid") == some).count()
+    key = "parquet.filter.bloom.enabled"
+    without = spark.read.option(key, "false").parquet(path).filter(F.col("cid") == some + 1).select("tid")
+    assert _rows_read(without) > 0 and without.count() == 0
+    # filters follow the number of customers: small files stay small
+    assert sum(f.stat().st_size for f in (tmp_path / "bloom").rglob("*.parquet")) < 400_000

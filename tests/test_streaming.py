@@ -1,9 +1,12 @@
 """Streaming aggregates equal the batch ones over the same files, also
 when the files arrive over several micro-batches."""
 
+import os
+
 import pytest
 
 from conftest import SF001
+from ledgerlens import sales_by_state
 from ledgerlens.sources import read_transactions_parquet, transactions_from_tpch
 from ledgerlens.streaming import STREAMABLE, read_latest_snapshot, start_dashboard_stream
 
@@ -75,7 +78,7 @@ def test_snapshot_sink_and_restart(spark, landed, tmp_path):
     want = STREAMABLE["sales_by_state"](read_transactions_parquet(spark, landed))
     assert first == _rows(want)
     # four files, one per micro-batch: only the last two snapshots are kept
-    assert len([d for d in os.listdir(out) if d.startswith("epoch=")]) == 2
+    assert len([d for d in os.listdir(out) if d.startswith("run-000001-epoch-")]) == 2
     # restart from the checkpoint: nothing new, result unchanged
     q = start_dashboard_stream(spark, landed, "sales_by_state", out, cp, available_now=True)
     q.awaitTermination(300)
@@ -125,3 +128,30 @@ def test_csv_landing_folder(spark, landed, tmp_path):
 def test_not_streamable(spark, landed):
     with pytest.raises(ValueError):
         start_dashboard_stream(spark, landed, "customer_summary")
+
+
+def test_snapshots_are_ordered_by_run_and_epoch_not_by_time(spark, tmp_path):
+    """A stream with a new checkpoint starts its epochs again; its snapshot is
+    the newest one although clocks say otherwise."""
+    ct = transactions_from_tpch(spark, SF001)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ct.write.parquet(src)
+
+    def run(checkpoint):
+        q = start_dashboard_stream(
+            spark, src, "sales_by_state", out, checkpoint_location=str(tmp_path / checkpoint), available_now=True
+        )
+        q.awaitTermination(120)
+
+    run("a")
+    ct.limit(10).write.mode("append").parquet(src)
+    run("a")  # goes on: run 1, epoch 1
+    run("b")  # a new checkpoint: run 2, epoch 0
+    names = sorted(d for d in os.listdir(out) if d.startswith("run-"))
+    assert [n.split("-") for n in names] == [
+        ["run", "000001", "epoch", "0" * 12], ["run", "000001", "epoch", "0" * 11 + "1"], ["run", "000002", "epoch", "0" * 12]
+    ]
+    for n in names:
+        os.utime(os.path.join(out, n, "_SUCCESS"), (1, 1) if n.startswith("run-000002") else None)
+    want = sales_by_state(spark.read.schema(ct.schema).parquet(src))
+    assert _rows(read_latest_snapshot(spark, out)) == _rows(want)

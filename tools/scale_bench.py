@@ -72,7 +72,7 @@ def main(argv):
     runs = int(os.environ.get("SCALE_RUNS", "3"))
     factors = [int(a) for a in argv[1:]] or [1, 10]
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    scratch = tempfile.mkdtemp(prefix="ledgerlens-scale-", dir="/tmp")
+    scratch = tempfile.mkdtemp(prefix="ledgerlens-scale-", dir=os.environ.get("BENCH_SCRATCH"))
     spark = local_session(master=f"local[{cpus}]", shuffle_partitions=2 * cpus,
                           checkpoint_dir=os.path.join(scratch, "checkpoints"))
     base = transactions_from_tpch(spark, sf_dir)
