@@ -18,6 +18,11 @@ one meet in pairs of blocks and are compared there. Nothing writes the pairs of
 a group of copies: equal sets are one class from the start, and near copies
 link through the least member or inside a block.
 
+Before any two sets are read, their parity sketches are compared: 512 bits, one
+flipped by every element. Each bit in which two sketches differ needs an
+element that only one of the sets has, so sketches that differ in more bits
+than linked sets may differ in elements rule a pair out exactly.
+
 Defined cases: NULL and wordless texts have an empty set and link with
 nothing; fewer words than n form one shingle; NULL ids get no component and
 link with nothing; rows that repeat an id are one document (the union of its
@@ -248,9 +253,18 @@ def _shared_signatures(t: pa.Table) -> pa.Table:
 # -- verification ----------------------------------------------------------
 
 
+SKETCH = [f"s{k}" for k in range(8)]
+
+
+def sketches(g: np.ndarray, gd: np.ndarray, ndocs: int) -> np.ndarray:
+    """Parity sketch of every set, as eight words of 64 bits."""
+    bits = np.bincount(gd * 512 + ((g >> _U(20)) & _U(511)).astype(np.int64), minlength=ndocs * 512) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64).reshape(ndocs, 8)
+
+
 def _blobs(docs: DataFrame, reps: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(cls, set as sorted hashes) of the candidate classes."""
-    schema = pa.schema([("cls", pa.int64()), ("blob", pa.binary())])
+    """(cls, set as sorted hashes, size, sketch) of the candidate classes."""
+    schema = pa.schema([("cls", pa.int64()), ("blob", pa.binary()), ("size", pa.int64()), *[(c, pa.int64()) for c in SKETCH]])
 
     def run(batches):
         for b in batches:
@@ -258,10 +272,31 @@ def _blobs(docs: DataFrame, reps: DataFrame, n: int, doc_id: str, text: str) ->
                 cls, size = _set_hash(g, gd, hi - lo)
                 at = np.concatenate([[0], np.cumsum(size)])
                 blob = [g[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(blob, pa.binary())], schema=schema)
+                words = [pa.array(x) for x in sketches(g, gd, hi - lo).T.copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(blob, pa.binary()), pa.array(size.astype(np.int64)), *words], schema=schema)
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).join(reps, F.col("d") == F.col("rep"), "left_semi")
-    return texts.select("t").mapInArrow(run, "cls long, blob binary").groupBy("cls").agg(F.first("blob").alias("blob"))
+    rows = texts.select("t").mapInArrow(run, "cls long, blob binary, size long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("blob", "size", *SKETCH)])
+
+
+def _sketch_of(blobs: DataFrame, x: str) -> DataFrame:
+    """(x, size_x, sketch columns ending in _x)"""
+    return blobs.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH])
+
+
+def _may_link(percent: int):
+    """True for every linked pair: sizes agree, and the sketches differ in no
+    more bits than the sets may in elements."""
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    return _sizes_agree(percent) & ((100 + percent) * differ <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
+
+
+def _likely(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches leave."""
+    p = pairs.join(_sketch_of(blobs, "b"), "b")
+    near = (p["a"] == F.col("a_cls")) & _may_link(percent)
+    return p.join(_sketch_of(blobs, "a").withColumnRenamed("a", "a_cls"), near).select("a", "b")
 
 
 def _verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
@@ -357,12 +392,44 @@ def _compare_units(percent: int):
     return run
 
 
-def _pairs(member: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+def _pairs(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a < b) across components of signatures with at most SMALL
-    members: at most SMALL / 2 rows per member and signature."""
-    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "size", "c")
-    one, two = (m.select("sig", F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    return one.join(two, "sig").filter("a < b AND c_a <> c_b").filter(_sizes_agree(percent)).select("a", "b").distinct()
+    members, as far as their sketches leave them."""
+    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c")
+    m = scratch.write(m.join(blobs.drop("blob"), "cls"))
+    one, two = (m.select(F.col("sig").alias(f"sig_{x}"), F.col("c").alias(f"c_{x}"), F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH]) for x in "ab")
+    near = (F.col("sig_a") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent)
+    return one.join(two, near).select("a", "b").distinct()
+
+
+_MEMBER = pa.schema([("unit", pa.int64()), ("cls", pa.int64())])
+
+
+def _likely_members(percent: int):
+    """Members (unit, cls) that the sketches leave a partner in their unit."""
+
+    def run(t: pa.Table) -> pa.Table:
+        unit = np.asarray(t.column("unit"))
+        order = np.argsort(unit, kind="stable")
+        t = t.take(pa.array(order))
+        unit = unit[order]
+        cls, comp, size, own, lo, hi = (np.asarray(t.column(c)) for c in ("cls", "c", "size", "own", "lo", "hi"))
+        words = np.column_stack([np.asarray(t.column(c)) for c in SKETCH]).view(np.uint64)
+        keep = np.zeros(len(unit), bool)
+        cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            one = s + np.flatnonzero(own[s:e] == lo[s])
+            two = one if lo[s] == hi[s] else s + np.flatnonzero(own[s:e] == hi[s])
+            for at in range(0, len(one), 256):
+                left = one[at : at + 256]
+                ok = (comp[left, None] != comp[two]) & (100 * np.minimum(size[left, None], size[two]) >= percent * np.maximum(size[left, None], size[two]))
+                i, j = np.nonzero(ok)
+                differ = np.bitwise_count(words[left[i]] ^ words[two[j]]).sum(axis=1, dtype=np.int64)
+                near = (100 + percent) * differ <= (100 - percent) * (size[left[i]] + size[two[j]])
+                keep[left[i[near]]] = keep[two[j[near]]] = True
+        return pa.table([unit[keep], cls[keep]], schema=_MEMBER)
+
+    return run
 
 
 def _across(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
@@ -377,7 +444,12 @@ def _across(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int,
     u = u.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     u = u.withColumn("lo", F.least("own", "mate")).withColumn("hi", F.greatest("own", "mate"))
     u = u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", "sig", "cls", "c", "own", "lo", "hi")
-    u = u.join(lists, F.col("cls") == F.col("l_cls")).drop("l_cls").join(blobs.withColumnRenamed("cls", "b_cls"), F.col("cls") == F.col("b_cls")).drop("b_cls")
+    # sketches first: the sets of members without a likely partner do not travel
+    s = u.join(blobs.drop("blob").withColumnRenamed("cls", "s_cls"), F.col("cls") == F.col("s_cls")).drop("s_cls", "sig")
+    likely = s.repartition(partitions_for(100 * (rows or 0), 16 << 20), "unit").mapInArrow(whole_partition(_likely_members(percent), _MEMBER), "unit long, cls long")
+    likely = scratch.write(likely).select(F.col("unit").alias("l_unit"), F.col("cls").alias("l_cls"))
+    u = u.join(likely, (F.col("unit") == F.col("l_unit")) & (F.col("cls") == F.col("l_cls")), "left_semi")
+    u = u.join(lists, F.col("cls") == F.col("l_cls")).drop("l_cls").join(blobs.select(F.col("cls").alias("b_cls"), "blob"), F.col("cls") == F.col("b_cls")).drop("b_cls")
     tasks = partitions_for(8 * (elements or 0), 16 << 20)
     edges = u.repartition(tasks, "unit").mapInArrow(whole_partition(_compare_units(percent), _EDGE), "a long, b long")
     return scratch.write(edges, batch_rows=2000)
@@ -409,8 +481,8 @@ def jaccard_components(
     wanted = shared.select("cls").distinct()
     reps = scratch.write(classes.join(wanted, "cls", "left_semi").select("rep"))
     blobs = scratch.write(_blobs(docs, reps, n, doc_id, text), batch_rows=2000)
-    links = scratch.write(_verified(star, blobs, percent), batch_rows=500)
-    comp = scratch.write(connected_components(links, scratch))
+    first = scratch.write(_verified(_likely(star, blobs, percent), blobs, percent), batch_rows=500)
+    comp = scratch.write(connected_components(first, scratch))
 
     # round 2: signatures whose members are in different components still
     member = shared.join(comp, F.col("cls") == F.col("v"), "left").select("sig", "cls", "size", F.coalesce("component", "cls").alias("c"))
@@ -418,9 +490,10 @@ def jaccard_components(
     mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     mixed = scratch.write(mixed.select(F.col("sig").alias("m_sig"), "k"))
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    few = _pairs(member, mixed.filter(F.col("k") <= SMALL), percent).join(done, ["a", "b"], "left_anti")
-    links = links.union(scratch.write(_verified(few, blobs, percent), batch_rows=500))
-    links = links.union(_across(member, mixed.filter(F.col("k") > SMALL), blobs, percent, scratch))
+    few = _pairs(member, mixed.filter(F.col("k") <= SMALL), blobs, percent, scratch).join(done, ["a", "b"], "left_anti")
+    second = scratch.write(_verified(few, blobs, percent), batch_rows=500)
+    third = _across(member, mixed.filter(F.col("k") > SMALL), blobs, percent, scratch)
+    links = first.union(second).union(third)
 
     # classes -> least document: rows that repeat an id tie their classes together
     rep = scratch.write(classes)
@@ -431,8 +504,10 @@ def jaccard_components(
     tied = own.join(multi, "doc_id", "left_semi").join(rep, "cls").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     final = connected_components(edges.union(tied).filter("x <> y"), scratch)
     place = rep.join(final, F.col("rep") == F.col("v"), "left").select(F.col("cls").alias("p_cls"), F.coalesce("component", "rep").alias("component_id"))
+    place = scratch.write(place)
+    scratch.drop(shared, star, reps, blobs, first, comp, member, mixed, second, third, rep)
     out = sets.withColumn("key", F.xxhash64("cls")).join(
-        scratch.write(place).withColumn("p_key", F.xxhash64("p_cls")), (F.col("cls") == F.col("p_cls")) & (F.col("key") == F.col("p_key")) & (F.col("size") > 0), "left"
+        place.withColumn("p_key", F.xxhash64("p_cls")), (F.col("cls") == F.col("p_cls")) & (F.col("key") == F.col("p_key")) & (F.col("size") > 0), "left"
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))

@@ -333,6 +333,41 @@ def test_jaccard_short_sets_and_chains(spark):
         assert got == want
 
 
+def test_sketches_never_rule_out_a_linked_pair():
+    from ledgerlens.llm.shingle_join import sketches
+
+    rng = np.random.default_rng(6)
+    for size in (1, 3, 50, 400, 5000):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            b = np.concatenate([a[rng.random(size) < 0.9], rng.integers(0, 1 << 63, size // 20, dtype=np.uint64)])
+            sets = [np.unique(x) for x in (a, b)]
+            s = sketches(np.concatenate(sets), np.repeat([0, 1], [len(x) for x in sets]), 2)
+            differ = int(np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(*sets))
+
+
+def test_large_signatures_are_compared_in_units(spark, monkeypatch):
+    """Near copies around the threshold, so that components stay apart within
+    large signatures, with the least size of a large one."""
+    import ledgerlens.llm.shingle_join as sj
+
+    monkeypatch.setattr(sj, "SMALL", 3)
+    rng = random.Random(21)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(40):
+            words = base[:]
+            for at in rng.sample(range(60), rng.randint(0, 3)):
+                words[at] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.jaccard(rows, 1, 92)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sj.jaccard_components(docs, Scratch(spark, "t"), 1, 92).collect()}
+    assert got == want and 4 < len({c for _, c in want.values()}) < 160
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for size in (0, 1, 2, 3, 4, 5, 7, 20, 300):
