@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._shared import Scratch, fresh
@@ -19,12 +19,15 @@ from ledgerlens.llm.source_mixing import mix_sources
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. The row number keeps the optimizer
-    from moving the filter below the features: the verdict would be computed
-    there from the raw text, with every shared expression written out again."""
-    row = fresh(docs, "row_no")
-    judged = quality(docs).withColumn(row, F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the rules reject go. The columns of ``docs`` travel in one
+    struct, so none can clash with those of the rules. The row number keeps the
+    optimizer from moving the filter below the features: the verdict would be
+    computed there from the raw text, with every shared expression written out
+    again. A NULL or empty text fails the base rules; rows that repeat an id are
+    judged one by one; an empty table stays empty."""
+    whole = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("stage_document"))
+    judged = quality(whole).withColumn("stage_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("stage_row") >= 0)).select("stage_document.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +45,27 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     once = kept.join(twice, F.col("doc_id") == F.col(gone), "left_anti")
     again = kept.join(twice, F.col("doc_id") == F.col(gone), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    return once.unionByName(again.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n))
+    # the least row of an id by all columns: combined map-side, however often it comes
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = again.groupBy(F.col("doc_id").alias(gone)).agg(F.min(F.struct(*columns)).alias(n))
+    return once.unionByName(least.select(f"{n}.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets. NULL and empty texts
+    and rows that repeat an id stay as they are; an empty table stays empty."""
     return mask(docs, pattern_table(docs, Scratch(spark, "pipeline-pii"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the target weights say, at least once."""
+    """Every document as often as the target weights say, at least once. A NULL
+    source is a source; texts without tokens and an empty table pass once."""
     return mix_sources(docs, Scratch(spark, "pipeline-mix"), max_repeats=MAX_REPEATS).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as pieces of bins. NULL and empty texts have none; rows that repeat
+    an id are packed one by one; an empty table gives no bins."""
     return best_fit(docs)
 
 
