@@ -59,3 +59,26 @@ def test_near_duplicate_stage_keeps_one_row_of_a_repeated_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
     got = [(r.doc_id, r.gone_id) for r in cp.near_duplicate_stage(spark, docs, SF).collect()]
     assert sorted(got, key=repr) == sorted([(1, "x"), (3, "x"), (4, "x"), (None, "x")], key=repr)
+
+
+def test_stages_on_edge_rows_with_clashing_columns(spark):
+    good = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if not brute.base_quality(r.text)[-1]][:8]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "k", "mine", 7, "t") for r in good]
+    rows += [(None, None, None, None, None, "k", "mine", 7, "t"), (900, "", "en", "s", 0, "k", "mine", 7, "t")]
+    rows += [(901, "call +1 555 123 4567 or a@b.org", "en", None, 31, "k", "mine", 7, "t")] * 3
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, stage_row int, q_text string"
+    docs = spark.createDataFrame(rows, names)
+    extra = lambda r: (r.kept, r.n_words, r.stage_row, r.q_text)
+    kept = cp.quality_stage(spark, docs, SF)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    got = kept.collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in good} and all(extra(r) == ("k", "mine", 7, "t") for r in got)
+    clean = cp.pii_stage(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in clean) == Counter(r[0] for r in rows) and all(extra(r) == ("k", "mine", 7, "t") for r in clean)
+    assert {r.text for r in clean if r.doc_id == 901} == {"call [phone] or [email]"} and {r.text for r in clean if r.doc_id is None} == {None}
+    mixed = cp.mixing_stage(spark, docs, SF).collect()
+    assert {r.doc_id for r in mixed} == {r[0] for r in rows} and all(extra(r) == ("k", "mine", 7, "t") for r in mixed)
+    packed = cp.packing_stage(spark, docs, SF).collect()
+    assert sum(r.length for r in packed) == sum(len(brute.WORD.findall(r[1] or "")) for r in rows)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
