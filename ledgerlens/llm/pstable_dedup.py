@@ -16,9 +16,12 @@ Recall at the threshold itself is 1 - (1 - p^bits)^tables with p the collision
 probability of one projection (0.91 at cosine 0.9 for the defaults, 0.99 at
 0.93, more above); no pair below the threshold is ever linked.
 
-Defined cases: vectors that are NULL, empty, zero, of another dimension than
-the most common one or hold NULL or non-finite components link with nothing;
-every row comes back once, repeated rows and equal ids too (rows with one id
+Vectors are scaled by a power of two before their norm is taken, so none over-
+or underflows, and each dimension has buckets of its own.
+
+Defined cases: vectors that are NULL, empty, zero or hold NULL or non-finite
+components link with nothing; vectors of different dimensions never link; every
+row comes back once, repeated rows and equal ids too (rows with one id
 share a component); rows with a NULL id have no component; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -48,6 +51,7 @@ def collision(distance: float, width: float) -> float:
 
 def _unit(vec: np.ndarray) -> np.ndarray:
     v = vec.astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
@@ -111,12 +115,8 @@ def near_vectors(
     bucket with probability p(1.41)^bits) and ``tables`` with it."""
     v = rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    size = F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)
-    good = F.coalesce((F.size("e") > 0) & finite, F.lit(False)) & F.coalesce((size > 0) & (size < F.lit(float("inf"))), F.lit(False))
+    good = F.coalesce((F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
     v = scratch.write(v.withColumn("good", good))
-    dims = v.filter("good").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 0
-    v = v.withColumn("good", F.col("good") & (F.size("e") == dim))
 
     # classes of equal vectors, named by their least id
     cls = v.filter("good AND vec_id IS NOT NULL").groupBy("e").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n"))
@@ -125,20 +125,24 @@ def near_vectors(
 
     def bucketed(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.asarray(b.column(2).flatten()).reshape(b.num_rows, dim)
-            codes = codes_of(_unit(x), tables, bits, width, seed)
-            ids, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for lo in range(0, len(x), 256):
-                hi = min(lo + 256, len(x))
-                vec = [x[i].tobytes() for i in range(lo, hi)]
-                code = [codes[i].tobytes() for i in range(lo, hi)]
-                for t in range(tables):
-                    key = mix(codes[lo:hi, t].astype(np.uint64) + np.uint64((t + 1) << 32)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.full(hi - lo, t, np.int32)), pa.array(ids[lo:hi]), pa.array(n[lo:hi]), pa.array(vec, pa.binary()), pa.array(code, pa.binary())], schema=_MAP
-                    )
+            sizes = np.asarray(b.column(2).value_lengths())
+            for dim in np.unique(sizes):
+                yield from bucketed_rows(b.take(pa.array(np.flatnonzero(sizes == dim))), int(dim))
+
+    def bucketed_rows(b: pa.RecordBatch, dim: int):
+        x = np.asarray(b.column(2).flatten()).reshape(b.num_rows, dim)
+        codes = codes_of(_unit(x), tables, bits, width, seed)
+        ids, n = np.asarray(b.column(0)), np.asarray(b.column(1))
+        own = mix(np.array([dim], np.uint64))
+        for lo in range(0, len(x), 256):
+            hi = min(lo + 256, len(x))
+            vec = [x[i].tobytes() for i in range(lo, hi)]
+            code = [codes[i].tobytes() for i in range(lo, hi)]
+            for t in range(tables):
+                key = mix((codes[lo:hi, t].astype(np.uint64) + np.uint64((t + 1) << 32)) ^ own).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(np.full(hi - lo, t, np.int32)), pa.array(ids[lo:hi]), pa.array(n[lo:hi]), pa.array(vec, pa.binary()), pa.array(code, pa.binary())], schema=_MAP
+                )
 
     ddl = "bucket long, tab int, cls long, n long, vec binary, codes binary"
     buckets = cls.select("cls", "n", "e").mapInArrow(bucketed, ddl)
@@ -165,15 +169,20 @@ def near_vectors(
         cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
         out: list[tuple] = []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s < 2:
-                continue
-            x = _unit(np.frombuffer(b"".join(vec[s:e].to_pylist()), np.float64).reshape(e - s, dim))
-            c = np.frombuffer(b"".join(code[s:e].to_pylist()), np.uint32).reshape(e - s, tables)
-            same = lo[s] == hi[s]
-            left = np.flatnonzero(own[s:e] == lo[s])
-            right = left if same else np.flatnonzero(own[s:e] == hi[s])
-            if len(left) and len(right) and (r := _count_links(ids[s:e], n[s:e], x, c, int(tab[s]), left, right, same, threshold)):
-                out.append(r)
+            raw = vec[s:e].to_pylist()
+            sizes = np.array([len(r) for r in raw])
+            for size in np.unique(sizes):  # one, unless hashes of two dimensions collide
+                at = np.flatnonzero(sizes == size)
+                if len(at) < 2:
+                    continue
+                x = _unit(np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1))
+                at += s
+                c = np.frombuffer(b"".join(code.take(pa.array(at)).to_pylist()), np.uint32).reshape(len(at), tables)
+                same = lo[s] == hi[s]
+                left = np.flatnonzero(own[at] == lo[s])
+                right = left if same else np.flatnonzero(own[at] == hi[s])
+                if len(left) and len(right) and (r := _count_links(ids[at], n[at], x, c, int(tab[s]), left, right, same, threshold)):
+                    out.append(r)
         if not out:
             return _OUT.empty_table()
         # one row per class and star centre of this task

@@ -333,6 +333,17 @@ def test_jaccard_short_sets_and_chains(spark):
         assert got == want
 
 
+def test_vectors_of_any_dimension_and_scale(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal(16), rng.standard_normal(3)
+    rows = [(1, x), (2, x * 1e200), (3, x * 1e-200), (4, x * 1e-310), (5, -x), (6, np.zeros(16))]
+    rows += [(10, y), (11, y * 2), (12, y[:2]), (13, y[:2] * 1e300), (14, [5e-324]), (15, [1e308]), (16, [-1.0])]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, Scratch(spark, "t"), tables=60, bits=2).collect()}
+    want = {i: (3, 1) for i in (1, 2, 3, 4)} | {5: (0, 5), 6: (0, 6), 16: (0, 16)}
+    assert got == want | {10: (1, 10), 11: (1, 10), 12: (1, 12), 13: (1, 12), 14: (1, 14), 15: (1, 14)}
+
+
 def test_sketches_never_rule_out_a_linked_pair():
     from ledgerlens.llm.shingle_join import sketches
 
