@@ -4,7 +4,6 @@ shared folder, fresh column names, sizing, whole-partition Arrow functions."""
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,16 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from ledgerlens.session import scratch_dir
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where the session
-    names none (a local test session) a folder of its own is set."""
-    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="ledgerlens-shared-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+    """The folder named by ``spark.checkpoint.dir``. Only a session on one
+    machine (a local test session) that names none gets a folder of its own;
+    any other raises."""
+    base = scratch_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base
