@@ -122,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL where it can express the query. Counts that can be NULL are
+    DOUBLE there: that is what a nullable bigint of Spark becomes in pandas."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in parse_rules(RULES))
     return {
         "op6_url_filters": f"""
@@ -153,8 +155,8 @@ cut AS (
 part AS (
   SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s
   FROM cut)
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
-  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS DOUBLE) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS DOUBLE) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
          ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(t) AS restored_sha256
