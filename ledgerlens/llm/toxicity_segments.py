@@ -15,6 +15,8 @@ the first in hash order (a bounded sample; the bound is a parameter); scoring
 covers every text whole.
 
 Defined cases: NULL and empty texts have no evidence and get the base rate;
+very long texts are scanned whole, in time linear in their tokens; of tokens
+that score alike none comes first, all that reach the bounds are kept;
 labels that are NULL or whose doc_id is NULL are not used; a document with
 contradicting labels counts as toxic; without labels of both classes every
 score is the smoothed base rate; repeated rows are scored one by one; an empty
@@ -59,24 +61,25 @@ def maximal_segments(positions: list[int], weights: list[float], gap: float) ->
     """All maximal scoring segments (first token, end, score) of a sequence
     that scores ``weights`` at ``positions`` and ``gap`` < 0 elsewhere, in time
     linear in the number of positions."""
-    segs: list[tuple[int, int, float, float]] = []  # first, end, total before, total at the end
+    segs: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total at the end, next on the left of lower total before
     total, last = 0.0, -1
     for p, w in zip(positions, weights, strict=True):
         total += gap * (p - last - 1)
         last = p
-        cur = (p, p + 1, total, total + w)
+        first, before, j = p, total, len(segs) - 1
         total += w
         while True:
-            j = len(segs) - 1
-            while j >= 0 and segs[j][2] >= cur[2]:
-                j -= 1
-            if j < 0 or segs[j][3] >= cur[3]:
+            # whatever lies between a segment and its lower one is not lower either
+            while j >= 0 and segs[j][2] >= before:
+                j = segs[j][4]
+            if j < 0 or segs[j][3] >= total:
                 # segments between j and the new one stay: it does not absorb them
-                segs.append(cur)
+                segs.append((first, p + 1, before, total, j))
                 break
-            cur = (segs[j][0], cur[1], segs[j][2], cur[3])
+            first, _, before, _, lower = segs[j]
             del segs[j:]
-    return [(a, b, r - l) for a, b, l, r in segs]
+            j = lower
+    return [(a, b, r - l) for a, b, l, r, _ in segs]
 
 
 def token_weight(word: str, weights: dict[str, float]) -> float:
@@ -166,12 +169,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, prior: float = 200.0,
-    min_z: float = 4.0, min_odds: float = 20.0, min_docs: int = 4, max_tokens: int = 20_000, gap: float = -0.05,
+    min_z: float = 4.0, min_odds: float = 20.0, min_docs: int = 4, gap: float = -0.05,
 ) -> ToxicModel:
     """Count tokens (once a document) over three quarters of the sample, keep
     those whose log-odds stand out by ``min_z`` standard errors and reach
     ``min_odds``, and map
-    evidence to a probability on the last quarter."""
+    evidence to a probability on the last quarter. The table of tokens has as
+    many rows as the sample has such words; it does not grow with ``docs``."""
     train = docs.select(F.col("doc_id").alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t")).join(
         # at most 2 * max_labelled rows of two numbers: a proven bound
         F.broadcast(_sample(labels, max_labelled).withColumnRenamed("doc_id", "l")), F.col("d") == F.col("l")
@@ -195,7 +199,7 @@ def fit(
     a1, a0 = F.col("y1") + share + 0.5, F.col("y0") + share + 0.5
     delta = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
     scored = counts.filter(F.col("y1") >= min_docs).select("token", "y0", delta.alias("delta"), (delta / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    kept = scored.filter((F.col("z") >= min_z) & (F.col("delta") >= math.log(min_odds))).orderBy(F.desc("z"), "token").limit(max_tokens).collect()
+    kept = scored.filter((F.col("z") >= min_z) & (F.col("delta") >= math.log(min_odds))).orderBy(F.desc("z"), "token").collect()
     weights = {r["token"]: float(r["delta"]) for r in kept}
     if not weights:
         train.unpersist()
