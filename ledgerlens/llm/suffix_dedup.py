@@ -346,6 +346,7 @@ def _contexts(unsure: DataFrame, length: int, with_text: bool) -> DataFrame:
     return unsure.select("id", "key", "t" if with_text else F.lit(None).cast("string"), "unsure").mapInArrow(run, ", ".join(f"{c} {ddl[c]}" for c in names))
 
 
+_SHARES = 16
 SORT_BYTES = 1 << 20  # sorting takes some 100 times as many bytes of memory
 _VERDICT = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("runs", pa.binary()), ("least", pa.binary())])
 
@@ -431,6 +432,21 @@ def _strip(length: int):
     return run
 
 
+def _one_of_each(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``known`` (id, t, key) with one row of each id and text. Only rows that do
+    repeat are shuffled with their texts, dealt by a share of the row besides
+    the id, so that copies of one row are many tasks' work, and combined map-side."""
+    twice = known.groupBy("id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = scratch.write(twice.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"))).withColumn("t_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    if twice.isEmpty():
+        return known
+    shared = known.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(_SHARES)).cast("int"))
+    same = (F.col("id") == F.col("t_id")) & (F.col("key") == F.col("t_key")) & (F.col("share") == F.col("t_share"))
+    again = shared.join(twice, same, "left_semi").groupBy("id", "key").agg(F.min("t").alias("t"))
+    once = shared.join(twice, same, "left_anti")
+    return scratch.write(once.select("id", "t", "key").unionByName(again), batch_rows=2000)
+
+
 def repeated_passages(
     docs: DataFrame, scratch: Scratch, length: int = 50, gram: int = 20, doc_id: str = "doc_id", text: str = "text",
     bytes_per_part: int = 10 << 20,
@@ -440,7 +456,7 @@ def repeated_passages(
         raise ValueError("gram must be at least 8, at most length, and length less than gram + 255")
     # a text is known by its id and a hash, since ids may repeat
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.xxhash64("t"))
-    known = d.filter(F.col("id").isNotNull() & (F.octet_length("t") >= length))
+    known = _one_of_each(d.filter(F.col("id").isNotNull() & (F.octet_length("t") >= length)), scratch)
     parts = partitions_for(text_bytes(docs, text), bytes_per_part)
     places = _anchor_blocks(known, length, gram, parts).repartitionById(parts, "part")
     places = places.mapInArrow(whole_partition(_shared_places, _PLACES), "id long, key long, whole binary, unsure binary")
