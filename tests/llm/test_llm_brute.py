@@ -4,6 +4,7 @@ cases and on a small driver table."""
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -186,6 +187,18 @@ def test_maximal_segments_against_definition():
         assert [round(s, 6) for *_, s in got] == [round(s, 6) for *_, s in want]
 
 
+def test_segments_far_apart_are_found_in_linear_time():
+    # every hit is a segment of its own and lower than all before it
+    n = 200_000
+    start = time.process_time()
+    got = maximal_segments([k * 100 for k in range(n)], [1.0] * n, -1.0)
+    assert [a for a, *_ in got] == [k * 100 for k in range(n)]
+    # and rising ones are absorbed one after the other
+    got = maximal_segments([k * 3 for k in range(n)], [3.0 + k % 2 for k in range(n)], -1.0)
+    assert [(a, b) for a, b, _ in got] == [(0, 3 * n - 2)]
+    assert time.process_time() - start < 20  # over an hour where each hit looks at all before it
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in q.op4_toxicity(spark, d).collect()}
@@ -300,6 +313,64 @@ def test_pack_is_best_fit_and_full():
     assert sum(sizes) / sum(capacity) > 0.99
 
 
+def _plain_pack(sizes, lengths, overhead, attention):
+    """Best fit over lists: every piece looks at every bin and every length."""
+    todo = sorted(((min(lengths[-1], s - at), i, at) for i, s in enumerate(sizes) for at in range(0, s, lengths[-1])), key=lambda p: (-p[0], *p[1:]))
+    bins, out = [], []  # [capacity, used]
+    fit_in = lambda n: min(c for c in lengths if c >= n)
+    while todo:
+        size, item, start = todo.pop(0)
+        fits = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= size]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for c in lengths:
+                if c >= size:
+                    used = size
+                    for s, *_ in todo:
+                        used += s if used + s <= c else 0
+                    f = fit_in(used)
+                    costs.append(((overhead + f + f * f / attention) / used, c))
+            b = len(bins)
+            bins.append([min(costs)[1], 0])
+        out.append((item, start, size, b, bins[b][1]))
+        bins[b][1] += size
+    return out, [fit_in(u) for _, u in bins], [c for c, _ in bins]
+
+
+def test_pack_equals_a_plain_best_fit_of_several_lengths():
+    rng = random.Random(8)
+    for k in range(150):
+        lengths = tuple(sorted(rng.sample((16, 24, 32, 48, 64, 96, 128), rng.randint(1, 5))))
+        sizes = [rng.randint(1, 150) if k % 2 else rng.choice((7, 11, 16, 20, 33, 90)) for _ in range(rng.randint(0, 60))]
+        overhead, attention = rng.choice((0, 4, 16)), rng.choice((50, 400, 100_000))
+        placed, capacity, _ = _plain_pack(sizes, lengths, overhead, attention)
+        assert pack(sizes, lengths, overhead, attention) == (placed, capacity)
+
+
+def test_lengths_compete():
+    rng = random.Random(9)
+    sizes = [int(rng.lognormvariate(5.5, 1)) + 1 for _ in range(1500)]
+    placed, capacity = pack(sizes)
+    assert len(set(capacity)) >= 3 and max(Counter(capacity).values()) < 0.95 * len(capacity)
+    cost = lambda caps: sum(64 + c + c * c / 65_536 for c in caps)
+    # cheaper than any single length that holds everything
+    assert all(cost(capacity) < cost(pack(sizes, (c,))[1]) for c in (512, 1024, 2048, 4096, 8192))
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice((None, *range(40))), "w " * rng.randint(0, 30)) for _ in range(300)]
+    runs = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        runs.append(sorted((tuple(r) for r in best_fit(docs, (16, 32, 64), rows_per_task=10_000).collect()), key=repr))
+    assert runs[0] == runs[1] and any(r[0] is None for r in runs[0])
+    assert sum(r[3] for r in runs[0]) == sum(len(t) // 2 for _, t in rows)
+
+
 def test_jaccard(spark, edges, driver_rows):
     for n, percent in ((4, 85), (5, 80), (2, 60), (1, 50)):
         got = _rows(jaccard_components(edges, Scratch(spark, "t"), n, percent, bytes_per_part=9000), "doc_id", "n_shingles", "component_id")
@@ -414,6 +485,16 @@ def test_passages(spark, edges, driver_rows):
     assert repeated_passages(edges.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_many_copies_of_one_row(spark):
+    rng = random.Random(11)
+    text = " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "epsilon")) + str(rng.randint(0, 99)) for _ in range(600))
+    rows = [(5, text)] * 2000 + [(7, "x" + text), (7, "x" + text), (3, text[100:300]), (5, "another " + text[:80]), (None, text), (None, text)]
+    got = _rows(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), Scratch(spark, "t")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = sorted(brute.passages([*rows[2000:2004], rows[0]], 50), key=repr)
+    assert sorted(set(got), key=repr) == sorted({*want, (None, len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest())}, key=repr)
+    assert len(got) == len(rows) and sum(r[:2] == (5, len(text)) for r in got) == 2000
+
+
 def test_every_operator_survives_an_empty_corpus(spark, tmp_path):
     for t in ("documents", "embeddings", "pages", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
