@@ -1,20 +1,24 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document's character-class histogram and its histogram of common words
-are compared with a reference for every language of the corpus by the
-Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts.
-References are sums over the whole corpus. Documents of every language are
-compared with that of their own: references of languages with a share of the
-words are literals that all documents see, those of all others are a table
-joined on the language. A language of fewer than ``MIN_REFERENCE_WORDS`` words
-cannot be judged, and its documents are kept by the method. Two guards keep
-short texts from being judged on too few words or characters.
+are compared by the Jensen-Shannon distance (base 2, so 0 to 1) with the
+reference of its own language, whatever share of the corpus that language has:
+the sums over all its documents, and the shares of its common words. References
+of languages with a share of the words are literals, so their documents are not
+shuffled; those of all others are a table joined on the language. Both hold the
+same and give the same distances. Two guards keep short texts from being judged
+on too few words or characters.
+
+A language of fewer than ``MIN_REFERENCE_WORDS`` words over the whole corpus
+has no reference, and only the base rules decide on its documents: some ten
+texts of usual length cannot tell junk among them from the rest.
 
 Defined cases: NULL text has no words (and fails the base rules); a text
 without words has empty histograms, distance NULL and is kept by the method
-(the base rules decide); rows with a NULL doc_id or repeated rows are judged
-one by one; NULL language is a language of its own; an empty table gives an
-empty result (no references); other columns are ignored.
+(the base rules decide); very long texts are judged whole; a distance equal to
+its limit keeps the document; rows with a NULL doc_id or repeated rows are
+judged one by one; NULL and empty language are one language of their own; an
+empty table gives an empty result (no references); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,16 +44,19 @@ MIN_REFERENCE_WORDS = 2_000
 @dataclass(frozen=True)
 class References:
     """What the corpus teaches. ``words`` and ``classes`` hold the languages of
-    at least ``min_language_share`` of all words (at most 1 / share languages),
-    whose common words have ``min_word_share`` of the language's words (at most
+    at least ``min_language_share`` of all words (at most 1 / share languages);
+    common words have ``min_word_share`` of their language's words (at most
     1 / share words a language). ``rare`` has the same of every other language
     of enough words, as a table; None where the corpus has no other language."""
 
-    common: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]  # language -> shares of the common words, then of all others
+    words: dict[str, dict[str, float]]  # language -> common word -> share
     classes: dict[str, tuple[float, ...]]
     rare: DataFrame | None = None  # r_lang, r_words, r_shares (of the words, then of all others), r_classes
 
+    @property
+    def common(self) -> tuple[str, ...]:
+        return tuple(sorted(set().union(*self.words.values())))
+
 
 def words_of(text: Column) -> Column:
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
@@ -135,7 +142,7 @@ def learn_references(
     everything, n_langs = cached.agg(F.sum("n"), F.count("*")).first()
     if not everything:
         cached.unpersist()
-        return References((), {}, {})
+        return References({}, {})
     enough = F.col("n") >= min_reference_words
     langs = {r["lang"]: r for r in cached.filter(enough & (F.col("n") >= min_language_share * everything)).collect()}
     cached.unpersist()
@@ -146,8 +153,6 @@ def learn_references(
     found: dict[str, dict[str, float]] = {name: {} for name in langs}
     for r in counts.filter(F.col("count") >= bar).collect():
         found[r["lang"]][r["word"]] = r["count"] / langs[r["lang"]]["n"]
-    common = sorted(set().union(*found.values()))
-    words = {name: tuple(q.get(w, 0.0) for w in common) + (max(0.0, 1 - sum(q.values())),) for name, q in found.items()}
     classes = {name: tuple(r[c] / max(1, sum(r[x] for x in CLASSES)) for c in CLASSES) for name, r in langs.items()}
     rare = None
     if n_langs > len(langs):
@@ -162,27 +167,20 @@ def learn_references(
         known = F.coalesce(F.col("w.share"), F.array().cast("array<double>"))
         rest = F.greatest(F.lit(0.0), 1 - F.aggregate(known, F.lit(0.0), lambda a, x: a + x))
         rare = rare.select("r_lang", F.coalesce("w.word", F.array().cast("array<string>")).alias("r_words"), F.concat(known, F.array(rest)).alias("r_shares"), "r_classes")
-    return References(tuple(common), words, classes, rare)
+    return References(found, classes, rare)
 
 
 def _shares(counts: Column) -> Column:
     return _let(counts, lambda c: _let(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), lambda n: F.transform(c, lambda x: x / n)))
 
 
-def _js_distance(p: Column, q: tuple[float, ...] | Column) -> Column:
+def _js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two aligned share arrays; 0 * log 0 is 0."""
-    ref = q if isinstance(q, Column) else F.array(*[F.lit(float(x)) for x in q])
     half = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    terms = F.zip_with(p, ref, lambda a, b: (half(a, (a + b) / 2) + half(b, (a + b) / 2)) / 2)
+    terms = F.zip_with(p, q, lambda a, b: (half(a, (a + b) / 2) + half(b, (a + b) / 2)) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def _nearest(p: Column, refs: dict[str, tuple[float, ...]]) -> Column:
-    if not refs:
-        return F.lit(None).cast("double")
-    return _let(p, lambda s: F.array_min(F.array(*[_js_distance(s, q) for _, q in sorted(refs.items())])))
-
-
 def _class_counts() -> Column:
     return F.array(*[F.col(f"q_{c}").cast("double") for c in CLASSES])
 
@@ -200,31 +198,42 @@ def _word_shares(seen: Column, keys: Column) -> Column:
     return _shares(_let(F.lower(padded), histogram))
 
 
+def _measured(f: DataFrame, seen: Column, keys: Column, shares: Column, classes: Column) -> DataFrame:
+    """Adds both distances to a reference, NULL without one or without histogram."""
+    far_class = _js_distance(_shares(_class_counts()), classes)
+    far_words = _js_distance(_word_shares(seen, keys), shares)
+    f = f.withColumn("class_distance", F.when(classes.isNotNull() & (F.length("q_text") > 0), far_class))
+    return f.withColumn("word_distance", F.when((F.size(keys) > 0) & (F.col("n_words") > 0), far_words))
+
+
+def _array(values, of=float) -> Column:
+    return F.array(*[F.lit(of(x)) for x in values]).cast("array<double>" if of is float else "array<string>")
+
+
 def divergence(features: DataFrame, refs: References, lang: str = "lang") -> DataFrame:
     """Adds class_distance and word_distance (NULL where there is nothing to compare)."""
+    name = F.coalesce(F.col(lang), F.lit(""))
+
+    def of_language(values: dict[str, Column], kind: str) -> Column:
+        out = F.lit(None).cast(f"array<{kind}>")
+        for k, v in sorted(values.items()):
+            out = F.when(name == k, v).otherwise(out)
+        return out
+
+    keys = {k: _array((f" {w} " for w in sorted(q)), str) for k, q in refs.words.items()}
+    shares = {k: _array([*(q[w] for w in sorted(q)), max(0.0, 1 - sum(q.values()))]) for k, q in refs.words.items()}
+    classes = {k: _array(v) for k, v in refs.classes.items()}
+    found = F.filter("q_words", lambda w: F.lower(w).isin(list(refs.common)))
+    own = [of_language(keys, "string"), of_language(shares, "double"), of_language(classes, "double")]
     if refs.rare is None:
-        return _compared(features, refs)
+        return _measured(features, found, *own)
     # only documents of the other languages are joined, so a hot language is not shuffled
-    name = F.coalesce(F.col(lang), F.lit(""))
-    seen = F.lit(False) if not refs.classes else name.isin(list(refs.classes))
-    f = _compared(features.filter(~seen), refs).join(refs.rare, name == F.col("r_lang"), "left")
-    classes = F.when(F.length("q_text") > 0, _js_distance(_shares(_class_counts()), F.col("r_classes")))
-    keys = F.transform("r_words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    found = F.filter("q_words", lambda w: F.array_contains("r_words", F.lower(w)))
-    words = F.when((F.col("n_words") > 0) & (F.size("r_words") > 0), _js_distance(_word_shares(found, keys), F.col("r_shares")))
-    # without a reference of its own a language is not measured by the others'
-    nearest = lambda c, own: F.when(F.col("r_lang").isNotNull(), F.least(F.col(c), own))
-    f = f.withColumn("class_distance", nearest("class_distance", classes)).withColumn("word_distance", nearest("word_distance", words))
-    return _compared(features.filter(seen), refs).unionByName(f.drop("r_lang", "r_words", "r_shares", "r_classes"))
-
-
-def _compared(features: DataFrame, refs: References) -> DataFrame:
-    f = features.withColumn("class_distance", F.when(F.length("q_text") > 0, _nearest(_shares(_class_counts()), refs.classes)))
-    if not refs.common:
-        return f.withColumn("word_distance", F.lit(None).cast("double"))
-    seen = F.filter("q_words", lambda w: F.lower(w).isin(list(refs.common)))
-    p = _word_shares(seen, F.array(*[F.lit(f" {w} ") for w in refs.common]))
-    return f.withColumn("word_distance", F.when(F.col("n_words") > 0, _nearest(p, refs.words)))
+    literal = F.lit(False) if not refs.classes else name.isin(list(refs.classes))
+    f = features.filter(~literal).join(refs.rare, name == F.col("r_lang"), "left")
+    padded = F.transform("r_words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    found_rare = F.filter("q_words", lambda w: F.array_contains("r_words", F.lower(w)))
+    f = _measured(f, found_rare, padded, F.col("r_shares"), F.col("r_classes")).drop("r_lang", "r_words", "r_shares", "r_classes")
+    return _measured(features.filter(literal), found, *own).unionByName(f)
 
 
 def quality(

@@ -89,15 +89,34 @@ def test_quality_distances_match_a_plain_computation(spark):
         part = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
         return math.sqrt(max(0.0, (part(p) + part(r)) / 2))
 
+    whole = {k: max(0.0, 1 - sum(v.values())) for k, v in refs.words.items()}
     for r in docs.limit(150).collect():
         w = Counter(x.lower() for x in brute.WORD.findall(r.text))
         n = sum(w.values())
         if n:
-            p = [w[c] / n for c in refs.common]
-            assert got[r.doc_id].word_distance == pytest.approx(min(js([*p, 1 - sum(p)], x) for x in refs.words.values()), abs=1e-6)
+            own = refs.words[r.lang]
+            p = [w[c] / n for c in own]
+            assert got[r.doc_id].word_distance == pytest.approx(js([*p, 1 - sum(p)], [*own.values(), whole[r.lang]]), abs=1e-6)
     assert set(refs.classes) == {"en", "de", "fr", "es"} and all(len(x) == len(CLASSES) for x in refs.classes.values())
 
 
+def test_quality_is_the_same_for_languages_of_any_share(spark):
+    """References as literals and as a joined table give the same distances."""
+    from ledgerlens.llm.quality_divergence import learn_references
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    results = []
+    for share in (0.0, 0.3, 2.0):
+        refs = learn_references(docs, min_language_share=share)
+        results.append({r.doc_id: r for r in quality(docs, refs).select("doc_id", "kept", "class_distance", "word_distance").collect()})
+    assert (refs.classes, refs.words) == ({}, {})
+    for other in results[1:]:
+        assert len(other) == len(results[0])
+        for k, r in results[0].items():
+            assert other[k].kept == r.kept
+            assert other[k][2:] == pytest.approx(r[2:], abs=1e-9)
+
+
 def test_quality_rejects_junk_and_keeps_labelled_good_text(spark):
     kept = {r.doc_id: (r.kept, r.base_failed) for r in q.op1_quality_rules(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
