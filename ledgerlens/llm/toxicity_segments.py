@@ -126,7 +126,8 @@ def evidence(text: str | None, model: ToxicModel) -> float:
             seen[t] = seen.get(t, 0) + 1
             if seen[t] > REPEATS:
                 s -= vals[k] - model.gap
-        values.setdefault(frozenset(seen), []).append(-math.log(max(model.k * n * math.exp(-model.lam * s), 1e-12)))
+        # -ln E, at most that of 1e-12; a much repeated passage's damped score can be far below zero
+        values.setdefault(frozenset(seen), []).append(min(model.lam * s - math.log(model.k * n), 12 * math.log(10)))
     return sum(sum(v for v in sorted(x)[-REPEATS:] if v > 0) for x in values.values())
 
 

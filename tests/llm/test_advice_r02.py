@@ -66,6 +66,14 @@ def test_toxic_passages_late_in_a_text_and_repeated_ones_are_found(spark):
     assert found[0] > 0 and found[4] == 0 and 0 < found[2] <= found[3]
 
 
+def test_long_repetition_of_a_passage_is_scored(spark):
+    model = ToxicModel({"bad": 6.0, "worse": 6.0, "worst": 6.0}, -0.05, 1.0, 0.1, -3.0, 1.0)
+    texts = ["bad worse worst " * n for n in (1, 2, 1000, 100_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.evidence for r in toxicity(docs, model).collect()}
+    assert got[0] > 0 and got[1] > 0 and all(v >= 0 for v in got.values())
+
+
 def test_rare_languages_are_judged_by_their_own_reference(spark):
     rng = random.Random(6)
     english = ["the", "of", "and", "house", "green", "walks", "under", "seven"]
