@@ -172,6 +172,41 @@ def test_mixing_meets_limit_and_keeps_everything(spark, edges):
     assert mix_sources(edges.limit(0), scratch, max_repeats=2.0).count() == 0
 
 
+def test_mixing_plan_against_a_plain_bisection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(brute.WORD.findall(r.text))
+    total = sum(sizes.values())
+    p = {s: n / total for s, n in sizes.items()}
+
+    def weights(a):
+        z = sum(x**a for x in p.values())
+        return {s: x**a / z for s, x in p.items()}
+
+    def plain(flat, hi):
+        lo = 0.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if flat(weights(mid)) else (lo, mid)
+        return hi
+
+    repeats = lambda w: [w[s] / p[s] for s in p]
+    cases = [
+        (dict(max_repeats=1.4), plain(lambda w: max(repeats(w)) > 1.4 * min(repeats(w)), 1.0)),
+        (dict(max_repeats=1.2, budget_tokens=total), plain(lambda w: max(repeats(w)) > 1.2, 1.0)),
+        (dict(target_entropy=2.95), plain(lambda w: -sum(x * math.log(x) for x in w.values()) > 2.95, 8.0)),
+    ]
+    for limits, a in cases:
+        plan, mix = plan_mix(docs, Scratch(spark, "t"), **limits)
+        w = weights(a)
+        budget = limits.get("budget_tokens") or max(sizes[s] / w[s] for s in w)
+        assert mix.exponent == pytest.approx(a, abs=1e-7) and mix.tokens == total and mix.budget == pytest.approx(budget, rel=1e-6)
+        for r in plan.collect():
+            assert (r.tokens, r.p) == (sizes[r.source], pytest.approx(p[r.source]))
+            assert r.weight == pytest.approx(w[r.source], rel=1e-6) and r.passes == pytest.approx(budget * w[r.source] / sizes[r.source], rel=1e-6)
+
+
 def test_mixing_entropy_and_budget(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     plan, mix = plan_mix(docs, Scratch(spark, "t"), target_entropy=2.95, budget_tokens=100_000)
