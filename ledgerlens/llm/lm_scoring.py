@@ -1,25 +1,36 @@
-"""Stupid-backoff scores of every document under the corpus's own bigrams.
-
-Exploded n-grams (one entry per document and bigram, with its count) are dealt
-out by the hash of their context word, so one task holds a context's whole
-count table and every occurrence that has to be joined to it. What backs off
-travels on, by the hash of the predicted word, to the task that holds its
-unigram count; sums per document are added up at the end. Three shuffles,
-none of them by a key that holds more than one entry per document and bigram.
-
-    S(w | v) = c(v w) / c(v)        if another document has "v w"
-             = backoff * c(w) / N   otherwise
-    S(w)     = c(w) / N             for the first word of a text
-
-Bigram and context counts leave out the document that is scored (else every
-bigram of a text would be known); unigram counts and N are those of the whole
-corpus. Entries travel as parallel arrays in binary columns, about 8 bytes
-each. Words are lower-cased (A-Z) and compared by 48-bit hashes.
+"""Stupid-backoff scores of every document under the corpus's own n-grams.
+
+Every text is exploded into its distinct n-grams, one row per (document, two
+words before, word) with its count there. Three count tables, each partitioned
+by the hash of its n-gram and combined map-side, are rolled up one from the
+other: trigrams, bigrams, words. The exploded rows are joined to the trigrams;
+then all of them to the bigrams, once: a row whose trigram is known asks for
+its context there, any other for its own bigram; then to the words, likewise.
+Log scores are summed per document.
+
+    S(w | u v) = c(u v w) / c(u v)           if another document has "u v w"
+               = backoff * S(w | v)          otherwise
+    S(w | v)   = c(v w) / c(v)               if another document has "v w"
+               = backoff * c(w) / N          otherwise
+    S(w)       = c(w) / N                    for the first word of a text
+
+The second word of a text starts at its bigram, without a factor. Trigram,
+bigram and context counts leave out the document that is scored (else every
+n-gram of a text would be known); c(w) and N are those of the whole corpus. So
+an n-gram of one document only is never found, and the tables that are joined
+leave those out. Words are lower-cased (A-Z) and compared by 64-bit hashes.
+
+A frequent word is no hot key: trigram rows are dealt by all three words,
+bigrams by two, and the words table is broadcast only where its files are below
+Spark's own threshold; in a sort-merge join both sides are plain exchanges, so
+adaptive execution splits what a frequent key has.
 
 Defined cases: NULL and wordless texts have no tokens, score 0 and a NULL mean;
-repeated rows and equal ids are scored one by one (they know each other);
-NULL ids are scored; an empty table gives an empty result; other columns are
-ignored.
+a text is held whole in one task, so the longest one bounds its memory, and is
+scored whole; repeated rows and equal ids are scored one by one (they know each
+other); NULL ids are scored; an empty table gives an empty result; other
+columns are ignored. Scores of ties do not depend on the order of rows, but for
+the last bits of a sum of doubles.
 """
 
 from __future__ import annotations
@@ -28,252 +39,116 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._shared import Scratch, partitions_for, text_bytes, whole_partition
+from ledgerlens.llm._shared import Scratch
 from ledgerlens.llm._words import mix, text_chunks, words
 
 _U = np.uint64
-_MASK = _U((1 << 48) - 1)
 _K = _U(0x9E3779B97F4A7C15)
-META, ENTRIES, FORWARD, COUNTS, SUMS = range(5)
-_ROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), *[(f"b{k}", pa.binary()) for k in range(1, 5)]])
-_DDL = "key int, kind int, chunk long, b1 binary, b2 binary, b3 binary, b4 binary"
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """48-bit values in 6 bytes: low halves, then high quarters."""
-    return (x & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> _U(32)).astype(np.uint16).tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << _U(32))
-
-
-def _pack32(x: np.ndarray) -> bytes:
-    """Low halves, then high halves: the latter are mostly zero and compress away."""
-    x = x.astype(np.uint32)
-    return (x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
-
+_COUNTS = ("c", "own_uv", "own_vw", "own_v")
+_ROW = pa.schema([*((n, pa.int64()) for n in ("row", "doc_id", "n_tokens", "u", "v", "w")), *((n, pa.int32()) for n in _COUNTS)])
+_DDL = "row long, doc_id long, n_tokens long, u long, v long, w long, c int, own_uv int, own_vw int, own_v int"
 
-def _unpack32(b: bytes) -> np.ndarray:
-    n = len(b) // 4
-    return np.frombuffer(b, np.uint16, n).astype(np.int64) | (np.frombuffer(b, np.uint16, n, 2 * n).astype(np.int64) << 16)
 
+def _before(x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """The value ``k`` words earlier in the same document, 0 where there is none."""
+    out = np.zeros_like(x)
+    out[k:] = np.where(doc[k:] == doc[:-k], x[:-k], 0)
+    return out
 
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> _U(16)) * _U(parts) >> _U(32)).astype(np.int64)
 
+def _explode(order: int, chunk_bytes: int):
+    """One row per document (its id and length), one per distinct n-gram of it:
+    the count there, and those of its two bigrams and of the word before."""
 
-def _home(chunk: int, parts: int) -> int:
-    """Where a chunk's rows that only pass through are kept meanwhile."""
-    return (chunk ^ (chunk >> 32)) % parts
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _ROW]
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
-
-
-def _explode(parts: int, chunk_bytes: int):
     def run(batches):
-        task, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = b.column(0)
-            for lo, hi, buf, offs in text_chunks(b.column(1), chunk_bytes):
-                chunk = (task << 32) | seq
-                seq += 1
+            for lo, hi, buf, offs in text_chunks(b.column("t"), chunk_bytes):
+                size = hi - lo
                 h, doc = words(buf, offs)
-                h = np.maximum(h & _MASK, _U(1))
-                per = np.bincount(doc, minlength=hi - lo)
-                own = ids[lo:hi]
-                null = np.asarray(own.is_null()).astype(np.uint8)
-                rows = [(_home(chunk, parts), META, chunk, np.asarray(own.fill_null(0)).astype(np.int64).tobytes(), null.tobytes(), per.astype(np.int64).tobytes(), b"")]
-                if len(h):
-                    # every word as a context (0 follows the last one); a first word as an entry without count
-                    follows = np.zeros(len(h), np.uint64)
-                    follows[:-1] = np.where(doc[1:] == doc[:-1], h[1:], _U(0))
-                    _, at, cnt = np.unique(mix(h * _K + follows) ^ mix(doc.astype(np.uint64) + _U(1)), return_index=True, return_counts=True)
-                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    a = np.concatenate([h[at], h[first]])
-                    w = np.concatenate([follows[at], h[first]])
-                    d = np.concatenate([doc[at], doc[first]])
-                    c = np.concatenate([cnt, np.zeros(len(first), np.int64)])
-                    order = np.argsort(a, kind="stable")
-                    a, w, d, c = a[order], w[order], d[order], c[order]
-                    cut = np.searchsorted(_part(a, parts), np.arange(parts + 1))
-                    for p in np.flatnonzero(cut[1:] > cut[:-1]):
-                        s = slice(cut[p], cut[p + 1])
-                        start = np.flatnonzero(np.r_[True, a[s][1:] != a[s][:-1]])
-                        runs = np.diff(np.r_[start, cut[p + 1] - cut[p]])
-                        rows.append((int(p), ENTRIES, chunk, _pack(a[s][start]), _pack32(runs), _pack(w[s]), _pack32(d[s]) + _pack32(c[s])))
-                yield from _table(rows).to_batches()
-
-    return run
-
-
-class _Sums:
-    """Sums per (chunk, document), added up slice by slice."""
-
-    def __init__(self):
-        self.parts = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def add(self, chunk: np.ndarray, doc: np.ndarray, total: np.ndarray, uni: np.ndarray, back: np.ndarray) -> None:
-        docs, inv = np.unique((chunk.astype(np.int64) << 32) | doc, return_inverse=True)
-        values = [np.bincount(inv, x, len(docs)) for x in (total, uni, back)]
-        docs, inv = np.unique(np.concatenate([self.parts[0], docs]), return_inverse=True)
-        self.parts = (docs, *(np.bincount(inv, np.concatenate([o, x]), len(docs)) for o, x in zip(self.parts[1:], values, strict=True)))
-
-    def rows(self, chunks: np.ndarray, parts: int) -> list[tuple]:
-        """SUMS rows: documents, log sums, unigram-scored, backed-off per chunk."""
-        docs, s, u, k = self.parts
-        cut = np.searchsorted(docs >> 32, np.arange(len(chunks) + 1))
-        out = []
-        for i in np.flatnonzero(cut[1:] > cut[:-1]):
-            z = slice(cut[i], cut[i + 1])
-            out.append((_home(int(chunks[i]), parts), SUMS, int(chunks[i]), _pack32(docs[z] & 0xFFFFFFFF), s[z].astype(np.float64).tobytes(), _pack32(u[z]), _pack32(k[z])))
-        return out
-
-
-def _row(t: pa.Table, i: int) -> tuple:
-    return tuple(t.column(c)[int(i)].as_py() for c in _ROW.names)
-
-
-class _Entries:
-    """One chunk's entries of a part, decoded a range of words at a time."""
-
-    def __init__(self, words_: bytes, runs: bytes, follow: bytes, rest: bytes):
-        self.words, self.runs = _unpack(words_), _unpack32(runs)
-        self.at = np.concatenate([[0], np.cumsum(self.runs)])
-        self.follow, self.rest, self.n = follow, rest, len(follow) // 6
-
-    def between(self, lo: int, hi: int):
-        p, q = np.searchsorted(self.words, np.array([lo, hi], np.uint64))
-        s, e, n = self.at[p], self.at[q], self.n
-        low = np.frombuffer(self.follow, np.uint32, n)[s:e].astype(np.uint64)
-        high = np.frombuffer(self.follow, np.uint16, n, 4 * n)[s:e].astype(np.uint64)
-        x = np.frombuffer(self.rest, np.uint16).reshape(4, n)[:, s:e].astype(np.int32)
-        return np.repeat(self.words[p:q], self.runs[p:q]), low | (high << _U(32)), x[0] | (x[1] << 16), x[2] | (x[3] << 16)
-
-
-def _score_bigrams(parts: int, backoff: float, slice_entries: int = 500_000):
-    """Per part of contexts: scores what another document has seen, scores
-    first words, forwards the rest, and passes on the unigram counts. A part
-    is worked through in ranges of words, so memory follows the range."""
-
-    def run(t: pa.Table) -> pa.Table:
-        kind, key, chunk = (np.asarray(t.column(c)) for c in ("kind", "key", "chunk"))
-        out = [_row(t, i) for i in np.flatnonzero(kind == META)]
-        for part in np.unique(key[kind == ENTRIES]):
-            rows = np.flatnonzero((kind == ENTRIES) & (key == part))
-            chunks, where = np.unique(chunk[rows], return_inverse=True)
-            entries = [_Entries(*(t.column(f"b{k}")[int(i)].as_buffer() for k in range(1, 5))) for i in rows]
-            slices = max(1, -(-sum(e.n for e in entries) // slice_entries))
-            lo, hi = -(-(int(part) << 32) // parts) << 16, -(-((int(part) + 1) << 32) // parts) << 16
-            edges = [lo + (hi - lo) * i // slices for i in range(slices + 1)]
-            sums, vocab, counts, ahead = _Sums(), [], [], []
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                got = [e.between(x, y) for e in entries]
-                a, w, d, c = (np.concatenate([g[i] for g in got]) for i in range(4))
-                k = np.repeat(where, [len(g[0]) for g in got])
-                del got
-                if not len(a):
+                h = np.maximum(h, _U(1))
+                row, ids = b.column("row")[lo:hi], b.column("doc_id")[lo:hi]
+                per = pa.array(np.bincount(doc, minlength=size).astype(np.int64))
+                empty = [pa.nulls(size, f.type) for f in _ROW][3:]
+                yield pa.RecordBatch.from_arrays([row, ids, per, *empty], schema=_ROW)
+                if not len(h):
                     continue
-                names, va = np.unique(a, return_inverse=True)
-                c1 = np.bincount(va, c, len(names)).astype(np.int64)
-                vocab.append(names)
-                counts.append(c1)
-                first, scored = c == 0, w != 0
-                _, g = np.unique(mix(a * _K + w), return_inverse=True)
-                c2 = np.bincount(g, c)[g] - c
-                # the document's own occurrences of the context
-                _, g = np.unique(mix(a * _K + (k.astype(np.uint64) << _U(32)) + d.astype(np.uint64)), return_inverse=True)
-                ctx = c1[va] - np.bincount(g, c)[g]
-                seen = scored & ~first & (c2 > 0)
-                back = scored & ~first & ~seen
-                total = np.zeros(len(a))
-                total[seen] = c[seen] * np.log(c2[seen] / ctx[seen])
-                total[back] = c[back] * math.log(backoff)
-                total[first] = np.log(np.maximum(c1[va[first]], 1))
-                behind = np.where(back, c, 0)
-                some = scored | first
-                sums.add(k[some], d[some], total[some], (first + behind)[some], behind[some])
-                ahead.append((w[back], k[back].astype(np.int32), d[back], c[back]))
-            out.append((int(part), COUNTS, -1, _pack(np.concatenate(vocab)), np.concatenate(counts).tobytes(), b"", b""))
-            out += sums.rows(chunks, parts)
-            w, k, d, c = (np.concatenate([x[i] for x in ahead]) for i in range(4))
-            order = np.argsort(w, kind="stable")
-            w, k, d, c = w[order], k[order], d[order], c[order]
-            cut = np.searchsorted(_part(w, parts), np.arange(parts + 1))
-            names = chunks.astype(np.int64).tobytes()
-            for q in np.flatnonzero(cut[1:] > cut[:-1]):
-                s = slice(cut[q], cut[q + 1])
-                out.append((int(q), FORWARD, -1, _pack(w[s]), names, _pack32(k[s]), _pack32(d[s]) + _pack32(c[s])))
-        return _table(out)
+                v = _before(h, doc, 1)
+                u = _before(h, doc, 2) if order > 2 else np.zeros_like(h)
+                one = mix(h ^ mix(doc.astype(np.uint64) + _U(1)))
+                two = mix(one * _K + v)
+
+                def own(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    _, at, inv, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    return n[inv], at
+
+                n1, n2 = own(one)[0], own(two)[0]
+                n3, at = own(mix(two * _K + u))
+                columns = [x[at].view(np.int64) for x in (u, v, h)]
+                columns += [x[at].astype(np.int32) for x in (n3, _before(n2, doc, 1), n2, _before(n1, doc, 1))]
+                null = pa.nulls(len(at), pa.int64())
+                grams = pa.RecordBatch.from_arrays([row.take(pa.array(doc[at])), null, null, *map(pa.array, columns)], schema=_ROW)
+                yield from pa.Table.from_batches([grams]).to_batches(max_chunksize=50_000)
 
     return run
 
 
-def _score_unigrams(parts: int):
-    def run(t: pa.Table) -> pa.Table:
-        kind, key = np.asarray(t.column("kind")), np.asarray(t.column("key"))
-        out = [_row(t, i) for i in np.flatnonzero((kind == META) | (kind == SUMS))]
-        for part in np.unique(key[kind == FORWARD]):
-            _, _, _, words_, counts, _, _ = _row(t, np.flatnonzero((kind == COUNTS) & (key == part))[0])
-            vocab, c1 = _unpack(words_), np.frombuffer(counts, np.int64)
-            sent = np.flatnonzero((kind == FORWARD) & (key == part))
-            named = [np.frombuffer(t.column("b2")[int(i)].as_buffer(), np.int64) for i in sent]
-            chunks = np.unique(np.concatenate(named))
-            sums = _Sums()
-            for i, mine in zip(sent, named, strict=True):
-                _, _, _, words_, _, k, rest = _row(t, i)
-                d, c = _unpack32(rest[: len(rest) // 2]), _unpack32(rest[len(rest) // 2 :])
-                zero = np.zeros(len(c))
-                sums.add(np.searchsorted(chunks, mine)[_unpack32(k)], d, c * np.log(c1[np.searchsorted(vocab, _unpack(words_))]), zero, zero)
-            out += sums.rows(chunks, parts)
-        return _table(out)
-
-    return run
-
-
-_DOC = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("n_unigram", pa.int64()), ("total", pa.float64())])
-
-
-def _add_up(t: pa.Table) -> pa.Table:
-    kind, chunk = np.asarray(t.column("kind")), np.asarray(t.column("chunk"))
-    out = []
-    for i in np.flatnonzero(kind == META):
-        ids = np.frombuffer(t.column("b1")[i].as_py(), np.int64)
-        null = np.frombuffer(t.column("b2")[i].as_py(), np.uint8).astype(bool)
-        per = np.frombuffer(t.column("b3")[i].as_py(), np.int64)
-        total, uni, back = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for j in np.flatnonzero((kind == SUMS) & (chunk == chunk[i])):
-            d = _unpack32(t.column("b1")[j].as_py())
-            total[d] += np.frombuffer(t.column("b2")[j].as_py(), np.float64)
-            uni[d] += _unpack32(t.column("b3")[j].as_py())
-            back[d] += _unpack32(t.column("b4")[j].as_py())
-        out.append(pa.table([pa.array(ids, mask=null), per, back, uni, total], schema=_DOC))
-    return pa.concat_tables(out) if out else _DOC.empty_table()
+def count_tables(grams: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of trigrams (u, v, w), bigrams (v, w) and words (w); ``docs`` is
+    the number of documents with the n-gram, or for bigrams and words at least
+    that. 0 stands for the place before a text."""
+    tri = scratch.write(grams.groupBy("u", "v", "w").agg(F.sum("c").alias("c3"), F.count("*").alias("docs")))
+    bi = scratch.write(tri.groupBy("v", "w").agg(F.sum("c3").alias("c2"), F.sum("docs").alias("docs")))
+    uni = scratch.write(bi.groupBy("w").agg(F.sum("c2").alias("c1")))
+    return tri, bi, uni
 
 
 def stupid_backoff(
     docs: DataFrame, scratch: Scratch, backoff: float = 0.4, doc_id: str = "doc_id", text: str = "text",
-    bytes_per_part: int = 24 << 20, chunk_bytes: int = 3 << 20,
+    order: int = 3, chunk_bytes: int = 1 << 20,
 ) -> DataFrame:
-    """doc_id, n_tokens, n_backoff, log_score (natural log, summed), mean_score."""
-    size = text_bytes(docs, text)
-    parts = partitions_for(size, bytes_per_part)
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    entries = d.mapInArrow(_explode(parts, chunk_bytes), _DDL)
-    a = entries.repartitionById(parts, "key").mapInArrow(whole_partition(_score_bigrams(parts, backoff), _ROW), _DDL)
-    b = a.repartitionById(parts, "key").mapInArrow(whole_partition(_score_unigrams(parts), _ROW), _DDL)
-    sums = b.withColumn("place", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")).repartitionById(parts, "place").drop("place")
-    per_doc = scratch.write(sums.mapInArrow(whole_partition(_add_up, _DOC), "doc_id long, n_tokens long, n_backoff long, n_unigram long, total double"))
-    n = per_doc.agg(F.sum("n_tokens")).first()[0] or 0
-    log_score = F.col("total") - F.col("n_unigram") * F.lit(math.log(max(n, 1)))
-    return per_doc.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score")).withColumn(
-        "mean_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
+    """doc_id, n_tokens, n_backoff (tokens that back off at all), n_unigram (down
+    to the word alone), log_score (natural log, summed), mean_score. ``order``
+    is 3 (trigrams) or 2 (bigrams)."""
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order!r}")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
+    exploded = scratch.write(rows.mapInArrow(_explode(order, chunk_bytes), _DDL))
+    heads = exploded.where(F.col("n_tokens").isNotNull()).select("row", "doc_id", "n_tokens")
+    grams = exploded.where(F.col("n_tokens").isNull()).drop("doc_id", "n_tokens")
+    tri, bi, uni = count_tables(grams, scratch)
+    total = uni.agg(F.sum("c1")).first()[0] or 1
+
+    known = tri.where("docs > 1 and u != 0").drop("docs")
+    others = F.coalesce(F.col("c3"), F.lit(0)) - F.col("c")
+    a = grams.join(known, ["u", "v", "w"], "left").withColumn("k3", F.when(F.col("u") != 0, F.greatest(others, F.lit(0))).otherwise(0))
+    by3 = F.col("k3") > 0
+    a = a.select(
+        "row", "v", "w", "c", "own_v", "k3", (F.col("u") != 0).alias("full"),
+        F.when(by3, F.col("u")).otherwise(F.col("v")).alias("p"), F.when(by3, F.col("v")).otherwise(F.col("w")).alias("q"),
+        F.when(by3, F.col("own_uv")).otherwise(F.col("own_vw")).alias("own"),
+    )
+    pairs = bi.where("docs > 1 and v != 0").select(F.col("v").alias("p"), F.col("w").alias("q"), "c2")
+    b = a.join(pairs, ["p", "q"], "left").withColumn("k2", F.greatest(F.coalesce(F.col("c2"), F.lit(0)) - F.col("own"), F.lit(0)))
+    by2 = ~by3 & (F.col("k2") > 0) & (F.col("v") != 0)
+    # a row that is done asks for no word: its own number spreads it over the tasks
+    key = F.when(by3, F.col("row")).when(by2, F.col("v")).otherwise(F.col("w"))
+    b = b.select("row", "c", "own_v", "k3", "k2", "full", (F.col("v") != 0).alias("second"), by2.alias("by2"), key.alias("key"))
+    s = b.join(uni.withColumnRenamed("w", "key"), "key", "left")
+
+    steps = F.when(by3, 0).when(F.col("by2"), F.col("full").cast("int")).otherwise(F.col("full").cast("int") + F.col("second").cast("int"))
+    share = F.when(by3, F.col("k3") / F.col("k2")).when(F.col("by2"), F.col("k2") / (F.col("c1") - F.col("own_v"))).otherwise(F.col("c1") / F.lit(total))
+    fell = F.when(~by3 & ~F.col("by2") & F.col("second"), F.col("c")).otherwise(0)
+    sums = s.select("row", "c", steps.alias("steps"), share.alias("share"), fell.alias("fell")).groupBy("row").agg(
+        F.sum(F.col("c") * (F.log("share") + F.col("steps") * F.lit(math.log(backoff)))).alias("log_score"),
+        F.sum(F.when(F.col("steps") > 0, F.col("c")).otherwise(0)).alias("n_backoff"),
+        F.sum("fell").alias("n_unigram"),
     )
+    out = heads.join(sums, "row", "left")
+    return out.select(
+        "doc_id", "n_tokens",
+        F.coalesce("n_backoff", F.lit(0).cast("bigint")).alias("n_backoff"), F.coalesce("n_unigram", F.lit(0).cast("bigint")).alias("n_unigram"),
+        F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
+    ).withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -84,24 +84,35 @@ def passages(rows, length):
     return out
 
 
-def backoff_scores(texts, factor):
-    """[(n_tokens, n_backoff, log score)] per text."""
+def backoff_scores(texts, factor, order):
+    """[(n_tokens, n_backoff, n_unigram, log score)] per text; counts of other
+    texts, but for single words."""
     toks = [WORD.findall((t or "").translate(LOWER)) for t in texts]
-    c1 = Counter(w for t in toks for w in t)
-    c2 = Counter(p for t in toks for p in itertools.pairwise(t))
-    n = sum(c1.values())
+    grams = lambda t, n: Counter(zip(*(t[k:] for k in range(n)), strict=False))
+    all_, n = [Counter() for _ in range(order + 1)], sum(map(len, toks))
+    for t in toks:
+        for k in range(1, order + 1):
+            all_[k].update(grams(t, k))
     out = []
     for t in toks:
-        o1, o2 = Counter(t), Counter(itertools.pairwise(t))
-        s, back = (math.log(c1[t[0]] / n) if t else 0.0), 0
-        for v, w in itertools.pairwise(t):
-            k = c2[v, w] - o2[v, w]
-            if k:
-                s += math.log(k / (c1[v] - o1[v]))
-            else:
-                s += math.log(factor * c1[w] / n)
-                back += 1
-        out.append((len(t), back, s))
+        own = [Counter(), *(grams(t, k) for k in range(1, order + 1))]
+        s, back, uni = 0.0, 0, 0
+        for i in range(len(t)):
+            steps = 0
+            for k in range(min(order, i + 1), 0, -1):
+                gram = tuple(t[i - k + 1 : i + 1])
+                seen = all_[k][gram] - own[k][gram]
+                if k == 1:
+                    p = all_[1][gram] / n
+                    uni += steps > 0
+                elif seen:
+                    p = seen / (all_[k - 1][gram[:-1]] - own[k - 1][gram[:-1]])
+                    break
+                else:
+                    steps += 1
+            s += math.log(p) + steps * math.log(factor)
+            back += steps > 0
+        out.append((len(t), back, uni, s))
     return out
 
 

@@ -275,15 +275,31 @@ def test_toxicity_edges(spark, edges):
     assert [(r.first_token, r.end_token) for r in toxic_passages(one, model, 100.0).collect()] == [(1, 3), (504, 505)]
 
 
-def test_backoff(spark, edges, driver_rows):
+@pytest.mark.parametrize("order", [2, 3])
+def test_backoff(spark, edges, driver_rows, order):
     for docs, texts in ((edges, [(d, t) for d, t, *_ in edge_rows()]), (spark.read.parquet(f"{SF}/documents.parquet"), driver_rows)):
-        got = _rows(stupid_backoff(docs, Scratch(spark, "t"), bytes_per_part=5000, chunk_bytes=4000), "doc_id", "n_tokens", "n_backoff", "log_score")
-        want = sorted(((d, *x) for (d, _), x in zip(texts, brute.backoff_scores([t for _, t in texts], 0.4), strict=True)), key=repr)
-        assert [x[:3] for x in got] == [x[:3] for x in want]
-        assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+        got = _rows(stupid_backoff(docs, Scratch(spark, "t"), order=order, chunk_bytes=4000), "doc_id", "n_tokens", "n_backoff", "n_unigram", "log_score")
+        want = sorted(((d, *x) for (d, _), x in zip(texts, brute.backoff_scores([t for _, t in texts], 0.4, order), strict=True)), key=repr)
+        assert [x[:4] for x in got] == [x[:4] for x in want]
+        assert [x[4] for x in got] == pytest.approx([x[4] for x in want])
     assert stupid_backoff(edges.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_backoff_with_one_word_in_a_third_of_all_places(spark):
+    rng = random.Random(9)
+    texts = [" ".join("the" if rng.random() < 0.4 else f"w{rng.randrange(300)}" for _ in range(80)) for _ in range(300)]
+    docs = _docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = brute.backoff_scores(texts, 0.4, 3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # every join as a shuffle
+    try:
+        got = stupid_backoff(docs, Scratch(spark, "t")).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [(r.n_tokens, r.n_backoff, r.n_unigram) for r in got] == [x[:3] for x in want]
+    assert [r.log_score for r in got] == pytest.approx([x[3] for x in want])
+
+
 def test_url_filters_match_sql(spark):
     con = duckdb.connect()
     urls = [(1, None), (2, ""), (3, "nourl"), (4, "http://WWW.Example.COM/en/1?x#y"), (4, "http://WWW.Example.COM/en/1?x#y"), (5, "http://example.com"), (6, "http://com/"),
