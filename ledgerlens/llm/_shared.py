@@ -33,18 +33,20 @@ class Scratch:
         self.path = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-        """``batch_rows`` bounds the Arrow batches of wide rows while this table is made."""
+    def write(self, df: DataFrame, batch_rows: int | None = None, partition_by: str | None = None) -> DataFrame:
+        """``batch_rows`` bounds the Arrow batches of wide rows while this table
+        is made; ``partition_by`` gives a folder per value of a column of few values."""
         self.n += 1
         path = f"{self.path}/{self.n}"
         name = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(name)
         try:
             self.spark.conf.set(name, str(min(int(before), batch_rows) if batch_rows else before))
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=partition_by)
         finally:
             self.spark.conf.set(name, before)
-        out = self.spark.read.parquet(path)
+        # without a row there is no folder to read the columns from
+        out = (self.spark.read.schema(df.schema) if partition_by else self.spark.read).parquet(path)
         out._scratch_path = path
         return out
 

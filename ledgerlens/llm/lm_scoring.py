@@ -1,12 +1,11 @@
 """Stupid-backoff scores of every document under the corpus's own n-grams.
 
 Every text is exploded into its distinct n-grams, one row per (document, two
-words before, word) with its count there. Three count tables, each partitioned
-by the hash of its n-gram and combined map-side, are rolled up one from the
-other: trigrams, bigrams, words. The exploded rows are joined to the trigrams;
-then all of them to the bigrams, once: a row whose trigram is known asks for
-its context there, any other for its own bigram; then to the words, likewise.
-Log scores are summed per document.
+words before, word) with its count there. Count tables of trigrams, bigrams and
+words are partitioned by the hash of the n-gram and combined map-side. The
+exploded rows are joined to the trigrams; then all of them to the bigrams,
+once: a row whose trigram is known asks for its context there, any other for
+its own bigram; then to the words, likewise. Log scores are summed per document.
 
     S(w | u v) = c(u v w) / c(u v)           if another document has "u v w"
                = backoff * S(w | v)          otherwise
@@ -17,8 +16,9 @@ Log scores are summed per document.
 The second word of a text starts at its bigram, without a factor. Trigram,
 bigram and context counts leave out the document that is scored (else every
 n-gram of a text would be known); c(w) and N are those of the whole corpus. So
-an n-gram of one document only is never found, and the tables that are joined
-leave those out. Words are lower-cased (A-Z) and compared by 64-bit hashes.
+an n-gram of one document only is never found, and the count tables leave those
+out. Words are lower-cased (A-Z) and compared by 64-bit hashes, n-grams
+by 64-bit hashes of those.
 
 A frequent word is no hot key: trigram rows are dealt by all three words,
 bigrams by two, and the words table is broadcast only where its files are below
@@ -48,8 +48,8 @@ from ledgerlens.llm._words import mix, text_chunks, words
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 _COUNTS = ("c", "own_uv", "own_vw", "own_v")
-_ROW = pa.schema([*((n, pa.int64()) for n in ("row", "doc_id", "n_tokens", "u", "v", "w")), *((n, pa.int32()) for n in _COUNTS)])
-_DDL = "row long, doc_id long, n_tokens long, u long, v long, w long, c int, own_uv int, own_vw int, own_v int"
+_ROW = pa.schema([*((n, pa.int64()) for n in ("row", "u", "v", "w")), *((n, pa.int32()) for n in _COUNTS)])
+_DDL = "row long, u long, v long, w long, c int, own_uv int, own_vw int, own_v int"
 
 
 def _before(x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
@@ -60,21 +60,17 @@ def _before(x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
 
 
 def _explode(order: int, chunk_bytes: int):
-    """One row per document (its id and length), one per distinct n-gram of it:
-    the count there, and those of its two bigrams and of the word before."""
+    """One row per distinct n-gram of a document: the count there, and those of
+    its two bigrams and of the word before."""
 
     def run(batches):
         for b in batches:
             for lo, hi, buf, offs in text_chunks(b.column("t"), chunk_bytes):
-                size = hi - lo
                 h, doc = words(buf, offs)
-                h = np.maximum(h, _U(1))
-                row, ids = b.column("row")[lo:hi], b.column("doc_id")[lo:hi]
-                per = pa.array(np.bincount(doc, minlength=size).astype(np.int64))
-                empty = [pa.nulls(size, f.type) for f in _ROW][3:]
-                yield pa.RecordBatch.from_arrays([row, ids, per, *empty], schema=_ROW)
                 if not len(h):
                     continue
+                h = np.maximum(h, _U(1))
+                row = b.column("row")[lo:hi]
                 v = _before(h, doc, 1)
                 u = _before(h, doc, 2) if order > 2 else np.zeros_like(h)
                 one = mix(h ^ mix(doc.astype(np.uint64) + _U(1)))
@@ -88,21 +84,20 @@ def _explode(order: int, chunk_bytes: int):
                 n3, at = own(mix(two * _K + u))
                 columns = [x[at].view(np.int64) for x in (u, v, h)]
                 columns += [x[at].astype(np.int32) for x in (n3, _before(n2, doc, 1), n2, _before(n1, doc, 1))]
-                null = pa.nulls(len(at), pa.int64())
-                grams = pa.RecordBatch.from_arrays([row.take(pa.array(doc[at])), null, null, *map(pa.array, columns)], schema=_ROW)
+                grams = pa.RecordBatch.from_arrays([row.take(pa.array(doc[at])), *map(pa.array, columns)], schema=_ROW)
                 yield from pa.Table.from_batches([grams]).to_batches(max_chunksize=50_000)
 
     return run
 
 
-def count_tables(grams: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of trigrams (u, v, w), bigrams (v, w) and words (w); ``docs`` is
-    the number of documents with the n-gram, or for bigrams and words at least
-    that. 0 stands for the place before a text."""
-    tri = scratch.write(grams.groupBy("u", "v", "w").agg(F.sum("c").alias("c3"), F.count("*").alias("docs")))
-    bi = scratch.write(tri.groupBy("v", "w").agg(F.sum("c3").alias("c2"), F.sum("docs").alias("docs")))
-    uni = scratch.write(bi.groupBy("w").agg(F.sum("c2").alias("c1")))
-    return tri, bi, uni
+def count_tables(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per (level, k): the n-gram of ``level`` words with hash ``k``
+    and its count ``n`` in the corpus, written as a folder per level. Bigrams
+    and trigrams that only one row of ``grams`` holds are left out: no other
+    document has them. 0 stands for the place before a text."""
+    keys = F.array(*(F.struct(F.lit(level).alias("level"), F.xxhash64(*cols).alias("k")) for level, cols in ((3, "uvw"), (2, "vw"), (1, "w"))))
+    each = grams.select(F.explode(keys).alias("g"), "c").groupBy("g.level", "g.k").agg(F.sum("c").alias("n"), F.count("*").alias("held"))
+    return scratch.write(each.where("held > 1 or level = 1").drop("held"), partition_by="level")
 
 
 def stupid_backoff(
@@ -114,29 +109,29 @@ def stupid_backoff(
     is 3 (trigrams) or 2 (bigrams)."""
     if order not in (2, 3):
         raise ValueError(f"order must be 2 or 3, not {order!r}")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    exploded = scratch.write(rows.mapInArrow(_explode(order, chunk_bytes), _DDL))
-    heads = exploded.where(F.col("n_tokens").isNotNull()).select("row", "doc_id", "n_tokens")
-    grams = exploded.where(F.col("n_tokens").isNull()).drop("doc_id", "n_tokens")
-    tri, bi, uni = count_tables(grams, scratch)
-    total = uni.agg(F.sum("c1")).first()[0] or 1
-
-    known = tri.where("docs > 1 and u != 0").drop("docs")
+    # numbered once and stored: later steps explode the texts anew, which is less to move than the n-grams
+    rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")))
+    grams = rows.select("row", "t").mapInArrow(_explode(order, chunk_bytes), _DDL)
+    counts = count_tables(grams, scratch)
+    total = counts.where("level = 1").agg(F.sum("n")).first()[0] or 1
+    tri, bi, uni = (counts.where(f"level = {k}").select("k", F.col("n").alias(f"c{k}")) for k in (3, 2, 1))
+
     others = F.coalesce(F.col("c3"), F.lit(0)) - F.col("c")
-    a = grams.join(known, ["u", "v", "w"], "left").withColumn("k3", F.when(F.col("u") != 0, F.greatest(others, F.lit(0))).otherwise(0))
+    a = grams.join(tri, F.xxhash64("u", "v", "w") == F.col("k"), "left").drop("k")
+    a = a.withColumn("k3", F.when(F.col("u") != 0, F.greatest(others, F.lit(0))).otherwise(0))
     by3 = F.col("k3") > 0
     a = a.select(
         "row", "v", "w", "c", "own_v", "k3", (F.col("u") != 0).alias("full"),
         F.when(by3, F.col("u")).otherwise(F.col("v")).alias("p"), F.when(by3, F.col("v")).otherwise(F.col("w")).alias("q"),
         F.when(by3, F.col("own_uv")).otherwise(F.col("own_vw")).alias("own"),
     )
-    pairs = bi.where("docs > 1 and v != 0").select(F.col("v").alias("p"), F.col("w").alias("q"), "c2")
-    b = a.join(pairs, ["p", "q"], "left").withColumn("k2", F.greatest(F.coalesce(F.col("c2"), F.lit(0)) - F.col("own"), F.lit(0)))
+    b = a.join(bi, F.xxhash64("p", "q") == F.col("k"), "left").drop("k")
+    b = b.withColumn("k2", F.greatest(F.coalesce(F.col("c2"), F.lit(0)) - F.col("own"), F.lit(0)))
     by2 = ~by3 & (F.col("k2") > 0) & (F.col("v") != 0)
     # a row that is done asks for no word: its own number spreads it over the tasks
     key = F.when(by3, F.col("row")).when(by2, F.col("v")).otherwise(F.col("w"))
     b = b.select("row", "c", "own_v", "k3", "k2", "full", (F.col("v") != 0).alias("second"), by2.alias("by2"), key.alias("key"))
-    s = b.join(uni.withColumnRenamed("w", "key"), "key", "left")
+    s = b.join(uni, F.xxhash64("key") == F.col("k"), "left").drop("k")
 
     steps = F.when(by3, 0).when(F.col("by2"), F.col("full").cast("int")).otherwise(F.col("full").cast("int") + F.col("second").cast("int"))
     share = F.when(by3, F.col("k3") / F.col("k2")).when(F.col("by2"), F.col("k2") / (F.col("c1") - F.col("own_v"))).otherwise(F.col("c1") / F.lit(total))
@@ -145,10 +140,11 @@ def stupid_backoff(
         F.sum(F.col("c") * (F.log("share") + F.col("steps") * F.lit(math.log(backoff)))).alias("log_score"),
         F.sum(F.when(F.col("steps") > 0, F.col("c")).otherwise(0)).alias("n_backoff"),
         F.sum("fell").alias("n_unigram"),
+        F.sum("c").cast("bigint").alias("n_tokens"),
     )
-    out = heads.join(sums, "row", "left")
-    return out.select(
-        "doc_id", "n_tokens",
-        F.coalesce("n_backoff", F.lit(0).cast("bigint")).alias("n_backoff"), F.coalesce("n_unigram", F.lit(0).cast("bigint")).alias("n_unigram"),
+    n_tokens = F.coalesce(F.col("n_tokens"), F.lit(0).cast("bigint")).alias("n_tokens")
+    zero = F.lit(0).cast("bigint")
+    return rows.select("row", "doc_id").join(sums, "row", "left").select(
+        "doc_id", n_tokens, F.coalesce("n_backoff", zero).alias("n_backoff"), F.coalesce("n_unigram", zero).alias("n_unigram"),
         F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
     ).withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
