@@ -49,6 +49,7 @@ _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 _COUNTS = ("c", "own_uv", "own_vw", "own_v")
 _ROW = pa.schema([*((n, pa.int64()) for n in ("row", "u", "v", "w")), *((n, pa.int32()) for n in _COUNTS)])
+_TALLY = pa.schema([("level", pa.int32()), *((n, pa.int64()) for n in ("u", "v", "w", "n", "held"))])
 _DDL = "row long, u long, v long, w long, c int, own_uv int, own_vw int, own_v int"
 
 
@@ -90,14 +91,46 @@ def _explode(order: int, chunk_bytes: int):
     return run
 
 
-def count_tables(grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per (level, k): the n-gram of ``level`` words with hash ``k``
-    and its count ``n`` in the corpus, written as a folder per level. Bigrams
-    and trigrams that only one row of ``grams`` holds are left out: no other
-    document has them. 0 stands for the place before a text."""
-    keys = F.array(*(F.struct(F.lit(level).alias("level"), F.xxhash64(*cols).alias("k")) for level, cols in ((3, "uvw"), (2, "vw"), (1, "w"))))
-    each = grams.select(F.explode(keys).alias("g"), "c").groupBy("g.level", "g.k").agg(F.sum("c").alias("n"), F.count("*").alias("held"))
-    return scratch.write(each.where("held > 1 or level = 1").drop("held"), partition_by="level")
+def _tally(order: int, chunk_bytes: int):
+    """The n-grams of a run of texts, each once: its words, its count, and 2
+    where more than one of the texts holds it (else 1)."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, buf, offs in text_chunks(b.column("t"), chunk_bytes):
+                h, doc = words(buf, offs)
+                if not len(h):
+                    continue
+                h = np.maximum(h, _U(1))
+                v, u = _before(h, doc, 1), _before(h, doc, 2)
+                for level in range(1, order + 1):
+                    at = np.arange(len(h)) if level == 1 else np.flatnonzero(v if level == 2 else u)
+                    if not len(at):
+                        continue
+                    key = h if level == 1 else mix(h * _K + v) if level == 2 else mix(mix(h * _K + v) * _K + u)
+                    at = at[np.argsort(key[at], kind="stable")]  # texts stay in order, so the ends of a run tell whether it has two
+                    start = np.flatnonzero(np.r_[True, key[at[1:]] != key[at[:-1]]])
+                    end = np.r_[start[1:], len(at)]
+                    held = 1 + (doc[at[start]] != doc[at[end - 1]])
+                    first = at[start]
+                    grams = [x[first].view(np.int64) if level > k else np.zeros(len(first), np.int64) for k, x in ((2, u), (1, v), (0, h))]
+                    columns = [np.full(len(first), level, np.int32), *grams, (end - start).astype(np.int64), held.astype(np.int64)]
+                    yield from pa.Table.from_arrays([pa.array(x) for x in columns], schema=_TALLY).to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def count_tables(rows: DataFrame, scratch: Scratch, order: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Counts ``n`` in the corpus by n-gram hash ``k``: (level, k, n) of the
+    bigrams (level 2) and trigrams (3) that at least two rows hold (of the
+    others no other document has one), and (k, n) of all words."""
+    u, v, w = (F.col(x) for x in "uvw")
+    k = F.when(F.col("level") == 3, F.xxhash64(u, v, w)).when(F.col("level") == 2, F.xxhash64(v, w)).otherwise(F.xxhash64(w))
+    each = rows.select("t").mapInArrow(_tally(order, chunk_bytes), "level int, u long, v long, w long, n long, held long")
+    each = each.groupBy("level", k.alias("k")).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    counts = scratch.write(each.where("held > 1 or level = 1").drop("held"), partition_by="level")
+    # a table of their own, so that Spark sees how small the words are
+    return counts.where("level > 1"), scratch.write(counts.where("level = 1").select("k", "n"))
 
 
 def stupid_backoff(
@@ -112,9 +145,10 @@ def stupid_backoff(
     # numbered once and stored: later steps explode the texts anew, which is less to move than the n-grams
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")))
     grams = rows.select("row", "t").mapInArrow(_explode(order, chunk_bytes), _DDL)
-    counts = count_tables(grams, scratch)
-    total = counts.where("level = 1").agg(F.sum("n")).first()[0] or 1
-    tri, bi, uni = (counts.where(f"level = {k}").select("k", F.col("n").alias(f"c{k}")) for k in (3, 2, 1))
+    counts, vocabulary = count_tables(rows, scratch, order, chunk_bytes)
+    total = vocabulary.agg(F.sum("n")).first()[0] or 1
+    tri, bi = (counts.where(f"level = {k}").select("k", F.col("n").alias(f"c{k}")) for k in (3, 2))
+    uni = vocabulary.withColumnRenamed("n", "c1")
 
     others = F.coalesce(F.col("c3"), F.lit(0)) - F.col("c")
     a = grams.join(tri, F.xxhash64("u", "v", "w") == F.col("k"), "left").drop("k")
