@@ -14,13 +14,16 @@ the candidates, and the hits go back to their texts.
 
 Defined cases: NULL text is empty and has no spans; rows are judged one by one
 (repeated rows, equal or NULL ids); ties between spans go by start, then kind;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. Very long texts
+are searched whole, words of a context and identifiers of any length are told
+apart (long ones by their SHA-256), and no distance ends a context.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -93,22 +96,52 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out)
 
 
-def _context(t: str, start: int, end: int) -> list[str]:
-    """Patterns of a place: the word before, the two before, the word on either side."""
-    left = [_norm(w) for w in t[max(0, start - 80) : start].split()[-2:]]
-    right = [_norm(w) for w in t[end : end + 40].split()[:1]]
-    out = []
-    if left:
-        out.append(f"{left[-1]} _")
+class _Contexts:
+    """Patterns of the places of one text, in time that follows its length:
+    words are found once, and a word that is glued to identifiers (``a@b.c,d@e.f``)
+    reaches to the nearest of them only."""
+
+    def __init__(self, t: str, places: list[tuple[int, int]]):
+        self.t = t
+        found = [m.span() for m in _TOKEN.finditer(t)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+        self.place_starts, self.place_ends = sorted(a for a, _ in places), sorted(b for _, b in places)
+        self.whole: dict[int, str] = {}
+
+    def _word(self, k: int) -> str:
+        if k not in self.whole:
+            self.whole[k] = _norm(self.t[self.starts[k] : self.ends[k]])
+        return self.whole[k]
+
+    def of(self, start: int, end: int) -> list[str]:
+        """The word before, the two before, the word on either side."""
+        k = bisect_left(self.starts, start)
+        left = [self._word(i) for i in range(max(0, k - 2), k)]
+        if left and self.ends[k - 1] > start:
+            i = bisect_right(self.place_ends, start)
+            left[-1] = _norm(self.t[max(self.starts[k - 1], self.place_ends[i - 1] if i else 0) : start])
+        if not left:
+            return []
+        out = [f"{left[-1]} _"]
         if len(left) == 2:
             out.append(f"{left[0]} {left[1]} _")
-        if right:
-            out.append(f"{left[-1]} _ {right[0]}")
-    return out
+        k = bisect_right(self.ends, end)
+        if k < len(self.ends):
+            right = self._word(k) if self.starts[k] >= end else None
+            if right is None:
+                i = bisect_left(self.place_starts, end)
+                right = _norm(self.t[end : min(self.ends[k], self.place_starts[i] if i < len(self.place_starts) else self.ends[k])])
+            out.append(f"{left[-1]} _ {right}")
+        return out
 
 
 def _norm(w: str) -> str:
-    return re.sub(r"[0-9]+", "0", w.lower())[:40]
+    return _named(re.sub(r"[0-9]+", "0", w.lower()), 40)
+
+
+def _named(x: str, most: int) -> str:
+    """``x``, or where it is longer than ``most`` its digest: short, and no other string's."""
+    return x if len(x) <= most else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _others(t: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
@@ -163,12 +196,11 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not _ANY.search(t):
                 continue
             spans = base_spans(t)
-            for a, kind, e in spans:
-                for p in _context(t, a, e):
-                    seen[p, t[a:e], kind] += 1
-            for a, e in _others(t, spans):
-                for p in _context(t, a, e):
-                    seen[p, t[a:e][:200], -1] += 1
+            others = list(_others(t, spans))
+            contexts = _Contexts(t, [(a, e) for a, _, e in spans] + others)
+            for a, kind, e in spans + [(a, -1, e) for a, e in others]:
+                for p in contexts.of(a, e):
+                    seen[p, _named(t[a:e], 200), kind] += 1
         rows = [{"pattern": p, "instance": i, "kind": k, "n": n} for (p, i, k), n in seen.items()]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -213,8 +245,10 @@ def _collected(patterns: DataFrame) -> dict[str, int]:
 def extra_spans(t: str, spans: list[Span], patterns: dict[str, int]) -> list[Span]:
     out = []
     if patterns:
-        for a, b in _others(t, spans):
-            kinds = [patterns[p] for p in _context(t, a, b) if p in patterns]
+        others = list(_others(t, spans))
+        contexts = _Contexts(t, [(a, e) for a, _, e in spans] + others) if others else None
+        for a, b in others:
+            kinds = [patterns[p] for p in contexts.of(a, b) if p in patterns]
             if kinds:
                 out.append((a, min(kinds), b))
     return out
@@ -240,8 +274,11 @@ def _hits(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                 if not _ANY.search(t):
                     continue
                 digest = hashlib.sha256(t.encode())
-                for a, e in _others(t, base_spans(t)):
-                    for p in _context(t, a, e):
+                base = base_spans(t)
+                others = list(_others(t, base))
+                contexts = _Contexts(t, [(a, e) for a, _, e in base] + others)
+                for a, e in others:
+                    for p in contexts.of(a, e):
                         for c, v in zip(cols, (digest.hexdigest(), (digest.digest()[0] + a) % SALTS, p, a, e), strict=True):
                             c.append(v)
             yield from pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema).to_batches(max_chunksize=20_000)

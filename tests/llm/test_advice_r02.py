@@ -4,7 +4,7 @@ import random
 
 from ledgerlens.llm import pii_bootstrap
 from ledgerlens.llm._shared import Scratch
-from ledgerlens.llm.pii_bootstrap import find_spans, mask, pattern_table
+from ledgerlens.llm.pii_bootstrap import _Contexts, find_spans, learn_patterns, mask, pattern_table
 from ledgerlens.llm.quality_divergence import learn_references, quality
 from ledgerlens.llm.toxicity_segments import ToxicModel, toxic_passages, toxicity
 
@@ -89,3 +89,20 @@ def test_rare_languages_are_judged_by_their_own_reference(spark):
     assert len(got) == len(rows) and all(r.kept or r.base_failed for i, r in got.items() if i != 2001)
     assert sum(got[1000 + i].kept for i in range(15)) >= 14
     assert got[2000].class_distance is None and not got[2001].kept and got[2001].class_distance > 0.28
+
+
+def test_contexts_have_no_length_limit(spark):
+    long = "w" * 500
+    t = f"{long} {long}x {' ' * 200}id7 {' ' * 100}{long}y a@b.co,id8,c@d.ef"
+    places = [(m, m + 3) for m in (t.index("id7"), t.index("id8"))] + [(t.index("a@b"), t.index(",id8"))]
+    first, second = (_Contexts(t, places).of(*p) for p in places[:2])
+    assert len(first) == 3 and len({x for p in first for x in p.split(" ")}) == 4  # three long words, told apart
+    assert second[0] == ", _" and second[2] == ", _ ,c@d.ef"
+    # many identifiers in one run without a space, in time that follows its length
+    glued = ",".join(f"u{k}@x.com" for k in range(20_000))
+    docs = spark.createDataFrame([(1, glued)], "doc_id long, text string")
+    assert find_spans(docs, {", _": 0}).first()["n_email"] == 20_000
+    assert learn_patterns(docs, Scratch(spark, "t")) == {", _": 0, ", _ ,": 0}
+    # identifiers that agree on their first 200 characters are different instances: 40 of 55 are believed, not of 41
+    texts = [f"token {'a' * 300}{k}" for k in range(15)] + [f"token me{k}@x.com" for k in range(40)]
+    assert "token _" not in learn_patterns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
