@@ -14,14 +14,17 @@ Signatures are dealt out by hash as compact blocks; what two or more different
 sets share becomes rows. Candidates are verified exactly, members of a
 signature first against its least member; where members are still in different
 components, the pairs of a small signature become rows, and the sets of a large
-one meet in pairs of blocks and are compared there. Nothing writes the pairs of
+one meet in pairs of blocks and are compared there; the members that already
+are its commonest component meet the others only. Nothing writes the pairs of
 a group of copies: equal sets are one class from the start, and near copies
 link through the least member or inside a block.
 
 Before any two sets are read, their parity sketches are compared: 512 bits, one
 flipped by every element. Each bit in which two sketches differ needs an
 element that only one of the sets has, so sketches that differ in more bits
-than linked sets may differ in elements rule a pair out exactly.
+than linked sets may differ in elements rule a pair out exactly. What is left
+is compared by wide sketches, of about one bit an element, which tell long sets
+apart too; only the sets of pairs that pass both are made and moved.
 
 Defined cases: NULL and wordless texts have an empty set and link with
 nothing; fewer words than n form one shingle; NULL ids get no component and
@@ -167,24 +170,49 @@ def _set_hash(g: np.ndarray, gd: np.ndarray, ndocs: int) -> tuple[np.ndarray, np
     return mix(_sums(gd, mix(g + _SEG), ndocs) + size.astype(np.uint64)).view(np.int64), size
 
 
+SKETCH = [f"s{k}" for k in range(8)]
+
+
+def sketches(g: np.ndarray, gd: np.ndarray, ndocs: int) -> np.ndarray:
+    """Parity sketch of every set, as eight words of 64 bits."""
+    bits = np.bincount(gd * 512 + ((g >> _U(20)) & _U(511)).astype(np.int64), minlength=ndocs * 512) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64).reshape(ndocs, 8)
+
+
+def wide_sketch(g: np.ndarray) -> bytes:
+    """Parity sketch of one set in a power of two of bits, one for an element at
+    least: an eighth of a byte where the set itself takes eight."""
+    bits = max(512, 1 << (len(g) - 1).bit_length())
+    return np.packbits((np.bincount(((g >> _U(20)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set in ``size`` bytes, a smaller power of two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
 def document_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, cls (hash of the set), size."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int64())])
+    """doc_id, cls (hash of the set), size, parity sketch, wide sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), *[(c, pa.int64()) for c in SKETCH], ("wide", pa.binary())])
 
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for lo, hi, g, gd in shingle_sets(b.column(1), n):
                 cls, size = _set_hash(g, gd, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(cls), pa.array(size.astype(np.int64))], schema=schema)
+                words = [pa.array(x) for x in sketches(g, gd, hi - lo).T.copy()]
+                at = np.concatenate([[0], np.cumsum(size)]).tolist()
+                wide = pa.array([wide_sketch(g[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(cls), pa.array(size.astype(np.int64)), *words, wide], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, cls long, size long")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, "doc_id long, cls long, size long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide binary")
 
 
 def _signature_blocks(docs: DataFrame, n: int, text: str, bands: Bands, parts: int) -> DataFrame:
-    """(part, sig, cls, size) blocks: parallel binary arrays of one chunk, each
-    class once per chunk."""
-    schema = pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("row", pa.binary()), ("cls", pa.binary()), ("size", pa.binary())])
+    """(part, sig, cls) blocks: parallel binary arrays of one chunk, each class
+    once per chunk."""
+    schema = pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("cls", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -204,67 +232,50 @@ def _signature_blocks(docs: DataFrame, n: int, text: str, bands: Bands, parts: i
                 order = np.lexsort((doc, part))
                 sig, doc, part = sig[order], doc[order], part[order]
                 cut = np.searchsorted(part, np.arange(parts + 1))
-                rows = []
-                for p in np.flatnonzero(cut[1:] > cut[:-1]):
-                    d, row = np.unique(doc[cut[p] : cut[p + 1]], return_inverse=True)
-                    rows.append((int(p), sig[cut[p] : cut[p + 1]].tobytes(), row.astype(np.uint32).tobytes(), cls[d].tobytes(), size[d].astype(np.int64).tobytes()))
+                rows = [(int(p), sig[cut[p] : cut[p + 1]].tobytes(), cls[doc[cut[p] : cut[p + 1]]].tobytes()) for p in np.flatnonzero(cut[1:] > cut[:-1])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "part int, sig binary, row binary, cls binary, size binary")
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "part int, sig binary, cls binary")
 
 
-_SHARED = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("size", pa.int64())])
+_SHARED = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
 
 
 def _shared_signatures(t: pa.Table) -> pa.Table:
-    """Rows (sig, cls, size) of signatures that two or more classes have."""
+    """Rows (sig, cls) of signatures that two or more classes have."""
     part = np.asarray(t.column("part"))
     out = []
     for p in np.unique(part):
-        sigs, clss, sizes = [], [], []
-        for i in np.flatnonzero(part == p):
-            row = np.frombuffer(t.column("row")[i].as_py(), np.uint32)
-            sigs.append(np.frombuffer(t.column("sig")[i].as_py(), np.uint64))
-            clss.append(np.frombuffer(t.column("cls")[i].as_py(), np.int64)[row])
-            sizes.append(np.frombuffer(t.column("size")[i].as_py(), np.int64)[row])
-        sig, cls, size = np.concatenate(sigs), np.concatenate(clss), np.concatenate(sizes)
+        at = np.flatnonzero(part == p).tolist()
+        sig = np.concatenate([np.frombuffer(t.column("sig")[i].as_buffer(), np.uint64) for i in at])
+        cls = np.concatenate([np.frombuffer(t.column("cls")[i].as_buffer(), np.int64) for i in at])
         order = np.argsort(sig)
         sig = sig[order]
         same = sig[1:] == sig[:-1]
         twice = np.zeros(len(sig), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        sig, order = sig[twice], order[twice]
-        cls, size = cls[order], size[order]
+        sig, cls = sig[twice], cls[order[twice]]
         order = np.lexsort((cls, sig))
-        sig, cls, size = sig[order], cls[order], size[order]
+        sig, cls = sig[order], cls[order]
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls, size = sig[keep], cls[keep], size[keep]
+        sig, cls = sig[keep], cls[keep]
         same = sig[1:] == sig[:-1]
         twice = np.zeros(len(sig), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        out.append(pa.table([sig[twice].view(np.int64), cls[twice], size[twice]], schema=_SHARED))
+        out.append(pa.table([sig[twice].view(np.int64), cls[twice]], schema=_SHARED))
     return pa.concat_tables(out) if out else _SHARED.empty_table()
 
 
 # -- verification ----------------------------------------------------------
 
 
-SKETCH = [f"s{k}" for k in range(8)]
-
-
-def sketches(g: np.ndarray, gd: np.ndarray, ndocs: int) -> np.ndarray:
-    """Parity sketch of every set, as eight words of 64 bits."""
-    bits = np.bincount(gd * 512 + ((g >> _U(20)) & _U(511)).astype(np.int64), minlength=ndocs * 512) & 1
-    return np.packbits(bits.astype(bool)).view(np.int64).reshape(ndocs, 8)
-
-
 def _blobs(docs: DataFrame, reps: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """(cls, set as sorted hashes, size, sketch) of the candidate classes."""
-    schema = pa.schema([("cls", pa.int64()), ("blob", pa.binary()), ("size", pa.int64()), *[(c, pa.int64()) for c in SKETCH]])
+    """(cls, set as sorted hashes) of the classes ``reps`` (cls, rep)."""
+    schema = pa.schema([("cls", pa.int64()), ("blob", pa.binary())])
 
     def run(batches):
         for b in batches:
@@ -272,12 +283,48 @@ def _blobs(docs: DataFrame, reps: DataFrame, n: int, doc_id: str, text: str) ->
                 cls, size = _set_hash(g, gd, hi - lo)
                 at = np.concatenate([[0], np.cumsum(size)])
                 blob = [g[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                words = [pa.array(x) for x in sketches(g, gd, hi - lo).T.copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(blob, pa.binary()), pa.array(size.astype(np.int64)), *words], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(blob, pa.binary())], schema=schema)
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).join(reps, F.col("d") == F.col("rep"), "left_semi")
-    rows = texts.select("t").mapInArrow(run, "cls long, blob binary, size long, " + ", ".join(f"{c} long" for c in SKETCH))
-    return rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("blob", "size", *SKETCH)])
+    rows = texts.select("t").mapInArrow(run, "cls long, blob binary")
+    # other rows of the same ids may hold other sets
+    return rows.join(reps.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("blob").alias("blob"))
+
+
+class Sets:
+    """The classes' sizes and sketches, and the sets themselves of those classes
+    that a step has asked for: most candidates go by their sketches."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, doc_id: str, text: str, percent: int, scratch: Scratch):
+        self.docs, self.classes, self.n, self.doc_id, self.text = docs, classes, n, doc_id, text
+        self.percent, self.scratch, self.made = percent, scratch, []
+
+    def want(self, cls: DataFrame) -> None:
+        reps = self.classes.select("cls", "rep").join(cls.distinct(), "cls", "left_semi")
+        for made in self.made:
+            reps = reps.join(made.select("cls"), "cls", "left_anti")
+        reps = self.scratch.write(reps)
+        self.made.append(self.scratch.write(_blobs(self.docs, reps, self.n, self.doc_id, self.text), batch_rows=2000))
+        self.scratch.drop(reps)
+
+    def all(self) -> DataFrame:
+        out = self.made[0]
+        for made in self.made[1:]:
+            out = out.union(made)
+        return out
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of the stored pairs (a, b): by wide sketches first,
+        then by the sets of the pairs that are left."""
+        near = self.scratch.write(_likely_wide(pairs, self.classes, self.percent))
+        ends = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+        self.want(ends)
+        out = self.scratch.write(_verified(near, self.all().join(ends, "cls", "left_semi"), self.percent), batch_rows=500)
+        self.scratch.drop(near)
+        return out
+
+    def drop(self) -> None:
+        self.scratch.drop(*self.made)
 
 
 def _sketch_of(blobs: DataFrame, x: str) -> DataFrame:
@@ -299,6 +346,24 @@ def _likely(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     return p.join(_sketch_of(blobs, "a").withColumnRenamed("a", "a_cls"), near).select("a", "b")
 
 
+def _likely_wide(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the wide sketches leave."""
+
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array, size_x: pa.Array, size_y: pa.Array) -> pa.Array:
+        out = []
+        for p, q, size in zip(x, y, np.asarray(size_x) + np.asarray(size_y), strict=True):
+            a, b = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
+            both = min(len(a), len(b))
+            differ = int(np.bitwise_count(fold(a, both) ^ fold(b, both)).sum())
+            out.append((100 + percent) * differ <= (100 - percent) * int(size))
+        return pa.array(out, pa.bool_())
+
+    one, two = (classes.select(F.col("cls").alias(f"{x}_cls"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    p = pairs.join(two, F.col("b") == F.col("b_cls")).join(one, F.col("a") == F.col("a_cls"))
+    return p.filter(near("wide_a", "wide_b", "size_a", "size_b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
 
@@ -392,11 +457,11 @@ def _compare_units(percent: int):
     return run
 
 
-def _pairs(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _pairs(member: DataFrame, mixed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a < b) across components of signatures with at most SMALL
     members, as far as their sketches leave them."""
     m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c")
-    m = scratch.write(m.join(blobs.drop("blob"), "cls"))
+    m = scratch.write(m.join(classes.drop("rep", "wide"), "cls"))
     one, two = (m.select(F.col("sig").alias(f"sig_{x}"), F.col("c").alias(f"c_{x}"), F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH]) for x in "ab")
     near = (F.col("sig_a") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent)
     return one.join(two, near).select("a", "b").distinct()
@@ -406,7 +471,8 @@ _MEMBER = pa.schema([("unit", pa.int64()), ("cls", pa.int64())])
 
 
 def _likely_members(percent: int):
-    """Members (unit, cls) that the sketches leave a partner in their unit."""
+    """Members (unit, cls) that the sketches leave a partner in their unit.
+    Sketches of different lengths are compared at the shorter one."""
 
     def run(t: pa.Table) -> pa.Table:
         unit = np.asarray(t.column("unit"))
@@ -414,43 +480,82 @@ def _likely_members(percent: int):
         t = t.take(pa.array(order))
         unit = unit[order]
         cls, comp, size, own, lo, hi = (np.asarray(t.column(c)) for c in ("cls", "c", "size", "own", "lo", "hi"))
-        words = np.column_stack([np.asarray(t.column(c)) for c in SKETCH]).view(np.uint64)
+        if "wide" in t.column_names:
+            wide = t.column("wide").combine_chunks()
+            sketch = [np.frombuffer(x.as_buffer(), np.uint8) for x in wide]
+        else:
+            sketch = list(np.column_stack([np.asarray(t.column(c)) for c in SKETCH]).view(np.uint8))
+        length = np.array([len(x) for x in sketch], np.int64)
         keep = np.zeros(len(unit), bool)
         cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            one = s + np.flatnonzero(own[s:e] == lo[s])
-            two = one if lo[s] == hi[s] else s + np.flatnonzero(own[s:e] == hi[s])
-            for at in range(0, len(one), 256):
-                left = one[at : at + 256]
-                ok = (comp[left, None] != comp[two]) & (100 * np.minimum(size[left, None], size[two]) >= percent * np.maximum(size[left, None], size[two]))
-                i, j = np.nonzero(ok)
-                differ = np.bitwise_count(words[left[i]] ^ words[two[j]]).sum(axis=1, dtype=np.int64)
-                near = (100 + percent) * differ <= (100 - percent) * (size[left[i]] + size[two[j]])
-                keep[left[i[near]]] = keep[two[j[near]]] = True
+            one = own[s:e] == lo[s]
+            two = own[s:e] == hi[s]
+            for short in np.unique(length[s:e]).tolist():
+                use = np.flatnonzero(length[s:e] >= short)
+                words = np.array([fold(sketch[s + i], short) for i in use.tolist()]).view(np.uint64)
+                left, right = np.flatnonzero(one[use]), np.flatnonzero(two[use])
+                at = s + use
+                for k in range(0, len(left), 256):
+                    x = left[k : k + 256]
+                    ok = (comp[at[x], None] != comp[at[right]]) & ((length[at[x], None] == short) | (length[at[right]] == short))
+                    ok &= 100 * np.minimum(size[at[x], None], size[at[right]]) >= percent * np.maximum(size[at[x], None], size[at[right]])
+                    i, j = np.nonzero(ok)
+                    i, j = x[i], right[j]
+                    step = max(1, (16 << 20) // short)
+                    for z in range(0, len(i), step):
+                        p, q = i[z : z + step], j[z : z + step]
+                        differ = np.bitwise_count(words[p] ^ words[q]).sum(axis=1, dtype=np.int64)
+                        near = (100 + percent) * differ <= (100 - percent) * (size[at[p]] + size[at[q]])
+                        keep[at[p[near]]] = keep[at[q[near]]] = True
         return pa.table([unit[keep], cls[keep]], schema=_MEMBER)
 
     return run
 
 
-def _across(member: DataFrame, mixed: DataFrame, blobs: DataFrame, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
+def _units(m: DataFrame, block: int) -> DataFrame:
+    """unit, sig, cls, c, own, lo, hi: members ``m`` (sig, cls, c, k) of a
+    signature of up to ``block`` members in one unit. Those of a larger one are
+    cut in blocks, first those of its commonest component, which need no
+    comparison with each other, then the rest; a unit is a pair of blocks, one
+    at least of the rest. So the component that a group of near copies already
+    is grows a signature's rows in proportion only."""
+    most = m.filter(F.col("k") > block).groupBy("sig", "c").agg(F.count("*").alias("n"))
+    most = most.groupBy("sig").agg(F.max(F.struct("n", "c")).alias("most")).select(F.col("sig").alias("t_sig"), F.col("most.n").alias("n"), F.col("most.c").alias("t_c"))
+    u = m.join(most, F.col("sig") == F.col("t_sig"), "left").drop("t_sig")
+    upto = lambda x: F.ceil(x / F.lit(block)).cast("int")
+    u = u.withColumn("first", F.coalesce(upto(F.col("n")), F.lit(0))).withColumn("rest", upto(F.col("k") - F.coalesce("n", F.lit(0))))
+    alike = F.coalesce(F.col("c") == F.col("t_c"), F.lit(False))
+    h = F.xxhash64("cls")
+    u = u.withColumn("own", F.when(alike, F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int"))
+    u = u.withColumn("mate", F.explode(F.sequence(F.when(alike, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
+    u = u.withColumn("lo", F.least("own", "mate")).withColumn("hi", F.greatest("own", "mate"))
+    return u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", "sig", "cls", "c", "own", "lo", "hi")
+
+
+def _across(member: DataFrame, mixed: DataFrame, sets: Sets, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
     """Links (a, b) across components among the members of mixed signatures.
     No pair becomes a row: a set goes once to every unit it belongs to."""
-    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c", "size", "k")
-    m = scratch.write(m)
-    rows, elements = m.agg(F.count("*"), F.sum("size")).first()
+    m = scratch.write(member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c", "k"))
     lists = m.groupBy(F.col("cls").alias("l_cls")).agg(F.collect_list("sig").alias("sigs"))
-    blocks = F.ceil(F.col("k") / F.lit(block)).cast("int")
-    u = m.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    u = u.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    u = u.withColumn("lo", F.least("own", "mate")).withColumn("hi", F.greatest("own", "mate"))
-    u = u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", "sig", "cls", "c", "own", "lo", "hi")
-    # sketches first: the sets of members without a likely partner do not travel
-    s = u.join(blobs.drop("blob").withColumnRenamed("cls", "s_cls"), F.col("cls") == F.col("s_cls")).drop("s_cls", "sig")
-    likely = s.repartition(partitions_for(100 * (rows or 0), 16 << 20), "unit").mapInArrow(whole_partition(_likely_members(percent), _MEMBER), "unit long, cls long")
-    likely = scratch.write(likely).select(F.col("unit").alias("l_unit"), F.col("cls").alias("l_cls"))
-    u = u.join(likely, (F.col("unit") == F.col("l_unit")) & (F.col("cls") == F.col("l_cls")), "left_semi")
-    u = u.join(lists, F.col("cls") == F.col("l_cls")).drop("l_cls").join(blobs.select(F.col("cls").alias("b_cls"), "blob"), F.col("cls") == F.col("b_cls")).drop("b_cls")
-    tasks = partitions_for(8 * (elements or 0), 16 << 20)
+    u = scratch.write(_units(m, block))
+
+    def left(s: DataFrame, units: int) -> DataFrame:
+        near = s.repartition(partitions_for(units, 16 << 20), "unit").mapInArrow(whole_partition(_likely_members(percent), _MEMBER), "unit long, cls long")
+        near = near.select(F.col("unit").alias("l_unit"), F.col("cls").alias("l_cls"))
+        return scratch.write(u.join(near, (F.col("unit") == F.col("l_unit")) & (F.col("cls") == F.col("l_cls")), "left_semi"))
+
+    # sketches first, then wide ones: the sets of members without a likely partner do not travel
+    known = sets.classes.withColumnRenamed("cls", "s_cls")
+    u = left(u.drop("sig").join(known.drop("rep", "wide"), F.col("cls") == F.col("s_cls")).drop("s_cls"), 100 * u.count())
+    sized = lambda: u.join(known, F.col("cls") == F.col("s_cls")).agg(F.sum("size")).first()[0] or 0
+    u = left(u.drop("sig").join(known.select("s_cls", "size", "wide"), F.col("cls") == F.col("s_cls")).drop("s_cls"), sized())
+    elements = sized()
+    used = u.select("cls").distinct()
+    sets.want(used)
+    blobs = sets.all().join(used, "cls", "left_semi").withColumnRenamed("cls", "b_cls")
+    u = u.join(lists, F.col("cls") == F.col("l_cls")).drop("l_cls").join(blobs, F.col("cls") == F.col("b_cls")).drop("b_cls")
+    tasks = partitions_for(8 * elements, 16 << 20)
     edges = u.repartition(tasks, "unit").mapInArrow(whole_partition(_compare_units(percent), _EDGE), "a long, b long")
     return scratch.write(edges, batch_rows=2000)
 
@@ -459,6 +564,15 @@ def _sizes_agree(percent: int):
     return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
 
+def _mixed(shared: DataFrame, comp: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (sig, cls, c) by component, and the signatures (m_sig, k) whose
+    members are in different ones."""
+    member = shared.join(comp, F.col("cls") == F.col("v"), "left").select("sig", "cls", F.coalesce("component", "cls").alias("c"))
+    member = scratch.write(member)
+    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
+    return member, scratch.write(mixed.select(F.col("sig").alias("m_sig"), "k"))
+
+
 def jaccard_components(
     docs: DataFrame, scratch: Scratch, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text",
     bytes_per_part: int = 20 << 20,
@@ -469,43 +583,38 @@ def jaccard_components(
     bands = Bands(percent, largest)
     parts = partitions_for(text_bytes(docs, text), bytes_per_part)
     blocks = _signature_blocks(docs.filter(F.col(doc_id).isNotNull()), n, text, bands, parts)
-    shared = scratch.write(blocks.repartition(parts, "part").mapInArrow(whole_partition(_shared_signatures, _SHARED), "sig long, cls long, size long"), batch_rows=2000)
+    shared = scratch.write(blocks.repartition(parts, "part").mapInArrow(whole_partition(_shared_signatures, _SHARED), "sig long, cls long"), batch_rows=2000)
+    classes = sets.filter("size > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("size", *SKETCH, "wide")])
+    classes = scratch.write(classes)
+    known = Sets(docs, classes, n, doc_id, text, percent, scratch)
 
     # round 1: every member of a signature against its least member
-    hub = shared.groupBy("sig").agg(F.min(F.struct("cls", "size")).alias("h"))
-    hub = hub.select(F.col("sig").alias("h_sig"), F.col("h.cls").alias("a"), F.col("h.size").alias("size_a"), F.xxhash64("sig").alias("h_key"))
+    hub = shared.groupBy("sig").agg(F.min("cls").alias("a"))
+    hub = hub.select(F.col("sig").alias("h_sig"), "a", F.xxhash64("sig").alias("h_key"))
     star = shared.withColumn("key", F.xxhash64("sig")).join(hub, (F.col("sig") == F.col("h_sig")) & (F.col("key") == F.col("h_key")))
-    star = star.filter("cls <> a").select("a", F.col("cls").alias("b"), "size_a", F.col("size").alias("size_b")).distinct()
-    star = scratch.write(star.filter(_sizes_agree(percent)).select("a", "b"))
-    classes = sets.filter("size > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    wanted = shared.select("cls").distinct()
-    reps = scratch.write(classes.join(wanted, "cls", "left_semi").select("rep"))
-    blobs = scratch.write(_blobs(docs, reps, n, doc_id, text), batch_rows=2000)
-    first = scratch.write(_verified(_likely(star, blobs, percent), blobs, percent), batch_rows=500)
-    comp = scratch.write(connected_components(first, scratch))
+    star = scratch.write(_likely(star.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct(), classes, percent))
+    links = known.links(star)
+    comp = scratch.write(connected_components(links, scratch))
+    member, mixed = _mixed(shared, comp, scratch)
 
     # round 2: signatures whose members are in different components still
-    member = shared.join(comp, F.col("cls") == F.col("v"), "left").select("sig", "cls", "size", F.coalesce("component", "cls").alias("c"))
-    member = scratch.write(member)
-    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
-    mixed = scratch.write(mixed.select(F.col("sig").alias("m_sig"), "k"))
+    few = _pairs(member, mixed.filter(F.col("k") <= SMALL), classes, percent, scratch)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    few = _pairs(member, mixed.filter(F.col("k") <= SMALL), blobs, percent, scratch).join(done, ["a", "b"], "left_anti")
-    second = scratch.write(_verified(few, blobs, percent), batch_rows=500)
-    third = _across(member, mixed.filter(F.col("k") > SMALL), blobs, percent, scratch)
-    links = first.union(second).union(third)
+    few = scratch.write(few.join(done, ["a", "b"], "left_anti"))
+    links = links.union(known.links(few)).union(_across(member, mixed.filter(F.col("k") > SMALL), known, percent, scratch))
 
     # classes -> least document: rows that repeat an id tie their classes together
-    rep = scratch.write(classes)
-    a, b = (rep.select(F.col("cls").alias(x), F.col("rep").alias(f"r_{x}")) for x in "ab")
+    a, b = (classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r_{x}")) for x in "ab")
     edges = links.join(a, "a").join(b, "b").select(F.col("r_a").alias("x"), F.col("r_b").alias("y"))
     own = sets.filter("size > 0 AND doc_id IS NOT NULL").select("doc_id", "cls").distinct()
     multi = own.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+    rep = classes.select("cls", "rep")
     tied = own.join(multi, "doc_id", "left_semi").join(rep, "cls").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     final = connected_components(edges.union(tied).filter("x <> y"), scratch)
     place = rep.join(final, F.col("rep") == F.col("v"), "left").select(F.col("cls").alias("p_cls"), F.coalesce("component", "rep").alias("component_id"))
     place = scratch.write(place)
-    scratch.drop(shared, star, reps, blobs, first, comp, member, mixed, second, third, rep)
+    known.drop()
+    scratch.drop(shared, classes, star, comp, member, mixed, few)
     out = sets.withColumn("key", F.xxhash64("cls")).join(
         place.withColumn("p_key", F.xxhash64("p_cls")), (F.col("cls") == F.col("p_cls")) & (F.col("key") == F.col("p_key")) & (F.col("size") > 0), "left"
     )
