@@ -514,7 +514,7 @@ def _likely_members(percent: int):
 
 
 def _units(m: DataFrame, block: int) -> DataFrame:
-    """unit, sig, cls, c, own, lo, hi: members ``m`` (sig, cls, c, k) of a
+    """unit, own, lo, hi and the columns of members ``m`` (sig, cls, c, k) of a
     signature of up to ``block`` members in one unit. Those of a larger one are
     cut in blocks, first those of its commonest component, which need no
     comparison with each other, then the rest; a unit is a pair of blocks, one
@@ -530,13 +530,14 @@ def _units(m: DataFrame, block: int) -> DataFrame:
     u = u.withColumn("own", F.when(alike, F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int"))
     u = u.withColumn("mate", F.explode(F.sequence(F.when(alike, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
     u = u.withColumn("lo", F.least("own", "mate")).withColumn("hi", F.greatest("own", "mate"))
-    return u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", "sig", "cls", "c", "own", "lo", "hi")
+    return u.withColumn("unit", F.xxhash64("sig", "lo", "hi")).select("unit", *m.columns, "own", "lo", "hi")
 
 
 def _across(member: DataFrame, mixed: DataFrame, sets: Sets, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
     """Links (a, b) across components among the members of mixed signatures.
     No pair becomes a row: a set goes once to every unit it belongs to."""
-    m = scratch.write(member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c", "k"))
+    m = member.join(mixed, F.col("sig") == F.col("m_sig")).select("sig", "cls", "c", "k")
+    m = scratch.write(m.join(sets.classes.select("cls", "size"), "cls"))
     lists = m.groupBy(F.col("cls").alias("l_cls")).agg(F.collect_list("sig").alias("sigs"))
     u = scratch.write(_units(m, block))
 
@@ -547,10 +548,9 @@ def _across(member: DataFrame, mixed: DataFrame, sets: Sets, percent: int, scrat
 
     # sketches first, then wide ones: the sets of members without a likely partner do not travel
     known = sets.classes.withColumnRenamed("cls", "s_cls")
-    u = left(u.drop("sig").join(known.drop("rep", "wide"), F.col("cls") == F.col("s_cls")).drop("s_cls"), 100 * u.count())
-    sized = lambda: u.join(known, F.col("cls") == F.col("s_cls")).agg(F.sum("size")).first()[0] or 0
-    u = left(u.drop("sig").join(known.select("s_cls", "size", "wide"), F.col("cls") == F.col("s_cls")).drop("s_cls"), sized())
-    elements = sized()
+    u = left(u.drop("sig").join(known.select("s_cls", *SKETCH), F.col("cls") == F.col("s_cls")).drop("s_cls"), 100 * u.count())
+    u = left(u.drop("sig").join(known.select("s_cls", "wide"), F.col("cls") == F.col("s_cls")).drop("s_cls"), u.agg(F.sum("size")).first()[0] or 0)
+    elements = u.agg(F.sum("size")).first()[0] or 0
     used = u.select("cls").distinct()
     sets.want(used)
     blobs = sets.all().join(used, "cls", "left_semi").withColumnRenamed("cls", "b_cls")
