@@ -23,6 +23,17 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached():
+    """Plans of later modules would read a table that this one has cached."""
+    yield
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        s.catalog.clearCache()
+
+
 @pytest.fixture
 def make_ct(spark):
     """Build a customer_transactions frame from a few hand-made rows given
