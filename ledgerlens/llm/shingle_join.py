@@ -521,8 +521,10 @@ def _units(m: DataFrame, block: int) -> DataFrame:
     at least of the rest. So the component that a group of near copies already
     is grows a signature's rows in proportion only."""
     most = m.filter(F.col("k") > block).groupBy("sig", "c").agg(F.count("*").alias("n"))
-    most = most.groupBy("sig").agg(F.max(F.struct("n", "c")).alias("most")).select(F.col("sig").alias("t_sig"), F.col("most.n").alias("n"), F.col("most.c").alias("t_c"))
-    u = m.join(most, F.col("sig") == F.col("t_sig"), "left").drop("t_sig")
+    most = most.groupBy("sig").agg(F.max(F.struct("n", "c")).alias("most"))
+    # by a derived key, so that the members of one signature can be split among tasks
+    most = most.select(F.col("sig").alias("t_sig"), F.xxhash64("sig").alias("t_key"), F.col("most.n").alias("n"), F.col("most.c").alias("t_c"))
+    u = m.withColumn("key", F.xxhash64("sig")).join(most, (F.col("sig") == F.col("t_sig")) & (F.col("key") == F.col("t_key")), "left").drop("t_sig", "t_key", "key")
     upto = lambda x: F.ceil(x / F.lit(block)).cast("int")
     u = u.withColumn("first", F.coalesce(upto(F.col("n")), F.lit(0))).withColumn("rest", upto(F.col("k") - F.coalesce("n", F.lit(0))))
     alike = F.coalesce(F.col("c") == F.col("t_c"), F.lit(False))
@@ -601,7 +603,8 @@ def jaccard_components(
     few = _pairs(member, mixed.filter(F.col("k") <= SMALL), classes, percent, scratch)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     few = scratch.write(few.join(done, ["a", "b"], "left_anti"))
-    links = links.union(known.links(few)).union(_across(member, mixed.filter(F.col("k") > SMALL), known, percent, scratch))
+    # the links of round 1 by their components: a row a class, not a link
+    links = comp.select(F.col("v").alias("a"), F.col("component").alias("b")).union(known.links(few)).union(_across(member, mixed.filter(F.col("k") > SMALL), known, percent, scratch))
 
     # classes -> least document: rows that repeat an id tie their classes together
     a, b = (classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r_{x}")) for x in "ab")
