@@ -32,19 +32,24 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        #: session settings while a table is made
+        self.settings: dict[str, str] = {}
 
     def write(self, df: DataFrame, batch_rows: int | None = None, partition_by: str | None = None) -> DataFrame:
         """``batch_rows`` bounds the Arrow batches of wide rows while this table
         is made; ``partition_by`` gives a folder per value of a column of few values."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(name)
+        name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        settings = self.settings | ({name: str(min(int(conf.get(name)), batch_rows))} if batch_rows else {})
+        before = {k: conf.get(k, None) for k in settings}
         try:
-            self.spark.conf.set(name, str(min(int(before), batch_rows) if batch_rows else before))
+            for k, v in settings.items():
+                conf.set(k, v)
             df.write.parquet(path, partitionBy=partition_by)
         finally:
-            self.spark.conf.set(name, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         # without a row there is no folder to read the columns from
         out = (self.spark.read.schema(df.schema) if partition_by else self.spark.read).parquet(path)
         out._scratch_path = path

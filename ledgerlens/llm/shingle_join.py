@@ -49,6 +49,10 @@ from ledgerlens.llm._words import mix, ngrams, sequence_hash, text_chunks, words
 _U = np.uint64
 _SEG = _U(0xC2B2AE3D27D4EB4F)
 SMALL = 64  # members of a signature up to which its pairs become rows
+# A sort takes a page of memory (16 MB on small executors) for each side of a
+# join, however few rows a task has. Where every partition of a side is small,
+# adaptive execution makes a hash table of it instead; others are sorted.
+SMALL_JOINS = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(16 << 20)}
 
 
 # -- bands and plans -------------------------------------------------------
@@ -580,6 +584,7 @@ def jaccard_components(
     bytes_per_part: int = 20 << 20,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    scratch.settings = scratch.settings | SMALL_JOINS
     sets = scratch.write(document_sets(docs, n, doc_id, text), batch_rows=2000)
     largest = sets.agg(F.max("size")).first()[0] or 0
     bands = Bands(percent, largest)
